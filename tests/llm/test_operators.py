@@ -1,0 +1,355 @@
+"""The operators against brute force, round trips, held-out accuracy, and awkward rows."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from marlstone.llm import bpe, chat, lattice, mixing, quality, queries, repetition, sharding, simhash, toxicity, urls
+from marlstone.llm.components import connected_components
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, size string, FP int"
+
+
+def docs_of(spark, texts, sources=None):
+    rows = [(i, t, "en", (sources or ["a"] * len(texts))[i], len(t or ""), "x", "y", 1) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+AWKWARD = [None, "", " \n\t ", "one", "two words", "a b c a b c a b c", "Same text here today", "Same text here today", "x" * 70_000, "word " * 30_000, "é\x1cü 漢字 ##$$ <|endoftext|> \\### </turn>"]
+
+
+def union_find(n, pairs):
+    up = list(range(n))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return [top(i) for i in range(n)]
+
+
+# --- 1 chat formatting ---
+
+
+def test_escape_round_trip():
+    rng = random.Random(1)
+    for _ in range(3000):
+        t = "".join(rng.choice(["\\", "### ", "</turn>", "<|", "|>", "\n", ":", "x", "<", ">", "|", "#", " "]) for _ in range(rng.randrange(14)))
+        assert chat.unescape(chat.escape(t)) == t
+        seg = chat.format_turn("us:\ner" + t[:3], [{"type": "text", "text": t}], frozenset())["segment"]
+        assert list(chat.read_turns(seg * 2)) == [("us:\ner" + t[:3], t)] * 2
+
+
+def test_visitor_records_attachments_in_order():
+    v = chat.Visitor()
+    for p in ({"type": "text", "text": "see <|image:0|> "}, {"type": "image", "text": None, "ref": "a.png", "units": 4}, {"type": "audio", "text": None, "ref": "b.wav", "units": 3}, {"type": "document", "text": None, "ref": None, "units": None}, {"type": None, "text": "end"}):
+        v.visit(p)
+    assert "".join(v.out) == "see \\<|image:0\\|> <|image:0|><|audio:1|><|document:2|>end"
+    assert [(a["ref"], a["tokens"]) for a in v.attachments] == [("a.png", 1024), ("b.wav", 75), ("", 600)]
+
+
+def test_conversation_digests(spark):
+    rng = random.Random(2)
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice([None, "", "hi\n", "\\### x </turn>", "é|>"])) for c in (1, 2, None) for t in range(200 if c == 1 else 3)]
+    shown = rows[:]
+    rng.shuffle(shown)
+    df = spark.createDataFrame(shown, "conv_id long, turn long, role string, text string").withColumn("content", chat.text_part(F.col("text"))).repartition(3)
+    got = {r["conv_id"]: r for r in chat.digests(chat.conversations(df)).collect()}
+    assert set(got) == {1, 2, None}
+    for c, r in got.items():
+        mine = sorted([x for x in rows if x[0] == c], key=lambda x: x[1])
+        assert r["n_turns"] == len(mine)
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{x[2] or ''}\n{x[3] or ''}\n" for x in mine).encode()).hexdigest()
+        loss = "".join(x[3] or "" for x in mine if x[2] == "assistant")
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.digests(chat.conversations(df.limit(0))).collect() == []
+
+
+# --- 2 SimHash ---
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    words = "".join(c.lower() if c.isascii() else c for c in text or "")
+    words = words.encode().split()
+    if not words:
+        return 0
+    sh = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    base = queries.read(spark, SF, "documents").select("doc_id", "text").collect()
+    texts = [r["text"] for r in base] + AWKWARD
+    want = [brute_fingerprint(t) for t in texts]
+    comp = union_find(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if (want[a] ^ want[b]).bit_count() <= 3])
+    for cap in (32_768, 3):
+        got = {r["doc_id"]: r for r in simhash.near_duplicates(docs_of(spark, texts), cap=cap).collect()}
+        assert [got[i]["fp"] & (1 << 64) - 1 for i in range(len(texts))] == want
+        assert [got[i]["component_id"] for i in range(len(texts))] == comp
+
+
+def test_fingerprint_links_on_tight_groups(spark):
+    rng = random.Random(3)
+    seeds = [rng.getrandbits(64) for _ in range(20)]
+    fps = list({s ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))) for s in seeds for _ in range(60)})
+    want = union_find(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3])
+    rows = [(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)]
+    df = spark.createDataFrame(rows, "fp long, rep long")
+    for cap in (10_000, 25):
+        got = {r["node"]: r["component"] for r in connected_components(simhash.fingerprint_links(df, cap=cap)).collect()}
+        assert [got.get(i, i) for i in range(len(fps))] == want
+
+
+def test_gray_index_finds_all_within():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    q = x[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
+    a, b = simhash.GrayIndex(x).within(q)
+    assert {(i, j) for i, j in zip(a, b)} == {(i, j) for i, j in zip(*np.nonzero(np.bitwise_count(q[:, None] ^ x) <= 3))}
+
+
+def test_one_per_group_keeps_columns_and_null_ids(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (3, "quite another text"), (None, "a b c d")]
+    got = simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got) == [(-1, "a b c d"), (1, "a b c d"), (3, "quite another text")]
+
+
+def test_components_of_a_chain_and_a_hub(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)}
+
+
+# --- 3 lattice hashing ---
+
+
+def test_e8_decoding_is_nearest():
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=(300, 8)) * 2
+    p = lattice.decode_e8(y) / 2
+    near = lattice.e8_neighbours() / 2
+    assert len(near) == 240 and np.allclose((near**2).sum(axis=1), 2)
+    d = ((y - p) ** 2).sum(axis=1)
+    assert (d[:, None] <= ((y[:, None] - p[:, None] - near) ** 2).sum(axis=2) + 1e-9).all() and (d <= 1 + 1e-9).all()
+
+
+def test_vectors_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(150, 16))
+    x = np.concatenate([centres + s * rng.normal(size=centres.shape) for s in (0, 0.05, 0.1, 0.2)]).astype(np.float32)
+    x = np.concatenate([x, x[:40], x[:1] * 3, centres[:1] + 0.02 * rng.normal(size=(60, 16))]).astype(np.float32)
+    bad = [None, [], [0.0] * 16, [None] + [1.0] * 15, [float("nan")] * 16, [float("inf")] + [0.0] * 15, [1.0] * 3]
+    rows = [(i, v, 1) for i, v in enumerate([*x.tolist(), *bad])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    for cap in (4096, 7):
+        got = {r["vec_id"]: r for r in lattice.near_duplicates(df, cap=cap).collect()}
+        assert len(got) == len(rows)
+        n = np.array([got[i]["n_links"] for i in range(len(x))])
+        assert (n <= near.sum(axis=1)).all() and n.sum() >= 0.97 * near.sum()
+        for i in range(len(x), len(rows)):
+            assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
+        for i in range(len(x)):
+            assert got[i]["kept"] == (got[i]["component_id"] == i) and got[i]["component_id"] <= i
+    assert lattice.near_duplicates(df.limit(0)).collect() == []
+
+
+# --- 4 BPE ---
+
+
+def test_codec_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    theirs = Tokenizer.from_file(path)
+    rng = random.Random(7)
+    alphabet = list("ab \n\t'sé \x1c\x85١2​漢\U0001f600́xX.,!  ") + ["<|endoftext|>", "'ll", "  "]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(800)] + AWKWARD + [r["text"] for r in queries.read(spark, SF, "documents").limit(60).collect()]
+    got = {r["doc_id"]: r for r in bpe.round_trip(docs_of(spark, texts), path).collect()}
+    for i, t in enumerate(texts):
+        ids = theirs.encode(t or "", add_special_tokens=False).ids
+        back = theirs.decode(ids, skip_special_tokens=False)
+        assert got[i]["n_tokens"] == len(ids)
+        assert got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256(back.encode()).hexdigest()
+    some = bpe.decode(bpe.encode(docs_of(spark, texts[:50]), path), path).select("text", "decoded").collect()
+    assert all(r["decoded"] == r["text"] for r in some)
+
+
+# --- 5 repetition ---
+
+
+def brute_repeats(s):
+    n = len(s)
+    best = [0] * n
+    for i in range(n):
+        for j in range(n):
+            k = 0
+            while i != j and i + k < n and j + k < n and s[i + k] == s[j + k]:
+                k += 1
+            best[i] = max(best[i], k)
+    return best
+
+
+def test_longest_repeats_equal_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        s = np.array([rng.randrange(rng.choice([1, 2, 4])) for _ in range(rng.randrange(40))], np.int64)
+        assert repetition.longest_repeats(s).tolist() == brute_repeats(s.tolist())
+
+
+def test_quality_rules_equal_brute_force(spark):
+    rng = random.Random(9)
+    texts = AWKWARD[:8] + [" ".join(rng.choice("abcdefgh") + rng.choice(["", "", "\n", " #"]) for _ in range(rng.randrange(120))) for _ in range(60)]
+    for r in repetition.judge(docs_of(spark, texts), min_repeat=4).collect():
+        t = texts[r["doc_id"]] or ""
+        words, best = t.split(), brute_repeats(t.split())
+        cover = lambda least, most=10**9: sum(any(best[s] >= least and s + min(best[s], most) > i for s in range(i + 1)) for i in range(len(words)))
+        lines = [x for x in t.split("\n") if x.strip()]
+        assert r["n_words"] == len(words) and r["word_chars"] == sum(map(len, words)) and r["n_symbols"] == sum(c in "#*$%&|<>" for c in t)
+        assert r["n_dup_lines"] == len(lines) - len(set(lines))
+        assert r["n_repeat_words"] == cover(3, 3) and r["covered_words"] == cover(4) and r["longest_repeat"] == max(best, default=0)
+    long = repetition.judge(docs_of(spark, AWKWARD)).collect()
+    assert {r["doc_id"]: r["longest_repeat"] for r in long}[9] == 29_999
+    assert repetition.judge(docs_of(spark, AWKWARD).limit(0)).collect() == []
+
+
+# --- 6 mixing ---
+
+
+def brute_targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    left, open_, out = 1.5 * sum(sizes.values()), set(names), {}
+    while open_:
+        total = sum(w[s] for s in open_)
+        over = [s for s in open_ if w[s] / total * left >= 2 * sizes[s]]
+        if not over:
+            return out | {s: w[s] / total * left for s in open_}
+        for s in over:
+            out[s] = 2.0 * sizes[s]
+            left -= out[s]
+            open_.remove(s)
+    return out
+
+
+def test_permutation_is_one_to_one():
+    for n in (1, 2, 3, 5, 64, 1000, 4097):
+        p = mixing.permute(np.arange(n), np.full(n, n), np.full(n, 11))
+        assert sorted(p.tolist()) == list(range(n))
+    assert not np.array_equal(mixing.permute(np.arange(1000), np.full(1000, 1000), np.full(1000, 1)), mixing.permute(np.arange(1000), np.full(1000, 1000), np.full(1000, 2)))
+
+
+def test_mix_meets_targets(spark):
+    rng = random.Random(10)
+    sources = [rng.choice(["a", "a", "a", "b", "c", "d", "", "ä", None]) for _ in range(400)]
+    texts = [rng.choice([None, "", " ".join(["w"] * rng.randrange(400))]) if i % 5 == 0 else " ".join(["w"] * rng.randrange(400)) for i in range(400)]
+    df = docs_of(spark, texts, sources)
+    rows = mixing.mix(df).collect()
+    assert len(rows) == 400 and rows == mixing.mix(df).collect()
+    sizes = defaultdict(int)
+    for s, t in zip(sources, texts):
+        sizes[s] += len((t or "").split())
+    want, taken = brute_targets(sizes), Counter()
+    for r in rows:
+        s = sources[r["doc_id"]]
+        assert r["size"] == len((texts[r["doc_id"]] or "").split()) and r["source_size"] == sizes[s]
+        assert r["target"] == pytest.approx(want[s]) and 0 <= r["taken"] <= 2 * r["size"]
+        taken[s] += r["taken"]
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 2 * mixing.BLOCK
+    mixed = mixing.mixed_documents(df).collect()
+    words = Counter()
+    for r in mixed:
+        words[r["doc_id"]] += len(r["text"].split())
+        assert r["n_chars"] == len(r["text"])
+    assert all(words[r["doc_id"]] == r["taken"] for r in rows)
+    assert mixing.mix(df.limit(0)).collect() == [] and mixing.mixed_documents(df.limit(0)).collect() == []
+
+
+def test_mix_with_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "a b c", "s"), (1, "a b c", "s"), (None, "d e", None), (None, "d e", "s")], "doc_id long, text string, source string")
+    rows = mixing.mix(df).collect()
+    assert len(rows) == 4 and all(r["taken"] <= 2 * r["size"] for r in rows)
+    assert sum(len(r["text"].split()) for r in mixing.mixed_documents(df).collect()) == sum(r["taken"] for r in rows)
+
+
+# --- 7, 8 classifiers ---
+
+
+def accuracy(spark, rows, label):
+    truth = {r["doc_id"]: r[label] for r in queries.read(spark, "/root/testdata/sf0.01", "labels").collect()}
+    held = [(truth[r["doc_id"]], r["predicted"]) for r in rows if r["held_out"] and r["doc_id"] in truth]
+    return np.mean([a == b for a, b in held])
+
+
+@pytest.mark.parametrize(("module", "query", "label", "modulus", "rest"), [(toxicity, queries.op7_toxicity, "toxic", 4, 2), (quality, queries.op8_quality_classifier, "quality", 5, 0)])
+def test_classifiers(spark, module, query, label, modulus, rest):
+    rows = query(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 1000 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % modulus == rest) for r in rows)
+    assert accuracy(spark, rows, label) >= 0.9
+    labels = spark.createDataFrame([(1, 1, 0), (1, None, 1), (None, 1, 1), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    awkward = module.predictions(docs_of(spark, AWKWARD), labels).collect()
+    assert len(awkward) == len(AWKWARD)
+    assert len(module.predictions(docs_of(spark, AWKWARD), labels.limit(0)).collect()) == len(AWKWARD)
+    assert module.predictions(docs_of(spark, AWKWARD).limit(0), labels).collect() == []
+
+
+# --- 9 sharding ---
+
+
+def test_shards(spark):
+    rng = random.Random(11)
+    texts = AWKWARD[:8] + ["hot group " * 20] * 700 + ["w" * rng.randrange(400) + str(i) for i in range(1500)]
+    rows = sharding.shard_by_bytes(docs_of(spark, texts), 16).collect()
+    assert len(rows) == len(texts)
+    size, slots = Counter(), defaultdict(list)
+    for r in rows:
+        t = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(t) + 1, zlib.crc32(t), "bytes", None)
+        size[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert set(size) == set(range(16)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean = sum(size.values()) / 16
+    assert max(size.values()) <= 1.05 * mean and min(size.values()) >= 0.95 * mean
+    assert sharding.shard_by_bytes(docs_of(spark, texts).limit(0)).collect() == []
+    assert len(sharding.shard_by_bytes(docs_of(spark, ["one"])).collect()) == 1
+
+
+# --- 10 URLs ---
+
+
+def test_urls_equal_brute_force(spark):
+    rules = [*queries.URL_RULES, ("a.b.c", None, "block"), ("b.c", "/x", "allow"), ("c", "/x/y", "block"), ("", "/", "block"), (None, "/", "block")]
+    rng = random.Random(12)
+    hosts = ["example.com", "WWW.Example.com", "xexample.com", "com", "net", "a.net", "a.b.c", "z.a.b.c", "b.c", "c", "", "a..com", "example.com:80"]
+    urls_ = [None, "", "no scheme", "://", "http://", "ftp://x\n.com/en/"] + ["http://" + rng.choice(hosts) + rng.choice(["", "/", "/en/", "/en/1?x=://", "/es/a#b", "?q", "#f", "/x", "/x/y/z", "/fr"]) for _ in range(800)]
+    df = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls_)], "page_id long, url string, host string")
+    got = {r["page_id"]: r for r in urls.judge_urls(df, urls.rules_table(spark, rules), partitions=5).collect()}
+    assert len(got) == len(urls_)
+    for i, u in enumerate(urls_):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+        host, path = rest[:cut].lower(), rest[cut:]
+        path = path[: min([path.index(c) for c in "?#" if c in path], default=len(path))]
+        fits = [(h + (p or ""), v, h) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p or "")]
+        rule, verdict, _ = max(fits, key=lambda f: (len(f[0]), len(f[2])), default=(None, "allow", None))
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, rule, verdict), u
+    assert urls.judge_urls(df.limit(0), urls.rules_table(spark, rules)).collect() == []

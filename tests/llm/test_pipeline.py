@@ -1,0 +1,36 @@
+"""The pipeline's stages on a small folder of tables."""
+
+import corpus_pipeline
+from marlstone.llm import quality, toxicity
+from marlstone.llm.common import read
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_stages(spark):
+    docs = read(spark, SF, "documents")
+    labels = {r["doc_id"]: r for r in read(spark, SF, "labels").collect()}
+    seen = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, seen[-1], SF).cache()
+        out.count()
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+        seen.append(out)
+    ids = [{r["doc_id"] for r in d.select("doc_id").collect()} for d in seen]
+    assert all(b <= a for a, b in zip(ids, ids[1:])) and len(ids[2]) < len(ids[1]) < len(ids[0])
+    clean = {i for i, r in labels.items() if r["quality"] == 1}
+    assert len(clean & ids[1]) >= 0.97 * len(clean)
+    toxic = {i for i, r in labels.items() if r["toxic"] == 1} & ids[1]
+    assert len(toxic - ids[2]) >= 0.7 * len(toxic)
+    assert seen[3].count() == len(ids[3])
+    assert seen[-1].columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_scores_do_not_need_other_columns(spark):
+    docs = read(spark, SF, "documents").select("doc_id", "text")
+    labels = read(spark, SF, "labels")
+    a = {r["doc_id"]: r["score"] for r in toxicity.predictions(docs, labels).collect()}
+    b = {r["doc_id"]: r["score"] for r in toxicity.predictions(read(spark, SF, "documents").repartition(5), labels).collect()}
+    assert a == b
+    assert quality.predictions(docs, labels).columns == ["doc_id", "held_out", "score", "predicted"]
