@@ -71,15 +71,15 @@ def char_ngrams(col: Column | str, least: int = 3, most: int = 4) -> Column:
     A padded word no longer than n gives itself once and no longer n-grams.
     """
 
+    def cut(padded: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.char_length(padded) - (n - 1)), lambda i: F.substr(padded, i, F.lit(n)))
+
     def grams(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
         size = F.char_length(padded)
-        per_n = []
-        for n in range(least, most + 1):
-            cut = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i, n=n: F.substr(padded, i, F.lit(n)))
-            whole = F.array(padded) if n == least else F.array().cast("array<string>")
-            per_n.append(F.when(size >= n if n == least else size > n - 1, cut).otherwise(whole))
-        return F.flatten(F.array(*per_n))
+        first = F.when(size >= least, cut(padded, least)).otherwise(F.array(padded))
+        none = F.array().cast("array<string>")
+        return F.flatten(F.array(first, *[F.when(size >= n, cut(padded, n)).otherwise(none) for n in range(least + 1, most + 1)]))
 
     words = F.filter(F.split(normalize(col), " "), lambda w: w != "")
     return F.flatten(F.transform(words, grams))

@@ -56,7 +56,7 @@ def history_scores(nb: DataFrame, chosen: DataFrame, queries: DataFrame, corpus:
 
 
 def history_topk(scores: DataFrame, k: int = 50) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy(F.desc(F.round("hist_knn", 6)), "row_id")
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("hist_knn", 8)), "row_id")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

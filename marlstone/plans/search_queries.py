@@ -184,7 +184,7 @@ def i5(spark, sf):
 # --- J: history ---
 
 SLOT = "(('0x' || substr(md5({t}), 1, 12))::bigint % 500)"
-DOT = "list_sum(list_transform(list_zip({a}, {b}), z -> z[1]::double * z[2]::double))"
+DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::double * z[2]::double))"
 TEXTVEC = f"""htx as materialized (select text, embedding as vec from (select distinct search_query as text from hist) join embeddings on vec_id = {SLOT.format(t='text')}),
 qv as materialized (select qid, fold, search_query, search_location_id, embedding as vec from allq join embeddings on vec_id = {SLOT.format(t='search_query')}),
 nb as materialized (select qid, text, sim from (select *, row_number() over (partition by qid order by sim desc, text) as rn from (select qid, text, round({DOT.format(a='qv.vec', b='htx.vec')}, 6) as sim from qv cross join htx)) where rn <= {NEIGHBOURS})"""
@@ -230,21 +230,21 @@ def j2(spark, sf):
     return H.text_items(p.hist, p.corpus)
 
 
-@query("j3_neighbour_texts", hist_sql(TEXTVEC) + " select qid, text, round(sim, 4) as sim from nb", HISTORY)
+@query("j3_neighbour_texts", hist_sql(TEXTVEC) + " select qid, text, sim from nb", HISTORY)
 def j3(spark, sf):
-    return History(spark, sf).nb.withColumn("sim", F.round("sim", 4))
+    return History(spark, sf).nb
 
 
-@query("j4_microcat_mix", hist_sql(TEXTVEC, PMC, MIX) + " select qid, mc, round(p, 4) as p from mix", HISTORY)
+@query("j4_microcat_mix", hist_sql(TEXTVEC, PMC, MIX) + " select qid, mc, round(p, 6) as p from mix", HISTORY)
 def j4(spark, sf):
     h = History(spark, sf)
-    return H.microcat_mix(h.nb, h.p_mc).withColumn("p", F.round("p", 4))
+    return H.microcat_mix(h.nb, h.p_mc).withColumn("p", F.round("p", 6))
 
 
-@query("j5_history_scores", hist_sql(TEXTVEC, TI, HS) + " select qid, row_id, round(hist_knn, 3) as hist_knn from hs", HISTORY)
+@query("j5_history_scores", hist_sql(TEXTVEC, TI, HS) + " select qid, row_id, round(hist_knn, 8) as hist_knn from hs", HISTORY)
 def j5(spark, sf):
     h = History(spark, sf)
-    return H.history_scores(h.nb, h.text_items, h.queries, h.corpus, NEAR).select("qid", "row_id", F.round("hist_knn", 3).alias("hist_knn"))
+    return H.history_scores(h.nb, h.text_items, h.queries, h.corpus, NEAR).select("qid", "row_id", F.round("hist_knn", 8).alias("hist_knn"))
 
 
 @query("j6_history_exact", hist_sql(TEXTVEC, TI, HS) + " select qid, row_id, hist_exact, hist_exact_same from hs where hist_exact > 0", HISTORY)
@@ -253,23 +253,23 @@ def j6(spark, sf):
     return H.history_scores(h.nb, h.text_items, h.queries, h.corpus, NEAR).where("hist_exact > 0").select("qid", "row_id", "hist_exact", "hist_exact_same")
 
 
-@query("j7_history_topk", hist_sql(TEXTVEC, TI, HS) + " select qid, row_id, rank from (select *, row_number() over (partition by qid order by round(hist_knn, 6) desc, row_id) as rank from hs) where rank <= 10", HISTORY)
+@query("j7_history_topk", hist_sql(TEXTVEC, TI, HS) + " select qid, row_id, rank from (select *, row_number() over (partition by qid order by round(hist_knn, 8) desc, row_id) as rank from hs) where rank <= 10", HISTORY)
 def j7(spark, sf):
     h = History(spark, sf)
     return H.history_topk(H.history_scores(h.nb, h.text_items, h.queries, h.corpus, NEAR), 10).select("qid", "row_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("j8_microcat_affinity", hist_sql(TEXTVEC, PMC, MIX, TI, HS) + " select qid, row_id, round(coalesce(p, 0), 4) as mc_aff from hs join (select row_id, item_microcat_id as mc from corpus) using (row_id) left join mix using (qid, mc)", HISTORY)
+@query("j8_microcat_affinity", hist_sql(TEXTVEC, PMC, MIX, TI, HS) + " select qid, row_id, round(coalesce(p, 0), 6) as mc_aff from hs join (select row_id, item_microcat_id as mc from corpus) using (row_id) left join mix using (qid, mc)", HISTORY)
 def j8(spark, sf):
     h = History(spark, sf)
     pairs = H.history_scores(h.nb, h.text_items, h.queries, h.corpus, NEAR)
-    return H.microcat_affinity(pairs, H.microcat_mix(h.nb, h.p_mc), h.corpus).withColumn("mc_aff", F.round("mc_aff", 4))
+    return H.microcat_affinity(pairs, H.microcat_mix(h.nb, h.p_mc), h.corpus).withColumn("mc_aff", F.round("mc_aff", 6))
 
 
-@query("j9_query_history_features", hist_sql(TEXTVEC) + " select qid, case when search_query in (select text from htx) then 1.0 else 0.0 end::double as q_seen, round(m, 4) as q_nn_sim from allq left join (select qid, max(sim) as m from nb group by qid) using (qid)", HISTORY)
+@query("j9_query_history_features", hist_sql(TEXTVEC) + " select qid, case when search_query in (select text from htx) then 1.0 else 0.0 end::double as q_seen, m as q_nn_sim from allq left join (select qid, max(sim) as m from nb group by qid) using (qid)", HISTORY)
 def j9(spark, sf):
     h = History(spark, sf)
-    return H.query_history_features(h.queries, h.hist, h.nb).withColumn("q_nn_sim", F.round("q_nn_sim", 4))
+    return H.query_history_features(h.queries, h.hist, h.nb)
 
 
 # --- F: vectors ---
@@ -299,36 +299,36 @@ def _vec_pairs(spark, sf):
     return q, i, q.select("qid").join(i.select("row_id"), F.pmod(F.col("row_id"), F.lit(50)) == F.pmod(F.col("qid"), F.lit(50)) + 1)
 
 
-@query("f3_ensemble_sim", f"with p as (select q.qid, i.row_id, {DOT.format(a='q.vec', b='i.vec')} as a, list_sum(list_transform(list_zip(list_reverse(q.vec), i.vec), z -> z[1]::double * z[2]::double)) as b from vec_queries_v q join vec_items_v i on i.row_id % 50 = q.qid % 50 + 1) select qid, row_id, round((round(a, 6) + round(b, 6)) / 2, 4) as sim from p", VEC)
+@query("f3_ensemble_sim", f"with p as (select q.qid, i.row_id, {DOT.format(a='q.vec', b='i.vec')} as a, list_sum(list_transform(list_zip(list_reverse(q.vec), i.vec), lambda z: z[1]::double * z[2]::double)) as b from vec_queries_v q join vec_items_v i on i.row_id % 50 = q.qid % 50 + 1) select qid, row_id, round((round(a, 6) + round(b, 6)) / 2, 9) as sim from p", VEC)
 def f3(spark, sf):
     q, i, pairs = _vec_pairs(spark, sf)
     both = D.score_pairs(pairs, q, i).unionByName(D.score_pairs(pairs, q.withColumn("vec", F.reverse("vec")), i))
-    return D.ensemble_sim(both, ["qid", "row_id"]).withColumn("sim", F.round("sim", 4))
+    return D.ensemble_sim(both, ["qid", "row_id"]).withColumn("sim", F.round("sim", 9))
 
 
-@query("f4_dense_topk", f"with s as (select qid, row_id, round({DOT.format(a='q.vec', b='i.vec')}, 6) as sim from vec_queries_v q cross join vec_items_v i) select qid, row_id, round(sim, 4) as sim, rank from (select *, row_number() over (partition by qid order by sim desc, row_id) as rank from s) where rank <= 10", VEC)
+@query("f4_dense_topk", f"with s as (select qid, row_id, round({DOT.format(a='q.vec', b='i.vec')}, 6) as sim from vec_queries_v q cross join vec_items_v i) select qid, row_id, sim, rank from (select *, row_number() over (partition by qid order by sim desc, row_id) as rank from s) where rank <= 10", VEC)
 def f4(spark, sf):
     got = D.block_topk(view(spark, sf, "vec_queries_v"), view(spark, sf, "vec_items_v"), 10, block=128)
-    return got.select("qid", "row_id", F.round("sim", 4).alias("sim"), F.col("rank").cast("long").alias("rank"))
+    return got.select("qid", "row_id", "sim", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
     "f5_dense_topk_loc",
     f"""with {VTR}, s as (select qid, row_id, round({DOT.format(a='q.vec', b='i.vec')} + 0.03::double * ({LP.format(s='q.loc', l='i.loc')}), 6) as score from vec_queries_v q cross join vec_items_v i left join tot on tot.s = q.loc left join tr on tr.s = q.loc and tr.l = i.loc)
-    select qid, row_id, round(score, 4) as score, rank from (select *, row_number() over (partition by qid order by score desc, row_id) as rank from s) where rank <= 10""",
+    select qid, row_id, score, rank from (select *, row_number() over (partition by qid order by score desc, row_id) as rank from s) where rank <= 10""",
     VEC,
 )
 def f5(spark, sf):
     e = table(spark, sf, "embeddings").where("label % 4 <> 0").select("vec_id", F.col("label").cast("int").alias("loc"))
     trans = e.groupBy(F.col("loc").alias("s"), F.expr("cast((loc * 3 + vec_id) % 10 as int)").alias("l")).agg(F.count("*").alias("c"))
     got = D.block_topk(D.query_priors(view(spark, sf, "vec_queries_v"), trans), view(spark, sf, "vec_items_v"), 10, weight=0.03, block=200)
-    return got.select("qid", "row_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return got.select("qid", "row_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("f6_score_pairs", f"select q.qid, i.row_id, round({DOT.format(a='q.vec', b='i.vec')}, 4) as sim from vec_queries_v q join vec_items_v i on i.row_id % 50 = q.qid % 50 + 1", VEC)
+@query("f6_score_pairs", f"select q.qid, i.row_id, round({DOT.format(a='q.vec', b='i.vec')}, 6) as sim from vec_queries_v q join vec_items_v i on i.row_id % 50 = q.qid % 50 + 1", VEC)
 def f6(spark, sf):
     q, i, pairs = _vec_pairs(spark, sf)
-    return D.score_pairs(pairs, q, i).withColumn("sim", F.round("sim", 4))
+    return D.score_pairs(pairs, q, i)
 
 
 @query("f7_history_texts", prep("select distinct search_query from hist"), TRAIN)

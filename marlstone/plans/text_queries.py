@@ -69,7 +69,7 @@ def a4(spark, sf):
     return spark.read.parquet(path).select("row_id", "item_id", F.col("item_location_id").cast("int").alias("item_location_id"))
 
 
-@query("a6_vectors", "select vec_id as id, 'base' as model, list_transform(embedding, x -> round(cast(x as double), 5)) as vec from embeddings")
+@query("a6_vectors", "select vec_id as id, 'base' as model, list_transform(embedding, lambda x: round(cast(x as double), 5)) as vec from embeddings")
 def a6(spark, sf):
     path = _folder(spark, "vectors")
     S.write_vectors(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.lit("base").alias("model"), F.col("embedding").alias("vec")), path)
@@ -129,8 +129,8 @@ def b9(spark, sf):
 def grams_sql(of: str, key: str, col: str) -> str:
     """(key, gram) of every occurrence."""
     words = f"select {key}, ' ' || x || ' ' as w from (select {key}, unnest(string_split({norm_sql(col)}, ' ')) as x from {of}) where x <> ''"
-    return f"""select {key}, unnest(list_concat(list_transform(range(1, length(w) - 1), i -> substr(w, i::int, 3)),
-               case when length(w) >= 4 then list_transform(range(1, length(w) - 2), i -> substr(w, i::int, 4)) else [] end)) as gram from ({words})"""
+    return f"""select {key}, unnest(list_concat(list_transform(range(1, length(w) - 1), lambda i: substr(w, i::int, 3)),
+               case when length(w) >= 4 then list_transform(range(1, length(w) - 2), lambda i: substr(w, i::int, 4)) else [] end)) as gram from ({words})"""
 
 
 @query("b10_char_ngrams", f"select gram, count(*) as n from ({grams_sql('items_v', 'row_id', 'item_description_raw')}) group by gram", ["items_v"])
@@ -181,7 +181,7 @@ def c4(spark, sf):
     return view(spark, sf, "train_v").select("row_key", N.same_location(F.col("search_location_id"), F.col("item_location_id")).alias("same_loc"))
 
 
-DOT = "list_sum(list_transform(list_zip({a}, {b}), z -> z[1]::double * z[2]::double))"
+DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::double * z[2]::double))"
 
 
 @query("c5_dot", f"select a.vec_id as a, b.vec_id as b, round({DOT.format(a='a.embedding', b='b.embedding')}, 4) as sim from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
