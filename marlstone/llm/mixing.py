@@ -19,7 +19,7 @@ SHARE = 1.5
 MOST = 2
 SEED = 6
 #: Documents that one task lays end to end.
-LAY = 5000
+LAY = 1500
 
 
 def word_sizes(docs: DataFrame, text_col: str = "text", out: str = "size") -> DataFrame:
