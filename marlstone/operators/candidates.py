@@ -105,7 +105,7 @@ def query_features(queries: DataFrame, n_terms: DataFrame, totals: DataFrame, pe
 
 def rank_within(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``df`` with ranks from 0, the highest value first, ties by row; one partitioning by query serves all."""
-    by = lambda c: Window.partitionBy("qid").orderBy(F.desc(F.round(c, 6)), "row_id")
+    by = lambda c: Window.partitionBy("qid").orderBy(F.desc(F.round(c, 8)), "row_id")
     return df.withColumns({name: (F.row_number().over(by(c)) - 1).cast("long") for name, c in columns.items()})
 
 

@@ -201,7 +201,7 @@ def l8(spark, sf):
 
 
 def _rank_sql(name: str, score: str) -> str:
-    return f"row_number() over (partition by qid order by round({score}, 6) desc, row_id) - 1 as {name}"
+    return f"row_number() over (partition by qid order by round({score}, 8) desc, row_id) - 1 as {name}"
 
 
 CHAR = f"""g as materialized (select row_id, gram, count(*) as tf from ({grams_sql('corpus', 'row_id', 'item_title_raw')}) group by all),
