@@ -79,10 +79,23 @@ def query_priors(queries: DataFrame, transitions: DataFrame, alpha: float = 1.0)
     return out.withColumns({"pl": F.coalesce("pl", F.array(F.col("loc"))), "pv": F.coalesce("pv", F.array(F.lit(float(np.log(0.8))))), "floor": F.coalesce("floor", F.lit(float(np.log(1e-4))))})
 
 
-def _blocks(df: DataFrame, key: str, size: int) -> int:
+def _blocks(df: DataFrame, size: int, by_location: bool) -> int:
+    """Blocks of at most about ``size`` rows: of all rows, or of the fullest location."""
+    if by_location:
+        return max(1, -(-(df.groupBy("loc").count().agg(F.max("count")).first()[0] or 0) // size))
     return max(1, -(-df.count() // size))
 
 
+def _dealt(queries: DataFrame, items: DataFrame, block: int, by_location: bool = False):
+    """Both sides in blocks by hash, each block next to all of the other side's; inside locations if they must be equal."""
+    nq, ni = (_blocks(d, block, by_location) for d in (queries, items))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")).withColumn("ib", spread(ni))
+    i = items.withColumn("ib", F.pmod(F.xxhash64("row_id"), F.lit(ni)).cast("int")).withColumn("qb", spread(nq))
+    keys = ["qb", "ib"] + ["loc"] * by_location
+    return q.groupBy(*keys).cogroup(i.groupBy(*keys))
+
+
 def block_topk(queries: DataFrame, items: DataFrame, k: int, weight: float = 0.0, place: str = "any", least: float | None = None, block: int = BLOCK) -> DataFrame:
     """(qid, row_id, sim, score): the ``k`` best visible items per query by cosine plus ``weight`` times the log prior.
 
@@ -91,14 +104,10 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, weight: float = 0.0
     fold. place: "same" or "other" restricts to items inside or outside the query's location; least: smallest cosine.
 
     Both sides are dealt into blocks by hash; each pair of blocks is one matrix product, whose task holds two blocks and
-    returns at most k rows per query. Masks apply before the local top k. Scores are rounded, ties go by row_id.
+    returns at most k rows per query; where locations must be equal, blocks lie inside a location. Masks apply before the local top k. Scores are rounded, ties go by row_id.
     """
     from pyspark.sql.window import Window
 
-    nq, ni = _blocks(queries, "qid", block), _blocks(items, "row_id", block)
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")).withColumn("ib", spread(ni))
-    i = items.withColumn("ib", F.pmod(F.xxhash64("row_id"), F.lit(ni)).cast("int")).withColumn("qb", spread(nq))
     masked = "in_bench" in items.columns
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -123,8 +132,8 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, weight: float = 0.0
                     if f not in seen:
                         seen[f] = bench | np.array([f in s for s in folds])
                     ok &= seen[f]
-                if place != "any":
-                    ok &= (where == one["loc"]) == (place == "same")
+                if place == "other":
+                    ok &= where != one["loc"]
                 if least is not None:
                     ok &= np.round(sim, DIGITS) >= least
                 at = np.flatnonzero(ok)
@@ -140,11 +149,31 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, weight: float = 0.0
         return pd.DataFrame(out)
 
     schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("row_id", items.schema["row_id"].dataType), T.StructField("sim", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    local = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(kernel, schema)
+    local = _dealt(queries, items, block, place == "same").applyInPandas(kernel, schema)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "row_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def count_similar(queries: DataFrame, items: DataFrame, least: float, places: list[str], block: int = BLOCK) -> DataFrame:
+    """(qid, one count per name in ``places``): items of cosine ``least`` or more at each of the query's named locations.
+
+    queries: qid, vec and the columns named; items: row_id, vec, loc. Counts leave the block products, not pairs.
+    """
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = {"qid": a["qid"].tolist()} | {p: [0] * len(a) for p in places}
+        if len(a) and len(b):
+            x, y = (np.stack(f["vec"].to_numpy()).astype(np.float64) for f in (a, b))
+            near = np.round(x @ y.T, DIGITS) >= least
+            where = b["loc"].to_numpy()
+            for p in places:
+                out[p] = (near & (a[p].to_numpy()[:, None] == where)).sum(axis=1).tolist()
+        return pd.DataFrame(out)
+
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), *(T.StructField(p, T.LongType()) for p in places)])
+    return _dealt(queries, items, block).applyInPandas(kernel, schema).groupBy("qid").agg(*[F.sum(p).alias(p) for p in places])
+
+
 def score_pairs(pairs: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
     """(qid, row_id, sim) of given pairs: vectors are joined by key and multiplied inside the JVM."""
     from ..functions.numeric import dot

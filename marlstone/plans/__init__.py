@@ -4,7 +4,7 @@ from .registry import ORACLES, QUERIES, Query
 
 
 def _load() -> None:
-    from . import rank_queries, search_queries, text_queries  # noqa: F401
+    from . import rank_queries, sampling_queries, search_queries, text_queries  # noqa: F401
 
 
 def all_queries() -> dict[str, Query]:
