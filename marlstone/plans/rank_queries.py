@@ -38,12 +38,6 @@ class Search(History):
     def __init__(self, spark, sf):
         super().__init__(spark, sf)
         self.spark, self.sf = spark, sf
-        self.hist, self.queries, self.corpus = map(checkpointed, (self.hist, self.queries, self.corpus))
-        self.text_vectors = hashed_vectors(spark, sf, D.history_texts(self.hist).withColumnRenamed("search_query", "text"), "text")
-        self.query_vectors = hashed_vectors(spark, sf, self.queries, "search_query")
-        self.nb = checkpointed(H.neighbour_texts(self.query_vectors, self.text_vectors, 10))
-        self.p_mc = H.microcat_given_text(self.hist)
-        self.text_items = H.text_items(self.hist, self.corpus)
         self.trans = L.transitions(self.hist)
         self.totals = L.location_totals(self.trans)
         fields = self.corpus.select("row_id", F.col("item_title_raw").alias("title"), F.col("item_infm_params_text").alias("params"), F.col("item_description_raw").alias("description"))

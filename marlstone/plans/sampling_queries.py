@@ -26,9 +26,8 @@ hn as materialized (select row_key, row_id as neg from (select *, row_number() o
 
 class Pairs(Prepared):
     def __init__(self, spark, sf):
-        super().__init__(spark, sf)
+        super().__init__(spark, sf, staged=True)
         self.spark, self.sf = spark, sf
-        self.hist = checkpointed(self.hist)
         self.distinct = P.distinct_pairs(self.hist)
         self.capped = checkpointed(P.cap_pairs(self.distinct, CAP))
 
@@ -119,8 +118,7 @@ KALL = (CEN, TRANS, KV, EXC, PICK, PLACE, COORD)
 
 class Competitors(Prepared):
     def __init__(self, spark, sf):
-        super().__init__(spark, sf)
-        self.hist, self.queries, self.corpus = map(checkpointed, (self.hist, self.queries, self.corpus))
+        super().__init__(spark, sf, staged=True)
         self.query_vectors = hashed_vectors(spark, sf, self.queries.select("qid", "fold", "search_query", F.col("search_location_id").alias("loc")), "search_query")
         e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("slot"), F.col("embedding").alias("vec"))
         self.item_vectors = self.corpus.select("row_id", "in_bench", F.col("item_location_id").alias("loc")).withColumn("slot", F.col("row_id") % 500).join(e, "slot").drop("slot")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rng
 from ..operators import dense as D
 from ..operators import history as H
 from ..operators import location as L
 from ..operators import prepare as P
+from ..sources.stages import checkpointed
 from ..sources.tables import GROUP_KEY
 from .registry import query, table, view
 
@@ -46,20 +46,22 @@ corpus as materialized (select *, cast(null as bigint[]) as folds, true as in_be
 
 
 class Prepared:
-    """The tables of the preparation over the stand-ins; all lazy."""
+    """The tables of the preparation over the stand-ins: lazy, or kept in the shared folder where many steps read them."""
 
-    def __init__(self, spark, sf):
+    def __init__(self, spark, sf, staged=False):
+        keep = checkpointed if staged else lambda df: df
         self.train, self.items, self.bench = (view(spark, sf, v) for v in ("train_v", "bench_items_v", "bench_queries_v"))
+        self.train = keep(self.train)
         self.groups = P.search_groups(self.train)
         self.texts = P.sample_texts(self.groups, N_VAL)
         self.one = P.one_per_text(self.groups, self.texts)
         self.folded = P.assign_folds(self.one, FOLDS)
-        self.named = P.fold_qid(self.folded)
-        self.held, self.hist = P.split_history(self.train, self.named)
+        self.named = keep(P.fold_qid(self.folded))
+        self.held, self.hist = map(keep, P.split_history(self.train, self.named))
         self.val = P.validation_queries(self.held)
-        self.queries = P.all_queries(self.val, self.bench)
+        self.queries = keep(P.all_queries(self.val, self.bench))
         self.extra = P.extra_items(self.held, self.items)
-        self.corpus = P.build_corpus(self.items, self.extra)
+        self.corpus = keep(P.build_corpus(self.items, self.extra))
 
 
 def prep(body: str) -> str:
@@ -207,10 +209,10 @@ def hashed_vectors(spark, sf, df, text_col, shift=0):
 
 class History(Prepared):
     def __init__(self, spark, sf):
-        super().__init__(spark, sf)
+        super().__init__(spark, sf, staged=True)
         self.text_vectors = hashed_vectors(spark, sf, D.history_texts(self.hist).withColumnRenamed("search_query", "text"), "text")
         self.query_vectors = hashed_vectors(spark, sf, self.queries, "search_query")
-        self.nb = H.neighbour_texts(self.query_vectors, self.text_vectors, NEIGHBOURS)
+        self.nb = checkpointed(H.neighbour_texts(self.query_vectors, self.text_vectors, NEIGHBOURS))
         self.p_mc = H.microcat_given_text(self.hist)
         self.text_items = H.text_items(self.hist, self.corpus)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
+from ..functions.stem import snowball
 from ..operators import bm25 as B
 from ..operators import chargram as C
 from ..sources import tables as S
@@ -95,6 +96,12 @@ def b3(spark, sf):
     return X.drop_stop(X.tokens(table(spark, sf, "documents"), "doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@query("b4_stem_tokens")
+def b4(spark, sf):
+    t = snowball(X.drop_stop(X.tokens(table(spark, sf, "documents"), "doc_id", "text")))
+    return t.groupBy("doc_id").agg(F.count_distinct("term").alias("n_stems"), F.min("term").alias("first_stem"))
+
+
 @query("b5_bigrams", f"with t as ({tokens_sql('documents', 'doc_id', 'text')}), n as (select doc_id, term || '§' || lead(term) over (partition by doc_id order by pos) as term from t) select term, count(*) as n from n where term is not null group by term having count(*) > 1")
 def b5(spark, sf):
     t = X.bigrams(B.unigrams(table(spark, sf, "documents"), "doc_id", "text"), ["doc_id"])
