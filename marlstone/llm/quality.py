@@ -12,12 +12,12 @@ from .common import append_columns
 from .labelled import Logistic, class_share, id_remainder, training_sample
 
 #: Labelled documents of each class that are learnt from.
-PER_CLASS = 4000
+PER_CLASS = 6000
 #: A text is compressed in pieces of so many bytes, all of them: a dictionary helps little beyond the first few KB.
 PIECE = 2048
 #: Pieces of each class that its dictionary is built from, and the bytes of a dictionary.
-PIECES = 4000
-DICTIONARY = 112_640
+PIECES = 12_000
+DICTIONARY = 800_000
 LEVEL = 3
 THRESHOLD = 0.3
 MODULUS, HELD_OUT = 5, 0
