@@ -15,7 +15,7 @@ from ..operators import location as L
 from ..operators import ranking as R
 from ..sources import tables as S
 from ..sources.stages import checkpointed
-from .registry import query, table
+from .registry import query, table, view
 from .search_queries import CEN, HISTORY, HS, LP, MIX, NEAR, PMC, TEXTVEC, TI, TRANS, History, hashed_vectors, hist_sql, u_sql
 from .text_queries import COMB_SQL, POST_SQL, STATS_SQL, TOK_SQL, _vec_sql, grams_sql, q_sql, _folder
 
@@ -225,20 +225,24 @@ def l9(spark, sf):
 
 
 # --- M: ranking, metrics, answer ---
-# The score that stands in for a trained ranker's: the mean dense score plus a little BM25.
-SCORE = "sc as materialized (select feats.*, round(dense_loc_rel_mean + 0.1::double * bm_rel, 6) as score from feats)"
+# The score that stands in for a trained ranker's is the logarithm of the history score.
+M_RANKS = {"rk_hist_knn": "hist_knn", "rk_exact": "hist_exact", "rk_dense_loc_mean": "hist_exact_same"}
+SCORED = f"""sc as materialized (select hs.*, allq.fold, item_category_id as category, case when rel is not null and list_contains(rel, item_id) then 1 else 0 end as label, round(ln(1 + hist_knn), 6) as score,
+  {', '.join(f"row_number() over (partition by hs.qid order by round({c}, 8) desc, hs.row_id) - 1 as {n}" for n, c in M_RANKS.items())} from hs join allq using (qid) join corpus using (row_id))"""
+RANKED = [TEXTVEC, TI, HS, SCORED, NREL]
 
 
-class Ranked(Search):
+class Ranked(History):
     def __init__(self, spark, sf):
         super().__init__(spark, sf)
-        f = self.features().withColumn("score", F.round(F.col("dense_loc_rel_mean") + F.lit(0.1) * F.col("bm_rel"), 6))
-        self.scored = checkpointed(f.join(self.corpus.select("row_id", F.col("item_category_id").alias("category")), "row_id"))
+        hs = H.history_scores(self.nb, self.text_items, self.queries, self.corpus, NEAR)
+        c = C.label(hs, self.queries, self.corpus).join(self.queries.select("qid", "fold"), "qid").join(self.corpus.select("row_id", F.col("item_category_id").alias("category")), "row_id")
+        self.scored = checkpointed(C.rank_within(c, M_RANKS).withColumn("score", F.round(F.log1p("hist_knn"), 6)))
         self.n_rel = R.n_relevant(self.queries)
 
 
 def ranked_sql(*more: str) -> str:
-    return search_sql(*FULL, SCORE, NREL, *more)
+    return hist_sql(*RANKED, *more)
 
 
 def _recall_sql(rank: str, k: int) -> str:
@@ -259,10 +263,10 @@ def m2(spark, sf):
     return R.recall_at(r.scored, "score", r.n_rel, ANSWER).withColumn("recall", F.round("recall", 6))
 
 
-@query("m3_single_source_recall", ranked_sql() + " " + " union all ".join(f"select '{c}' as source, round(avg(coalesce(h, 0) / n_rel), 6) as recall from nrel left join (select qid, sum(label)::double as h from sc where {c} < {ANSWER} group by qid) using (qid)" for c in RANKS), HISTORY)
+@query("m3_single_source_recall", ranked_sql() + " " + " union all ".join(f"select '{c}' as source, round(avg(coalesce(h, 0) / n_rel), 6) as recall from nrel left join (select qid, sum(label)::double as h from sc where {c} < {ANSWER} group by qid) using (qid)" for c in M_RANKS), HISTORY)
 def m3(spark, sf):
     r = Ranked(spark, sf)
-    return R.single_source_recall(r.scored, RANKS, r.n_rel, ANSWER).withColumn("recall", F.round("recall", 6))
+    return R.single_source_recall(r.scored, list(M_RANKS), r.n_rel, ANSWER).withColumn("recall", F.round("recall", 6))
 
 
 @query("m4_fold_split", ranked_sql() + " select qid, row_id, fold, case when fold = 0 then 'evaluate' when fold = 6 then 'stop' else 'train' end as part from sc where fold >= 0", HISTORY)
@@ -270,7 +274,7 @@ def m4(spark, sf):
     return R.fold_split(Ranked(spark, sf).scored, 0).select("qid", "row_id", "fold", "part")
 
 
-TREE_FEATURES = SHOWN + ["rk_bm_comb", "rk_dense_a", "rk_dense_loc_mean"]
+TREE_FEATURES = ["hist_knn", "hist_exact", "hist_exact_same", "rk_hist_knn"]
 
 
 def _trained(spark, sf):
@@ -369,10 +373,23 @@ def m13(spark, sf):
     return R.ndcg_at(Ranked(spark, sf).scored, "score", ANSWER).withColumn("ndcg", F.round("ndcg", 6))
 
 
-@query("a5_write_answer", ranked_sql(RESERVED) + " select * from ans", HISTORY)
+# A plain answer for the sink and the checks: the first items of the query's own location.
+PLAIN = f"""ans as materialized (select query_id, coalesce(answer, '') as answer from bench_queries_v left join (select query_id, string_agg(item_id, ' ' order by row_id) as answer
+  from (select query_id, item_id, row_id, row_number() over (partition by query_id order by row_id) as rn from bench_queries_v join bench_items_v on item_location_id = search_location_id) where rn <= {ANSWER} group by query_id) using (query_id))"""
+BENCH = ["bench_items_v", "bench_queries_v"]
+
+
+def _plain(spark, sf):
+    items, q = view(spark, sf, "bench_items_v"), view(spark, sf, "bench_queries_v")
+    queries = q.select(F.col("query_id").alias("qid"), F.lit(-1).alias("fold"), "search_location_id")
+    pairs = queries.join(items, F.col("item_location_id") == F.col("search_location_id")).select("qid", "row_id", (-F.col("row_id")).cast("double").alias("score"))
+    return items, q, R.answer(R.top_items(pairs, ANSWER), queries, items.withColumn("in_bench", F.lit(True)), ANSWER)
+
+
+@query("a5_write_answer", f"with {PLAIN} select * from ans", BENCH)
 def a5(spark, sf):
     path = _folder(spark, "answer")
-    S.write_answer(_answer(spark, sf)[2], path)
+    S.write_answer(_plain(spark, sf)[2], path)
     return S.read_answer(spark, path)
 
 
@@ -390,59 +407,59 @@ FAULTS = """bad as materialized (select query_id, case when query_id = (select m
 
 
 def _faulty(spark, sf):
-    r, _, ans = _answer(spark, sf)
+    items, queries, ans = _plain(spark, sf)
     ans = checkpointed(ans)
     ends = ans.agg(F.min("query_id").alias("lo"), F.max("query_id").alias("hi"))
     first = F.element_at(F.split("answer", " "), 1)
     bad = ans.join(F.broadcast(ends)).select("query_id", F.when(F.col("query_id") == F.col("lo"), F.concat("answer", F.lit(" "), first)).when(F.col("query_id") == F.col("hi"), "NOT_AN_ITEM ffffffffffffffff").otherwise(F.col("answer")).alias("answer"))
     more = spark.range(1).select(F.lit("short").alias("query_id"), F.lit("").alias("answer")).unionByName(ans.where("answer <> ''").agg(F.min("query_id").alias("query_id")).withColumn("answer", F.lit("")))
-    return r, checkpointed(bad.unionByName(more))
+    return items, queries, checkpointed(bad.unionByName(more))
 
 
 def faulty_sql(body: str) -> str:
-    return ranked_sql(RESERVED, FAULTS) + " " + body
+    return f"with {PLAIN}, {FAULTS} {body}"
 
 
 IDS = "(select query_id, unnest(string_split(answer, ' ')) as item_id from bad where answer <> '')"
 
 
-@query("n1_header", faulty_sql("select 'header' as \"check\", 0::bigint as n_bad"), HISTORY)
+@query("n1_header", faulty_sql("select 'header' as \"check\", 0::bigint as n_bad"), BENCH)
 def n1(spark, sf):
-    return N.header(spark, _faulty(spark, sf)[1].columns)
+    return N.header(spark, _faulty(spark, sf)[2].columns)
 
 
-@query("n2_query_ids", faulty_sql("select 'repeated_query' as \"check\", count(*) as n_bad from (select query_id from bad group by 1 having count(*) > 1) union all select 'query_id_length', count(*) from bad where length(query_id) <> 16"), HISTORY)
+@query("n2_query_ids", faulty_sql("select 'repeated_query' as \"check\", count(*) as n_bad from (select query_id from bad group by 1 having count(*) > 1) union all select 'query_id_length', count(*) from bad where length(query_id) <> 16"), BENCH)
 def n2(spark, sf):
-    return N.query_ids(_faulty(spark, sf)[1])
+    return N.query_ids(_faulty(spark, sf)[2])
 
 
-@query("n3_query_set", faulty_sql("select 'missing_query' as \"check\", count(*) as n_bad from bench_queries_v where query_id not in (select query_id from bad) union all select 'unknown_query', count(*) from (select distinct query_id from bad) where query_id not in (select query_id from bench_queries_v)"), HISTORY)
+@query("n3_query_set", faulty_sql("select 'missing_query' as \"check\", count(*) as n_bad from bench_queries_v where query_id not in (select query_id from bad) union all select 'unknown_query', count(*) from (select distinct query_id from bad) where query_id not in (select query_id from bench_queries_v)"), BENCH)
 def n3(spark, sf):
-    r, bad = _faulty(spark, sf)
-    return N.query_set(bad, r.bench)
+    _, queries, bad = _faulty(spark, sf)
+    return N.query_set(bad, queries)
 
 
-@query("n4_row_size", faulty_sql(f"select 'too_many_items' as \"check\", count(*) as n_bad from bad where len(string_split(answer, ' ')) > {ANSWER}"), HISTORY)
+@query("n4_row_size", faulty_sql(f"select 'too_many_items' as \"check\", count(*) as n_bad from bad where len(string_split(answer, ' ')) > {ANSWER}"), BENCH)
 def n4(spark, sf):
-    return N.row_size(_faulty(spark, sf)[1], ANSWER)
+    return N.row_size(_faulty(spark, sf)[2], ANSWER)
 
 
-@query("n5_repeated_items", faulty_sql("select 'repeated_item' as \"check\", count(*) as n_bad from bad where len(list_distinct(string_split(answer, ' '))) < len(string_split(answer, ' '))"), HISTORY)
+@query("n5_repeated_items", faulty_sql("select 'repeated_item' as \"check\", count(*) as n_bad from bad where len(list_distinct(string_split(answer, ' '))) < len(string_split(answer, ' '))"), BENCH)
 def n5(spark, sf):
-    return N.repeated_items(_faulty(spark, sf)[1])
+    return N.repeated_items(_faulty(spark, sf)[2])
 
 
-@query("n6_item_format", faulty_sql(f"select 'item_id_format' as \"check\", count(*) as n_bad from {IDS} where not regexp_matches(item_id, '^[0-9a-f]{{16}}$')"), HISTORY)
+@query("n6_item_format", faulty_sql(f"select 'item_id_format' as \"check\", count(*) as n_bad from {IDS} where not regexp_matches(item_id, '^[0-9a-f]{{16}}$')"), BENCH)
 def n6(spark, sf):
-    return N.item_format(_faulty(spark, sf)[1])
+    return N.item_format(_faulty(spark, sf)[2])
 
 
-@query("n7_known_items", faulty_sql(f"select 'unknown_item' as \"check\", count(*) as n_bad from {IDS} where item_id not in (select item_id from bench_items_v)"), HISTORY)
+@query("n7_known_items", faulty_sql(f"select 'unknown_item' as \"check\", count(*) as n_bad from {IDS} where item_id not in (select item_id from bench_items_v)"), BENCH)
 def n7(spark, sf):
-    r, bad = _faulty(spark, sf)
-    return N.known_items(bad, r.items)
+    items, _, bad = _faulty(spark, sf)
+    return N.known_items(bad, items)
 
 
-@query("n8_sizes", faulty_sql(f"select count(*) as rows, min({SIZES})::bigint as min_items, max({SIZES})::bigint as max_items from bad"), HISTORY)
+@query("n8_sizes", faulty_sql(f"select count(*) as rows, min({SIZES})::bigint as min_items, max({SIZES})::bigint as max_items from bad"), BENCH)
 def n8(spark, sf):
-    return N.sizes(_faulty(spark, sf)[1])
+    return N.sizes(_faulty(spark, sf)[2])
