@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.stages import checkpointed, shared_folder  # noqa: F401
+
 #: The bytes that end a word; ``bytes.split()`` splits on exactly these.
 WHITESPACE = b" \t\n\x0b\x0c\r"
 
@@ -18,25 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; only a local session without one gets its own."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if shared is None:
-        if not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-marlstone-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared)
-    return shared
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared folder, with its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def empty(df: DataFrame) -> bool:
     return not df.take(1)
 
