@@ -164,7 +164,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = checkpointed(sized)
     laid = pieces(docs, sized, block)
     taken = slots(targets, block, shard, seed).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    got = block_pieces(laid, block).join(taken, ["sid", "block"]).groupBy("doc_id", "copy").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    got = block_pieces(laid, block).join(taken.hint("merge"), ["sid", "block"]).groupBy("doc_id", "copy").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = sized.alias("s").join(got.alias("g"), F.col("s.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("s.copy") == F.col("g.copy")), "left")
     return out.select("s.doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -178,8 +178,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sized, targets = _prepare(docs, id_col, text_col, source_col, weights, share)
     sized = checkpointed(sized)
     laid = pieces(docs, sized, block)
+    # The slots unfold from a small table, so that Spark takes them for small; they grow with the corpus.
     chosen = slots(targets, block, shard, seed).select("sid", "block", "epoch")
-    spans = block_pieces(laid, block).join(chosen, ["sid", "block"]).groupBy("doc_id", "copy", "epoch").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("spans"))
+    spans = block_pieces(laid, block).join(chosen.hint("merge"), ["sid", "block"]).groupBy("doc_id", "copy", "epoch").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("__of"), F.col("copy").alias("__copy"), F.col("spans").alias("__spans"))
     if sized.where("copy > 1").take(1):
         by = Window.partitionBy(id_col).orderBy(F.col(source_col).asc_nulls_last(), F.col("__size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
