@@ -34,6 +34,13 @@ def drop_stop(tok: DataFrame) -> DataFrame:
     return tok.where(~F.col("token").isin(STOP_WORDS))
 
 
+def kept_tokens(text_col: str, max_tokens: int | None = None) -> Column:
+    """The tokens that :func:`tokens` and :func:`drop_stop` leave of a text, as an array in order."""
+    words = F.split(normalize(text_col), " ")
+    words = words if max_tokens is None else F.slice(words, 1, max_tokens)
+    return F.filter(words, lambda w: (w != "") & ~w.isin(STOP_WORDS))
+
+
 def bigrams(tok: DataFrame, id_cols: list[str], term: str = "term") -> DataFrame:
     """Pairs of terms that follow each other once dropped words are gone, so that they bridge gaps."""
     nxt = F.lead(term).over(Window.partitionBy(*id_cols).orderBy("pos"))

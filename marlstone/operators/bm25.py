@@ -38,21 +38,27 @@ def unigrams(df: DataFrame, id_col: str, text_col: str, max_tokens: int | None =
     return stem(X.drop_stop(X.tokens(df, id_col, text_col, max_tokens)))
 
 
-def terms(corpus: DataFrame, fields: tuple[Field, ...] = FIELDS, stem: Stemmer = identity) -> DataFrame:
-    """(field, row_id, term): one row per occurrence, with the bigrams of fields that have them."""
-    parts = []
+def _occurrences(corpus: DataFrame, fields: tuple[Field, ...], stem: Stemmer) -> DataFrame:
+    """(field, row_id, dl, term): every occurrence with the length of its field, which is known before words unfold."""
+    out = None
     for f in fields:
-        uni = unigrams(corpus.select("row_id", f.column), "row_id", f.column, f.max_tokens, stem)
-        both = uni.select("row_id", "term")
+        words = corpus.select("row_id", X.kept_tokens(f.column, f.max_tokens).alias("words"))
+        n = F.size("words")
+        dl = (n + F.greatest(n - 1, F.lit(0)) if f.bigrams else n).cast("double")
+        uni = stem(words.select("row_id", dl.alias("dl"), F.posexplode("words").alias("pos", "token")))
+        both = uni.select("row_id", "dl", "term")
         if f.bigrams:
-            both = both.unionByName(X.bigrams(uni, ["row_id"]).select("row_id", "term"))
-        parts.append(both.select(F.lit(f.name).alias("field"), "row_id", "term"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            both = both.unionByName(X.bigrams(uni, ["row_id", "dl"]).select("row_id", "dl", "term"))
+        both = both.select(F.lit(f.name).alias("field"), "row_id", "dl", "term")
+        out = both if out is None else out.unionByName(both)
     return out
 
 
+def terms(corpus: DataFrame, fields: tuple[Field, ...] = FIELDS, stem: Stemmer = identity) -> DataFrame:
+    """(field, row_id, term): one row per occurrence, with the bigrams of fields that have them."""
+    return _occurrences(corpus, fields, stem).drop("dl")
+
+
 def term_freq(occurrences: DataFrame) -> DataFrame:
     return occurrences.groupBy("field", "row_id", "term").agg(F.count("*").alias("tf"))
 
@@ -77,13 +83,23 @@ def idf(tf: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def bm25_postings(corpus: DataFrame, fields: tuple[Field, ...] = FIELDS, stem: Stemmer = identity) -> DataFrame:
-    """(field, term, row_id, tf, w): the index. Lengths come by row and frequencies by term; no row meets another."""
-    tf = term_freq(terms(corpus, fields, stem))
+    """(field, term, row_id, tf, w): the index. ``row_id`` is unique, and ``stem`` gives one term per token.
+
+    Texts are read once: lengths travel with the words, and both the frequencies by term and the mean lengths come
+    from the exchange of the counts, which Spark reuses. Only the frequencies are joined; no row meets another.
+    """
+    tf = _occurrences(corpus, fields, stem).groupBy("field", "row_id", "dl", "term").agg(F.count("*").alias("tf"))
+    n = corpus.agg(F.count("*").cast("double").alias("n"))
+    # Counted over tf, so that no branch drops that column and all have the same exchange.
+    by_term = tf.groupBy("field", "term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("total"))
+    mean = by_term.groupBy("field").agg(F.sum("total").cast("double").alias("total")).join(F.broadcast(n)).select("field", "n", F.when(F.col("total") == 0, 1.0).otherwise(F.col("total") / F.col("n")).alias("avg"))
     k1 = _by_field(fields, lambda f: f.k1)
     b = _by_field(fields, lambda f: f.b)
-    t = F.col("tf").cast("double")
-    w = F.col("idf") * t * (k1 + F.lit(1.0)) / (t + k1 * (F.lit(1.0) - b + b * F.col("dl") / F.col("avg")))
-    joined = tf.join(doc_stats(tf, corpus, fields), ["field", "row_id"]).join(idf(tf, corpus), ["field", "term"])
+    t, d = F.col("tf").cast("double"), F.col("df").cast("double")
+    idf_ = F.log(F.lit(1.0) + (F.col("n") - d + F.lit(0.5)) / (d + F.lit(0.5)))
+    w = idf_ * t * (k1 + F.lit(1.0)) / (t + k1 * (F.lit(1.0) - b + b * F.col("dl") / F.col("avg")))
+    # One row per field: the mean lengths are broadcast.
+    joined = tf.join(by_term.select("field", "term", "df"), ["field", "term"]).join(F.broadcast(mean), "field")
     return joined.select("field", "term", "row_id", "tf", w.alias("w"))
 
 
