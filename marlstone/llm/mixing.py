@@ -20,6 +20,8 @@ MOST = 2
 SEED = 6
 #: Documents that one task lays end to end.
 LAY = 1500
+#: Full output shards that one task unfolds into slots.
+UNFOLD = 32
 
 
 def word_sizes(docs: DataFrame, text_col: str = "text", out: str = "size") -> DataFrame:
@@ -105,8 +107,10 @@ def slots(targets: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
     rest = drawn.groupBy("sid").agg(F.max("shard").alias("shard"), F.first("blocks").alias("blocks"), F.sum("drawn").alias("first"), F.first("need").alias("need"))
     rest = rest.select((F.col("shard") + 1).alias("shard"), "sid", "blocks", "first", F.greatest(F.lit(0), F.col("need") - F.col("first")).alias("n"))
     runs = drawn.select("shard", "sid", "blocks", "first", "n").unionByName(rest).where("n > 0")
-    # Long runs are cut, so that no row unfolds into more than a shard's worth.
-    cut = runs.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(shard).cast("long")))).repartition("shard", "sid", "from")
+    # Long runs are cut, so that no row unfolds into more than a shard's worth. The rows before unfolding are few and
+    # would be gathered in one task by their size: the number of tasks follows the number of slots instead.
+    tasks = 1 + (t.agg(F.sum("need")).first()[0] or 0) // (UNFOLD * shard)
+    cut = runs.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(shard).cast("long")))).repartition(tasks, "shard", "sid", "from")
     each = cut.select("shard", "sid", "blocks", F.explode(F.sequence(F.col("first") + F.col("from"), F.col("first") + F.least(F.col("from") + shard, F.col("n")) - 1)).alias("k"))
 
     @F.pandas_udf(T.LongType())
