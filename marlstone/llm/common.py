@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -13,6 +15,8 @@ from ..sources.stages import checkpointed, shared_folder  # noqa: F401
 
 #: The bytes that end a word; ``bytes.split()`` splits on exactly these.
 WHITESPACE = b" \t\n\x0b\x0c\r"
+#: Bytes of text that a task holds as Python objects at once, unless one text alone is longer.
+SLICE = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +33,15 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in low])
 
 
+def text_slices(batch: pa.RecordBatch, column: int, size: int = SLICE):
+    """The rows of a batch, whole and in order, in slices of about ``size`` bytes of text."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(lengths) - lengths) // size
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else part
+    for lo, hi in zip(cuts, np.r_[cuts[1:], len(part)]):
+        yield batch.slice(lo, hi - lo)
+
+
 def append_columns(df: DataFrame, text_col: str, fields: Sequence[T.StructField], factory: Callable[[], Callable]) -> DataFrame:
     """``df`` with columns computed from the whole texts of ``text_col``, without a shuffle.
 
@@ -43,7 +56,7 @@ def append_columns(df: DataFrame, text_col: str, fields: Sequence[T.StructField]
 
     def run(batches):
         compute = factory()
-        for b in batches:
+        for b in (part for whole in batches for part in text_slices(whole, at)):
             texts = [x or b"" for x in b.column(at).cast(pa.binary()).to_pylist()]
             got = compute(texts)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, type=f.type) for x, f in zip(got, arrow, strict=True))], names=names)
