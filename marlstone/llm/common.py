@@ -60,6 +60,7 @@ def append_columns(df: DataFrame, text_col: str, fields: Sequence[T.StructField]
             texts = [x or b"" for x in b.column(at).cast(pa.binary()).to_pylist()]
             got = compute(texts)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, type=f.type) for x, f in zip(got, arrow, strict=True))], names=names)
+        pa.default_memory_pool().release_unused()  # Python workers outlive the task
 
     return base.mapInArrow(run, schema)
 

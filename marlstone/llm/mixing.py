@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import append_columns, checkpointed
+from .common import append_columns, checkpointed, text_slices
 
 #: Words of a block, and blocks of an output shard.
 BLOCK = 64
@@ -196,11 +196,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at, spans_at = names.index(text_col), len(names)
 
     def cut(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in text_slices(whole, at)):
             texts = [_taken(t or b"", s) for t, s in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(spans_at).to_pylist())]
             columns = list(b.columns[: len(names)])
             columns[at] = pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        pa.default_memory_pool().release_unused()
 
     out = joined.select(*[f"`{c}`" for c in names], "__spans").mapInArrow(cut, docs.schema)
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in names else out
