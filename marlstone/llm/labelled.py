@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, shared_folder
 
 
 def id_remainder(id_col: str, modulus: int):
@@ -14,16 +16,35 @@ def id_remainder(id_col: str, modulus: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held_out: int, per_class: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """(doc_id, text, label, fold) of at most ``per_class`` documents of each label, the same at every run.
+def known_labels(labels: DataFrame, label_col: str, modulus: int, held_out: int, id_col: str = "doc_id", seed: int = 0) -> DataFrame:
+    """(id, label, h, fold) of every id that may be learnt from: not held out, with a label.
 
-    Only labels whose id is not held out are used. An id labelled more than once has the label of the majority (1 on
-    a tie); null labels and ids are left out. Documents are chosen by a hash of their id, which also deals them to
-    two folds. The ids chosen are the bound of what is broadcast; texts stay on the executors, in the shared folder.
+    An id labelled more than once has the label of the majority (1 on a tie); null labels and ids are left out. ``h``
+    is a hash of the id, which also deals the ids to two folds.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label")).where("id is not null and label is not null")
     known = known.where(id_remainder("id", modulus) != held_out).groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
-    known = known.withColumn("h", F.xxhash64("id", F.lit(seed))).withColumn("fold", F.pmod(F.xxhash64("h"), F.lit(2)).cast("int"))
+    return known.withColumn("h", F.xxhash64("id", F.lit(seed))).withColumn("fold", F.pmod(F.xxhash64("h"), F.lit(2)).cast("int"))
+
+
+def training_documents(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held_out: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, label, fold) of all documents whose label may be learnt from, however many.
+
+    The labels are written first, so that Spark knows their size and shuffles texts only if they are many.
+    """
+    path = f"{shared_folder(docs.sparkSession)}/labels-{uuid.uuid4().hex}"
+    known_labels(labels, label_col, modulus, held_out, id_col).select("id", "label", "fold").write.parquet(path)
+    known = docs.sparkSession.read.parquet(path)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(id_remainder("id", modulus) != held_out)
+    return texts.join(known, "id").select("text", "label", "fold")
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held_out: int, per_class: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """(doc_id, text, label, fold) of at most ``per_class`` documents of each label, the same at every run.
+
+    Documents are chosen by a hash of their id, which also deals them to two folds. The ids chosen are the bound of what is broadcast; texts stay on the executors, in the shared folder.
+    """
+    known = known_labels(labels, label_col, modulus, held_out, id_col, seed)
     chosen = [known.where(F.col("label") == c).orderBy("h", "id").limit(per_class) for c in (0, 1)]
     chosen = checkpointed(chosen[0].unionByName(chosen[1]).select("id", "label", "fold"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

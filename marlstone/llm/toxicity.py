@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import append_columns
-from .labelled import Logistic, class_share, id_remainder, training_sample
+from .common import checkpointed, text_slices, without
+from .labelled import Logistic, class_share, id_remainder, training_documents, training_sample
 
 ORDER = 6
 DISCOUNT = 0.75
 #: Observations that the shared backoff counts for in each class.
 BACKOFF = 2.0
-#: Labelled documents of each class that are learnt from, and letter groups kept, the commonest first.
+COUNTS = ["ordinary_0", "toxic_0", "ordinary_1", "toxic_1"]
+#: Labelled documents of each class on which the score is calibrated; the letter groups are learnt from all.
 PER_CLASS = 6000
-MOST_GRAMS = 600_000
-#: Ratios nearer zero than this count as zero.
-LEAST_RATIO = 0.05
+#: Ratios are kept as whole numbers.
+SCALE = 1e7
 THRESHOLD = 0.3
 MODULUS, HELD_OUT = 4, 2
-SLOTS = 1 << 22
+#: Bytes of text judged together, and letter groups that a task holds.
+CHUNK = 16 << 20
+HELD_GRAMS = 2_000_000
 
 # Bytes as the models see them: ASCII letters in lower case, other ASCII but digits as a space.
 LETTERS = np.array([b if b >= 128 or chr(b).isdigit() else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256)], np.uint8)
@@ -51,147 +56,220 @@ def letter_grams(text: bytes) -> np.ndarray:
     return (gram & low) | (SPACES & ~low)
 
 
-def gram_counts(sample: DataFrame) -> DataFrame:
-    """(gram, fold, ordinary, toxic): how often each letter group stands in the labelled documents, per fold."""
+def gram_counts(training: DataFrame) -> DataFrame:
+    """(gram, pair, ordinary_0, toxic_0, ordinary_1, toxic_1): how often each letter group stands in the labelled documents, per fold.
+
+    Groups lie by ``pair``, the two bytes before their last: a task holds all groups of the contexts it holds, and all
+    groups that end like one of them in three bytes or more.
+    """
 
     def count(batches):
-        for b in batches:
-            label, fold = b.column("label").to_numpy(), b.column("fold").to_numpy()
-            grams = [letter_grams(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()]
-            for f in (0, 1):
-                parts = [[g for g, y, k in zip(grams, label, fold) if y == c and k == f] for c in (0, 1)]
-                both = [np.unique(np.concatenate(p), return_counts=True) if p else (np.zeros(0, np.int64),) * 2 for p in parts]
-                every = np.union1d(both[0][0], both[1][0])
-                got = np.zeros((2, len(every)), np.int64)
-                for c in (0, 1):
-                    got[c, np.searchsorted(every, both[c][0])] = both[c][1]
-                yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.full(len(every), f, np.int32)), pa.array(got[0]), pa.array(got[1])], names=["gram", "fold", "ordinary", "toxic"])
-
-    return sample.mapInArrow(count, "gram long, fold int, ordinary long, toxic long").groupBy("gram", "fold").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-
-
-def _shared(gram: np.ndarray, count: np.ndarray, order: int) -> np.ndarray:
+        held, size = [], 0
+
+        def row():
+            gram, at = np.unique(np.concatenate([g for g, _, _ in held]), return_inverse=True)
+            kinds = np.concatenate([np.full(len(g), k) for g, _, k in held])
+            n = np.concatenate([c for _, c, _ in held])
+            counts = [np.bincount(at[kinds == k], n[kinds == k], len(gram)).astype(np.int64) for k in range(4)]
+            return pa.RecordBatch.from_arrays([pa.array(gram), pa.array((gram >> 8) & 0xFFFF), *map(pa.array, counts)], names=["gram", "pair", *COUNTS])
+
+        for b in (part for whole in batches for part in text_slices(whole, 0)):
+            kinds = b.column("fold").to_numpy() * 2 + b.column("label").to_numpy()
+            texts = b.column(0).cast(pa.binary()).to_pylist()
+            for k in np.unique(kinds):
+                held.append((*np.unique(np.concatenate([letter_grams(texts[i] or b"") for i in np.flatnonzero(kinds == k)]), return_counts=True), k))
+                size += len(held[-1][0])
+            if size > HELD_GRAMS:
+                yield row()
+                held, size = [], 0
+        if held:
+            yield row()
+
+    schema = "gram long, pair long, " + ", ".join(f"{c} long" for c in COUNTS)
+    return training.mapInArrow(count, schema).groupBy("gram", "pair").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def _last_two(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per model, the pairs of last bytes, sorted, with the Kneser-Ney probability of the second: at most 65,536 of them."""
+    three = counts.groupBy(F.col("gram").bitwiseAND(int(LOW[3])).alias("gram")).agg(*[F.max((m > 0).cast("int")).alias(f"m{i}") for i, m in enumerate(_seen())])
+    got = three.groupBy(F.col("gram").bitwiseAND(int(LOW[2])).alias("gram")).agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(3)]).toArrow().sort_by("gram")
+    gram, out = got.column("gram").to_numpy(), []
+    for i in range(3):
+        n = got.column(f"m{i}").to_numpy().astype(np.float64)
+        out.append((gram[n > 0], _shared(gram[n > 0], n[n > 0], 2, None)))
+    return out
+
+
+def _seen():
+    folds = [F.col(f"ordinary_{k}") + F.col(f"toxic_{k}") for k in (0, 1)]
+    return [*folds, folds[0] + folds[1]]
+
+
+def _shared(gram: np.ndarray, count: np.ndarray, order: int, two: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
     """Interpolated Kneser-Ney probability of the last byte of each group after the ones before it, classes pooled."""
     if order == 1:
         return count / count.sum()
+    if order == 2 and two is not None:
+        return two[1][np.searchsorted(two[0], gram)]
     _, ctx = np.unique(gram >> 8, return_inverse=True)
     total, kinds = np.bincount(ctx, count), np.bincount(ctx)
     shorter, at = np.unique(gram & LOW[order - 1], return_inverse=True)
-    below = _shared(shorter, np.bincount(at).astype(np.float64), order - 1)[at]  # continuation counts
+    below = _shared(shorter, np.bincount(at).astype(np.float64), order - 1, two)[at]  # continuation counts
     return (np.maximum(count - DISCOUNT, 0) + DISCOUNT * kinds[ctx] * below) / total[ctx]
 
 
-def log_ratios(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """log p(byte | bytes before, toxic) - log p(byte | bytes before, ordinary) of each group.
+def _log_ratios(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, two) -> tuple[np.ndarray, np.ndarray]:
+    """log p(byte | bytes before, toxic) - log p(byte | bytes before, ordinary) of each group, and of any group unseen after its context.
 
     Both classes back off to one distribution, from the pooled continuation counts of shorter groups, so that a rare
-    group that one class happens to hold moves the ratio little.
+    group that one class happens to hold moves the ratio little. For an unseen group that distribution cancels out, and
+    the weights that the classes give it are left; after an unseen context they are equal, and the ratio is 0.
     """
-    if not len(gram):
-        return np.zeros(0)
     shorter, at = np.unique(gram & LOW[ORDER - 1], return_inverse=True)
-    below = _shared(shorter, np.bincount(at).astype(np.float64), ORDER - 1)[at]
+    below = _shared(shorter, np.bincount(at).astype(np.float64), ORDER - 1, two)[at]
     _, ctx = np.unique(gram >> 8, return_inverse=True)
 
     def of(count):
-        total, kinds = np.bincount(ctx, count), np.bincount(ctx, count > 0)
-        return np.log((np.maximum(count - DISCOUNT, 0) + (DISCOUNT * kinds[ctx] + BACKOFF) * below) / (total[ctx] + BACKOFF))
+        total, kinds = np.bincount(ctx, count)[ctx] + BACKOFF, DISCOUNT * np.bincount(ctx, count > 0)[ctx] + BACKOFF
+        return np.log((np.maximum(count - DISCOUNT, 0) + kinds * below) / total), np.log(kinds / total)
 
-    return of(toxic) - of(ordinary)
+    return tuple(t - o for t, o in zip(of(toxic), of(ordinary)))
 
 
-class RatioTable:
-    """Log ratios in an open table of fixed size, where the ratio nearer zero gives way.
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """(ctx, unseen, byte, m0, m1, m2): per context, the bytes seen after it and their log ratios in units of 1 / SCALE.
 
-    It travels as the list of its ratios; each Python worker lays out the table when it first needs it.
+    Models 0 and 1 know one fold, model 2 both; ``unseen`` holds each model's ratio of all other bytes.
     """
-
-    def __init__(self, gram: np.ndarray, ratio: np.ndarray, slots: int = SLOTS):
-        strong = np.argsort(np.abs(ratio), kind="stable")
-        strong = strong[np.abs(ratio[strong]) > LEAST_RATIO]
-        self.gram, self.ratio, self.bits, self.table = gram[strong], ratio[strong].astype(np.float32), slots.bit_length() - 1, None
-
-    def __getstate__(self):
-        return self.__dict__ | {"table": None}
-
-    def _at(self, gram):
-        return ((gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def _lay_out(self):
-        grams, ratios = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
-        at = self._at(self.gram)
-        grams[at], ratios[at] = self.gram, self.ratio  # the last written, the strongest, stays
-        self.table = grams, ratios
-        return self.table
-
-    def __call__(self, gram: np.ndarray) -> np.ndarray:
-        grams, ratios = self.table or self._lay_out()
-        at = self._at(gram)
-        return np.where(grams[at] == gram, ratios[at], np.float32(0))
-
-
-def features(text: bytes, table: RatioTable) -> tuple[float, float, float]:
+    two = _last_two(counts)
+    parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.count() // HELD_GRAMS)
+
+    def ratios(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches).sort_by("gram")
+        gram = rows.column("gram").to_numpy()
+        o0, t0, o1, t1 = (rows.column(c).to_numpy().astype(np.float64) for c in COUNTS)
+        start = np.flatnonzero(np.r_[True, gram[1:] >> 8 != gram[:-1] >> 8])
+        at = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(gram)]))
+        unseen, each = np.zeros((len(start), 3), np.int32), []
+        for m, (o, t) in enumerate(((o0, t0), (o1, t1), (o0 + o1, t0 + t1))):
+            has = o + t > 0
+            seen, rest = (np.round(x * SCALE).astype(np.int32) for x in _log_ratios(gram[has], o[has], t[has], two[m])) if has.any() else (0, 0)
+            unseen[at[has], m] = rest
+            each.append(unseen[at, m])
+            each[m][has] = seen
+        ends = pa.array(np.r_[start, len(gram)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((gram & 255).astype(np.int32), *each)]
+        fixed = pa.ListArray.from_arrays(pa.array(np.arange(0, unseen.size + 1, 3, dtype=np.int32)), pa.array(unseen.ravel()))
+        whole = pa.RecordBatch.from_arrays([pa.array(gram[start] >> 8), fixed, *lists], names=["ctx", "unseen", "byte", "m0", "m1", "m2"])
+        yield from (whole.slice(i, 10_000) for i in range(0, whole.num_rows, 10_000))
+
+    return counts.repartition(parts, "pair").mapInArrow(ratios, "ctx long, unseen array<int>, byte array<int>, m0 array<int>, m1 array<int>, m2 array<int>")
+
+
+def gram_ratios(grams: DataFrame, ratios: DataFrame) -> DataFrame:
+    """``grams`` (.., model, gram) with the log ratio of each."""
+    place = F.array_position("byte", F.col("gram").bitwiseAND(255).cast("int")).cast("int")
+    m = F.when(F.col("model") == 0, F.col("m0")).when(F.col("model") == 1, F.col("m1")).otherwise(F.col("m2"))
+    ratio = F.when(F.col("ctx").isNull(), 0).when(place == 0, F.element_at("unseen", F.col("model") + 1)).otherwise(F.element_at(m, F.greatest(place, F.lit(1))))
+    return grams.join(ratios, F.shiftright("gram", 8) == F.col("ctx"), "left").select(*grams.columns, ratio.alias("ratio"))
+
+
+def features(text: bytes, ratio_of: Callable[[np.ndarray], np.ndarray]) -> tuple[float, float, float]:
     """Length-normalised log ratio of the text, and the log ratios of its worst word and of its three worst words."""
     gram = letter_grams(text)
-    ratio = table(gram).astype(np.float64)
+    ratio = ratio_of(gram)
     ends = np.flatnonzero(gram & 255 == 32)
     words = np.add.reduceat(ratio, np.r_[0, ends[:-1] + 1]) if len(ends) else np.zeros(1)
     worst = np.partition(words, max(0, len(words) - 3))[-3:]
     return ratio.mean(), worst.max(), np.maximum(worst, 0).sum() / 3
 
 
-class ToxicityModel:
-    """Log ratios learnt from all training documents, calibrated on each half with the ratios of the other."""
+def judged(docs: DataFrame, ratios: DataFrame, fields: list[T.StructField], compute: Callable, text_col: str = "text") -> DataFrame:
+    """``docs`` without ``__model`` and with ``fields``, which ``compute`` gives from the features of the texts.
+
+    ``__model`` says by which model a row is judged; without that column it is model 2. Rows are dealt by hash into chunks of about CHUNK bytes; a chunk
+    is joined with the ratios of its own letter groups, so that no task holds the model.
+    """
+    base = [f for f in docs.schema.fields if f.name != "__model"]
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    key = F.xxhash64(*[f"`{f.name}`" for f in base if not isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType, T.VariantType))])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.withColumn("__chunk", F.pmod(key, F.lit(max(parts, size // CHUNK)))).repartition("__chunk")
+    at = docs.columns.index(text_col)
+
+    def models(rows):
+        return rows.column("__model").to_pylist() if "__model" in rows.schema.names else [2] * rows.num_rows
+
+    def distinct(batches):
+        held, size = {}, 0
+
+        def rows():
+            for (chunk, model), parts in held.items():
+                gram = np.unique(np.concatenate(parts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), chunk)), pa.array(np.full(len(gram), model, np.int32)), pa.array(gram)], names=["__chunk", "model", "gram"])
+
+        for b in (part for whole in batches for part in text_slices(whole, at)):
+            some = {}
+            for t, *key in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column("__chunk").to_pylist(), models(b)):
+                some.setdefault(tuple(key), []).append(letter_grams(t or b""))
+            for key, parts in some.items():
+                held.setdefault(key, []).append(np.unique(np.concatenate(parts)))
+                size += len(held[key][-1])
+            if size > HELD_GRAMS:
+                held = {key: [np.unique(np.concatenate(parts))] for key, parts in held.items()}
+                size = sum(len(p[0]) for p in held.values())
+            if size > HELD_GRAMS // 2:
+                yield from rows()
+                held, size = {}, 0
+        yield from rows()
+
+    known = gram_ratios(dealt.mapInArrow(distinct, "__chunk long, model int, gram long"), ratios)
+    arrow = to_arrow_schema(T.StructType(fields))
+    names = [f.name for f in base]
+
+    def judge(rows: pa.Table, known: pa.Table) -> pa.Table:
+        model, ratio_of = known.column("model").to_numpy(), {}
+        for m in np.unique(model):
+            gram, first = np.unique(known.column("gram").to_numpy()[model == m], return_index=True)
+            ratio = known.column("ratio").to_numpy()[model == m][first] / SCALE
+            ratio_of[m] = lambda g, gram=gram, ratio=ratio: ratio[np.searchsorted(gram, g)]
+        texts = rows.column(text_col).cast(pa.binary()).to_pylist()
+        x = np.array([features(t or b"", ratio_of[m]) for t, m in zip(texts, models(rows))]).reshape(len(texts), 3)
+        return pa.table([*(rows.column(n) for n in names), *(pa.array(c, type=f.type) for c, f in zip(compute(x), arrow))], names=[*names, *arrow.names])
+
+    return dealt.groupBy("__chunk").cogroup(known.groupBy("__chunk")).applyInArrow(judge, T.StructType([*base, *fields]))
 
-    def __init__(self, table: RatioTable, calibration: Logistic):
-        self.table, self.calibration = table, calibration
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        return self.calibration(np.array([features(t, self.table) for t in texts]).reshape(len(texts), 3))
+class ToxicityModel:
+    """Log ratios learnt from all training documents, a table, and the calibration of the features."""
+
+    def __init__(self, ratios: DataFrame, calibration: Logistic):
+        self.ratios, self.calibration = ratios, calibration
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_grams: int = MOST_GRAMS) -> ToxicityModel:
-    """A model from at most ``per_class`` documents a class and ``most_grams`` letter groups, whatever the corpus.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
+    """A model from every labelled document that is not held out.
 
-    Without labels of both classes every score is the share of toxic labels (one half without any).
+    Its three numbers are calibrated on ``per_class`` documents a class, each half judged by what the other fold
+    teaches. Without labels of both classes every score is the share of toxic labels (one half without any).
     """
     share = class_share(labels, "toxic", MODULUS, HELD_OUT)
-    sample = training_sample(docs, labels, "toxic", MODULUS, HELD_OUT, per_class)
-    counts = gram_counts(sample).groupBy("gram").pivot("fold", [0, 1]).agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")).fillna(0)
-    counts = counts.orderBy(F.desc(F.col("0_o") + F.col("0_t") + F.col("1_o") + F.col("1_t")), "gram").limit(most_grams)
-    got = counts.toArrow()
-    gram = got.column("gram").to_numpy()
-    by = np.argsort(gram)
-    gram = gram[by]
-    o0, t0, o1, t1 = (got.column(c).to_numpy()[by].astype(np.float64) for c in ("0_o", "0_t", "1_o", "1_t"))
-    # Each half of the sample is judged by what the other half teaches.
-    halves = {1: RatioTable(gram, log_ratios(gram, o0, t0)), 0: RatioTable(gram, log_ratios(gram, o1, t1))} if len(gram) else {}
-    x, y = _judged(sample, halves) if halves else (np.zeros((0, 3)), np.zeros(0))
-    return ToxicityModel(RatioTable(gram, log_ratios(gram, o0 + o1, t0 + t1)), Logistic(x, y, share))
-
-
-def _judged(sample: DataFrame, halves: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the sample's documents: a few numbers for each, at most 2 * per_class rows."""
-    shared = sample.sparkSession.sparkContext.broadcast(halves)
-
-    def judge(batches):
-        for b in batches:
-            rows = [features(t or b"", shared.value[f]) for t, f in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("fold").to_pylist())]
-            x = np.array(rows, np.float64).reshape(b.num_rows, 3)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), *(pa.array(x[:, k]) for k in range(3))], names=["doc_id", "label", "a", "b", "c"])
-
-    got = sample.mapInArrow(judge, "doc_id long, label int, a double, b double, c double").toArrow().sort_by([("doc_id", "ascending"), ("a", "ascending")])
-    shared.unpersist()
-    return np.stack([got.column(c).to_numpy() for c in "abc"], axis=1), got.column("label").to_numpy()
+    counts = checkpointed(gram_counts(training_documents(docs, labels, "toxic", MODULUS, HELD_OUT)))
+    ratios = checkpointed(log_ratios(counts))
+    sample = training_sample(docs, labels, "toxic", MODULUS, HELD_OUT, per_class).withColumn("__model", 1 - F.col("fold"))
+    fields = [T.StructField(c, T.DoubleType()) for c in "abc"]
+    got = judged(sample, ratios, fields, lambda x: list(x.T)).select("doc_id", "label", *"abc").toArrow().sort_by([(c, "ascending") for c in ("doc_id", "a", "b", "c")])
+    x = np.stack([got.column(c).to_numpy() for c in "abc"], axis=1)
+    return ToxicityModel(ratios, Logistic(x, got.column("label").to_numpy(), share))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text, from 0 to 1; null and empty texts score like a text without words.
-
-    The model has a fixed size, so it is broadcast; rows are independent and nothing is shuffled.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return append_columns(docs, text_col, [T.StructField(out, T.DoubleType())], lambda: lambda texts: [shared.value.score(texts)])
+    """``docs`` with the score of each whole text, from 0 to 1; null and empty texts score like a text without words."""
+    calibration = model.calibration
+    return judged(without(docs, [out]), model.ratios, [T.StructField(out, T.DoubleType())], lambda x: [calibration(x)], text_col)
 
 
 def predictions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """The operators against brute force, round trips, held-out accuracy, and awkward rows."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -312,6 +313,49 @@ def test_classifiers(spark, module, query, label, modulus, rest):
     assert module.predictions(docs_of(spark, AWKWARD).limit(0), labels).collect() == []
 
 
+def test_toxicity_ratios_are_whole(spark):
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 9))) for _ in range(30)) for _ in range(40)] + [None, "", "rarest zq"]
+    rows = [(t, int(i % 3 == 0), i % 2) for i, t in enumerate(texts)]
+    counts = toxicity.gram_counts(spark.createDataFrame(rows, "text string, label int, fold int"))
+    n = {m: (Counter(), Counter()) for m in (0, 1, 2)}
+    for t, label, fold in rows:
+        for m in (fold, 2):
+            n[m][label].update(toxicity.letter_grams((t or "").encode()).tolist())
+    got = {r["gram"]: tuple(r[c] for c in toxicity.COUNTS) for r in counts.collect()}
+    assert got == {g: tuple(n[k][y][g] for k in (0, 1) for y in (0, 1)) for g in n[2][0] | n[2][1]}
+
+    def continuations(grams):
+        sets = {toxicity.ORDER: set(grams)}
+        for k in range(toxicity.ORDER - 1, 0, -1):
+            sets[k] = {g & ((1 << 8 * k) - 1) for g in sets[k + 1]}
+        return {k: Counter(g & ((1 << 8 * k) - 1) for g in sets[k + 1]) for k in range(1, toxicity.ORDER)}
+
+    def shared(g, k):
+        g &= (1 << 8 * k) - 1
+        if k == 1:
+            return max(cont[1][g], 1e-6) / sum(cont[1].values())  # cancels out for a byte never seen
+        near = [c for h, c in cont[k].items() if h >> 8 == g >> 8]
+        if not near:
+            return shared(g, k - 1)
+        return (max(cont[k][g] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(near) * shared(g, k - 1)) / sum(near)
+
+    def log_p(g, of):
+        near = [c for h, c in of.items() if h >> 8 == g >> 8 and c]
+        back = toxicity.DISCOUNT * len(near) + toxicity.BACKOFF
+        return math.log((max(of[g] - toxicity.DISCOUNT, 0) + back * shared(g, toxicity.ORDER - 1)) / (sum(near) + toxicity.BACKOFF))
+
+    # Groups seen, those of a word of one document alone, unseen ones after seen contexts, and after new ones.
+    grams = {g for t in [texts[0], "rarest abz aaaaaaz zabcab"] for g in toxicity.letter_grams(t.encode()).tolist()}
+    given = spark.createDataFrame([(m, g) for m in n for g in grams], "model int, gram long")
+    ratio = {(r["model"], r["gram"]): r["ratio"] / toxicity.SCALE for r in toxicity.gram_ratios(given, toxicity.log_ratios(counts)).collect()}
+    for m, (ordinary, toxic) in n.items():
+        cont = continuations(ordinary | toxic)
+        assert all(abs(ratio[m, g] - (log_p(g, toxic) - log_p(g, ordinary))) < 1e-6 for g in grams)
+    abz = toxicity.letter_grams(b"abz").tolist()[3]
+    assert abz not in n[2][0] | n[2][1] and ratio[2, abz] != 0
+
+
 # --- 9 sharding ---
 
 
