@@ -30,17 +30,26 @@ def hashed_ngram_encoder(dim: int = 64, n: int = 3) -> Callable[[list[str]], np.
     return encode_texts
 
 
-def encode(df: DataFrame, id_col: str, text_col: str, make_encoder: Callable[[], Callable] = hashed_ngram_encoder, model: str = "base", max_chars: int = 640, batch: int = 256) -> DataFrame:
-    """(id, model, vec): ``make_encoder`` runs once per task; texts of one batch are encoded in order of length."""
+def encode(df: DataFrame, id_col: str, text_col: str, make_encoder: Callable[[], Callable] = hashed_ngram_encoder, model: str = "base", max_chars: int | None = 640, batch: int = 256, piece: int = 640) -> DataFrame:
+    """(id, model, vec): ``make_encoder`` runs once per task; texts of one batch are encoded in order of length.
+
+    Of a text the first ``max_chars`` characters are read, or all. Those of more than ``piece`` are encoded in pieces,
+    whose mean at unit length is the text's vector.
+    """
 
     def run(frames):
         encoder = make_encoder()
         for f in frames:
-            texts = f[text_col].fillna("").str.slice(0, max_chars)
-            order = texts.str.len().to_numpy().argsort(kind="stable")
+            whole = [t[:max_chars] for t in f[text_col].fillna("")]
+            texts = pd.Series([t[i : i + piece] for t in whole for i in range(0, max(len(t), 1), piece)], dtype=object)
+            starts = np.cumsum([0, *(max(1, -(-len(t) // piece)) for t in whole)])
+            order = texts.map(len).to_numpy(np.int64).argsort(kind="stable")
             parts = [encoder(texts.iloc[order[i : i + batch]].tolist()) for i in range(0, len(order), batch)]
             vectors = np.concatenate(parts)[np.argsort(order)] if parts else np.zeros((0, 1))
-            yield pd.DataFrame({"id": f[id_col], "model": model, "vec": list(vectors.astype(np.float32))})
+            for i in np.flatnonzero(np.diff(starts) > 1):
+                mean = vectors[starts[i] : starts[i + 1]].mean(axis=0)
+                vectors[starts[i]] = mean / max(np.linalg.norm(mean), 1e-6)
+            yield pd.DataFrame({"id": f[id_col], "model": model, "vec": list(vectors[starts[:-1]].astype(np.float32))})
 
     kind = df.schema[id_col].dataType
     out = T.StructType([T.StructField("id", kind), T.StructField("model", T.StringType()), T.StructField("vec", T.ArrayType(T.FloatType()))])

@@ -279,7 +279,7 @@ def j9(spark, sf):
 
 @query("f1_encode")
 def f1(spark, sf):
-    return D.encode(table(spark, sf, "documents"), "doc_id", "text")
+    return D.encode(table(spark, sf, "documents"), "doc_id", "text", max_chars=None)
 
 
 @query(

@@ -166,3 +166,20 @@ def test_chargram_similarity_of_equal_titles_is_one(spark):
     v = chargram.vectors(items, m, "row_id", "t")
     got = chargram.similarity(spark.createDataFrame([(1, 2), (1, 3)], "qid long, row_id long"), v.withColumnRenamed("row_id", "qid"), v).collect()
     assert {r["row_id"]: round(r["char_t"], 6) for r in got} == {2: 1.0, 3: 0.0}
+
+
+def test_encode_reads_whole_texts(spark, tmp_path):
+    from marlstone.plans import all_queries
+
+    head = "a long head " * 60
+    texts = [head + "one end", head + "another end", "short", "", None, head[:640]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["id"]: np.array(r["vec"]) for r in all_queries()["f1_encode"](spark, str(tmp_path)).collect()}
+    encoder = dense.hashed_ngram_encoder()
+    for i, t in enumerate(texts):
+        t = t or ""
+        mean = encoder([t[k : k + 640] for k in range(0, max(len(t), 1), 640)]).mean(axis=0)
+        assert np.allclose(got[i], mean / max(np.linalg.norm(mean), 1e-6), atol=1e-6)
+    assert not np.allclose(got[0], got[1])
+    cut = {r["id"]: r["vec"] for r in dense.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()}
+    assert cut[0] == cut[1] == cut[5]
