@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, shared_folder
 
+#: Labels (three numbers each) that are broadcast to the texts.
+BROADCAST_LABELS = 1_000_000
+
 
 def id_remainder(id_col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
@@ -27,14 +30,16 @@ def known_labels(labels: DataFrame, label_col: str, modulus: int, held_out: int,
     return known.withColumn("h", F.xxhash64("id", F.lit(seed))).withColumn("fold", F.pmod(F.xxhash64("h"), F.lit(2)).cast("int"))
 
 
-def training_documents(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held_out: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def training_documents(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held_out: int, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_LABELS) -> DataFrame:
     """(text, label, fold) of all documents whose label may be learnt from, however many.
 
-    The labels are written first, so that Spark knows their size and shuffles texts only if they are many.
+    The labels are written first and counted: at most ``most`` of them are broadcast, more are joined with the texts
+    by a shuffle of both.
     """
     path = f"{shared_folder(docs.sparkSession)}/labels-{uuid.uuid4().hex}"
     known_labels(labels, label_col, modulus, held_out, id_col).select("id", "label", "fold").write.parquet(path)
     known = docs.sparkSession.read.parquet(path)
+    known = F.broadcast(known) if known.count() <= most else known
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(id_remainder("id", modulus) != held_out)
     return texts.join(known, "id").select("text", "label", "fold")
 

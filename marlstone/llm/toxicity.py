@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -11,87 +11,103 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import checkpointed, text_slices, without
+from .common import append_columns, checkpointed, text_slices, without
 from .labelled import Logistic, class_share, id_remainder, training_documents, training_sample
 
-ORDER = 6
+#: Symbols of a letter group; a symbol has BITS bits.
+ORDER, BITS = 8, 6
 DISCOUNT = 0.75
 #: Observations that the shared backoff counts for in each class.
-BACKOFF = 2.0
+BACKOFF = 4.0
+#: Letters added to a word's own when its log ratio is divided by its length, so that short words need more evidence.
+STIFF = 6.0
 COUNTS = ["ordinary_0", "toxic_0", "ordinary_1", "toxic_1"]
 #: Labelled documents of each class on which the score is calibrated; the letter groups are learnt from all.
 PER_CLASS = 6000
 #: Ratios are kept as whole numbers.
-SCALE = 1e7
+SCALE = 1e6
 THRESHOLD = 0.3
 MODULUS, HELD_OUT = 4, 2
-#: Bytes of text judged together, and letter groups that a task holds.
+#: Rows of a model (12 bytes each) that are broadcast; a larger one is joined with the letter groups of the texts.
+BROADCAST_ROWS = 4_000_000
+#: Without a broadcast: bytes of text judged together, and letter groups that a task holds.
 CHUNK = 16 << 20
 HELD_GRAMS = 2_000_000
+#: Words whose ratio a task remembers; it may pass this by those of one slice of texts.
+REMEMBERED = 150_000
 
-# Bytes as the models see them: ASCII letters in lower case, other ASCII but digits as a space.
-LETTERS = np.array([b if b >= 128 or chr(b).isdigit() else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256)], np.uint8)
-SPACES = np.int64(int.from_bytes(b" " * ORDER, "big"))
-LOW = np.array([(1 << 8 * k) - 1 for k in range(ORDER + 1)], np.int64)
+#: ASCII letters in lower case, digits as one, other ASCII as a space; bytes of other letters as they are.
+FOLD = bytes(b if b >= 128 else ord("0") if chr(b).isdigit() else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
+#: Symbols: 0 the end of a word, letters, the digit, first bytes and 32 kinds of later bytes of other letters.
+SYMBOL = np.array([1 + b - 97 if 97 <= b <= 122 else 27 if b == ord("0") else 0 if b < 128 else 28 if b >= 192 else 29 + (b & 31) for b in range(256)], np.int64)
+LOW = np.array([(1 << BITS * k) - 1 for k in range(ORDER + 1)], np.int64)
+#: In place of a group's last symbol: any that was not seen after the others.
+OTHER = int(LOW[1])
 
 
-def letter_grams(text: bytes) -> np.ndarray:
-    """The last ORDER bytes up to each byte of a text, packed into a long; what lies before the word is spaces.
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(FOLD).split()
 
-    Runs of spaces are one. At a space, which ends a word, the bytes are that word's.
+
+def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(groups, letters): the last ORDER symbols up to each letter of the words and to their ends, packed into longs.
+
+    What lies before a word is the end symbol. Groups are in the words' order, ``letters`` + 1 for each word.
     """
-    x = LETTERS[np.frombuffer(b" " + text + b" ", np.uint8)]
-    keep = np.ones(len(x), bool)
-    keep[1:] = (x[1:] != 32) | (x[:-1] != 32)
-    x = np.concatenate([np.full(ORDER - 1, 32, np.uint8), x[keep]])
-    n = len(x) - ORDER + 1
-    wide = x.astype(np.int64)
-    gram = np.zeros(n, np.int64)
-    for j in range(ORDER):
-        gram = (gram << 8) | wide[j : j + n]
-    at = np.arange(len(x))
-    last = np.maximum.accumulate(np.where(x == 32, at, 0))
-    since = at[ORDER - 1 :] - np.where(x[ORDER - 1 :] == 32, last[ORDER - 2 : -1], last[ORDER - 1 :])
-    low = LOW[np.minimum(since + 1, ORDER)]
-    return (gram & low) | (SPACES & ~low)
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x = SYMBOL[np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)]
+    end = np.flatnonzero(x == 0)
+    size = np.diff(end)
+    since = np.arange(len(x) - 1) - np.repeat(end[:-1], size)  # letters of the word before each place from 1 on
+    gram = x[1:].copy()
+    for k in range(1, ORDER):
+        at = np.flatnonzero(since >= k)
+        gram[at] |= x[at + 1 - k] << BITS * k
+    return gram, size - 1
 
 
 def gram_counts(training: DataFrame) -> DataFrame:
     """(gram, pair, ordinary_0, toxic_0, ordinary_1, toxic_1): how often each letter group stands in the labelled documents, per fold.
 
-    Groups lie by ``pair``, the two bytes before their last: a task holds all groups of the contexts it holds, and all
-    groups that end like one of them in three bytes or more.
+    Groups lie by ``pair``, the two symbols before their last: a task holds all groups of the contexts it holds, and
+    all groups that end like one of them in three symbols or more.
     """
 
     def count(batches):
-        held, size = [], 0
+        held: list[Counter] = [Counter() for _ in COUNTS]
 
-        def row():
-            gram, at = np.unique(np.concatenate([g for g, _, _ in held]), return_inverse=True)
-            kinds = np.concatenate([np.full(len(g), k) for g, _, k in held])
-            n = np.concatenate([c for _, c, _ in held])
-            counts = [np.bincount(at[kinds == k], n[kinds == k], len(gram)).astype(np.int64) for k in range(4)]
-            return pa.RecordBatch.from_arrays([pa.array(gram), pa.array((gram >> 8) & 0xFFFF), *map(pa.array, counts)], names=["gram", "pair", *COUNTS])
+        def rows():
+            grams, ns, kinds = [], [], []
+            for k, words in enumerate(held):
+                if words:
+                    g, letters = word_grams(list(words))
+                    grams.append(g)
+                    ns.append(np.repeat(np.fromiter(words.values(), np.int64, len(words)), letters + 1))
+                    kinds.append(np.full(len(g), k))
+                    words.clear()
+            if grams:
+                kind, n = np.concatenate(kinds), np.concatenate(ns)
+                gram, at = np.unique(np.concatenate(grams), return_inverse=True)
+                counts = [np.bincount(at[kind == k], n[kind == k], len(gram)).astype(np.int64) for k in range(len(COUNTS))]
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(gram >> BITS & LOW[2]), *map(pa.array, counts)], names=["gram", "pair", *COUNTS])
 
         for b in (part for whole in batches for part in text_slices(whole, 0)):
-            kinds = b.column("fold").to_numpy() * 2 + b.column("label").to_numpy()
-            texts = b.column(0).cast(pa.binary()).to_pylist()
-            for k in np.unique(kinds):
-                held.append((*np.unique(np.concatenate([letter_grams(texts[i] or b"") for i in np.flatnonzero(kinds == k)]), return_counts=True), k))
-                size += len(held[-1][0])
-            if size > HELD_GRAMS:
-                yield row()
-                held, size = [], 0
-        if held:
-            yield row()
+            for t, label, fold in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column("label").to_pylist(), b.column("fold").to_pylist()):
+                held[fold * 2 + label].update(words_of(t or b""))
+            if sum(map(len, held)) > REMEMBERED:
+                yield from rows()
+        yield from rows()
 
     schema = "gram long, pair long, " + ", ".join(f"{c} long" for c in COUNTS)
     return training.mapInArrow(count, schema).groupBy("gram", "pair").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 def _last_two(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per model, the pairs of last bytes, sorted, with the Kneser-Ney probability of the second: at most 65,536 of them."""
-    three = counts.groupBy(F.col("gram").bitwiseAND(int(LOW[3])).alias("gram")).agg(*[F.max((m > 0).cast("int")).alias(f"m{i}") for i, m in enumerate(_seen())])
+    """Per model, the pairs of last symbols, sorted, with the Kneser-Ney probability of the second: at most 4,096 of them."""
+    folds = [F.col(f"ordinary_{k}") + F.col(f"toxic_{k}") for k in (0, 1)]
+    seen = [*folds, folds[0] + folds[1]]
+    three = counts.groupBy(F.col("gram").bitwiseAND(int(LOW[3])).alias("gram")).agg(*[F.max((m > 0).cast("int")).alias(f"m{i}") for i, m in enumerate(seen)])
     got = three.groupBy(F.col("gram").bitwiseAND(int(LOW[2])).alias("gram")).agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(3)]).toArrow().sort_by("gram")
     gram, out = got.column("gram").to_numpy(), []
     for i in range(3):
@@ -100,18 +116,13 @@ def _last_two(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _seen():
-    folds = [F.col(f"ordinary_{k}") + F.col(f"toxic_{k}") for k in (0, 1)]
-    return [*folds, folds[0] + folds[1]]
-
-
 def _shared(gram: np.ndarray, count: np.ndarray, order: int, two: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-    """Interpolated Kneser-Ney probability of the last byte of each group after the ones before it, classes pooled."""
+    """Interpolated Kneser-Ney probability of the last symbol of each group after the ones before it, classes pooled."""
     if order == 1:
         return count / count.sum()
     if order == 2 and two is not None:
         return two[1][np.searchsorted(two[0], gram)]
-    _, ctx = np.unique(gram >> 8, return_inverse=True)
+    _, ctx = np.unique(gram >> BITS, return_inverse=True)
     total, kinds = np.bincount(ctx, count), np.bincount(ctx)
     shorter, at = np.unique(gram & LOW[order - 1], return_inverse=True)
     below = _shared(shorter, np.bincount(at).astype(np.float64), order - 1, two)[at]  # continuation counts
@@ -119,7 +130,7 @@ def _shared(gram: np.ndarray, count: np.ndarray, order: int, two: tuple[np.ndarr
 
 
 def _log_ratios(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, two) -> tuple[np.ndarray, np.ndarray]:
-    """log p(byte | bytes before, toxic) - log p(byte | bytes before, ordinary) of each group, and of any group unseen after its context.
+    """log p(symbol | symbols before, toxic) - log p(symbol | symbols before, ordinary) of each group, and of any group unseen after its context.
 
     Both classes back off to one distribution, from the pooled continuation counts of shorter groups, so that a rare
     group that one class happens to hold moves the ratio little. For an unseen group that distribution cancels out, and
@@ -127,7 +138,7 @@ def _log_ratios(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, two)
     """
     shorter, at = np.unique(gram & LOW[ORDER - 1], return_inverse=True)
     below = _shared(shorter, np.bincount(at).astype(np.float64), ORDER - 1, two)[at]
-    _, ctx = np.unique(gram >> 8, return_inverse=True)
+    _, ctx = np.unique(gram >> BITS, return_inverse=True)
 
     def of(count):
         total, kinds = np.bincount(ctx, count)[ctx] + BACKOFF, DISCOUNT * np.bincount(ctx, count > 0)[ctx] + BACKOFF
@@ -137,9 +148,10 @@ def _log_ratios(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, two)
 
 
 def log_ratios(counts: DataFrame) -> DataFrame:
-    """(ctx, unseen, byte, m0, m1, m2): per context, the bytes seen after it and their log ratios in units of 1 / SCALE.
+    """(gram, m0, m1, m2): the log ratios of the groups seen, and per context that of all others, in units of 1 / SCALE.
 
-    Models 0 and 1 know one fold, model 2 both; ``unseen`` holds each model's ratio of all other bytes.
+    Models 0 and 1 know one fold, model 2 both. The row of a context's other groups has OTHER as its last symbol. A
+    group without a row stands after a context without one, and has ratio 0.
     """
     two = _last_two(counts)
     parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.count() // HELD_GRAMS)
@@ -151,103 +163,135 @@ def log_ratios(counts: DataFrame) -> DataFrame:
         rows = pa.Table.from_batches(batches).sort_by("gram")
         gram = rows.column("gram").to_numpy()
         o0, t0, o1, t1 = (rows.column(c).to_numpy().astype(np.float64) for c in COUNTS)
-        start = np.flatnonzero(np.r_[True, gram[1:] >> 8 != gram[:-1] >> 8])
+        start = np.flatnonzero(np.r_[True, gram[1:] >> BITS != gram[:-1] >> BITS])
         at = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(gram)]))
-        unseen, each = np.zeros((len(start), 3), np.int32), []
+        unseen, each = np.zeros((3, len(start)), np.int32), []
         for m, (o, t) in enumerate(((o0, t0), (o1, t1), (o0 + o1, t0 + t1))):
             has = o + t > 0
             seen, rest = (np.round(x * SCALE).astype(np.int32) for x in _log_ratios(gram[has], o[has], t[has], two[m])) if has.any() else (0, 0)
-            unseen[at[has], m] = rest
-            each.append(unseen[at, m])
+            unseen[m, at[has]] = rest
+            each.append(unseen[m, at])
             each[m][has] = seen
-        ends = pa.array(np.r_[start, len(gram)].astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((gram & 255).astype(np.int32), *each)]
-        fixed = pa.ListArray.from_arrays(pa.array(np.arange(0, unseen.size + 1, 3, dtype=np.int32)), pa.array(unseen.ravel()))
-        whole = pa.RecordBatch.from_arrays([pa.array(gram[start] >> 8), fixed, *lists], names=["ctx", "unseen", "byte", "m0", "m1", "m2"])
-        yield from (whole.slice(i, 10_000) for i in range(0, whole.num_rows, 10_000))
-
-    return counts.repartition(parts, "pair").mapInArrow(ratios, "ctx long, unseen array<int>, byte array<int>, m0 array<int>, m1 array<int>, m2 array<int>")
-
-
-def gram_ratios(grams: DataFrame, ratios: DataFrame) -> DataFrame:
-    """``grams`` (.., model, gram) with the log ratio of each."""
-    place = F.array_position("byte", F.col("gram").bitwiseAND(255).cast("int")).cast("int")
-    m = F.when(F.col("model") == 0, F.col("m0")).when(F.col("model") == 1, F.col("m1")).otherwise(F.col("m2"))
-    ratio = F.when(F.col("ctx").isNull(), 0).when(place == 0, F.element_at("unseen", F.col("model") + 1)).otherwise(F.element_at(m, F.greatest(place, F.lit(1))))
-    return grams.join(ratios, F.shiftright("gram", 8) == F.col("ctx"), "left").select(*grams.columns, ratio.alias("ratio"))
+        key = np.r_[gram, gram[start] | OTHER]
+        yield from pa.Table.from_arrays([pa.array(key), *(pa.array(np.r_[e, u]) for e, u in zip(each, unseen))], names=["gram", "m0", "m1", "m2"]).to_batches(10_000)
+
+    return counts.repartition(parts, "pair").mapInArrow(ratios, "gram long, m0 int, m1 int, m2 int")
+
+
+class Ratios:
+    """Log ratios by letter group, in sorted arrays."""
+
+    def __init__(self, gram: np.ndarray, ratio: np.ndarray):
+        order = np.argsort(gram)
+        self.gram, self.ratio = gram[order], ratio[order]
+
+    def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Log ratio of each word, its end included, and its letters."""
+        gram, letters = word_grams(words)
+        ratio = np.zeros(len(gram), np.int64)
+        if len(self.gram):
+            for key in (gram | OTHER, gram):
+                at = np.minimum(np.searchsorted(self.gram, key), len(self.gram) - 1)
+                ratio = np.where(self.gram[at] == key, self.ratio[at], ratio)
+        ends = np.cumsum(letters + 1)
+        return np.add.reduceat(ratio, np.r_[0, ends[:-1]]) / SCALE if len(words) else np.zeros(0), letters
+
+    def judge(self):
+        """A function from texts to their features; it remembers words."""
+        place: dict[bytes, int] = {}
+        known = [np.zeros((0, 2))]
+
+        def features(texts: list[bytes]) -> np.ndarray:
+            if len(place) > REMEMBERED:
+                place.clear()
+                known[:] = [np.zeros((0, 2))]
+            words = [words_of(t) for t in texts]
+            fresh = sorted(set().union(*words).difference(place))
+            if fresh:
+                place.update(zip(fresh, range(len(place), len(place) + len(fresh))))
+                known[:] = [np.concatenate([known[0], np.stack(self.of_words(fresh), axis=1)])]
+            at = np.fromiter((place[w] for ws in words for w in ws), np.int64)
+            cuts = np.cumsum([len(w) for w in words])[:-1]
+            return np.array([_features(x[:, 0], x[:, 1]) for x in np.split(known[0][at], cuts)]).reshape(len(texts), 3)
+
+        return features
+
+
+def _features(ratio: np.ndarray, letters: np.ndarray) -> tuple[float, float, float]:
+    """Length-normalised log ratio of the text, of its worst word, and the mean of that of its three worst words."""
+    if not len(ratio):
+        return 0.0, 0.0, 0.0
+    by_word = ratio / (letters + STIFF)
+    worst = np.partition(by_word, max(0, len(by_word) - 3))[-3:]
+    return ratio.sum() / (letters + 1).sum(), worst.max(), np.maximum(worst, 0).sum() / 3
+
+
+def judged(docs: DataFrame, ratios: DataFrame, rows: int, fields: list[T.StructField], compute, text_col: str = "text", model: int = 2, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` with ``fields``, which ``compute`` gives from the features of the texts under a model of ``rows`` rows.
+
+    A model of at most ``most`` rows is broadcast, and nothing is shuffled; a larger one is joined with the texts.
+    """
+    if rows > most:
+        return joined(docs, ratios, fields, compute, text_col, model)
+    got = ratios.select("gram", f"m{model}").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(Ratios(got.column(0).to_numpy(), got.column(1).to_numpy()))
 
+    def factory():
+        features = shared.value.judge()
+        return lambda texts: compute(features(texts))
 
-def features(text: bytes, ratio_of: Callable[[np.ndarray], np.ndarray]) -> tuple[float, float, float]:
-    """Length-normalised log ratio of the text, and the log ratios of its worst word and of its three worst words."""
-    gram = letter_grams(text)
-    ratio = ratio_of(gram)
-    ends = np.flatnonzero(gram & 255 == 32)
-    words = np.add.reduceat(ratio, np.r_[0, ends[:-1] + 1]) if len(ends) else np.zeros(1)
-    worst = np.partition(words, max(0, len(words) - 3))[-3:]
-    return ratio.mean(), worst.max(), np.maximum(worst, 0).sum() / 3
+    return append_columns(docs, text_col, fields, factory)
 
 
-def judged(docs: DataFrame, ratios: DataFrame, fields: list[T.StructField], compute: Callable, text_col: str = "text") -> DataFrame:
-    """``docs`` without ``__model`` and with ``fields``, which ``compute`` gives from the features of the texts.
+def joined(docs: DataFrame, ratios: DataFrame, fields: list[T.StructField], compute, text_col: str = "text", model: int = 2) -> DataFrame:
+    """The same without a broadcast, for models of any size.
 
-    ``__model`` says by which model a row is judged; without that column it is model 2. Rows are dealt by hash into chunks of about CHUNK bytes; a chunk
-    is joined with the ratios of its own letter groups, so that no task holds the model.
+    Rows are dealt by hash into chunks of about CHUNK bytes; a chunk is joined with the ratios of its own letter
+    groups, so that no task holds the model.
     """
-    base = [f for f in docs.schema.fields if f.name != "__model"]
+    docs = without(docs, [f.name for f in fields])
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    key = F.xxhash64(*[f"`{f.name}`" for f in base if not isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType, T.VariantType))])
+    key = F.xxhash64(*[f"`{f.name}`" for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType, T.VariantType))])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.withColumn("__chunk", F.pmod(key, F.lit(max(parts, size // CHUNK)))).repartition("__chunk")
-    at = docs.columns.index(text_col)
-
-    def models(rows):
-        return rows.column("__model").to_pylist() if "__model" in rows.schema.names else [2] * rows.num_rows
+    at, names = docs.columns.index(text_col), docs.columns
 
     def distinct(batches):
-        held, size = {}, 0
+        held: dict[int, set] = {}
 
         def rows():
-            for (chunk, model), parts in held.items():
-                gram = np.unique(np.concatenate(parts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), chunk)), pa.array(np.full(len(gram), model, np.int32)), pa.array(gram)], names=["__chunk", "model", "gram"])
+            for chunk, words in held.items():
+                gram = np.unique(word_grams(sorted(words))[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), chunk)), pa.array(gram)], names=["__chunk", "gram"])
+            held.clear()
 
         for b in (part for whole in batches for part in text_slices(whole, at)):
-            some = {}
-            for t, *key in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column("__chunk").to_pylist(), models(b)):
-                some.setdefault(tuple(key), []).append(letter_grams(t or b""))
-            for key, parts in some.items():
-                held.setdefault(key, []).append(np.unique(np.concatenate(parts)))
-                size += len(held[key][-1])
-            if size > HELD_GRAMS:
-                held = {key: [np.unique(np.concatenate(parts))] for key, parts in held.items()}
-                size = sum(len(p[0]) for p in held.values())
-            if size > HELD_GRAMS // 2:
+            for t, chunk in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column("__chunk").to_pylist()):
+                held.setdefault(chunk, set()).update(words_of(t or b""))
+            if sum(map(len, held.values())) > REMEMBERED:
                 yield from rows()
-                held, size = {}, 0
         yield from rows()
 
-    known = gram_ratios(dealt.mapInArrow(distinct, "__chunk long, model int, gram long"), ratios)
+    grams = dealt.mapInArrow(distinct, "__chunk long, gram long").distinct()
+    r = ratios.select(F.col("gram").alias("of"), F.col(f"m{model}").alias("ratio"))
+    # A text asks for its groups and for the others of their contexts; only those with a row come back.
+    asked = grams.unionByName(grams.select("__chunk", F.col("gram").bitwiseOR(OTHER).alias("gram"))).distinct()
+    known = asked.join(r, F.col("gram") == F.col("of")).select("__chunk", "gram", "ratio")
     arrow = to_arrow_schema(T.StructType(fields))
-    names = [f.name for f in base]
 
     def judge(rows: pa.Table, known: pa.Table) -> pa.Table:
-        model, ratio_of = known.column("model").to_numpy(), {}
-        for m in np.unique(model):
-            gram, first = np.unique(known.column("gram").to_numpy()[model == m], return_index=True)
-            ratio = known.column("ratio").to_numpy()[model == m][first] / SCALE
-            ratio_of[m] = lambda g, gram=gram, ratio=ratio: ratio[np.searchsorted(gram, g)]
-        texts = rows.column(text_col).cast(pa.binary()).to_pylist()
-        x = np.array([features(t or b"", ratio_of[m]) for t, m in zip(texts, models(rows))]).reshape(len(texts), 3)
+        features = Ratios(known.column("gram").to_numpy(), known.column("ratio").to_numpy()).judge()
+        x = features([t or b"" for t in rows.column(text_col).cast(pa.binary()).to_pylist()])
         return pa.table([*(rows.column(n) for n in names), *(pa.array(c, type=f.type) for c, f in zip(compute(x), arrow))], names=[*names, *arrow.names])
 
-    return dealt.groupBy("__chunk").cogroup(known.groupBy("__chunk")).applyInArrow(judge, T.StructType([*base, *fields]))
+    return dealt.groupBy("__chunk").cogroup(known.groupBy("__chunk")).applyInArrow(judge, T.StructType([*docs.schema.fields, *fields]))
 
 
 class ToxicityModel:
-    """Log ratios learnt from all training documents, a table, and the calibration of the features."""
+    """Log ratios learnt from all training documents, a table of so many rows, and the calibration of the features."""
 
-    def __init__(self, ratios: DataFrame, calibration: Logistic):
-        self.ratios, self.calibration = ratios, calibration
+    def __init__(self, ratios: DataFrame, rows: int, calibration: Logistic):
+        self.ratios, self.rows, self.calibration = ratios, rows, calibration
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
@@ -259,21 +303,27 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
     share = class_share(labels, "toxic", MODULUS, HELD_OUT)
     counts = checkpointed(gram_counts(training_documents(docs, labels, "toxic", MODULUS, HELD_OUT)))
     ratios = checkpointed(log_ratios(counts))
-    sample = training_sample(docs, labels, "toxic", MODULUS, HELD_OUT, per_class).withColumn("__model", 1 - F.col("fold"))
+    rows = ratios.count()
+    sample = training_sample(docs, labels, "toxic", MODULUS, HELD_OUT, per_class)
     fields = [T.StructField(c, T.DoubleType()) for c in "abc"]
-    got = judged(sample, ratios, fields, lambda x: list(x.T)).select("doc_id", "label", *"abc").toArrow().sort_by([(c, "ascending") for c in ("doc_id", "a", "b", "c")])
+    halves = [judged(sample.where(F.col("fold") == 1 - m), ratios, rows, fields, lambda x: list(x.T), model=m).select("doc_id", "label", *"abc").toArrow() for m in (0, 1)]
+    got = pa.concat_tables(halves).sort_by([(c, "ascending") for c in ("doc_id", "a", "b", "c")])
     x = np.stack([got.column(c).to_numpy() for c in "abc"], axis=1)
-    return ToxicityModel(ratios, Logistic(x, got.column("label").to_numpy(), share))
+    return ToxicityModel(ratios, rows, Logistic(x, got.column("label").to_numpy(), share))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text, from 0 to 1; null and empty texts score like a text without words."""
     calibration = model.calibration
-    return judged(without(docs, [out]), model.ratios, [T.StructField(out, T.DoubleType())], lambda x: [calibration(x)], text_col)
+    return judged(docs, model.ratios, model.rows, [T.StructField(out, T.DoubleType())], lambda x: [calibration(x)], text_col)
 
 
 def predictions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row of ``docs``; repeated rows have equal results."""
+    """(doc_id, held_out, score, predicted) per row of ``docs``; repeated rows have equal results.
+
+    Null and empty texts score like a text without words; an empty table gives no rows; labels of ids that are not in
+    ``docs`` teach nothing; a null id is not held out by a remainder and its ``held_out`` is null.
+    """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scored = score(d, train(d, labels))
     return scored.select("doc_id", (id_remainder("doc_id", MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, chat, lattice, mixing, quality, queries, repetition, sharding, simhash, toxicity, urls
+from marlstone.llm import bpe, chat, labelled, lattice, mixing, quality, queries, repetition, sharding, simhash, toxicity, urls
 from marlstone.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -262,8 +262,8 @@ def test_mix_meets_targets(spark):
     sources = [rng.choice(["a", "a", "a", "b", "c", "d", "", "ä", None]) for _ in range(400)]
     texts = [rng.choice([None, "", " ".join(["w"] * rng.randrange(400))]) if i % 5 == 0 else " ".join(["w"] * rng.randrange(400)) for i in range(400)]
     df = docs_of(spark, texts, sources)
-    rows = mixing.mix(df).collect()
-    assert len(rows) == 400 and rows == mixing.mix(df).collect()
+    rows = sorted(mixing.mix(df).collect())
+    assert len(rows) == 400 and rows == sorted(mixing.mix(df).collect())
     sizes = defaultdict(int)
     for s, t in zip(sources, texts):
         sizes[s] += len((t or "").split())
@@ -313,47 +313,83 @@ def test_classifiers(spark, module, query, label, modulus, rest):
     assert module.predictions(docs_of(spark, AWKWARD).limit(0), labels).collect() == []
 
 
-def test_toxicity_ratios_are_whole(spark):
+def grams_of(text):
+    return toxicity.word_grams(toxicity.words_of((text or "").encode()))[0].tolist()
+
+
+def test_word_grams_equal_brute_force():
+    text = "Été a1b22 x-y longerwordthanorder q"
+    words = toxicity.words_of(text.encode())
+    want = []
+    for w in words:
+        symbols = [int(toxicity.SYMBOL[b]) for b in w] + [0]
+        for i in range(len(symbols)):
+            last = ([0] * toxicity.ORDER + symbols[: i + 1])[-toxicity.ORDER :]
+            want.append(sum(x << toxicity.BITS * k for k, x in enumerate(reversed(last))))
+    gram, letters = toxicity.word_grams(words)
+    assert gram.tolist() == want and letters.tolist() == [len(w) for w in words]
+    assert toxicity.word_grams([])[0].tolist() == []
+
+
+def test_toxicity_ratios_equal_brute_force(spark):
     rng = random.Random(12)
-    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 9))) for _ in range(30)) for _ in range(40)] + [None, "", "rarest zq"]
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 11))) for _ in range(20)) for _ in range(30)] + [None, "", "rarest zq"]
     rows = [(t, int(i % 3 == 0), i % 2) for i, t in enumerate(texts)]
     counts = toxicity.gram_counts(spark.createDataFrame(rows, "text string, label int, fold int"))
     n = {m: (Counter(), Counter()) for m in (0, 1, 2)}
     for t, label, fold in rows:
         for m in (fold, 2):
-            n[m][label].update(toxicity.letter_grams((t or "").encode()).tolist())
+            n[m][label].update(grams_of(t))
     got = {r["gram"]: tuple(r[c] for c in toxicity.COUNTS) for r in counts.collect()}
     assert got == {g: tuple(n[k][y][g] for k in (0, 1) for y in (0, 1)) for g in n[2][0] | n[2][1]}
+    bits, low = toxicity.BITS, lambda k: (1 << toxicity.BITS * k) - 1
+    symbols = sorted({g & low(1) for g in n[2][0] | n[2][1]})
 
     def continuations(grams):
         sets = {toxicity.ORDER: set(grams)}
         for k in range(toxicity.ORDER - 1, 0, -1):
-            sets[k] = {g & ((1 << 8 * k) - 1) for g in sets[k + 1]}
-        return {k: Counter(g & ((1 << 8 * k) - 1) for g in sets[k + 1]) for k in range(1, toxicity.ORDER)}
+            sets[k] = {g & low(k) for g in sets[k + 1]}
+        return {k: Counter(g & low(k) for g in sets[k + 1]) for k in range(1, toxicity.ORDER)}
 
     def shared(g, k):
-        g &= (1 << 8 * k) - 1
+        g &= low(k)
         if k == 1:
-            return max(cont[1][g], 1e-6) / sum(cont[1].values())  # cancels out for a byte never seen
-        near = [c for h, c in cont[k].items() if h >> 8 == g >> 8]
+            return max(cont[1][g], 1e-6) / sum(cont[1].values())  # cancels out for a symbol never seen
+        near = [c for h, c in cont[k].items() if h >> bits == g >> bits]
         if not near:
             return shared(g, k - 1)
         return (max(cont[k][g] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(near) * shared(g, k - 1)) / sum(near)
 
-    def log_p(g, of):
-        near = [c for h, c in of.items() if h >> 8 == g >> 8 and c]
+    def p(g, of):
+        near = [c for h, c in of.items() if h >> bits == g >> bits and c]
         back = toxicity.DISCOUNT * len(near) + toxicity.BACKOFF
-        return math.log((max(of[g] - toxicity.DISCOUNT, 0) + back * shared(g, toxicity.ORDER - 1)) / (sum(near) + toxicity.BACKOFF))
+        return (max(of[g] - toxicity.DISCOUNT, 0) + back * shared(g, toxicity.ORDER - 1)) / (sum(near) + toxicity.BACKOFF)
 
     # Groups seen, those of a word of one document alone, unseen ones after seen contexts, and after new ones.
-    grams = {g for t in [texts[0], "rarest abz aaaaaaz zabcab"] for g in toxicity.letter_grams(t.encode()).tolist()}
-    given = spark.createDataFrame([(m, g) for m in n for g in grams], "model int, gram long")
-    ratio = {(r["model"], r["gram"]): r["ratio"] / toxicity.SCALE for r in toxicity.gram_ratios(given, toxicity.log_ratios(counts)).collect()}
+    new = ["rarest", "abz", "aaaaaaz", "zabcab", *texts[0].split()]
+    table = {r["gram"]: (r["m0"], r["m1"], r["m2"]) for r in toxicity.log_ratios(counts).collect()}
     for m, (ordinary, toxic) in n.items():
         cont = continuations(ordinary | toxic)
-        assert all(abs(ratio[m, g] - (log_p(g, toxic) - log_p(g, ordinary))) < 1e-6 for g in grams)
-    abz = toxicity.letter_grams(b"abz").tolist()[3]
-    assert abz not in n[2][0] | n[2][1] and ratio[2, abz] != 0
+        some = sorted(ordinary | toxic)[::40]
+        assert all(abs(sum(p(g & ~low(1) | x, c) for x in symbols) - 1) < 1e-4 for g in some for c in (ordinary, toxic) if any(h >> bits == g >> bits for h in ordinary | toxic))
+        ratios = toxicity.Ratios(np.array(list(table), np.int64), np.array([v[m] for v in table.values()]))
+        for w in new:
+            want = sum(math.log(p(g, toxic) / p(g, ordinary)) for g in grams_of(w))
+            ratio, letters = ratios.of_words(toxicity.words_of(w.encode()))
+            assert abs(ratio[0] - want) < 1e-4 and letters[0] == len(w.encode())
+    abz = grams_of("abz")[2]
+    assert abz not in table and table[abz | toxicity.OTHER][2] != 0
+
+
+def test_toxicity_joined_equals_broadcast(spark):
+    docs, labels = queries.read(spark, "/root/testdata/sf0.01", "documents").limit(150), queries.read(spark, "/root/testdata/sf0.01", "labels")
+    docs = docs.unionByName(docs_of(spark, AWKWARD).select(docs.columns))
+    model = toxicity.train(docs, labels)
+    fields = [toxicity.T.StructField(c, toxicity.T.DoubleType()) for c in "abc"]
+    a, b = ([tuple(r) for r in toxicity.judged(docs, model.ratios, model.rows, fields, lambda x: list(x.T), most=most).select("doc_id", "text", *"abc").collect()] for most in (10**9, 0))
+    assert Counter(a) == Counter(b) and any(r[2] for r in a)
+    training = [Counter(map(tuple, labelled.training_documents(docs, labels, "toxic", 4, 2, most=most).collect())) for most in (10**9, 0)]
+    assert training[0] == training[1] and training[0]
 
 
 # --- 9 sharding ---
