@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,9 +14,11 @@ from .components import connected_components
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
-#: Rows of one block group that a task compares at once; larger groups are dealt out as pairs of chunks.
+#: Rows of one group of the index that a task searches at once.
 GROUP_CAP = 32_768
 FANOUT = 16
+#: Fingerprints that go down the index together.
+ASKED = 256
 
 
 def fingerprint_words(words: list[bytes], k: int = SHINGLE, seed: int = SEED) -> int:
@@ -64,13 +66,15 @@ class GrayIndex:
     """Fingerprints sorted by Gray rank; each upper node keeps the bits that all fingerprints below it share.
 
     ``mask`` has the shared bit positions of a node and ``pattern`` their values. The differences between a query and
-    the pattern under the mask accumulate on the way down, so that a node beyond the limit drops its whole group.
+    the pattern under the mask accumulate on the way down, so that a node beyond the limit drops its whole group; one
+    that differs in the ``head`` bits drops it at once. ``visited`` and ``pruned`` count nodes.
     """
 
     def __init__(self, x: np.ndarray, fanout: int = FANOUT):
         self.order = np.argsort(gray_rank(x), kind="stable")
         self.leaf = x[self.order]
         self.fanout = fanout
+        self.visited = self.pruned = 0
         every, some = self.leaf, self.leaf
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         while len(every) > fanout:
@@ -80,19 +84,24 @@ class GrayIndex:
             self.levels.append((mask, every & mask))
         self.levels.reverse()
 
-    def within(self, q: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-        """(index into q, index into x) of all pairs at ``bits`` differing bits or fewer."""
+    def within(self, q: np.ndarray, bits: int = MAX_BITS, head: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(index into q, index into x) of all pairs at ``bits`` differing bits or fewer, none of them in ``head``."""
         n_top = len(self.levels[0][0]) if self.levels else len(self.leaf)
         qi = np.repeat(np.arange(len(q)), n_top)
         node = np.tile(np.arange(n_top), len(q))
+        head = np.uint64(head)
         for depth, (mask, pattern) in enumerate(self.levels):
-            near = np.bitwise_count((q[qi] ^ pattern[node]) & mask[node]) <= bits
+            differ = (q[qi] ^ pattern[node]) & mask[node]
+            near = (np.bitwise_count(differ) <= bits) & (differ & head == 0)
+            self.visited += len(near)
+            self.pruned += len(near) - int(near.sum())
             qi, node = qi[near], node[near]
             below = len(self.levels[depth + 1][0]) if depth + 1 < len(self.levels) else len(self.leaf)
             child = node[:, None] * self.fanout + np.arange(self.fanout)
             real = child < below
             qi, node = np.broadcast_to(qi[:, None], child.shape)[real], child[real]
-        near = np.bitwise_count(q[qi] ^ self.leaf[node]) <= bits
+        differ = q[qi] ^ self.leaf[node]
+        near = (np.bitwise_count(differ) <= bits) & (differ & head == 0)
         return qi[near], self.order[node[near]]
 
 
@@ -112,96 +121,137 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def _group_classes(x: np.ndarray, side: np.ndarray | None, bits: int) -> np.ndarray:
-    """Class label of each of the fingerprints; with ``side``, only pairs between the sides 0 and 1 count."""
+def _blocks(bits: int) -> list[tuple[int, int]]:
+    """(first bit from the top, width) of bits + 1 blocks: of a pair within ``bits``, one block is equal."""
+    edges = [round(64 * i / (bits + 1)) for i in range(bits + 2)]
+    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
+
+
+def _star(t: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one group, a star per class: inside it, or, for a pair of groups, between its sides 0 and 1."""
+    table, side = t.column("table").to_numpy(), t.column("side").to_numpy()
+    x, node = t.column("x").to_numpy().view(np.uint64), t.column("node").to_numpy()
     label = np.arange(len(x))
-    rows, other = (np.arange(len(x)),) * 2 if side is None else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    if not len(rows) or not len(other):
-        return label
-    index = GrayIndex(x[other])
-    rows = rows[np.argsort(gray_rank(x[rows]), kind="stable")]
-    for i in range(0, len(rows), 128):
-        part = rows[i : i + 128]
-        qi, xi = index.within(x[part], bits)
-        label = _merge(label, part[qi], other[xi])
-    return label
-
-
-def _links_of(t: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside all groups of a table that is sorted by (cell, chunk_a, chunk_b), one per member and class at most."""
-    cell, ca, cb, side = (t.column(c).to_numpy() for c in ("cell", "chunk_a", "chunk_b", "side"))
-    fp, rep = t.column("fp").to_numpy().view(np.uint64), t.column("rep").to_numpy()
-    new = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])])
-    size = np.diff(np.r_[new, len(cell)])
-    group = np.repeat(np.arange(len(new)), size)
-    small = (size <= 48) & (ca[new] == cb[new])
-    us, vs = [], []
-    # Small groups of all the table at once: every row against the d-th row after it.
-    rows = np.flatnonzero(small[group] & (size[group] > 1))
-    label = np.arange(len(cell))
-    for d in range(1, int(size[small].max(initial=1))):
-        a = rows[rows + d < len(group)]
-        a = a[group[a + d] == group[a]]
-        if not len(a):
-            break
-        near = np.bitwise_count(fp[a] ^ fp[a + d]) <= bits
-        label = _merge(label, a[near], a[near] + d)
-    for g in np.flatnonzero(~small):
-        at = slice(new[g], new[g] + size[g])
-        label[at] = new[g] + _group_classes(fp[at], None if ca[new[g]] == cb[new[g]] else side[at], bits)
+    for k, (_, width) in enumerate(_blocks(bits)):
+        asked, stored = np.flatnonzero((table == k) & (side == 0)), np.flatnonzero((table == k) & (side == 1))
+        stored = asked if t.column("a")[0] == t.column("b")[0] else stored
+        if not len(asked) or not len(stored):
+            continue
+        index = GrayIndex(x[stored])
+        head = ((1 << width) - 1) << (64 - width)
+        asked = asked[np.argsort(gray_rank(x[asked]), kind="stable")]
+        for i in range(0, len(asked), ASKED):
+            q = asked[i : i + ASKED]
+            qi, xi = index.within(x[q], bits, head)
+            label = _merge(label, q[qi], stored[xi])
     linked = np.flatnonzero(label != np.arange(len(label)))
-    us.append(rep[linked])
-    vs.append(rep[label[linked]])
-    return np.concatenate(us), np.concatenate(vs)
+    return node[linked], node[label[linked]]
+
+
+def _rank(x: Column) -> Column:
+    """The Gray rank of a long's bits, as a long that sorts like it."""
+    for s in (1, 2, 4, 8, 16, 32):
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, s))
+    return x.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def gray_table(fps: DataFrame, bits: int = MAX_BITS, cap: int = GROUP_CAP) -> DataFrame:
+    """The index over a table of distinct ``fp``: (node, table, x, head, rank, group), kept, so that groups stay as they are.
+
+    Table i has the fingerprints turned so that block i leads, in Gray order: those with an equal block lie next to
+    each other. Ranges of that order, of about ``cap`` rows each, are the groups. Ranks are distinct in a table, so any
+    number of fingerprints that are much alike is cut evenly.
+    """
+    turned = []
+    for k, (lo, width) in enumerate(_blocks(bits)):
+        x = F.shiftleft("fp", lo).bitwiseOR(F.shiftrightunsigned("fp", 64 - lo)) if lo else F.col("fp")
+        turned.append(F.struct(F.lit(k).alias("table"), x.alias("x"), F.shiftrightunsigned(x, 64 - width).alias("head"), _rank(x).alias("rank")))
+    rows = fps.select(F.col("fp").alias("node"), F.explode(F.array(*turned)).alias("t")).select("node", "t.*")
+    groups = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() * (bits + 1) // cap))
+    return checkpointed(rows.repartitionByRange(groups, "table", "rank").withColumn("group", F.spark_partition_id()))
 
 
-def fingerprint_links(classes: DataFrame, bits: int = MAX_BITS, cap: int = GROUP_CAP) -> DataFrame:
-    """Links (u, v) between the ``rep`` of distinct ``fp`` that keep all fingerprints within ``bits`` connected.
+def group_pairs(index: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """(table, head, group, other, mask, pattern): which groups a block's fingerprints must still be sought in.
 
-    Of bits + 1 blocks of a fingerprint, one at least is equal in both of a pair, so that rows meet in a cell per
-    block; inside a cell the Gray-order index finds the pairs, and of its classes a star is kept, never all pairs. A
-    cell of over ``cap`` rows is split into chunks by hash, and each pair of chunks is a task group of its own.
+    A block whose fingerprints fill several groups (of the at most (bits + 1) * 2**16 blocks those at the groups' ends)
+    pairs these groups. Each group is an upper node with the bits that all below it share; pairs of nodes whose shared
+    bits differ too often are dropped whole. mask and pattern are the other node's.
+    """
+    shared = index.groupBy("group").agg(F.bit_and("x").alias("every"), F.bit_or("x").alias("some"))
+    nodes = shared.select("group", F.col("every").bitwiseOR(F.bitwise_not("some")).alias("mask"), "every").withColumn("pattern", F.col("every").bitwiseAND(F.col("mask"))).drop("every")
+    wide = index.groupBy("table", "head").agg(F.min("group").alias("first"), F.max("group").alias("last")).where("first < last")
+    each = F.sequence("first", "last")
+    pairs = wide.select("table", "head", F.explode(each).alias("group"), "first", "last").select("table", "head", "group", F.explode(each).alias("other")).where("group <> other")
+    own = nodes.select("group", F.col("mask").alias("own_mask"), F.col("pattern").alias("own_pattern"))
+    met = pairs.join(own, "group").join(nodes.withColumnRenamed("group", "other"), "other")
+    apart = F.bit_count(F.col("own_pattern").bitwiseXOR(F.col("pattern")).bitwiseAND(F.col("own_mask")).bitwiseAND(F.col("mask")))
+    return met.where(apart <= bits).select("table", "head", "group", "other", "mask", "pattern")
+
+
+def fingerprint_links(fps: DataFrame, bits: int = MAX_BITS, cap: int = GROUP_CAP) -> DataFrame:
+    """Links (u, v) between distinct ``fp`` that keep all fingerprints within ``bits`` connected.
+
+    Every group of the Gray-order index is searched by its own rows, and by those rows of other groups that share a
+    block with rows of it and that its node does not prune. Of the classes found a star is kept, never all pairs.
     """
-    n_blocks = bits + 1
-    edges = [round(64 * i / n_blocks) for i in range(n_blocks + 1)]
-    cells = [F.struct(F.lit(i).alias("b"), F.shiftrightunsigned(F.shiftleft("fp", 64 - hi), 64 - hi + lo).alias("key")) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))]
-    rows = classes.where("rep is not null").select("fp", "rep", F.explode(F.array(*cells)).alias("c"))
-    width = max(hi - lo for lo, hi in zip(edges, edges[1:]))
-    rows = rows.select("fp", "rep", (F.col("c.key") + F.col("c.b") * F.lit(1 << width if width < 60 else 1)).alias("cell"))
-    hot = rows.groupBy("cell").count().where(F.col("count") > cap).select("cell", F.ceil(F.col("count") / cap).cast("int").alias("chunks"))
-    dealt = rows.join(hot, "cell", "left").withColumn("chunk", F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("chunks"))).cast("int"))
-    other = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.withColumn("other", other).select("cell", F.least("chunk", "other").alias("chunk_a"), F.greatest("chunk", "other").alias("chunk_b"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "fp", "rep")
-    keys = ["cell", "chunk_a", "chunk_b"]
+    index = gray_table(fps, bits, cap)
+    columns = ["table", "x", "node", "rank"]
+    home = index.select(F.col("group").alias("a"), F.col("group").alias("b"), F.lit(0).alias("side"), *columns)
+    sent = index.join(group_pairs(index, bits), ["table", "head", "group"]).where(F.bit_count(F.col("x").bitwiseXOR(F.col("pattern")).bitwiseAND(F.col("mask"))) <= bits)
+    sent = sent.select(F.least("group", "other").alias("a"), F.greatest("group", "other").alias("b"), (F.col("group") > F.col("other")).cast("int").alias("side"), *columns)
+    keys = ["a", "b"]
 
     def run(batches):
         for t in sorted_groups(batches, keys):
-            u, v = _links_of(t, bits)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            # A table may hold several groups, each of them whole.
+            a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
+            cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            for lo, hi in zip(cut, np.r_[cut[1:], len(a)]):
+                u, v = _star(t.slice(lo, hi - lo).combine_chunks(), bits)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return home.unionByName(sent).repartition(*keys).sortWithinPartitions(*keys, "table", "rank").mapInArrow(run, "u long, v long")
+
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
+def _grouped(fps: DataFrame, bits: int, cap: int) -> DataFrame:
+    """``fps`` (doc_id, fp, ..) with group, a fingerprint that names the component, and component_id, its smallest id."""
+    classes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    found = checkpointed(connected_components(fingerprint_links(classes.select("fp"), bits, cap)))
+    least = found.join(classes, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("rep").alias("least"))
+    members = found.join(least, "component").select("node", "component", "least")
+    known = classes.join(members, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("component", "fp").alias("group"), F.coalesce("least", "rep").alias("component_id"))
+    return fps.join(known, F.col("fp") == F.col("of")).drop("of")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS, cap: int = GROUP_CAP) -> DataFrame:
     """One row (doc_id, fp, component_id) per document; component_id is the smallest id reachable over links.
 
     Null and empty texts have fingerprint 0 and link like any other; repeated rows give repeated results; rows whose
-    id is null belong to the component of their fingerprint. Equal fingerprints are one class, compared once.
+    id is null belong to the component of their fingerprint, whose id is null if no member has one. Equal fingerprints
+    are one class, compared once; texts may be of any length; other columns are not read; an empty table gives no rows.
     """
     fps = checkpointed(fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "fp"))
-    classes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = connected_components(fingerprint_links(classes, bits, cap))
-    known = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(known, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    return _grouped(fps, bits, cap).select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(col: str):
     return F.lpad(F.lower(F.hex(col)), 16, "0")
 
 
-def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the smallest id of each group; of rows that repeat an id, one; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS, cap: int = GROUP_CAP) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates: the first by id (null last), then by a hash of the row.
+
+    Rows that repeat an id with different texts are documents of their own; of wholly equal rows one stays. Null and
+    empty texts are one group. All columns stay as they are, whatever their names.
+    """
+    row_id = F.col(f"`{id_col}`").cast("long")
+    row = F.xxhash64(*[f"`{f.name}`" for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    fps = checkpointed(fingerprints(docs.select(row_id.alias("doc_id"), F.col(f"`{text_col}`").alias("text"), row.alias("row"))).select("doc_id", "row", "fp"))
+    first = _grouped(fps, bits, cap).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("k"))
+    keep = first.select(F.col("k.doc_id").alias("id"), F.col("k.row").alias("row"))
+    whole = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("d"), row_id.alias("id"), row.alias("row"))
+    kept = whole.alias("w").join(keep.alias("k"), F.col("w.id").eqNullSafe(F.col("k.id")) & (F.col("w.row") == F.col("k.row")), "left_semi")
+    if fps.groupBy("doc_id", "row").count().where("count > 1").take(1):
+        kept = kept.dropDuplicates(["id", "row"])
+    return kept.select("d.*")

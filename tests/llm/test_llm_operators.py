@@ -107,25 +107,49 @@ def test_fingerprint_links_on_tight_groups(spark):
     seeds = [rng.getrandbits(64) for _ in range(20)]
     fps = list({s ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))) for s in seeds for _ in range(60)})
     want = union_find(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3])
-    rows = [(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)]
-    df = spark.createDataFrame(rows, "fp long, rep long")
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
     for cap in (10_000, 25):
         got = {r["node"]: r["component"] for r in connected_components(simhash.fingerprint_links(df, cap=cap)).collect()}
-        assert [got.get(i, i) for i in range(len(fps))] == want
+        mine = [got.get(f, f) for f in signed]
+        assert len(set(zip(mine, want))) == len(set(mine)) == len(set(want))
+
+
+def test_fingerprint_links_with_other_limits(spark):
+    rng = random.Random(13)
+    fps = list({rng.getrandbits(64) & 0xFF00FF00FF ^ rng.getrandbits(64) & rng.getrandbits(64) & 7 for _ in range(120)})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for bits in (0, 1, 2, 5):
+        want = union_find(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= bits])
+        got = {r["node"]: r["component"] for r in connected_components(simhash.fingerprint_links(df, bits=bits, cap=30)).collect()}
+        mine = [got.get(f, f) for f in fps]
+        assert len(set(zip(mine, want))) == len(set(mine)) == len(set(want))
 
 
 def test_gray_index_finds_all_within():
     rng = np.random.default_rng(4)
     x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
     q = x[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
-    a, b = simhash.GrayIndex(x).within(q)
-    assert {(i, j) for i, j in zip(a, b)} == {(i, j) for i, j in zip(*np.nonzero(np.bitwise_count(q[:, None] ^ x) <= 3))}
-
-
-def test_one_per_group_keeps_columns_and_null_ids(spark):
-    rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (3, "quite another text"), (None, "a b c d")]
-    got = simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"] or -1, r["text"]) for r in got) == [(-1, "a b c d"), (1, "a b c d"), (3, "quite another text")]
+    index = simhash.GrayIndex(x)
+    a, b = index.within(q)
+    assert index.pruned > 0.4 * index.visited
+    near = np.bitwise_count(q[:, None] ^ x) <= 3
+    assert {(i, j) for i, j in zip(a, b)} == {(i, j) for i, j in zip(*np.nonzero(near))}
+    index, head = simhash.GrayIndex(x), 0xFFFF << 48
+    a, b = index.within(q, head=head)
+    same = (q[:, None] ^ x) & np.uint64(head) == 0
+    assert {(i, j) for i, j in zip(a, b)} == {(i, j) for i, j in zip(*np.nonzero(near & same))} and index.visited < 32 * len(q)
+
+
+def test_one_per_group_keeps_every_text(spark):
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "x"), (1, "zz yy xx ww", "x"), (2, "a b c d", "y"), (3, "quite another text", None), (None, "a b c d", "x"), (None, "no id here", "x"), (None, "no id here", "x"), (4, None, "x"), (5, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumn("`odd name`", F.lit(1)).withColumn("d", F.array(F.lit(1)))
+    got = simhash.one_per_group(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got.collect()) == [(-1, "no id here"), (1, "a b c d"), (1, "zz yy xx ww"), (3, "quite another text"), (4, None)]
+    assert simhash.one_per_group(df.limit(0)).collect() == []
+    ids = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()}
+    assert ids == {(1, 1), (2, 1), (3, 3), (None, 1), (None, None), (4, 4), (5, 4)}
 
 
 def test_components_of_a_chain_and_a_hub(spark):
