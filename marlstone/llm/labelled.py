@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_folder
+from .common import kept
 
 #: Labels (three numbers each) that are broadcast to the texts.
 BROADCAST_LABELS = 1_000_000
@@ -36,9 +34,7 @@ def training_documents(docs: DataFrame, labels: DataFrame, label_col: str, modul
     The labels are written first and counted: at most ``most`` of them are broadcast, more are joined with the texts
     by a shuffle of both.
     """
-    path = f"{shared_folder(docs.sparkSession)}/labels-{uuid.uuid4().hex}"
-    known_labels(labels, label_col, modulus, held_out, id_col).select("id", "label", "fold").write.parquet(path)
-    known = docs.sparkSession.read.parquet(path)
+    known = kept(known_labels(labels, label_col, modulus, held_out, id_col).select("id", "label", "fold"), "labels")
     known = F.broadcast(known) if known.count() <= most else known
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(id_remainder("id", modulus) != held_out)
     return texts.join(known, "id").select("text", "label", "fold")
@@ -51,9 +47,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus:
     """
     known = known_labels(labels, label_col, modulus, held_out, id_col, seed)
     chosen = [known.where(F.col("label") == c).orderBy("h", "id").limit(per_class) for c in (0, 1)]
-    chosen = checkpointed(chosen[0].unionByName(chosen[1]).select("id", "label", "fold"))
+    chosen = kept(chosen[0].unionByName(chosen[1]).select("id", "label", "fold"), "chosen")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return checkpointed(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label", "fold"))
+    return kept(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label", "fold"), "sample")
 
 
 class Logistic:

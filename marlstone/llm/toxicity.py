@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import append_columns, checkpointed, text_slices, without
+from .common import append_columns, kept, text_slices, without
 from .labelled import Logistic, class_share, id_remainder, training_documents, training_sample
 
 #: Symbols of a letter group; a symbol has BITS bits.
@@ -68,11 +68,7 @@ def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_counts(training: DataFrame) -> DataFrame:
-    """(gram, pair, ordinary_0, toxic_0, ordinary_1, toxic_1): how often each letter group stands in the labelled documents, per fold.
-
-    Groups lie by ``pair``, the two symbols before their last: a task holds all groups of the contexts it holds, and
-    all groups that end like one of them in three symbols or more.
-    """
+    """(gram, ordinary_0, toxic_0, ordinary_1, toxic_1): how often each letter group stands in the labelled documents, per fold."""
 
     def count(batches):
         held: list[Counter] = [Counter() for _ in COUNTS]
@@ -90,7 +86,7 @@ def gram_counts(training: DataFrame) -> DataFrame:
                 kind, n = np.concatenate(kinds), np.concatenate(ns)
                 gram, at = np.unique(np.concatenate(grams), return_inverse=True)
                 counts = [np.bincount(at[kind == k], n[kind == k], len(gram)).astype(np.int64) for k in range(len(COUNTS))]
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(gram >> BITS & LOW[2]), *map(pa.array, counts)], names=["gram", "pair", *COUNTS])
+                yield pa.RecordBatch.from_arrays([pa.array(gram), *map(pa.array, counts)], names=["gram", *COUNTS])
 
         for b in (part for whole in batches for part in text_slices(whole, 0)):
             for t, label, fold in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column("label").to_pylist(), b.column("fold").to_pylist()):
@@ -99,37 +95,37 @@ def gram_counts(training: DataFrame) -> DataFrame:
                 yield from rows()
         yield from rows()
 
-    schema = "gram long, pair long, " + ", ".join(f"{c} long" for c in COUNTS)
-    return training.mapInArrow(count, schema).groupBy("gram", "pair").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    schema = "gram long, " + ", ".join(f"{c} long" for c in COUNTS)
+    return training.mapInArrow(count, schema).groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
-def _last_two(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per model, the pairs of last symbols, sorted, with the Kneser-Ney probability of the second: at most 4,096 of them."""
+def _last_three(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per model, the triples of last symbols, sorted, with the Kneser-Ney probability of the third: at most 2**18 of them."""
     folds = [F.col(f"ordinary_{k}") + F.col(f"toxic_{k}") for k in (0, 1)]
     seen = [*folds, folds[0] + folds[1]]
-    three = counts.groupBy(F.col("gram").bitwiseAND(int(LOW[3])).alias("gram")).agg(*[F.max((m > 0).cast("int")).alias(f"m{i}") for i, m in enumerate(seen)])
-    got = three.groupBy(F.col("gram").bitwiseAND(int(LOW[2])).alias("gram")).agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(3)]).toArrow().sort_by("gram")
+    four = counts.groupBy(F.col("gram").bitwiseAND(int(LOW[4])).alias("gram")).agg(*[F.max((m > 0).cast("int")).alias(f"m{i}") for i, m in enumerate(seen)])
+    got = four.groupBy(F.col("gram").bitwiseAND(int(LOW[3])).alias("gram")).agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(3)]).toArrow().sort_by("gram")
     gram, out = got.column("gram").to_numpy(), []
     for i in range(3):
         n = got.column(f"m{i}").to_numpy().astype(np.float64)
-        out.append((gram[n > 0], _shared(gram[n > 0], n[n > 0], 2, None)))
+        out.append((gram[n > 0], _shared(gram[n > 0], n[n > 0], 3, None)))
     return out
 
 
-def _shared(gram: np.ndarray, count: np.ndarray, order: int, two: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+def _shared(gram: np.ndarray, count: np.ndarray, order: int, three: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
     """Interpolated Kneser-Ney probability of the last symbol of each group after the ones before it, classes pooled."""
     if order == 1:
         return count / count.sum()
-    if order == 2 and two is not None:
-        return two[1][np.searchsorted(two[0], gram)]
+    if order == 3 and three is not None:
+        return three[1][np.searchsorted(three[0], gram)]
     _, ctx = np.unique(gram >> BITS, return_inverse=True)
     total, kinds = np.bincount(ctx, count), np.bincount(ctx)
     shorter, at = np.unique(gram & LOW[order - 1], return_inverse=True)
-    below = _shared(shorter, np.bincount(at).astype(np.float64), order - 1, two)[at]  # continuation counts
+    below = _shared(shorter, np.bincount(at).astype(np.float64), order - 1, three)[at]  # continuation counts
     return (np.maximum(count - DISCOUNT, 0) + DISCOUNT * kinds[ctx] * below) / total[ctx]
 
 
-def _log_ratios(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, two) -> tuple[np.ndarray, np.ndarray]:
+def _log_ratios(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, three) -> tuple[np.ndarray, np.ndarray]:
     """log p(symbol | symbols before, toxic) - log p(symbol | symbols before, ordinary) of each group, and of any group unseen after its context.
 
     Both classes back off to one distribution, from the pooled continuation counts of shorter groups, so that a rare
@@ -137,7 +133,7 @@ def _log_ratios(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, two)
     the weights that the classes give it are left; after an unseen context they are equal, and the ratio is 0.
     """
     shorter, at = np.unique(gram & LOW[ORDER - 1], return_inverse=True)
-    below = _shared(shorter, np.bincount(at).astype(np.float64), ORDER - 1, two)[at]
+    below = _shared(shorter, np.bincount(at).astype(np.float64), ORDER - 1, three)[at]
     _, ctx = np.unique(gram >> BITS, return_inverse=True)
 
     def of(count):
@@ -151,9 +147,10 @@ def log_ratios(counts: DataFrame) -> DataFrame:
     """(gram, m0, m1, m2): the log ratios of the groups seen, and per context that of all others, in units of 1 / SCALE.
 
     Models 0 and 1 know one fold, model 2 both. The row of a context's other groups has OTHER as its last symbol. A
-    group without a row stands after a context without one, and has ratio 0.
+    group without a row stands after a context without one, and has ratio 0. Groups lie by the three symbols before
+    their last: a task holds all groups of its contexts, and all that end like one of them in four symbols or more.
     """
-    two = _last_two(counts)
+    three = _last_three(counts)
     parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.count() // HELD_GRAMS)
 
     def ratios(batches):
@@ -168,14 +165,14 @@ def log_ratios(counts: DataFrame) -> DataFrame:
         unseen, each = np.zeros((3, len(start)), np.int32), []
         for m, (o, t) in enumerate(((o0, t0), (o1, t1), (o0 + o1, t0 + t1))):
             has = o + t > 0
-            seen, rest = (np.round(x * SCALE).astype(np.int32) for x in _log_ratios(gram[has], o[has], t[has], two[m])) if has.any() else (0, 0)
+            seen, rest = (np.round(x * SCALE).astype(np.int32) for x in _log_ratios(gram[has], o[has], t[has], three[m])) if has.any() else (0, 0)
             unseen[m, at[has]] = rest
             each.append(unseen[m, at])
             each[m][has] = seen
         key = np.r_[gram, gram[start] | OTHER]
         yield from pa.Table.from_arrays([pa.array(key), *(pa.array(np.r_[e, u]) for e, u in zip(each, unseen))], names=["gram", "m0", "m1", "m2"]).to_batches(10_000)
 
-    return counts.repartition(parts, "pair").mapInArrow(ratios, "gram long, m0 int, m1 int, m2 int")
+    return counts.repartition(parts, F.shiftright("gram", BITS).bitwiseAND(int(LOW[3]))).mapInArrow(ratios, "gram long, m0 int, m1 int, m2 int")
 
 
 class Ratios:
@@ -301,8 +298,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
     teaches. Without labels of both classes every score is the share of toxic labels (one half without any).
     """
     share = class_share(labels, "toxic", MODULUS, HELD_OUT)
-    counts = checkpointed(gram_counts(training_documents(docs, labels, "toxic", MODULUS, HELD_OUT)))
-    ratios = checkpointed(log_ratios(counts))
+    counts = kept(gram_counts(training_documents(docs, labels, "toxic", MODULUS, HELD_OUT)), "counts")
+    ratios = kept(log_ratios(counts), "ratios")
     rows = ratios.count()
     sample = training_sample(docs, labels, "toxic", MODULUS, HELD_OUT, per_class)
     fields = [T.StructField(c, T.DoubleType()) for c in "abc"]
