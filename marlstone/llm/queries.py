@@ -27,7 +27,16 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
     messages = given.unionByName(added)
-    return chat.digests(chat.conversations(messages.withColumn("content", chat.text_part(F.col("text")))))
+    return chat.digests(chat.conversations(messages.withColumn("content", chat.text_part(F.col("text"))))).drop("attachments_sha256")
+
+
+def chat_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations with an image or a recording before each text and a document after every third."""
+    m = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    media = chat.attachment_part(F.when(F.col("turn") % 2 == 0, "image").otherwise("audio"), F.concat("role", F.lit("/"), F.col("turn").cast("string")), F.length("text") % 7)
+    page = F.when(F.col("turn") % 3 == 0, chat.attachment_part(F.lit("document"), F.lit("page"), F.lit(None).cast("long")))
+    content = F.concat(F.array(media), chat.text_part(F.col("text")), F.array_compact(F.array(page)))
+    return chat.digests(chat.conversations(m.withColumn("content", content))).select("conv_id", "n_turns", "n_attachments", "expanded_tokens", "attachments_sha256", "formatted_chars")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +79,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, urls.rules_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_simhash_near_dedup, op3_embedding_near_dedup, op4_bpe_encoding_and_decoding, op5_quality_rules, op6_mixing_sources, op7_toxicity, op8_quality_classifier, op9_sharding, op10_url_filters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, chat_attachments, op2_simhash_near_dedup, op3_embedding_near_dedup, op4_bpe_encoding_and_decoding, op5_quality_rules, op6_mixing_sources, op7_toxicity, op8_quality_classifier, op9_sharding, op10_url_filters)}
 
 _URL = r"""
 with cut as (select page_id, case when url is null or instr(url, '://') = 0 then null else substr(url, instr(url, '://') + 3) end as rest from pages),
@@ -92,4 +101,15 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
        cast(sum(4 + length(role) + 2 + length(e) + 9) as bigint) as formatted_chars, cast(0 as bigint) as n_attachments, cast(0 as bigint) as expanded_tokens
 from esc group by conv_id""",
+    "chat_attachments": r"""
+with m as (select conv_id, turn, role, coalesce(text, '') as text, length(text) % 7 as units from conversations),
+esc as (select *, replace(replace(replace(replace(replace(text, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>'), '<|', '\<|'), '|>', '\|>') as e,
+        case when turn % 2 = 0 then 'image' else 'audio' end as kind, case when turn % 3 = 0 then 2 else 1 end as n from m),
+placed as (select *, sum(n) over (partition by conv_id order by turn) - n as first from esc),
+lines as (select *, cast(first as varchar) || ' ' || kind || ' ' || role || '/' || cast(turn as varchar) || chr(10) || case when n = 2 then cast(first + 1 as varchar) || ' document page' || chr(10) else '' end as refs,
+          length('<|' || kind || ':' || cast(first as varchar) || '|>') + case when n = 2 then length('<|document:' || cast(first + 1 as varchar) || '|>') else 0 end as marks from placed)
+select conv_id, count(*) as n_turns, cast(sum(n) as bigint) as n_attachments,
+       cast(sum(case when kind = 'image' then 256 else 25 end * greatest(1, coalesce(units, 1)) + case when n = 2 then 600 else 0 end) as bigint) as expanded_tokens,
+       sha256(string_agg(refs, '' order by turn)) as attachments_sha256, cast(sum(4 + length(role) + 2 + length(e) + marks + 9) as bigint) as formatted_chars
+from lines group by conv_id""",
 }

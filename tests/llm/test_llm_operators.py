@@ -3,12 +3,15 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.llm import bpe, chat, labelled, lattice, mixing, quality, queries, repetition, sharding, simhash, toxicity, urls
 from marlstone.llm.components import connected_components
@@ -76,6 +79,42 @@ def test_conversation_digests(spark):
     assert chat.digests(chat.conversations(df.limit(0))).collect() == []
 
 
+def test_attachments_are_numbered_over_the_conversation(spark):
+    rng = random.Random(17)
+    kinds = ["image", "audio", "document", "text", None, "video"]
+    rows = []
+    for conv, turn in [(1, t) for t in range(150)] + [(2, None)] * 60 + [(3, 5)] * 60 + [(None, 0), (4, 1)]:
+        parts = [None if rng.random() < 0.1 else (rng.choice(kinds), rng.choice([None, "", "t <|image:0|>"]), f"r{rng.random()}", rng.choice([None, 0, 3])) for _ in range(rng.randrange(4))]
+        rows.append((conv, turn, "assistant", None if rng.random() < 0.1 else parts, "x"))
+    rows += [(5, 1, "user", [("image", None, "same", 1)], "x")] * 40
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("content", T.ArrayType(chat.PART)), T.StructField("range", T.StringType())])).repartition(5)
+    chunks = chat.conversations(df, chunk=500).collect()
+    by = defaultdict(list)
+    for r in sorted(chunks, key=lambda r: r["chunk"]):
+        by[r["conv_id"]].append(r)
+    assert len(by[1]) > 3 and len(by[2]) > 1 and len(by[3]) > 1
+    for conv, strings in by.items():
+        want = Counter((p[0], p[2], chat.EXPANSION[p[0]] * max(1, p[3] or 1)) for c, _, _, parts, _ in rows if c == conv for p in parts or () if p and p[0] in chat.EXPANSION)
+        files = [a for r in strings for a in r["attachments"]]
+        assert [a["place"] for a in files] == list(range(len(files)))
+        assert Counter((a["type"], a["ref"], a["tokens"]) for a in files) == want
+        marks = re.findall(r"(?<!\\)<\|(\w+):(\d+)\|>", "".join(r["formatted"] for r in strings))
+        assert marks == [(a["type"], str(a["place"])) for a in files]
+        assert sum(len(list(chat.read_turns(r["formatted"]))) for r in strings) == sum(c == conv for c, *_ in rows)
+
+
+def test_attachments_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{SF}/conversations.parquet'")
+    for name in ("chat_attachments", "op1_chat_formatting"):
+        rows = queries.QUERIES[name](spark, SF)
+        cols = sorted(rows.columns)
+        got = con.execute(queries.ORACLES[name])
+        names = [d[0] for d in got.description]
+        assert sorted(names) == cols
+        assert sorted(tuple(r[c] for c in cols) for r in rows.collect()) == sorted(tuple(r[names.index(c)] for c in cols) for r in got.fetchall())
+
+
 # --- 2 SimHash ---
 
 
@@ -337,6 +376,37 @@ def test_classifiers(spark, module, query, label, modulus, rest):
     assert module.predictions(docs_of(spark, AWKWARD).limit(0), labels).collect() == []
 
 
+def test_quality_features_equal_brute_force():
+    import zstandard as zstd
+
+    rng = random.Random(15)
+    make = lambda alphabet, n: " ".join("".join(rng.choice(alphabet) for _ in range(5)) for _ in range(n)).encode()
+    dictionaries = [make("abcd", 300), make("wxyz", 300)]
+    model = quality.Compressors(*dictionaries)
+    for text in (make("abcdwxyz", 1), make("abcd", 3000), make("wxyz", 345), b"x" * 100_000):
+        n = max(1, (len(text) + 1024) // 2048)
+        pieces = [text[i * 2048 : (i + 1) * 2048 if i < n - 1 else len(text)] for i in range(n)]
+        assert b"".join(pieces) == text and quality.cut(text) == pieces
+        sizes = np.array([[len(zstd.ZstdCompressor(level=quality.LEVEL, dict_data=zstd.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(p)) for p in pieces] for d in dictionaries])
+        diff = (sizes[0] - sizes[1]) / sizes.sum(axis=0)
+        want = ((sizes[0] - sizes[1]).sum() / sizes.sum(), diff.max(), diff.min(), sizes.min(axis=0).sum() / len(text))
+        # A dictionary prepared beforehand may choose other matches: sizes differ by a few bytes.
+        assert np.allclose(model.features(text), want, atol=0.05)
+    assert model.features(dictionaries[0][:1500])[0] < -0.1 < 0.1 < model.features(dictionaries[1][:1500])[0]
+    assert model.features(b"") == (0.0,) * 4
+
+
+def test_calibration_equals_gradient_zero():
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(400, 2))
+    y = (x[:, 0] + rng.normal(size=400) > 0.5).astype(int)
+    model = labelled.Logistic(x, y, y.mean())
+    z = np.c_[(x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9), np.ones(400)]
+    pull = np.r_[np.full(2, 0.02 * 20), 1e-6]
+    assert np.abs(z.T @ (model(x) - y) + pull * np.r_[model.w[:-1], 0]).max() < 1e-3
+    assert ((model(x) > 0.5) == y).mean() > 0.7
+
+
 def grams_of(text):
     return toxicity.word_grams(toxicity.words_of((text or "").encode()))[0].tolist()
 
@@ -433,10 +503,48 @@ def test_shards(spark):
     assert set(size) == set(range(16)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     mean = sum(size.values()) / 16
     assert max(size.values()) <= 1.05 * mean and min(size.values()) >= 0.95 * mean
+    # Shards are in key order: equal texts are neighbours, unless a boundary cuts their group.
+    runs = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["shard"], r["slot"])):
+        if not runs[r["text_crc32"]] or runs[r["text_crc32"]][-1] != (r["shard"], r["slot"] - 1):
+            runs[r["text_crc32"]].append((r["shard"], r["slot"]))
+        else:
+            runs[r["text_crc32"]][-1] = (r["shard"], r["slot"])
+    assert all(len({s for s, _ in v}) == len(v) for v in runs.values())
     assert sharding.shard_by_bytes(docs_of(spark, texts).limit(0)).collect() == []
     assert len(sharding.shard_by_bytes(docs_of(spark, ["one"])).collect()) == 1
 
 
+def test_shards_cut_repeated_rows(spark):
+    rows = [(7, "the same row")] * 400 + [(None, None)] * 100 + [(i, f"text number {i} of many") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    size = Counter()
+    for r in sharding.shard_by_bytes(df).collect():
+        size[r["shard"]] += r["size"]
+    mean = sum(size.values()) / 16
+    assert len(size) == 16 and max(size.values()) <= mean + 40 and min(size.values()) >= mean - 40
+
+
+def test_splitters_equal_a_sort(spark):
+    rng = random.Random(14)
+    keys = [(rng.getrandbits(64) - (1 << 63) if rng.random() < 0.6 else 5 << 40 | rng.getrandbits(20), rng.randrange(1, 50)) for _ in range(3000)]
+    cuts = sharding.splitters(spark.createDataFrame(keys, "key long, size long"), 8, 0.001)
+    total = sum(s for _, s in keys)
+    for j, cut in enumerate(cuts, 1):
+        below = sum(s for k, s in keys if k % (1 << 64) < cut)
+        assert abs(below - total * j / 8) <= 50 + 0.01 * total / 8
+
+
+def test_write_shards(spark, tmp_path):
+    df = docs_of(spark, AWKWARD + ["copy"] * 20)
+    sharding.write_shards(df, f"{tmp_path}/out", 4)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(str, back.drop("shard").select(df.columns).collect())) == sorted(map(str, df.collect()))
+    assert {r["shard"] for r in back.select("shard").collect()} <= {0, 1, 2, 3}
+    with pytest.raises(ValueError):
+        sharding.write_shards(df.withColumn("SHARD", F.lit(1)), f"{tmp_path}/other", 4)
+
+
 # --- 10 URLs ---
 
 
