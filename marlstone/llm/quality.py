@@ -15,8 +15,7 @@ from .labelled import Logistic, class_share, id_remainder, training_sample
 PER_CLASS = 6000
 #: A text is compressed in pieces of so many bytes, all of them: a dictionary helps little beyond the first few KB.
 PIECE = 2048
-#: Pieces of each class that its dictionary is built from, and the bytes of a dictionary.
-PIECES = 12_000
+#: Bytes of a dictionary.
 DICTIONARY = 800_000
 LEVEL = 3
 THRESHOLD = 0.3
@@ -25,7 +24,9 @@ N_FEATURES = 4
 
 
 def cut(text: bytes) -> list[bytes]:
-    return [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
+    """The whole text in pieces; what would be less than half a piece at the end stays with the one before."""
+    n = max(1, (len(text) + PIECE // 2) // PIECE)
+    return [text[i * PIECE : (i + 1) * PIECE if i < n - 1 else None] for i in range(n)] if text else []
 
 
 class Compressors:
@@ -66,8 +67,7 @@ class Compressors:
         good, bad = (np.array([len(by[k](p)) for p in pieces], np.float64) for k in (0, 1))
         raw = np.array([len(p) for p in pieces], np.float64)
         diff = (good - bad) / (good + bad)
-        full = diff[raw >= min(PIECE, raw.max()) / 2]  # a short last piece says little
-        return float((good - bad).sum() / (good + bad).sum()), float(full.max()), float(full.min()), float(np.minimum(good, bad).sum() / raw.sum())
+        return float((good - bad).sum() / (good + bad).sum()), float(diff.max()), float(diff.min()), float(np.minimum(good, bad).sum() / raw.sum())
 
 
 class QualityModel:
@@ -78,8 +78,11 @@ class QualityModel:
         return self.calibration(np.array([self.compressors.features(t) for t in texts]).reshape(len(texts), N_FEATURES))
 
 
-def _dictionaries(sample: DataFrame, size: int, pieces: int) -> Compressors:
-    """Dictionaries from at most ``pieces`` pieces of each class, of the first fold, chosen by hash."""
+def _dictionaries(sample: DataFrame, size: int) -> Compressors:
+    """Dictionaries from all pieces of each class's documents in the first fold, in the order of a hash.
+
+    The trainer is a library call on one machine: what reaches it is bounded by the sample's documents.
+    """
     import zstandard as zstd
 
     def to_pieces(batches):
@@ -94,7 +97,7 @@ def _dictionaries(sample: DataFrame, size: int, pieces: int) -> Compressors:
     cuts = sample.where("fold = 0").mapInArrow(to_pieces, "doc_id long, label int, n long, piece binary")
     out = []
     for c in (1, 0):
-        rows = cuts.where(F.col("label") == c).orderBy(F.xxhash64("doc_id", "n"), "doc_id", "n").limit(pieces).select("piece").toArrow().column("piece").to_pylist()
+        rows = cuts.where(F.col("label") == c).orderBy(F.xxhash64("doc_id", "n"), "doc_id", "n").select("piece").toArrow().column("piece").to_pylist()
         total = sum(map(len, rows))
         try:
             raw = zstd.train_dictionary(min(size, max(1024, total // 8)), rows).as_bytes() if len(rows) >= 8 else b"".join(rows)[:size]
@@ -104,14 +107,14 @@ def _dictionaries(sample: DataFrame, size: int, pieces: int) -> Compressors:
     return Compressors(*out)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, size: int = DICTIONARY, pieces: int = PIECES) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, size: int = DICTIONARY) -> QualityModel:
     """Dictionaries from one half of the sample, the calibration from the other; both bounded by the parameters.
 
     Without labels of both classes every score is the share of good labels (one half without any).
     """
     share = class_share(labels, "quality", MODULUS, HELD_OUT)
     sample = training_sample(docs, labels, "quality", MODULUS, HELD_OUT, per_class)
-    compressors = _dictionaries(sample, size, pieces)
+    compressors = _dictionaries(sample, size)
     shared = sample.sparkSession.sparkContext.broadcast(compressors)
 
     def judge(batches):
@@ -120,6 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, size:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), *(pa.array(x[:, k]) for k in range(N_FEATURES))], names=["doc_id", "label", *"abcd"])
 
     got = sample.where("fold = 1").mapInArrow(judge, "doc_id long, label int, a double, b double, c double, d double").toArrow().sort_by([("doc_id", "ascending"), ("a", "ascending")])
+    shared.destroy()
     x = np.stack([got.column(c).to_numpy() for c in "abcd"], axis=1)
     return QualityModel(compressors, Logistic(x, got.column("label").to_numpy(), share))
 
@@ -134,7 +138,11 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str
 
 
 def predictions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row of ``docs``; repeated rows have equal results."""
+    """(doc_id, held_out, score, predicted) per row of ``docs``; repeated rows have equal results.
+
+    Null and empty texts score like a text without words; an empty table gives no rows; labels of ids that are not in
+    ``docs`` teach nothing; a null id is not held out by a remainder and its ``held_out`` is null.
+    """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scored = score(d, train(d, labels))
     return scored.select("doc_id", (id_remainder("doc_id", MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
