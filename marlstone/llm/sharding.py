@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed
+from .common import checkpointed, kept
 
 #: Bits of the key that one round of probes resolves between two candidate boundaries.
 PROBE_BITS = 10
@@ -14,8 +14,9 @@ PROBE_BITS = 10
 TOLERANCE = 0.002
 #: The same for splitters that leave groups of equal texts whole.
 WHOLE_TOLERANCE = 0.01
-#: Rows that the slots of one numbering group are counted over.
-SLOT_GROUP = 20_000
+#: Rows of one range of the final exchange, and ranges whose row counts are broadcast.
+RANGE = 500_000
+MOST_RANGES = 100_000
 
 
 def _u(key: int) -> int:
@@ -26,10 +27,13 @@ def _u(key: int) -> int:
 def sort_key(text: Column, row_id: Column) -> Column:
     """A long whose unsigned order puts equal texts next to each other and spreads each group over its low half.
 
-    The high half is a hash of the text, the low half a hash of the row's id, so that a group of any size can be cut.
+    The high half is a hash of the text, then come 20 bits of a hash of the row's id and 12 of its place in the table,
+    so that a group of any size can be cut, rows that repeat id and text included. The place decides only between
+    such rows, which are alike; keep the keys before they are used twice.
     """
     high = F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 32), 32)
-    return high.bitwiseOR(F.shiftrightunsigned(F.xxhash64(row_id, F.lit(1)), 32))
+    middle = F.shiftleft(F.shiftrightunsigned(F.xxhash64(row_id, F.lit(1)), 44), 12)
+    return high.bitwiseOR(middle).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id(), F.lit(2)), 52))
 
 
 def _step(width: int) -> int:
@@ -104,28 +108,35 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) per row; the bytes of the shards are near equal.
 
     size: UTF-8 bytes of the text plus 1, a null text counting as empty. Equal texts lie next to each other, so a
-    group of copies shares a shard unless a boundary must cut it to keep the bytes equal. slot numbers the rows of a
-    shard from 0 without gaps. Rows whose id and text repeat share a key and a shard; a null id is a value like any
-    other. An empty table has no rows. The keys are written once (three longs a row), histograms read only them, and
-    the rows are exchanged once, by shard and a piece of its key range.
+    group of copies shares a shard unless a boundary must cut it to keep the bytes equal; rows that repeat id and text
+    can be cut apart too. slot numbers the rows of a shard from 0 without gaps, in the order of the keys, so that the
+    table comes out sorted. A null id is a value like any other; other columns are not read; an empty table has no
+    rows. The keys are written once (four longs a row), histograms read only them, and the rows are exchanged once, by
+    ranges of the key inside the shards; a row's place in its range, and the rows of the ranges before, make its slot.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = checkpointed(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), sort_key(text, F.col(id_col)).alias("key")))
     cuts = splitters(keys, shards, tolerance)
-    n = keys.count()
-    pieces = max(1, -(-n // (shards * SLOT_GROUP)))
-    # Slots are counted in pieces of a shard, so that no task numbers a whole shard.
-    piece = F.pmod(F.xxhash64("key"), F.lit(pieces)).cast("int")
-    placed = keys.withColumn("shard", shard_of(F.col("key"), cuts).cast("int")).withColumn("piece", piece)
-    sizes = placed.groupBy("shard", "piece").agg(F.count("*").alias("rows"))
-    before = sizes.select("shard", "piece", (F.sum("rows").over(Window.partitionBy("shard").orderBy("piece")) - F.col("rows")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("key", "doc_id")) - 1
-    return placed.withColumn("rank", rank).join(F.broadcast(before) if pieces * shards <= 100_000 else before, ["shard", "piece"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write whole rows as one folder per shard, split like :func:`shard_by_bytes`; ``docs`` must have unique ids."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("__key", sort_key(text, F.col(id_col)))
-    cuts = splitters(checkpointed(keyed.select(F.col("__key").alias("key"), (F.octet_length(text) + 1).cast("long").alias("size"))), shards)
-    keyed.withColumn("shard", shard_of(F.col("__key"), cuts).cast("int")).repartition("shard", F.pmod("__key", F.lit(64))).drop("__key").write.partitionBy("shard").parquet(path)
+    order = ["shard", "at", "doc_id"]
+    placed = keys.select("doc_id", "size", "text_crc32", shard_of(F.col("key"), cuts).cast("int").alias("shard"), F.col("key").bitwiseXOR(F.lit(-(1 << 63))).alias("at"))
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // RANGE))
+    ranged = placed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).drop("at")
+    # The id that Spark counts up holds the partition above 33 bits and the place of the row in it below.
+    ranged = checkpointed(ranged.withColumn("place", F.monotonically_increasing_id())).withColumn("range", F.shiftright("place", 33))
+    sizes = ranged.groupBy("shard", "range").agg(F.count("*").alias("rows"), F.min("place").alias("first"))
+    before = F.sum("rows").over(Window.partitionBy("shard").orderBy("range")) - F.col("rows")
+    firsts = sizes.select("shard", "range", (before - F.col("first")).alias("shift"))
+    firsts = F.broadcast(firsts) if ranges <= MOST_RANGES else firsts
+    return ranged.join(firsts, ["shard", "range"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") + F.col("shift")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", name: str = "shard") -> None:
+    """Write whole rows as one folder ``name=k`` per shard, cut like :func:`shard_by_bytes`."""
+    if name.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"the documents have a column {name}: give the folders another name")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    row = F.struct(*[f"`{c}`" for c in docs.columns])
+    keyed = kept(docs.select(row.alias("row"), sort_key(text, F.col(f"`{id_col}`")).alias("key"), (F.octet_length(text) + 1).cast("long").alias("size")), "keyed")
+    cuts = splitters(keyed.select("key", "size"), shards)
+    dealt = keyed.withColumn(name, shard_of(F.col("key"), cuts).cast("int")).repartition(name, F.pmod("key", F.lit(64)))
+    dealt.select("row.*", name).write.partitionBy(name).parquet(path)
