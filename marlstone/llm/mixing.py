@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import append_columns, checkpointed, text_slices
+from .common import append_columns, kept, text_slices
 
 #: Words of a block, and blocks of an output shard.
 BLOCK = 64
@@ -18,8 +18,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2
 SEED = 6
-#: Documents that one task lays end to end.
+#: Documents that are laid end to end together, and places that a running total takes together.
 LAY = 1500
+WIDTH = 4096
 #: Full output shards that one task unfolds into slots.
 UNFOLD = 32
 
@@ -75,43 +76,77 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slots(targets: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """(shard, slot, sid, epoch, block): the output, one row per slot, and the block of its source that fills it.
+def running_total(df: DataFrame, by: list[str], place: str, value: str, out: str, width: int = WIDTH) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of the same ``by`` with a smaller ``place`` (whole numbers, distinct).
 
-    A source's blocks are needed target / (its mean block) times. Each output shard draws its counts per source from
-    one multinomial distribution with a seed of its own. Running sums over the shards give each draw its place in the
-    source's sequence; draws beyond what the source needs are void, and what is still missing follows in a last
-    shard, so that every source meets its target to half a block. Place k of a source is block permute(k mod blocks)
-    of pass k div blocks.
+    In two steps: places are taken in runs of ``width``; the sums of the runs, and the rows inside a run, are each
+    summed up in order, so that no task holds all places.
     """
-    t = targets.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("need", F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), MOST * F.col("blocks")))
-    t = t.select("sid", "blocks", "need")
-    whole = t.agg(F.sum("need").alias("n"), F.sort_array(F.collect_list(F.struct("sid", "need"))).alias("mix"))
-    shards = whole.where("n > 0").select("n", "mix", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / shard))).alias("shard"))
+    run = F.floor(F.col(place) / width).alias("run")
+    sums = df.groupBy(*by, run).agg(F.sum(value).alias("in_run"))
+    before = F.sum("in_run").over(Window.partitionBy(*by).orderBy("run")) - F.col("in_run")
+    inside = F.sum(value).over(Window.partitionBy(*by, "run").orderBy(place)) - F.col(value)
+    return df.withColumn("run", F.floor(F.col(place) / width)).withColumn("inside", inside).join(sums.withColumn("before", before).drop("in_run"), [*by, "run"]).withColumn(out, F.col("before") + F.col("inside")).drop("run", "inside", "before")
+
+
+def slots(targets: DataFrame, block: int = BLOCK, shard: int = SHARD, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """(shard, sid, k, epoch, block): the output, one row per slot, and the block of its source that fills it.
+
+    A source's blocks are needed target / (its mean block) times, ``most`` times each at most. Each output shard has
+    ``shard`` slots, the last one what is left, and draws its counts per source from one multinomial distribution with
+    a seed of its own. Running sums over the shards give each draw its place in the source's sequence. Draws beyond
+    what a source needs are void; over all shards there are as many as other sources lack, and these take the void
+    slots, in order, so that every source meets its target to half a block. Place k of a source is block
+    permute(k mod blocks) of pass k div blocks. The table of sources, a row each, is the only one that reaches the driver.
+    """
+    need = F.least(F.round(F.col("target") * F.ceil(F.col("source_size") / block) / F.col("source_size")).cast("long"), F.floor(float(most) * F.ceil(F.col("source_size") / block)).cast("long"))
+    t = targets.where("source_size > 0").select("sid", F.ceil(F.col("source_size") / block).alias("blocks"), need.alias("need")).where("need > 0")
+    mix = t.select("sid", "need").toArrow().sort_by("sid")
+    sids, needs = mix.column("sid").to_numpy(), mix.column("need").to_numpy()
+    total = int(needs.sum())
+    spark = targets.sparkSession
 
     def draw(batches):
         for b in batches:
-            got = {"shard": [], "sid": [], "drawn": []}
-            for r in b.to_pylist():
-                need = np.array([m["need"] for m in r["mix"]], np.float64)
-                here = min(shard, r["n"] - r["shard"] * shard)
-                drawn = np.random.default_rng([seed, r["shard"]]).multinomial(here, need / need.sum())
-                got["shard"] += [r["shard"]] * len(drawn)
-                got["sid"] += [m["sid"] for m in r["mix"]]
-                got["drawn"] += drawn.tolist()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(got["shard"], pa.int64()), "sid": pa.array(got["sid"], pa.int32()), "drawn": pa.array(got["drawn"], pa.int64())})
-
-    drawn = shards.repartition("shard").mapInArrow(draw, "shard long, sid int, drawn long").join(t, "sid")
-    first = F.sum("drawn").over(Window.partitionBy("sid").orderBy("shard")) - F.col("drawn")
-    drawn = drawn.withColumn("first", first).select("shard", "sid", "blocks", "first", F.greatest(F.lit(0), F.least(F.col("drawn"), F.col("need") - F.col("first"))).alias("n"), "drawn", "need")
-    rest = drawn.groupBy("sid").agg(F.max("shard").alias("shard"), F.first("blocks").alias("blocks"), F.sum("drawn").alias("first"), F.first("need").alias("need"))
-    rest = rest.select((F.col("shard") + 1).alias("shard"), "sid", "blocks", "first", F.greatest(F.lit(0), F.col("need") - F.col("first")).alias("n"))
-    runs = drawn.select("shard", "sid", "blocks", "first", "n").unionByName(rest).where("n > 0")
-    # Long runs are cut, so that no row unfolds into more than a shard's worth. The rows before unfolding are few and
-    # would be gathered in one task by their size: the number of tasks follows the number of slots instead.
-    tasks = 1 + (t.agg(F.sum("need")).first()[0] or 0) // (UNFOLD * shard)
-    cut = runs.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(shard).cast("long")))).repartition(tasks, "shard", "sid", "from")
-    each = cut.select("shard", "sid", "blocks", F.explode(F.sequence(F.col("first") + F.col("from"), F.col("first") + F.least(F.col("from") + shard, F.col("n")) - 1)).alias("k"))
+            ids = b.column("id").to_numpy()
+            each = [np.random.default_rng([seed, int(i)]).multinomial(min(shard, total - int(i) * shard), needs / total) for i in ids]
+            drawn = np.array(each, np.int64).reshape(len(ids), len(sids))
+            row, col = np.nonzero(drawn)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(sids[col].astype(np.int32)), pa.array(drawn[row, col])], names=["shard", "sid", "drawn"])
+
+    shards = spark.range(0, -(-total // shard), 1, max(1, total // (UNFOLD * shard)))
+    drawn = kept(running_total(shards.mapInArrow(draw, "shard long, sid int, drawn long"), ["sid"], "shard", "drawn", "first").join(t, "sid"), "drawn")
+    good = F.greatest(F.lit(0), F.least("drawn", F.col("need") - F.col("first"))).cast("long")
+    runs = drawn.select("shard", "sid", "first", good.alias("n"))
+    void = drawn.select("shard", "sid", (F.col("drawn") - good).alias("void")).where("void > 0")
+    # Lacks of the sources, end to end: place v of the void slots belongs to the source whose stretch holds v.
+    got = drawn.groupBy("sid").agg(F.sum("drawn").alias("got")).toArrow()
+    had = dict(zip(got.column("sid").to_pylist(), got.column("got").to_pylist()))
+    have = np.array([had.get(s, 0) for s in sids.tolist()], np.int64)
+    lack = np.maximum(needs - have, 0)
+    ends = np.cumsum(lack)
+
+    def refill(batches):
+        for b in batches:
+            out = []
+            for where, lo, n in zip(b.column("shard").to_pylist(), b.column("at").to_pylist(), b.column("void").to_pylist()):
+                hi = lo + n
+                while lo < hi:
+                    s = int(np.searchsorted(ends, lo, "right"))
+                    n = min(hi, int(ends[s])) - lo
+                    out.append((where, sids[s], have[s] + lo - (ends[s] - lack[s]), n))
+                    lo += n
+            where, sid, first, n = zip(*out) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(sid, pa.int32()), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=["shard", "sid", "first", "n"])
+
+    # All void slots in the order of shard and source; the shards' sums are one more table of a row per shard.
+    by_shard = running_total(void.groupBy("shard").agg(F.sum("void").alias("sum")).withColumn("all", F.lit(0)), ["all"], "shard", "sum", "above").select("shard", "above")
+    inside = F.sum("void").over(Window.partitionBy("shard").orderBy("sid")) - F.col("void")
+    placed = void.withColumn("inside", inside).join(by_shard, "shard").select("shard", (F.col("above") + F.col("inside")).alias("at"), "void")
+    runs = runs.unionByName(placed.mapInArrow(refill, "shard long, sid int, first long, n long")).where("n > 0").join(t.select("sid", "blocks"), "sid")
+    # The rows before unfolding are few and would be gathered in one task by their size: the number of tasks follows
+    # the number of slots instead.
+    each = runs.repartition(max(1, total // (UNFOLD * shard)), "shard", "sid", "first").select("shard", "sid", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
 
     @F.pandas_udf(T.LongType())
     def place(index, n, key):
@@ -123,88 +158,94 @@ def slots(targets: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
     return each.select("shard", "sid", "k", "epoch", place(F.pmod("k", "blocks"), "blocks", (F.col("epoch") + F.col("sid") * 2 + seed * 1000).cast("long")).alias("block"))
 
 
-def pieces(docs: DataFrame, sized: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Lay the words of each source end to end; (rows with their start, (row, block, at, words) pieces).
+def lay(sized: DataFrame) -> DataFrame:
+    """``sized`` (doc_id, row, copy, size, sid) with the start of each document when a source's words lie end to end.
 
-    ``sized`` has doc_id, copy, size, sid. Order within a source is by a hash bucket, then by id: a running sum over
-    the buckets' totals, and one inside each bucket, give the start of every document without an ordering of all.
+    Order within a source is by a hash bucket of some LAY documents, then by id: running totals over the buckets, and
+    sums inside each bucket, give the starts without an ordering of all.
     """
     buckets = max(1, sized.count() // LAY)
-    b = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(buckets)).cast("int"))
-    totals = b.groupBy("sid", "bucket").agg(F.sum("size").alias("t"))
-    base = totals.select("sid", "bucket", (F.sum("t").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("t")).alias("base"))
-    inside = F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "copy")) - F.col("size")
-    laid = b.withColumn("inside", inside).join(base, ["sid", "bucket"]).withColumn("start", F.col("base") + F.col("inside"))
-    return laid
+    b = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row", "copy"), F.lit(buckets)))
+    totals = running_total(b.groupBy("sid", "bucket").agg(F.sum("size").alias("t")), ["sid"], "bucket", "t", "base").drop("t")
+    inside = F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "row", "copy")) - F.col("size")
+    return b.withColumn("inside", inside).join(totals, ["sid", "bucket"]).withColumn("start", F.col("base") + F.col("inside")).drop("bucket", "inside", "base")
 
 
 def block_pieces(laid: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(sid, block, doc_id, copy, at, words): the part of each document that lies in each block of its source."""
+    """``laid`` with (block, at, words): the part of each document that lies in each block of its source."""
     p = laid.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     lo = F.greatest(F.col("start"), F.col("block") * block)
     hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     return p.withColumn("at", lo - F.col("start")).withColumn("words", hi - lo)
 
 
-def _prepare(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float) -> tuple[DataFrame, DataFrame]:
-    """Sizes of all documents with their source's number and target; and the sources."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    sized = checkpointed(word_sizes(d).select("doc_id", "source", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc")))
-    sized = sized.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "size", "crc")))
-    targets = checkpointed(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share))
-    known = sized.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    return known.select("doc_id", "copy", "size", "sid", "source_size", "target"), targets
+def _row_hash(docs: DataFrame):
+    """A hash of all columns that can be hashed: rows of one id that differ have different ones."""
+    return F.xxhash64(*[f"`{f.name}`" for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+
+
+def _prepare(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, most: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, copies, size, sid, source_size, target) of all different rows, and the sources."""
+    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _row_hash(docs).alias("row"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").alias("text"))
+    sized = kept(word_sizes(d).select("doc_id", "row", "source", "size"), "sized")
+    targets = kept(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
+    rows = sized.groupBy("doc_id", "row", "source", "size").agg(F.count("*").alias("copies"))
+    known = rows.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    return kept(known.select("doc_id", "row", "copies", "size", "sid", "source_size", F.col("target").cast("double").alias("target")), "rows"), targets
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """A row for each copy, numbered from 1."""
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+
+
+KEY = ["doc_id", "row", "copy"]
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) per document; ``taken`` counts the words that the mix takes of it.
 
-    Blocks of ``block`` words run across documents; a slot of the output takes a whole block, at most twice, so no
-    document exceeds twice its size. Everything is drawn from seeds and ids: reruns agree. Null and empty texts have
-    size 0 and nothing taken; a null source is a source; repeated rows are documents of their own; an empty table
-    gives none.
+    Blocks of ``block`` words run across documents; a slot of the output takes a whole block, at most ``most`` times,
+    so no document exceeds that many times its size. Everything is drawn from seeds, ids and rows: reruns agree. Null and empty texts have
+    size 0 and nothing taken; a null source is a source; repeated rows are documents of their own, null ids and equal
+    ids with other rows too; columns beside the three only tell rows of one id apart; an empty table gives no rows.
     """
-    sized, targets = _prepare(docs, id_col, text_col, source_col, weights, share)
-    sized = checkpointed(sized)
-    laid = pieces(docs, sized, block)
-    taken = slots(targets, block, shard, seed).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    got = block_pieces(laid, block).join(taken.hint("merge"), ["sid", "block"]).groupBy("doc_id", "copy").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    out = sized.alias("s").join(got.alias("g"), F.col("s.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("s.copy") == F.col("g.copy")), "left")
-    return out.select("s.doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    rows, targets = _prepare(docs.select(*[f"`{c}`" for c in (id_col, text_col, source_col)]), id_col, text_col, source_col, weights, share, most)
+    laid = lay(_copies(rows))
+    taken = slots(targets, block, shard, most, seed).groupBy("sid", "block").agg(F.count("*").alias("times"))
+    got = block_pieces(laid, block).join(taken.hint("merge"), ["sid", "block"]).groupBy(*KEY).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    on = F.col("s.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("s.row") == F.col("g.row")) & (F.col("s.copy") == F.col("g.copy"))
+    out = _copies(rows).alias("s").join(got.alias("g"), on, "left")
+    return out.select("s.doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", weights=WEIGHTS, share: float = SHARE, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """The mix as documents with the columns of ``docs``: one row per document and pass that takes words of it.
 
     The text is the words taken, in order: whole where a pass takes the whole document, else the passages of the
-    blocks taken, joined by line breaks. ``chars_col``, where there is one, gets the new length.
+    blocks taken, joined by line breaks. ``chars_col``, where there is one, gets the new length. Rows are treated as
+    :func:`mix` says; those without words give none.
     """
-    sized, targets = _prepare(docs, id_col, text_col, source_col, weights, share)
-    sized = checkpointed(sized)
-    laid = pieces(docs, sized, block)
+    rows, targets = _prepare(docs, id_col, text_col, source_col, weights, share, most)
+    laid = lay(_copies(rows))
     # The slots unfold from a small table, so that Spark takes them for small; they grow with the corpus.
-    chosen = slots(targets, block, shard, seed).select("sid", "block", "epoch")
-    spans = block_pieces(laid, block).join(chosen.hint("merge"), ["sid", "block"]).groupBy("doc_id", "copy", "epoch").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("__of"), F.col("copy").alias("__copy"), F.col("spans").alias("__spans"))
-    if sized.where("copy > 1").take(1):
-        by = Window.partitionBy(id_col).orderBy(F.col(source_col).asc_nulls_last(), F.col("__size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-        rows = word_sizes(docs, text_col, "__size").withColumn("__n", F.row_number().over(by)).drop("__size")
-    else:
-        rows = docs.withColumn("__n", F.lit(1))
-    joined = rows.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("__of")) & (F.col("__n") == F.col("__copy"))).drop("__of", "__n", "__copy")
+    chosen = slots(targets, block, shard, most, seed).select("sid", "block", "epoch")
+    spans = block_pieces(laid, block).join(chosen.hint("merge"), ["sid", "block"]).groupBy(*KEY, "epoch").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("spans"))
+    whole = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("d"), F.col(f"`{id_col}`").cast("long").alias("of"), _row_hash(docs).alias("of_row"))
+    if rows.where("copies > 1").take(1):
+        whole = whole.dropDuplicates(["of", "of_row"])  # wholly equal rows: their copies have spans of their own
+    joined = whole.join(spans, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row"))).select(F.col(f"d.`{text_col}`").alias("text"), "spans", "d")
     names = docs.columns
-    at, spans_at = names.index(text_col), len(names)
 
     def cut(batches):
-        for b in (part for whole in batches for part in text_slices(whole, at)):
-            texts = [_taken(t or b"", s) for t, s in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(spans_at).to_pylist())]
-            columns = list(b.columns[: len(names)])
-            columns[at] = pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
+        for b in (part for whole in batches for part in text_slices(whole, 0)):
+            texts = [_taken(t or b"", s) for t, s in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist())]
+            columns = [pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()) if n == text_col else c for n, c in zip(names, b.column(2).flatten())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
         pa.default_memory_pool().release_unused()
 
-    out = joined.select(*[f"`{c}`" for c in names], "__spans").mapInArrow(cut, docs.schema)
-    return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in names else out
+    out = joined.mapInArrow(cut, docs.schema)
+    return out.withColumn(chars_col, F.length(f"`{text_col}`").cast(docs.schema[chars_col].dataType)) if chars_col in names else out
 
 
 def _taken(text: bytes, spans: list[dict]) -> bytes:

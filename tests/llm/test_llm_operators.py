@@ -347,7 +347,31 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(df.limit(0)).collect() == [] and mixing.mixed_documents(df.limit(0)).collect() == []
 
 
+def test_mix_shards_have_one_length(spark):
+    targets = spark.createDataFrame([(0, 6400 * 50, 6400 * 70.0), (1, 6400 * 9, 6400 * 18.0), (2, 640, 1000.0), (3, 0, 0.0)], "sid int, source_size long, target double")
+    rows = mixing.slots(targets, block=64, shard=500).collect()
+    need = {0: 7000, 1: 1800, 2: 16}
+    length = Counter(r["shard"] for r in rows)
+    assert [length[i] for i in sorted(length)] == [500] * 17 + [316]
+    for sid, n in need.items():
+        mine = [r for r in rows if r["sid"] == sid]
+        assert sorted(r["k"] for r in mine) == list(range(n))
+        times = Counter(r["block"] for r in mine)
+        assert max(times.values()) - min(times.values()) <= 1 and max(times.values()) <= 2
+    assert Counter(mixing.slots(targets, 64, 500, most=1).groupBy("sid", "block").count().select("count").toPandas()["count"]) == Counter({1: 5000 + 900 + 10})
+
+
+def test_running_total_equals_loop(spark):
+    rng = random.Random(18)
+    rows = [(s, i, rng.randrange(9)) for s in "ab" for i in rng.sample(range(500), 80)]
+    got = {(r["s"], r["i"]): r["t"] for r in mixing.running_total(spark.createDataFrame(rows, "s string, i long, v long"), ["s"], "i", "v", "t", 7).collect()}
+    assert got == {(s, i): sum(w for q, j, w in rows if q == s and j < i) for s, i, _ in rows}
+
+
 def test_mix_with_repeated_ids(spark):
+    many = spark.createDataFrame([(7, "one two three", "s")] * 90 + [(None, f"w{i} x", None) for i in range(30)], "doc_id long, text string, source string")
+    rows = mixing.mix(many, block=2, shard=16).collect()
+    assert len(rows) == 120 and sum(r["taken"] for r in rows) == sum(len(r["text"].split()) for r in mixing.mixed_documents(many, block=2, shard=16).collect())
     df = spark.createDataFrame([(1, "a b c", "s"), (1, "a b c", "s"), (None, "d e", None), (None, "d e", "s")], "doc_id long, text string, source string")
     rows = mixing.mix(df).collect()
     assert len(rows) == 4 and all(r["taken"] <= 2 * r["size"] for r in rows)
