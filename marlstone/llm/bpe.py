@@ -64,9 +64,16 @@ class Vocabulary:
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
+        """A tokenizer file whose settings are those that this module works by; others are refused, not encoded wrongly."""
         with open(path, "rb") as f:
             raw = f.read()
         spec = json.loads(raw)
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = spec.get("normalizer") is None and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        level = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and (spec.get("decoder") or {}).get("type") == "ByteLevel"
+        added = not any(a.get(k) for a in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if not (plain and level and added):
+            raise ValueError(f"{path} is not a plain byte-level BPE tokenizer")
         ids, symbols = spec["model"]["vocab"], byte_symbols()
         byte_of = {s: b for b, s in enumerate(symbols)}
         special = {a["content"]: a["id"] for a in spec.get("added_tokens", ())}
@@ -271,7 +278,8 @@ def round_trip(df: DataFrame, vocabulary: str, text_col: str = "text") -> DataFr
     """``df`` with n_tokens, ids_sha256 and decoded_sha256 of each whole text, encoded and decoded in one pass.
 
     Digests are lowercase hex: of the ids as little-endian unsigned 32-bit integers, and of the decoded text in UTF-8.
-    Null and empty texts have no ids. Rows are independent: nothing is shuffled.
+    Null and empty texts have no ids. Rows are independent: nothing is shuffled; repeated rows and null ids stay, an
+    empty table gives no rows, and columns that bear the names of the results are replaced.
     """
     shared = _shared(df, vocabulary)
 

@@ -33,6 +33,21 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in low])
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """The place of a column, written as it is or else, as Spark reads names, in another case."""
+    if name in df.columns:
+        return df.columns.index(name)
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores as no column of ``df`` bears it."""
+    low = {c.lower() for c in df.columns}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def text_slices(batch: pa.RecordBatch, column: int, size: int = SLICE):
     """The rows of a batch, whole and in order, in slices of about ``size`` bytes of text."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -48,11 +63,12 @@ def append_columns(df: DataFrame, text_col: str, fields: Sequence[T.StructField]
     ``factory()`` runs once per task and gives a function from a list of UTF-8 byte strings (null: empty) to one
     list or array per field. Columns of ``df`` that bear the name of a computed one are replaced.
     """
-    base = without(df, [f.name for f in fields if f.name != text_col])
-    schema = T.StructType([*base.schema.fields, *fields])
+    base = without(df, [f.name for f in fields if f.name.lower() != text_col.lower()])
+    plain = base.toDF(*[f"c{i}" for i in range(len(base.columns))])  # Spark's Python operators cannot name a column with a dot
+    schema = T.StructType([*plain.schema.fields, *fields])
     arrow = to_arrow_schema(T.StructType(list(fields)))
-    names = [*base.columns, *(f.name for f in fields)]
-    at = base.columns.index(text_col)
+    names = schema.fieldNames()
+    at = place_of(base, text_col)
 
     def run(batches):
         compute = factory()
@@ -62,7 +78,7 @@ def append_columns(df: DataFrame, text_col: str, fields: Sequence[T.StructField]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, type=f.type) for x, f in zip(got, arrow, strict=True))], names=names)
         pa.default_memory_pool().release_unused()  # Python workers outlive the task
 
-    return base.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*base.columns, *(f.name for f in fields))
 
 
 def sorted_groups(batches, keys: Sequence[str]):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import append_columns, kept, text_slices
+from .common import append_columns, kept, place_of, text_slices
 
 #: Words of a block, and blocks of an output shard.
 BLOCK = 64
@@ -235,12 +235,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if rows.where("copies > 1").take(1):
         whole = whole.dropDuplicates(["of", "of_row"])  # wholly equal rows: their copies have spans of their own
     joined = whole.join(spans, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row"))).select(F.col(f"d.`{text_col}`").alias("text"), "spans", "d")
-    names = docs.columns
+    names, at = docs.columns, place_of(docs, text_col)
 
     def cut(batches):
         for b in (part for whole in batches for part in text_slices(whole, 0)):
             texts = [_taken(t or b"", s) for t, s in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist())]
-            columns = [pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()) if n == text_col else c for n, c in zip(names, b.column(2).flatten())]
+            columns = [pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()) if i == at else c for i, c in enumerate(b.column(2).flatten())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
         pa.default_memory_pool().release_unused()
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import append_columns, kept, text_slices, without
+from .common import append_columns, kept, place_of, text_slices, without
 from .labelled import Logistic, class_share, id_remainder, training_documents, training_sample
 
 #: Symbols of a letter group; a symbol has BITS bits.
@@ -246,12 +246,15 @@ def joined(docs: DataFrame, ratios: DataFrame, fields: list[T.StructField], comp
     Rows are dealt by hash into chunks of about CHUNK bytes; a chunk is joined with the ratios of its own letter
     groups, so that no task holds the model.
     """
-    docs = without(docs, [f.name for f in fields])
+    given = without(docs, [f.name for f in fields])
+    at = place_of(given, text_col)
+    docs = given.toDF(*[f"c{i}" for i in range(len(given.columns))])
+    text_col = f"c{at}"
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     key = F.xxhash64(*[f"`{f.name}`" for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType, T.VariantType))])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.withColumn("__chunk", F.pmod(key, F.lit(max(parts, size // CHUNK)))).repartition("__chunk")
-    at, names = docs.columns.index(text_col), docs.columns
+    dealt = docs.withColumn("chunk", F.pmod(key, F.lit(max(parts, size // CHUNK)))).repartition("chunk")
+    names = docs.columns
 
     def distinct(batches):
         held: dict[int, set] = {}
@@ -259,29 +262,29 @@ def joined(docs: DataFrame, ratios: DataFrame, fields: list[T.StructField], comp
         def rows():
             for chunk, words in held.items():
                 gram = np.unique(word_grams(sorted(words))[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), chunk)), pa.array(gram)], names=["__chunk", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), chunk)), pa.array(gram)], names=["chunk", "gram"])
             held.clear()
 
         for b in (part for whole in batches for part in text_slices(whole, at)):
-            for t, chunk in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column("__chunk").to_pylist()):
+            for t, chunk in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column("chunk").to_pylist()):
                 held.setdefault(chunk, set()).update(words_of(t or b""))
             if sum(map(len, held.values())) > REMEMBERED:
                 yield from rows()
         yield from rows()
 
-    grams = dealt.mapInArrow(distinct, "__chunk long, gram long").distinct()
+    grams = dealt.mapInArrow(distinct, "chunk long, gram long").distinct()
     r = ratios.select(F.col("gram").alias("of"), F.col(f"m{model}").alias("ratio"))
     # A text asks for its groups and for the others of their contexts; only those with a row come back.
-    asked = grams.unionByName(grams.select("__chunk", F.col("gram").bitwiseOR(OTHER).alias("gram"))).distinct()
-    known = asked.join(r, F.col("gram") == F.col("of")).select("__chunk", "gram", "ratio")
+    asked = grams.unionByName(grams.select("chunk", F.col("gram").bitwiseOR(OTHER).alias("gram"))).distinct()
+    known = asked.join(r, F.col("gram") == F.col("of")).select("chunk", "gram", "ratio")
     arrow = to_arrow_schema(T.StructType(fields))
 
     def judge(rows: pa.Table, known: pa.Table) -> pa.Table:
         features = Ratios(known.column("gram").to_numpy(), known.column("ratio").to_numpy()).judge()
-        x = features([t or b"" for t in rows.column(text_col).cast(pa.binary()).to_pylist()])
+        x = features([t or b"" for t in rows.column(at).cast(pa.binary()).to_pylist()])
         return pa.table([*(rows.column(n) for n in names), *(pa.array(c, type=f.type) for c, f in zip(compute(x), arrow))], names=[*names, *arrow.names])
 
-    return dealt.groupBy("__chunk").cogroup(known.groupBy("__chunk")).applyInArrow(judge, T.StructType([*docs.schema.fields, *fields]))
+    return dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(judge, T.StructType([*docs.schema.fields, *fields])).toDF(*given.columns, *arrow.names)
 
 
 class ToxicityModel:

@@ -288,6 +288,17 @@ def test_codec_equals_the_library(spark):
     assert all(r["decoded"] == r["text"] for r in some)
 
 
+def test_other_tokenizer_settings_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(queries.tokenizer_path()))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"pre_tokenizer": None}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}, {"model": spec["model"] | {"ignore_merges": True}}):
+        path = tmp_path / "t.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            bpe.Vocabulary.load(str(path))
+
+
 # --- 5 repetition ---
 
 

@@ -1,5 +1,7 @@
 """The pipeline's stages on a small folder of tables."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from marlstone.llm import quality, toxicity
 from marlstone.llm.common import read
@@ -34,3 +36,30 @@ def test_scores_do_not_need_other_columns(spark):
     b = {r["doc_id"]: r["score"] for r in toxicity.predictions(read(spark, SF, "documents").repartition(5), labels).collect()}
     assert a == b
     assert quality.predictions(docs, labels).columns == ["doc_id", "held_out", "score", "predicted"]
+
+
+def test_stages_with_awkward_rows(spark, tmp_path):
+    docs = read(spark, SF, "documents").limit(200)
+    odd = [(None, None, "en", None, None), (None, "", "en", "a", 0), (None, "no id at all here", None, "a", 5), (9001, None, None, None, None), (9002, " \n", "en", "a", 2)]
+    odd += [(9003, "long " * 200_000 + "end", "en", "b", 1_000_003), (9004, "x" * 300_000, "en", "b", 300_000)] + [(9005, "this row is here three times", "en", "a", 28)] * 3 + [(9005, "but this one has other words", "en", "a", 28)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    for i, c in enumerate(("quality", "Toxicity", "score", "spans", "d", "row", "chunk", "group", "__quality", "odd name", "a.b")):
+        docs = docs.withColumn(c, F.lit(i))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    read(spark, SF, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, str(tmp_path))
+            rows = out.collect()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns
+                assert all(r["odd name"] == 9 and r["a.b"] == 10 for r in rows)
+            assert rows or given is not docs
+    texts = [r["text"] for r in simhash_rows(spark, docs)]
+    assert texts.count("this row is here three times") == 1 and texts.count("but this one has other words") == 1 and "no id at all here" in texts
+    assert len(corpus_pipeline.mixing_stage(spark, docs.where("doc_id = 9003"), str(tmp_path)).collect()) in (1, 2)
+
+
+def simhash_rows(spark, docs):
+    return corpus_pipeline.simhash_stage(spark, docs, "").collect()
