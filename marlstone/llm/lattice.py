@@ -20,6 +20,8 @@ MIN_COSINE = 0.9
 SEED = 8
 #: Rows of one cell that a task compares at once; larger cells are dealt out as pairs of chunks.
 GROUP_CAP = 4096
+#: Cells over that size whose table is broadcast.
+BROADCAST_CELLS = 100_000
 #: Projections are whole numbers of so many parts, so that a vector's cells come out alike wherever they are computed.
 PARTS = 1 << 14
 
@@ -261,6 +263,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     fields = ["node", "copies", "codes", "unit", "error"]
     cells = classes.select(*fields).mapInArrow(place, "cell long, d int, kind int, node long, copies long, codes binary, unit double, error double")
     hot = cells.groupBy("cell", "d").count().where(F.col("count") > cap).select("cell", "d", F.ceil(F.col("count") / cap).cast("int").alias("chunks"))
+    hot = kept(hot, "hot")  # of each cap rows one at most
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_CELLS else hot
     chunk = F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("chunks"))).cast("int")
     other = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = cells.join(hot, ["cell", "d"], "left").withColumn("chunk", chunk).withColumn("other", other)
