@@ -12,8 +12,23 @@ STOP_WORDS = (
     "так уже все всё вы мы я он она они его ее её их мой ваш наш свой"
 ).split()
 
-#: Phrases that say nothing in a filter text.
-BOILERPLATE = r"(Вид услуги|Тип услуги)\s*"
+# Phrases that say nothing in a filter text (prices, working hours, orders, experience).
+PHRASES = (
+    "Начальная цена",
+    r"Тип стоимости за (услугу|час|урок|день|м²|м2|км|смену|ед\.?)",
+    r"Стоимость \d+",
+    r"График работы(, дни недели)? (от|до)?\s*\S+",
+    r"Время работы, (с|до) \S+",
+    "Дни (пн|вт|ср|чт|пт|сб|вс)",
+    r"Рабочие дни \S+",
+    "Продолжительность [^А-Я]*",
+    r"Признак предзаполнения прайс листа \d+",
+    "Услуга Своя услуга",
+    r"Минимальная сумма заказа \d+",
+    r"Выполняю заказы от \d+",
+    "Опыт работы [^А-Я]*",
+)
+BOILERPLATE = "(" + "|".join(PHRASES) + ")"
 
 
 def normalize(col: Column | str) -> Column:

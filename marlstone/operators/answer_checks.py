@@ -20,8 +20,9 @@ def _ids(ans: DataFrame) -> DataFrame:
     return ans.where("answer <> ''").select("query_id", F.explode(F.split("answer", " ")).alias("item_id"))
 
 
-def header(spark, columns: list[str]) -> DataFrame:
-    return spark.range(1).select(F.lit("header").alias("check"), F.lit(int(columns != ["query_id", "answer"])).cast("long").alias("n_bad"))
+def header(ans: DataFrame) -> DataFrame:
+    """All rows are bad under a header other than ``query_id,answer``."""
+    return _row("header", ans.where(F.lit(ans.columns != ["query_id", "answer"])))
 
 
 def query_ids(ans: DataFrame) -> DataFrame:
@@ -58,5 +59,5 @@ def sizes(ans: DataFrame) -> DataFrame:
 
 
 def all_checks(ans: DataFrame, queries: DataFrame, items: DataFrame, most: int = MOST) -> DataFrame:
-    parts = [header(ans.sparkSession, ans.columns), query_ids(ans), query_set(ans, queries), row_size(ans, most), repeated_items(ans), item_format(ans), known_items(ans, items)]
+    parts = [header(ans), query_ids(ans), query_set(ans, queries), row_size(ans, most), repeated_items(ans), item_format(ans), known_items(ans, items)]
     return reduce(DataFrame.unionByName, parts)

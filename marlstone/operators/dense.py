@@ -128,13 +128,15 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, weight: float = 0.0
             folds = [set() if v is None else set(v) for v in b["folds"]] if masked else None
             bench = b["in_bench"].to_numpy() if masked else None
             seen = {}
+            product = x @ y.T
+            # A prior is looked up once for each location of the block, not for each item.
+            places, at_place = np.unique(where, return_inverse=True) if weight else (None, None)
             for r in range(len(a)):
                 one = a.iloc[r]
-                sim = y @ x[r]
-                score = sim
+                score = sim = product[r]
                 if weight:
                     known = dict(zip(one["pl"], one["pv"]))
-                    score = sim + weight * np.array([known.get(p, one["floor"]) for p in where])
+                    score = sim + weight * np.array([known.get(p, one["floor"]) for p in places.tolist()])[at_place]
                 ok = np.ones(len(b), bool)
                 if masked:
                     f = one["fold"]

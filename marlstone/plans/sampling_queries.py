@@ -9,16 +9,15 @@ from ..operators import location as L
 from ..operators import pairs as P
 from ..sources.stages import checkpointed
 from .registry import query, table
-from .search_queries import CEN, TRAIN, TRANS, Prepared, hashed_vectors, hist_sql, md5_sql, u_sql
+from .search_queries import CEN, SLOT, TRAIN, TRANS, VECTORS, Prepared, Staged, hashed_vectors, hist_sql, md5_sql, u_sql
 
-CAP, SKIP, TOP, BATCH, POOL, FIRST = 5, 1, 8, 16, 20, 50
-SLOT = "(('0x' || substr(md5({t}), 1, 12))::bigint) % 500"
+CAP, SKIP, TOP, BATCH, POOL, FIRST = 30, 3, 30, 16, 150, 5000
 PAIRS = f"""dp as materialized (select * exclude (rn) from (select *, row_number() over (partition by search_query, search_infm_params_text, item_id order by row_key) as rn from hist) where rn = 1),
 cp as materialized (select * exclude (rn) from (select *, row_number() over (partition by search_query order by {md5_sql('cap', 'row_key')}, row_key) as rn from dp) where rn <= {CAP}),
 pi as materialized (select * exclude (rn) from (select *, row_number() over (partition by item_id order by row_key) as rn from cp) where rn = 1),
 ch as materialized (select distinct search_query, row_id from cp)"""
 NEG = f"""pv as (select row_key, search_query, item_location_id as loc, embedding::double[] as vec from cp join embeddings on vec_id = {SLOT.format(t='search_query')}),
-ivx as (select row_id, item_location_id as loc, embedding::double[] as vec from pi join embeddings on vec_id = row_id % 500),
+ivx as (select row_id, item_location_id as loc, embedding::double[] as vec from pi join embeddings on vec_id = row_id % {VECTORS}),
 near as (select * from (select row_key, search_query, row_id, row_number() over (partition by row_key order by sim desc, row_id) as rank from (select row_key, search_query, row_id, round(list_dot_product(pv.vec, ivx.vec), 6) as sim from pv join ivx using (loc))) where rank <= {TOP + 5}),
 rest as (select *, row_number() over (partition by row_key order by rank) - 1 as r from near where (search_query, row_id) not in (select (search_query, row_id) from ch)),
 hn as materialized (select row_key, row_id as neg from (select *, row_number() over (partition by row_key order by {md5_sql('neg', 'row_key', 'row_id')}) as rn from rest where r >= {SKIP} and r < {TOP}) where rn = 1)"""
@@ -26,14 +25,14 @@ hn as materialized (select row_key, row_id as neg from (select *, row_number() o
 
 class Pairs(Prepared):
     def __init__(self, spark, sf):
-        super().__init__(spark, sf, staged=True)
+        self.__dict__.update(Staged.of(spark, sf).__dict__)
         self.spark, self.sf = spark, sf
         self.distinct = P.distinct_pairs(self.hist)
         self.capped = checkpointed(P.cap_pairs(self.distinct, CAP))
 
     def negatives(self):
         e = table(self.spark, self.sf, "embeddings").select(F.col("vec_id").alias("slot"), F.col("embedding").alias("vec"))
-        items = P.pair_items(self.capped).select("row_id", F.col("item_location_id").alias("loc")).withColumn("slot", F.col("row_id") % 500).join(e, "slot")
+        items = P.pair_items(self.capped).select("row_id", F.col("item_location_id").alias("loc")).withColumn("slot", F.col("row_id") % e.count()).join(e, "slot")
         pairs = hashed_vectors(self.spark, self.sf, self.capped.select("row_key", "search_query", F.col("item_location_id").alias("loc")), "search_query")
         return P.hard_negatives(pairs, items, P.chosen_by_text(self.capped), SKIP, TOP)
 
@@ -44,27 +43,27 @@ def pair_sql(body: str, *more: str) -> str:
 
 @query("h1_distinct_pairs", pair_sql("select row_key, search_query, item_id from dp"), TRAIN)
 def h1(spark, sf):
-    return Pairs(spark, sf).distinct.select("row_key", "search_query", "item_id")
+    return Pairs.of(spark, sf).distinct.select("row_key", "search_query", "item_id")
 
 
 @query("h2_cap_pairs", pair_sql("select row_key, search_query from cp"), TRAIN)
 def h2(spark, sf):
-    return Pairs(spark, sf).capped.select("row_key", "search_query")
+    return Pairs.of(spark, sf).capped.select("row_key", "search_query")
 
 
 @query("h3_pair_items", pair_sql("select row_key, item_id, row_id from pi"), TRAIN)
 def h3(spark, sf):
-    return P.pair_items(Pairs(spark, sf).capped).select("row_key", "item_id", "row_id")
+    return P.pair_items(Pairs.of(spark, sf).capped).select("row_key", "item_id", "row_id")
 
 
 @query("h4_chosen_by_text", pair_sql("select * from ch"), TRAIN)
 def h4(spark, sf):
-    return P.chosen_by_text(Pairs(spark, sf).capped)
+    return P.chosen_by_text(Pairs.of(spark, sf).capped)
 
 
 @query("h5_hard_negatives", pair_sql("select * from hn", NEG), TRAIN)
 def h5(spark, sf):
-    return Pairs(spark, sf).negatives()
+    return Pairs.of(spark, sf).negatives()
 
 
 @query(
@@ -73,7 +72,7 @@ def h5(spark, sf):
     TRAIN,
 )
 def h6(spark, sf):
-    p = Pairs(spark, sf)
+    p = Pairs.of(spark, sf)
     return P.fill_negatives(p.capped, p.negatives())
 
 
@@ -86,17 +85,16 @@ def h6(spark, sf):
     TRAIN,
 )
 def h7(spark, sf):
-    return P.unique_batches(Pairs(spark, sf).capped, BATCH)
+    return P.unique_batches(Pairs.of(spark, sf).capped, BATCH)
 
 
 # --- K: competitors ---
 
 KV = f"""qvx as materialized (select qid, fold, rel, search_location_id as loc, embedding::double[] as vec from allq join embeddings on vec_id = {SLOT.format(t='search_query')}),
-cvx as materialized (select row_id, item_id, item_location_id as loc, in_bench, embedding::double[] as vec from corpus join embeddings on vec_id = row_id % 500),
+cvx as materialized (select row_id, item_id, item_location_id as loc, in_bench, embedding::double[] as vec from corpus join embeddings on vec_id = row_id % {VECTORS}),
 rels as (select qid, unnest(rel) as item_id from (select qid, rel from allq where rel is not null order by qid limit {FIRST})),
-th as materialized (select quantile_cont(round(list_dot_product(qvx.vec, cvx.vec), 6), 0.25) as threshold from rels join qvx using (qid) join cvx using (item_id))"""
-# The stand-in vectors are far apart: their own quartile is below 0, so the pool uses a fixed threshold.
-TH = 0.1
+th as materialized (select round(quantile_cont(round(list_dot_product(qvx.vec, cvx.vec), 6), 0.25), 6) as threshold from rels join qvx using (qid) join cvx using (item_id))"""
+TH = "(select threshold from th)"
 EXC = f"""bq as materialized (select *, row_number() over (order by qid) as n from qvx where fold = -1), aw as (select loc as away, row_number() over (order by {md5_sql('shuffle', 'qid')}, qid) as n from qvx where fold = -1),
 exc as materialized (select qid, greatest(0, sum(case when i.loc = bq.loc then 1 else 0 end) - sum(case when i.loc = away then 1 else 0 end))::bigint as excess
   from bq join aw using (n) left join (select row_id, loc, vec from cvx where in_bench) i on (i.loc = bq.loc or i.loc = away) and round(list_dot_product(bq.vec, i.vec), 6) >= {TH} group by qid),
@@ -118,21 +116,31 @@ KALL = (CEN, TRANS, KV, EXC, PICK, PLACE, COORD)
 
 class Competitors(Prepared):
     def __init__(self, spark, sf):
-        super().__init__(spark, sf, staged=True)
+        self.__dict__.update(Staged.of(spark, sf).__dict__)
+        self.done = {}
         self.query_vectors = hashed_vectors(spark, sf, self.queries.select("qid", "fold", "search_query", F.col("search_location_id").alias("loc")), "search_query")
         e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("slot"), F.col("embedding").alias("vec"))
-        self.item_vectors = self.corpus.select("row_id", "in_bench", F.col("item_location_id").alias("loc")).withColumn("slot", F.col("row_id") % 500).join(e, "slot").drop("slot")
+        self.item_vectors = self.corpus.select("row_id", "in_bench", F.col("item_location_id").alias("loc")).withColumn("slot", F.col("row_id") % e.count()).join(e, "slot").drop("slot")
         self.bench_vectors = self.item_vectors.where("in_bench").drop("in_bench")
 
+    def once(self, name, make):
+        if name not in self.done:
+            self.done[name] = checkpointed(make())
+        return self.done[name]
+
     def threshold(self):
-        return K.sim_threshold(self.queries, self.query_vectors, self.item_vectors, self.corpus, first=FIRST)
+        found = K.sim_threshold(self.queries, self.query_vectors, self.item_vectors, self.corpus, first=FIRST)
+        return self.once("threshold", lambda: found.withColumn("threshold", F.round("threshold", 6)))
+
+    def least(self):
+        return self.threshold().first()["threshold"]
 
     def excess(self):
-        return K.bench_excess(self.query_vectors.where("fold = -1"), self.bench_vectors, TH)
+        return self.once("excess", lambda: K.bench_excess(self.query_vectors.where("fold = -1"), self.bench_vectors, self.least()))
 
     def picks(self):
-        wanted = checkpointed(K.draw_excess(self.queries, self.excess()))
-        return K.pick_competitors(self.query_vectors, self.bench_vectors, wanted, TH, POOL)
+        wanted = self.once("wanted", lambda: K.draw_excess(self.queries, self.excess()))
+        return self.once("picks", lambda: K.pick_competitors(self.query_vectors, self.bench_vectors, wanted, self.least(), POOL))
 
     def placed(self):
         picks = self.picks().join(self.queries.select("qid", F.col("search_location_id").alias("s")), "qid")
@@ -148,40 +156,40 @@ def comp_sql(body: str) -> str:
     return hist_sql(*KALL) + " " + body
 
 
-@query("k1_sim_threshold", comp_sql("select round(threshold, 6) as threshold from th"), TRAIN)
+@query("k1_sim_threshold", comp_sql("select threshold from th"), TRAIN)
 def k1(spark, sf):
-    return Competitors(spark, sf).threshold().withColumn("threshold", F.round("threshold", 6))
+    return Competitors.of(spark, sf).threshold()
 
 
 @query("k2_bench_excess", comp_sql("select * from exc"), TRAIN)
 def k2(spark, sf):
-    return Competitors(spark, sf).excess()
+    return Competitors.of(spark, sf).excess()
 
 
 @query("k3_draw_excess", comp_sql("select * from want"), TRAIN)
 def k3(spark, sf):
-    c = Competitors(spark, sf)
+    c = Competitors.of(spark, sf)
     return K.draw_excess(c.queries, c.excess())
 
 
 @query("k4_pick_competitors", comp_sql("select * from pick"), TRAIN)
 def k4(spark, sf):
-    return Competitors(spark, sf).picks()
+    return Competitors.of(spark, sf).picks()
 
 
 @query("k5_draw_location", comp_sql("select qid, row_id, loc from placed"), TRAIN)
 def k5(spark, sf):
-    return Competitors(spark, sf).placed().select("qid", "row_id", "loc")
+    return Competitors.of(spark, sf).placed().select("qid", "row_id", "loc")
 
 
 @query("k6_draw_coordinates", comp_sql("select qid, src_row, lat, lon from comp"), TRAIN)
 def k6(spark, sf):
-    return Competitors(spark, sf).competitors().select("qid", "src_row", "lat", "lon")
+    return Competitors.of(spark, sf).competitors().select("qid", "src_row", "lat", "lon")
 
 
 @query("k7_competitor_stats", comp_sql("select avg(excess) as mean, median(excess) as median, quantile_cont(excess, 0.9) as p90, round((select count(*) from comp)::double / (select count(*) from allq where fold >= 0), 6) as copies_per_query from exc"), TRAIN)
 def k7(spark, sf):
-    c = Competitors(spark, sf)
+    c = Competitors.of(spark, sf)
     return K.competitor_stats(checkpointed(c.excess()), c.competitors(), c.queries).withColumn("copies_per_query", F.round("copies_per_query", 6))
 
 
@@ -191,5 +199,5 @@ def k7(spark, sf):
     TRAIN,
 )
 def k8(spark, sf):
-    c = Competitors(spark, sf)
+    c = Competitors.of(spark, sf)
     return K.extend_corpus(c.corpus, c.competitors(), 1_000_000).select("row_id", "src_row", "item_id", "item_location_id", "item_latitude", "folds", "in_bench")

@@ -12,9 +12,10 @@ from ..sources.stages import checkpointed
 from ..sources.tables import GROUP_KEY
 from .registry import query, table, view
 
-FOLDS, PER_FOLD = 7, 10
+FOLDS, PER_FOLD = 7, 2500
 N_VAL = FOLDS * PER_FOLD
-NEIGHBOURS, NEAR = 10, 0.2
+#: The stand-in vectors are far apart, so that near means less than for texts.
+NEIGHBOURS, NEAR = 30, 0.2
 GK = ", ".join(GROUP_KEY)
 ITEMS = ["bench_items_v"]
 TRAIN = ["train_v", "bench_items_v", "bench_queries_v"]
@@ -45,11 +46,26 @@ extra as materialized (select h.* exclude (rn, qid, fold, row_key, gid, {GK}), f
 corpus as materialized (select *, cast(null as bigint[]) as folds, true as in_bench from bench_items_v union all by name select *, false as in_bench from extra)"""
 
 
+_made: dict = {}
+
+
 class Prepared:
-    """The tables of the preparation over the stand-ins: lazy, or kept in the shared folder where many steps read them."""
+    """The tables of the preparation over the stand-ins, lazy."""
+
+    keep = staticmethod(lambda df: df)
 
-    def __init__(self, spark, sf, staged=False):
-        keep = checkpointed if staged else lambda df: df
+    @classmethod
+    def of(cls, spark, sf):
+        """The tables of this session and folder, made once: later queries read what earlier ones have kept."""
+        place = (spark.sparkContext.applicationId, sf)
+        for old in [k for k in _made if k[1:] != place]:
+            del _made[old]
+        if (cls, *place) not in _made:
+            _made[(cls, *place)] = cls(spark, sf)
+        return _made[(cls, *place)]
+
+    def __init__(self, spark, sf):
+        keep = self.keep
         self.train, self.items, self.bench = (view(spark, sf, v) for v in ("train_v", "bench_items_v", "bench_queries_v"))
         self.train = keep(self.train)
         self.groups = P.search_groups(self.train)
@@ -64,6 +80,12 @@ class Prepared:
         self.corpus = keep(P.build_corpus(self.items, self.extra))
 
 
+class Staged(Prepared):
+    """The same, kept in the shared folder where many steps read them."""
+
+    keep = staticmethod(checkpointed)
+
+
 def prep(body: str) -> str:
     return f"with {PREP} {body}"
 
@@ -73,58 +95,58 @@ def prep(body: str) -> str:
 
 @query("g1_search_groups", prep("select * from gr"), TRAIN)
 def g1(spark, sf):
-    return Prepared(spark, sf).groups
+    return Prepared.of(spark, sf).groups
 
 
 @query("g2_sample_texts", prep("select * from tx"), TRAIN)
 def g2(spark, sf):
-    return Prepared(spark, sf).texts
+    return Prepared.of(spark, sf).texts
 
 
 @query("g3_one_per_text", prep("select * exclude (rn) from one"), TRAIN)
 def g3(spark, sf):
-    return Prepared(spark, sf).one
+    return Prepared.of(spark, sf).one
 
 
 @query("g4_assign_folds", prep("select gid, fold from fo"), TRAIN)
 def g4(spark, sf):
-    return Prepared(spark, sf).folded.select("gid", "fold")
+    return Prepared.of(spark, sf).folded.select("gid", "fold")
 
 
 @query("g5_fold_qid", prep("select gid, qid from fq"), TRAIN)
 def g5(spark, sf):
-    return Prepared(spark, sf).named.select("gid", "qid")
+    return Prepared.of(spark, sf).named.select("gid", "qid")
 
 
 @query("g6_split_history", prep("select 'held' as part, row_key, qid from held union all select 'history', row_key, null from hist"), TRAIN)
 def g6(spark, sf):
-    p = Prepared(spark, sf)
+    p = Prepared.of(spark, sf)
     return p.held.select(F.lit("held").alias("part"), "row_key", "qid").unionByName(p.hist.select(F.lit("history").alias("part"), "row_key", F.lit(None).cast("string").alias("qid")))
 
 
 @query("g7_validation_queries", prep("select * from val"), TRAIN)
 def g7(spark, sf):
-    return Prepared(spark, sf).val
+    return Prepared.of(spark, sf).val
 
 
 @query("g8_all_queries", prep("select * from allq"), TRAIN)
 def g8(spark, sf):
-    return Prepared(spark, sf).queries
+    return Prepared.of(spark, sf).queries
 
 
 @query("g9_extra_items", prep("select row_id, item_id, item_location_id, folds from extra"), TRAIN)
 def g9(spark, sf):
-    return Prepared(spark, sf).extra.select("row_id", "item_id", "item_location_id", "folds")
+    return Prepared.of(spark, sf).extra.select("row_id", "item_id", "item_location_id", "folds")
 
 
 @query("g10_build_corpus", prep("select row_id, item_id, item_microcat_id, folds, in_bench from corpus"), TRAIN)
 def g10(spark, sf):
-    return Prepared(spark, sf).corpus.select("row_id", "item_id", "item_microcat_id", "folds", "in_bench")
+    return Prepared.of(spark, sf).corpus.select("row_id", "item_id", "item_microcat_id", "folds", "in_bench")
 
 
 @query("g11_visible", prep("select q.fold, c.row_id from (select distinct fold from allq) q join corpus c on c.in_bench or list_contains(c.folds, q.fold)"), TRAIN)
 def g11(spark, sf):
-    p = Prepared(spark, sf)
+    p = Prepared.of(spark, sf)
     folds = p.queries.select("fold").distinct()
     return p.corpus.join(F.broadcast(folds), P.visible(F.col("fold"), F.col("in_bench"), F.col("folds"))).select("fold", "row_id")
 
@@ -135,7 +157,7 @@ def g11(spark, sf):
     TRAIN,
 )
 def g12(spark, sf):
-    p = Prepared(spark, sf)
+    p = Prepared.of(spark, sf)
     s = P.seen_stats(p.val, p.hist)
     return s.select(*[F.round(c, 9).alias(c) for c in s.columns])
 
@@ -152,18 +174,18 @@ LP = "case when total is null then case when {s} = {l} then ln(0.8::double) else
 
 @query("i1_centroids", prep("").rstrip() + f", {CEN} select loc, round(lat, 6) as lat, round(lon, 6) as lon from cen", TRAIN)
 def i1(spark, sf):
-    p = Prepared(spark, sf)
+    p = Prepared.of(spark, sf)
     return L.centroids(p.hist, p.items).select("loc", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
 @query("i2_transitions", prep("").rstrip() + f", {TRANS} select * from tr", TRAIN)
 def i2(spark, sf):
-    return L.transitions(Prepared(spark, sf).hist)
+    return L.transitions(Prepared.of(spark, sf).hist)
 
 
 @query("i3_location_totals", prep("").rstrip() + f", {TRANS} select s, total, round(self_share, 9) as self_share from tot", TRAIN)
 def i3(spark, sf):
-    return L.location_totals(L.transitions(Prepared(spark, sf).hist)).withColumn("self_share", F.round("self_share", 9))
+    return L.location_totals(L.transitions(Prepared.of(spark, sf).hist)).withColumn("self_share", F.round("self_share", 9))
 
 
 @query(
@@ -172,7 +194,7 @@ def i3(spark, sf):
     TRAIN,
 )
 def i4(spark, sf):
-    p = Prepared(spark, sf)
+    p = Prepared.of(spark, sf)
     t = L.transitions(p.hist)
     pairs = p.queries.select(F.col("search_location_id").alias("s")).distinct().crossJoin(F.broadcast(p.corpus.select(F.col("item_location_id").alias("l")).distinct()))
     return L.log_prior(pairs, t, L.location_totals(t)).select("s", "l", F.round("lp", 6).alias("lp"))
@@ -180,12 +202,14 @@ def i4(spark, sf):
 
 @query("i5_items_per_location", prep("select item_location_id as loc, count(*) as n_items from corpus where in_bench group by 1"), TRAIN)
 def i5(spark, sf):
-    return L.items_per_location(Prepared(spark, sf).corpus)
+    return L.items_per_location(Prepared.of(spark, sf).corpus)
 
 
 # --- J: history ---
 
-SLOT = "(('0x' || substr(md5({t}), 1, 12))::bigint % 500)"
+#: How many vectors there are: texts and items are dealt to all of them.
+VECTORS = "(select count(*) from embeddings)"
+SLOT = "(('0x' || substr(md5({t}), 1, 12))::bigint % " + VECTORS + ")"
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::double * z[2]::double))"
 TEXTVEC = f"""htx as materialized (select text, embedding as vec from (select distinct search_query as text from hist) join embeddings on vec_id = {SLOT.format(t='text')}),
 qv as materialized (select qid, fold, search_query, search_location_id, embedding as vec from allq join embeddings on vec_id = {SLOT.format(t='search_query')}),
@@ -203,13 +227,13 @@ HISTORY = ["train_v", "bench_items_v", "bench_queries_v"]
 def hashed_vectors(spark, sf, df, text_col, shift=0):
     """``df`` with a vector picked from the embeddings by a hash of the text: a stand-in for an encoder."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("slot"), F.col("embedding").alias("vec"))
-    slot = F.pmod(F.conv(F.substring(F.md5(text_col), 1, 12), 16, 10).cast("long") + shift, F.lit(500))
+    slot = F.pmod(F.conv(F.substring(F.md5(text_col), 1, 12), 16, 10).cast("long") + shift, F.lit(e.count()))
     return df.withColumn("slot", slot).join(e, "slot").drop("slot")
 
 
 class History(Prepared):
     def __init__(self, spark, sf):
-        super().__init__(spark, sf, staged=True)
+        self.__dict__.update(Staged.of(spark, sf).__dict__)
         self.text_vectors = hashed_vectors(spark, sf, D.history_texts(self.hist).withColumnRenamed("search_query", "text"), "text")
         self.query_vectors = hashed_vectors(spark, sf, self.queries, "search_query")
         self.nb = checkpointed(H.neighbour_texts(self.query_vectors, self.text_vectors, NEIGHBOURS))
@@ -223,54 +247,54 @@ def hist_sql(*more: str) -> str:
 
 @query("j1_microcat_given_text", hist_sql(PMC) + " select text, mc, round(p, 9) as p from pmc", HISTORY)
 def j1(spark, sf):
-    return H.microcat_given_text(Prepared(spark, sf).hist).withColumn("p", F.round("p", 9))
+    return H.microcat_given_text(Prepared.of(spark, sf).hist).withColumn("p", F.round("p", 9))
 
 
 @query("j2_text_items", hist_sql(TI) + " select * from ti", HISTORY)
 def j2(spark, sf):
-    p = Prepared(spark, sf)
+    p = Prepared.of(spark, sf)
     return H.text_items(p.hist, p.corpus)
 
 
 @query("j3_neighbour_texts", hist_sql(TEXTVEC) + " select qid, text, sim from nb", HISTORY)
 def j3(spark, sf):
-    return History(spark, sf).nb
+    return History.of(spark, sf).nb
 
 
 @query("j4_microcat_mix", hist_sql(TEXTVEC, PMC, MIX) + " select qid, mc, round(p, 6) as p from mix", HISTORY)
 def j4(spark, sf):
-    h = History(spark, sf)
+    h = History.of(spark, sf)
     return H.microcat_mix(h.nb, h.p_mc).withColumn("p", F.round("p", 6))
 
 
 @query("j5_history_scores", hist_sql(TEXTVEC, TI, HS) + " select qid, row_id, round(hist_knn, 8) as hist_knn from hs", HISTORY)
 def j5(spark, sf):
-    h = History(spark, sf)
+    h = History.of(spark, sf)
     return H.history_scores(h.nb, h.text_items, h.queries, h.corpus, NEAR).select("qid", "row_id", F.round("hist_knn", 8).alias("hist_knn"))
 
 
 @query("j6_history_exact", hist_sql(TEXTVEC, TI, HS) + " select qid, row_id, hist_exact, hist_exact_same from hs where hist_exact > 0", HISTORY)
 def j6(spark, sf):
-    h = History(spark, sf)
+    h = History.of(spark, sf)
     return H.history_scores(h.nb, h.text_items, h.queries, h.corpus, NEAR).where("hist_exact > 0").select("qid", "row_id", "hist_exact", "hist_exact_same")
 
 
-@query("j7_history_topk", hist_sql(TEXTVEC, TI, HS) + " select qid, row_id, rank from (select *, row_number() over (partition by qid order by round(hist_knn, 8) desc, row_id) as rank from hs) where rank <= 10", HISTORY)
+@query("j7_history_topk", hist_sql(TEXTVEC, TI, HS) + " select qid, row_id, rank from (select *, row_number() over (partition by qid order by round(hist_knn, 8) desc, row_id) as rank from hs) where rank <= 50", HISTORY)
 def j7(spark, sf):
-    h = History(spark, sf)
-    return H.history_topk(H.history_scores(h.nb, h.text_items, h.queries, h.corpus, NEAR), 10).select("qid", "row_id", F.col("rank").cast("long").alias("rank"))
+    h = History.of(spark, sf)
+    return H.history_topk(H.history_scores(h.nb, h.text_items, h.queries, h.corpus, NEAR), 50).select("qid", "row_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("j8_microcat_affinity", hist_sql(TEXTVEC, PMC, MIX, TI, HS) + " select qid, row_id, round(coalesce(p, 0), 6) as mc_aff from hs join (select row_id, item_microcat_id as mc from corpus) using (row_id) left join mix using (qid, mc)", HISTORY)
 def j8(spark, sf):
-    h = History(spark, sf)
+    h = History.of(spark, sf)
     pairs = H.history_scores(h.nb, h.text_items, h.queries, h.corpus, NEAR)
     return H.microcat_affinity(pairs, H.microcat_mix(h.nb, h.p_mc), h.corpus).withColumn("mc_aff", F.round("mc_aff", 6))
 
 
 @query("j9_query_history_features", hist_sql(TEXTVEC) + " select qid, case when search_query in (select text from htx) then 1.0 else 0.0 end::double as q_seen, m as q_nn_sim from allq left join (select qid, max(sim) as m from nb group by qid) using (qid)", HISTORY)
 def j9(spark, sf):
-    h = History(spark, sf)
+    h = History.of(spark, sf)
     return H.query_history_features(h.queries, h.hist, h.nb)
 
 
@@ -296,12 +320,16 @@ VEC = ["vec_items_v", "vec_queries_v"]
 VTR = "tr as (select loc as s, (loc * 3 + vec_id) % 10 as l, count(*) as c from (select vec_id, cast(label as int) as loc from embeddings where label % 4 <> 0) group by all), tot as (select s, sum(c) as total from tr group by s)"
 
 
+NEAREST = f"near as materialized (select qid, row_id from (select qid, row_id, row_number() over (partition by qid order by round({DOT.format(a='q.vec', b='i.vec')}, 6) desc, row_id) as rank from vec_queries_v q cross join vec_items_v i) where rank <= 10)"
+
+
 def _vec_pairs(spark, sf):
+    """The pairs that the nearest items of every query make."""
     q, i = view(spark, sf, "vec_queries_v"), view(spark, sf, "vec_items_v")
-    return q, i, q.select("qid").join(i.select("row_id"), F.pmod(F.col("row_id"), F.lit(50)) == F.pmod(F.col("qid"), F.lit(50)) + 1)
+    return q, i, D.block_topk(q, i, 10).select("qid", "row_id")
 
 
-@query("f3_ensemble_sim", f"with p as (select q.qid, i.row_id, {DOT.format(a='q.vec', b='i.vec')} as a, list_sum(list_transform(list_zip(list_reverse(q.vec), i.vec), lambda z: z[1]::double * z[2]::double)) as b from vec_queries_v q join vec_items_v i on i.row_id % 50 = q.qid % 50 + 1) select qid, row_id, round((round(a, 6) + round(b, 6)) / 2, 9) as sim from p", VEC)
+@query("f3_ensemble_sim", f"with {NEAREST}, p as (select q.qid, i.row_id, {DOT.format(a='q.vec', b='i.vec')} as a, list_sum(list_transform(list_zip(list_reverse(q.vec), i.vec), lambda z: z[1]::double * z[2]::double)) as b from near join vec_queries_v q using (qid) join vec_items_v i using (row_id)) select qid, row_id, round((round(a, 6) + round(b, 6)) / 2, 9) as sim from p", VEC)
 def f3(spark, sf):
     q, i, pairs = _vec_pairs(spark, sf)
     both = D.score_pairs(pairs, q, i).unionByName(D.score_pairs(pairs, q.withColumn("vec", F.reverse("vec")), i))
@@ -327,7 +355,7 @@ def f5(spark, sf):
     return got.select("qid", "row_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("f6_score_pairs", f"select q.qid, i.row_id, round({DOT.format(a='q.vec', b='i.vec')}, 6) as sim from vec_queries_v q join vec_items_v i on i.row_id % 50 = q.qid % 50 + 1", VEC)
+@query("f6_score_pairs", f"with {NEAREST} select q.qid, i.row_id, round({DOT.format(a='q.vec', b='i.vec')}, 6) as sim from near join vec_queries_v q using (qid) join vec_items_v i using (row_id)", VEC)
 def f6(spark, sf):
     q, i, pairs = _vec_pairs(spark, sf)
     return D.score_pairs(pairs, q, i)
@@ -335,4 +363,4 @@ def f6(spark, sf):
 
 @query("f7_history_texts", prep("select distinct search_query from hist"), TRAIN)
 def f7(spark, sf):
-    return D.history_texts(Prepared(spark, sf).hist)
+    return D.history_texts(Prepared.of(spark, sf).hist)
