@@ -27,10 +27,15 @@ def empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it whole, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``df`` without the columns named, whatever the case in which they are written."""
     low = {n.lower() for n in names}
-    return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in low])
+    return df.select(*[quoted(c) for c in df.columns if c.lower() not in low])
 
 
 def place_of(df: DataFrame, name: str) -> int:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, sorted_groups
+from .common import kept, quoted, sorted_groups
 from .components import connected_components
 from .simhash import _merge
 
@@ -236,7 +236,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     or non-finite components link with nothing. Repeated rows count as copies; rows with a null id count as vectors,
     and have a null component unless their component has an id; other columns are not read; an empty table has no rows.
     """
-    base = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("vec"))
+    base = vectors.select(F.col(quoted(id_col)).cast("long").alias("vec_id"), F.col(quoted(vector_col)).alias("vec"))
     usable = _usable(F.col("vec"))
     base = base.select("vec_id", "vec", F.when(usable, F.xxhash64("vec")).alias("h1"), F.when(usable, F.xxhash64("vec", F.lit(1))).alias("h2"))
     given = base.where("h1 is not null")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, kept
+from .common import checkpointed, kept, quoted
 
 #: Bits of the key that one round of probes resolves between two candidate boundaries.
 PROBE_BITS = 10
@@ -134,9 +134,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "do
     """Write whole rows as one folder ``name=k`` per shard, cut like :func:`shard_by_bytes`."""
     if name.lower() in map(str.lower, docs.columns):
         raise ValueError(f"the documents have a column {name}: give the folders another name")
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    row = F.struct(*[f"`{c}`" for c in docs.columns])
-    keyed = kept(docs.select(row.alias("row"), sort_key(text, F.col(f"`{id_col}`")).alias("key"), (F.octet_length(text) + 1).cast("long").alias("size")), "keyed")
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    row = F.struct(*[quoted(c) for c in docs.columns])
+    keyed = kept(docs.select(row.alias("row"), sort_key(text, F.col(quoted(id_col))).alias("key"), (F.octet_length(text) + 1).cast("long").alias("size")), "keyed")
     cuts = splitters(keyed.select("key", "size"), shards)
     dealt = keyed.withColumn(name, shard_of(F.col("key"), cuts).cast("int")).repartition(name, F.pmod("key", F.lit(64)))
     dealt.select("row.*", name).write.partitionBy(name).parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import append_columns, kept, place_of, text_slices, without
+from .common import append_columns, kept, place_of, quoted, text_slices, without
 from .labelled import Logistic, class_share, id_remainder, training_documents, training_sample
 
 #: Symbols of a letter group; a symbol has BITS bits.
@@ -251,7 +251,7 @@ def joined(docs: DataFrame, ratios: DataFrame, fields: list[T.StructField], comp
     docs = given.toDF(*[f"c{i}" for i in range(len(given.columns))])
     text_col = f"c{at}"
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    key = F.xxhash64(*[f"`{f.name}`" for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType, T.VariantType))])
+    key = F.xxhash64(*[quoted(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType, T.VariantType))])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.withColumn("chunk", F.pmod(key, F.lit(max(parts, size // CHUNK)))).repartition("chunk")
     names = docs.columns

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, without
+from .common import checkpointed, quoted, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,7 +59,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url_c
     """
     base = without(pages, ["host", "path", "rule", "verdict"])
     p = base.withColumn("host", url_host(F.col(url_col))).withColumn("path", url_path(F.col(url_col)))
-    row = F.struct(*[f"`{c}`" for c in p.columns])
+    row = F.struct(*[quoted(c) for c in p.columns])
     edges = _edges(rules)
     stream = edges.select("key", "kind", F.lit(0).cast("long").alias("salt"), F.lit(None).cast(p.select(row.alias("r")).schema[0].dataType).alias("row"), "stack").unionByName(
         p.select(reversed_host(F.col("host")).alias("key"), F.lit(2).alias("kind"), F.xxhash64(url_col, F.monotonically_increasing_id()).alias("salt"), row.alias("row"), F.lit(None).cast(edges.schema["stack"].dataType).alias("stack"))
@@ -73,7 +73,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url_c
     swept = ranged.withColumn("here", F.last("stack", True).over(Window.partitionBy("pid").orderBy("key", "kind", "salt").rowsBetween(Window.unboundedPreceding, 0))).where("kind = 2")
     active = swept.join(F.broadcast(carried), "pid", "left").select("row.*", F.coalesce("here", "carried").alias("__stack"))
     hit = F.get(F.filter("__stack", lambda r: F.col("path").startswith(r["path"])), 0)
-    return active.select(*[f"`{c}`" for c in p.columns], hit["rule"].alias("rule"), F.coalesce(hit["verdict"], F.lit(default)).alias("verdict"))
+    return active.select(*[quoted(c) for c in p.columns], hit["rule"].alias("rule"), F.coalesce(hit["verdict"], F.lit(default)).alias("verdict"))
 
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
