@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, mixing, quality, simhash, toxicity
-from marlstone.llm.common import kept, read, unused
+from marlstone.llm.common import kept, quoted, read, unused
 from marlstone.llm.queries import tokenizer_path
 
 
 def _judged(docs: DataFrame, scored: DataFrame, keep) -> DataFrame:
-    return scored.where(keep).select(*[f"`{c}`" for c in docs.columns])
+    return scored.where(keep).select(*[quoted(c) for c in docs.columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
