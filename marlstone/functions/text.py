@@ -62,6 +62,12 @@ def bigrams(tok: DataFrame, id_cols: list[str], term: str = "term") -> DataFrame
     return tok.withColumn("next", nxt).where("next is not null").select(*id_cols, "pos", F.concat(term, F.lit("§"), "next").alias(term))
 
 
+def following(words: Column) -> Column:
+    """The pairs (first, second) of words that follow each other in an array."""
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
+
+
 def clean_params(col: Column | str, max_chars: int = 400, pattern: str = BOILERPLATE) -> Column:
     """Filter text without boilerplate, white space collapsed, trimmed, cut to ``max_chars`` characters."""
     c = F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

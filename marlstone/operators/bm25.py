@@ -39,19 +39,26 @@ def unigrams(df: DataFrame, id_col: str, text_col: str, max_tokens: int | None =
 
 
 def _occurrences(corpus: DataFrame, fields: tuple[Field, ...], stem: Stemmer) -> DataFrame:
-    """(field, row_id, dl, term): every occurrence with the length of its field, which is known before words unfold."""
-    out = None
+    """(field, row_id, dl, term): every occurrence with the length of its field, which is known before words unfold.
+
+    A row's fields unfold together, so that texts are read once; pairs of following words are formed inside the row.
+    """
+    words = corpus.select("row_id", *[X.kept_tokens(f.column, f.max_tokens).alias(f.name) for f in fields])
+    parts = []
     for f in fields:
-        words = corpus.select("row_id", X.kept_tokens(f.column, f.max_tokens).alias("words"))
-        n = F.size("words")
-        dl = (n + F.greatest(n - 1, F.lit(0)) if f.bigrams else n).cast("double")
-        uni = stem(words.select("row_id", dl.alias("dl"), F.posexplode("words").alias("pos", "token")))
-        both = uni.select("row_id", "dl", "term")
+        n = F.size(f.name)
+        length = (n + F.greatest(n - 1, F.lit(0)) if f.bigrams else n).cast("double")
+        nothing = F.lit(None).cast("string")
+        seen = F.transform(f.name, lambda w: F.struct(w.alias("token"), nothing.alias("next")))  # noqa: B023
         if f.bigrams:
-            both = both.unionByName(X.bigrams(uni, ["row_id", "dl"]).select("row_id", "dl", "term"))
-        both = both.select(F.lit(f.name).alias("field"), "row_id", "dl", "term")
-        out = both if out is None else out.unionByName(both)
-    return out
+            seen = F.concat(seen, F.transform(X.following(F.col(f.name)), lambda p: F.struct(p["first"].alias("token"), p["second"].alias("next"))))
+        parts.append(F.struct(F.lit(f.name).alias("field"), length.alias("dl"), seen.alias("seen")))
+    rows = words.select("row_id", F.explode(F.array(*parts)).alias("f")).select("f.field", "row_id", "f.dl", F.explode("f.seen").alias("o")).select("field", "row_id", "dl", "o.token", "o.next")
+    if stem is identity:
+        return rows.select("field", "row_id", "dl", F.concat_ws("§", "token", "next").alias("term"))
+    one = stem(rows.where("next is null").drop("next")).select("field", "row_id", "dl", "term")
+    first = stem(rows.where("next is not null")).withColumnsRenamed({"term": "first", "next": "token"})
+    return one.unionByName(stem(first).select("field", "row_id", "dl", F.concat("first", F.lit("§"), "term").alias("term")))
 
 
 def terms(corpus: DataFrame, fields: tuple[Field, ...] = FIELDS, stem: Stemmer = identity) -> DataFrame:

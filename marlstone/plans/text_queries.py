@@ -106,8 +106,9 @@ def b4(spark, sf):
 
 @query("b5_bigrams", f"with t as ({tokens_sql('documents', 'doc_id', 'text')}), n as (select doc_id, term || '§' || lead(term) over (partition by doc_id order by pos) as term from t) select term, count(*) as n from n where term is not null group by term")
 def b5(spark, sf):
-    t = X.bigrams(B.unigrams(table(spark, sf, "documents"), "doc_id", "text"), ["doc_id"])
-    return t.groupBy("term").agg(F.count("*").alias("n"))
+    words = table(spark, sf, "documents").select(X.kept_tokens("text").alias("words"))
+    pairs = words.select(F.explode(X.following(F.col("words"))).alias("p"))
+    return pairs.groupBy(F.concat("p.first", F.lit("§"), "p.second").alias("term")).agg(F.count("*").alias("n"))
 
 
 CLEAN = r"substr(trim(regexp_replace(regexp_replace(coalesce({c}, ''), '" + X.BOILERPLATE + r"', ' ', 'g'), '\s+', ' ', 'g')), 1, {n})"

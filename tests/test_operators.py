@@ -45,6 +45,17 @@ def test_bm25_of_three_documents(spark):
     assert {(r["term"], r["n_terms"]) for r in q.collect()} == {("car", 2), ("red", 2)}
 
 
+def test_occurrences_are_those_of_the_token_table(spark):
+    df = spark.createDataFrame([(1, "running cars и hoping", "услуги", None), (2, "", None, "generously generously"), (3, "relational", "a", "b c")], "row_id long, title string, params string, description string")
+    for stemmer in (bm25.identity, stem.snowball):
+        want = []
+        for f in bm25.FIELDS:
+            uni = bm25.unigrams(df, "row_id", f.column, f.max_tokens, stemmer)
+            want += [(f.name, r["row_id"], r["term"]) for r in uni.collect()]
+            want += [(f.name, r["row_id"], r["term"]) for r in text.bigrams(uni, ["row_id"]).collect()] if f.bigrams else []
+        assert sorted(map(tuple, bm25.terms(df, stem=stemmer).collect())) == sorted(want)
+
+
 def test_distance_and_prior(spark):
     km = spark.range(1).select(numeric.haversine_km(*map(F.lit, (55.7558, 37.6173, 59.9343, 30.3351))).alias("km")).first()["km"]
     assert km == pytest.approx(633, abs=3)
