@@ -47,7 +47,7 @@ def _occurrences(corpus: DataFrame, fields: tuple[Field, ...], stem: Stemmer) ->
     parts = []
     for f in fields:
         n = F.size(f.name)
-        length = (n + F.greatest(n - 1, F.lit(0)) if f.bigrams else n).cast("double")
+        length = n + F.greatest(n - 1, F.lit(0)) if f.bigrams else n
         nothing = F.lit(None).cast("string")
         seen = F.transform(f.name, lambda w: F.struct(w.alias("token"), nothing.alias("next")))  # noqa: B023
         if f.bigrams:
@@ -92,19 +92,19 @@ def idf(tf: DataFrame, corpus: DataFrame) -> DataFrame:
 def bm25_postings(corpus: DataFrame, fields: tuple[Field, ...] = FIELDS, stem: Stemmer = identity) -> DataFrame:
     """(field, term, row_id, tf, w): the index. ``row_id`` is unique, and ``stem`` gives one term per token.
 
-    Texts are read once: lengths travel with the words, and both the frequencies by term and the mean lengths come
-    from the exchange of the counts, which Spark reuses. Only the frequencies are joined; no row meets another.
+    Lengths travel with the words. Frequencies by term and mean lengths come from one exchange of partial sums, which
+    Spark reuses. Only the frequencies are joined; no row meets another.
     """
     tf = _occurrences(corpus, fields, stem).groupBy("field", "row_id", "dl", "term").agg(F.count("*").alias("tf"))
     n = corpus.agg(F.count("*").cast("double").alias("n"))
-    # Counted over tf, so that no branch drops that column and all have the same exchange.
-    by_term = tf.groupBy("field", "term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("total"))
+    # The condition always holds. It reads both sums, so that no branch drops either and all share one exchange.
+    by_term = tf.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where("total >= df")
     mean = by_term.groupBy("field").agg(F.sum("total").cast("double").alias("total")).join(F.broadcast(n)).select("field", "n", F.when(F.col("total") == 0, 1.0).otherwise(F.col("total") / F.col("n")).alias("avg"))
     k1 = _by_field(fields, lambda f: f.k1)
     b = _by_field(fields, lambda f: f.b)
     t, d = F.col("tf").cast("double"), F.col("df").cast("double")
     idf_ = F.log(F.lit(1.0) + (F.col("n") - d + F.lit(0.5)) / (d + F.lit(0.5)))
-    w = idf_ * t * (k1 + F.lit(1.0)) / (t + k1 * (F.lit(1.0) - b + b * F.col("dl") / F.col("avg")))
+    w = idf_ * t * (k1 + F.lit(1.0)) / (t + k1 * (F.lit(1.0) - b + b * F.col("dl").cast("double") / F.col("avg")))
     # One row per field: the mean lengths are broadcast.
     joined = tf.join(by_term.select("field", "term", "df"), ["field", "term"]).join(F.broadcast(mean), "field")
     return joined.select("field", "term", "row_id", "tf", w.alias("w"))
