@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 ALPHA = 1.0
 
@@ -13,9 +14,19 @@ ALPHA = 1.0
 def centroids(hist: DataFrame, items: DataFrame) -> DataFrame:
     """(loc, lat, lon): medians by item location over items and history; else by search location over history."""
     place = lambda df, loc: df.select(F.col(loc).alias("loc"), F.col("item_latitude").alias("lat"), F.col("item_longitude").alias("lon")).dropna()
-    middle = lambda df: df.groupBy("loc").agg(F.median("lat").alias("lat"), F.median("lon").alias("lon"))
-    own = middle(place(items, "item_location_id").unionByName(place(hist, "item_location_id")))
-    return own.unionByName(middle(place(hist, "search_location_id")).join(own.select("loc"), "loc", "left_anti"))
+    own = _medians(place(items, "item_location_id").unionByName(place(hist, "item_location_id")))
+    return own.unionByName(_medians(place(hist, "search_location_id")).join(own.select("loc"), "loc", "left_anti"))
+
+
+def _medians(points: DataFrame) -> DataFrame:
+    """(loc, lat, lon): exact medians from running counts of the distinct values, so that no location is one buffer."""
+    each = points.select("loc", F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("v")) for c in ("lat", "lon")])).alias("p")).select("loc", "p.*")
+    counts = each.groupBy("loc", "axis", "v").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("loc", "axis").agg(F.sum("n").alias("size"))
+    run = F.sum("n").over(Window.partitionBy("loc", "axis").orderBy("v"))
+    middle = counts.withColumn("hi", run).join(sizes, ["loc", "axis"]).where("hi > (size - 1) div 2 and hi - n <= size div 2")
+    half = lambda c: F.when(F.col("axis") == c, F.col("v"))
+    return middle.groupBy("loc").agg(*[((F.min(half(c)) + F.max(half(c))) / 2).alias(c) for c in ("lat", "lon")])
 
 
 def transitions(hist: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-worked cases and invariants of the search operators."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -138,6 +139,37 @@ def test_drawn_locations_follow_the_shares(spark):
     assert all(r["loc"] == 9 for r in unknown)
 
 
+def test_draws_meet_exactly_one_share_and_one_point(spark):
+    g = np.random.default_rng(5)
+    trans = spark.createDataFrame([(s, l, int(c)) for s in (1, 2) for l, c in enumerate(g.integers(1, 500, 300))], "s int, l int, c long")
+    picks = spark.range(4000).select(F.concat(F.lit("q"), "id").alias("qid"), F.col("id").alias("row_id"), (F.col("id") % 3 + 1).cast("int").alias("s"))
+    placed = competitors.draw_location(picks, trans)
+    drawn = placed.join(trans.groupBy("s").agg(F.sum("c").alias("total")), "s").withColumn("u", competitors.uniform(competitors.SEED, "loc", "qid", "row_id"))
+    shares = {s: np.cumsum([r["c"] for r in trans.where(f"s = {s}").orderBy("l").collect()]) for s in (1, 2)}
+    rows = drawn.collect()
+    assert placed.count() == 4000 and all(r["loc"] == np.searchsorted(shares[r["s"]] / r["total"], r["u"], side="right") for r in rows)
+    spots = spark.createDataFrame([(1, float(i), float(-i), 1 + i % 7) for i in range(50)], "item_location_id int, item_latitude double, item_longitude double, times int")
+    points = competitors.location_points(spots.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))), spots.limit(0))
+    centres = spark.createDataFrame([(2, 500.0, 500.0)], "loc int, lat double, lon double")
+    at = competitors.draw_coordinates(picks.withColumn("loc", F.col("s")), points, centres).collect()
+    times = Counter(round(r["lat"]) for r in at if r["loc"] == 1)
+    assert len(at) == 4000 and set(times) == set(range(50)) and all(r["lat"] is None for r in at if r["loc"] == 3)
+    assert all(round(r["lon"]) == -round(r["lat"]) for r in at if r["loc"] == 1) and sum(times[i] for i in range(6, 50, 7)) > 4 * sum(times[i] for i in range(0, 42, 7))
+
+
+def test_centres_are_medians(spark):
+    g = np.random.default_rng(6)
+    rows = [(int(loc), None if g.random() < 0.1 else float(np.round(g.normal(), 1)), float(np.round(g.normal(), 1))) for loc in g.integers(0, 40, 400)]
+    items = spark.createDataFrame([*rows, (None, 1.0, 1.0), (99, 3.0, 4.0)], "item_location_id int, item_latitude double, item_longitude double")
+    hist = items.limit(0).withColumn("search_location_id", F.lit(1))
+    known = {}
+    for loc, lat, lon in [*rows, (99, 3.0, 4.0)]:
+        if lat is not None:
+            known.setdefault(loc, []).append((lat, lon))
+    got = {r["loc"]: (r["lat"], r["lon"]) for r in location.centroids(hist, items).collect()}
+    assert got.keys() == known.keys() and all(got[k] == pytest.approx(tuple(np.median(v, axis=0))) for k, v in known.items())
+
+
 SCORED = "qid string, row_id long, score double, category int, rk_dense_loc_mean long, label int"
 
 
