@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 SERVICE_CATEGORY = 114
 ANSWER, RESERVE, RESERVE_RANK = 50, 5, 100
+SEED = 42
 
 
 def drop_useless(cands: DataFrame) -> DataFrame:
@@ -51,22 +52,44 @@ def fold_split(cands: DataFrame, evaluate: int, stop: int = 6) -> DataFrame:
     return cands.where("fold >= 0").withColumn("part", part)
 
 
-def train_ranker(train: DataFrame, valid: DataFrame, features: list[str], rounds: int = 100, depth: int = 5, rate: float = 0.1, seed: int = 1):
-    """Gradient-boosted trees on single pairs, each query's pairs weighing 1 together, stopped early on ``valid``.
+def train_ranker(train: DataFrame, valid: DataFrame | None, features: list[str], rounds: int = 100, depth: int = 5, rate: float = 0.1, seed: int = 1, sample: float = 1.0):
+    """Gradient-boosted trees on single pairs, each query's pairs weighing 1 together, stopped early on ``valid`` if given.
 
-    Returns the fitted Spark ML pipeline. A pairwise or listwise objective is not part of Spark ML.
+    Returns the fitted Spark ML pipeline. A pairwise or listwise objective is not part of Spark ML. ``sample`` is the
+    share of the rows that a tree sees, so that seeds differ; rows are in order of query and row, if they have one, so that
+    a seed draws the same ones again.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = train.withColumn("is_valid", F.lit(False)).unionByName(valid.withColumn("is_valid", F.lit(True)))
+    rows = train.withColumn("is_valid", F.lit(False))
+    if valid is not None:
+        rows = rows.unionByName(valid.withColumn("is_valid", F.lit(True)))
     rows = rows.withColumn("weight", F.lit(1.0) / F.count("*").over(Window.partitionBy("qid"))).withColumn("label", F.col("label").cast("double"))
+    rows = rows.sortWithinPartitions("qid", *[c for c in ("row_id",) if c in rows.columns])
     vector = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", validationIndicatorCol="is_valid", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, subsamplingRate=sample)
+    if valid is not None:
+        trees = trees.setValidationIndicatorCol("is_valid")
     return Pipeline(stages=[vector, trees]).fit(rows)
 
 
+def n_trees(model) -> int:
+    """The trees that a model keeps: the best number, where it was stopped early."""
+    return model.stages[-1].getNumTrees
+
+
+def final_predictions(train: DataFrame, cands: DataFrame, features: list[str], trees: int, seeds: int = 3, sample: float = 0.8, **shape) -> DataFrame:
+    """(seed, qid, row_id, pred): ``cands`` judged by one model per seed, each fitted to all of ``train``."""
+    out = None
+    for seed in range(seeds):
+        model = train_ranker(train, None, features, rounds=trees, seed=SEED + seed, sample=sample, **shape)
+        one = predict(model, cands).select(F.lit(seed).alias("seed"), "qid", "row_id", "pred")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def predict(model, cands: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
