@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..sources.stages import checkpointed, kept, shared_folder  # noqa: F401
+from ..sources.stages import checkpointed, kept, kept_buckets, shared_folder  # noqa: F401
 
 #: The bytes that end a word; ``bytes.split()`` splits on exactly these.
 WHITESPACE = b" \t\n\x0b\x0c\r"
