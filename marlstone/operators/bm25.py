@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..sources.stages import kept, kept_buckets
 
 
 @dataclass(frozen=True)
@@ -27,6 +29,9 @@ COMBINE = {"title": 1.0, "params": 0.2, "desc": 0.5}
 # Stems of filter keys that count for nothing in the filter coverage.
 FILTER_KEYS = ("вид", "услуг", "тип", "рейтинг", "пользовател", "звезд", "выш", "онлайн", "запис")
 Stemmer = Callable[[DataFrame], DataFrame]
+#: Rows of a chunk, and postings of one part of a term.
+CHUNK = 32
+PART = 1 << 22
 
 
 def identity(tok: DataFrame) -> DataFrame:
@@ -38,36 +43,63 @@ def unigrams(df: DataFrame, id_col: str, text_col: str, max_tokens: int | None =
     return stem(X.drop_stop(X.tokens(df, id_col, text_col, max_tokens)))
 
 
-def _occurrences(corpus: DataFrame, fields: tuple[Field, ...], stem: Stemmer) -> DataFrame:
-    """(field, row_id, dl, term): every occurrence with the length of its field, which is known before words unfold.
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    A row's fields unfold together, so that texts are read once; pairs of following words are formed inside the row.
+
+def counted(words: Column) -> Column:
+    """The distinct words of an array with their numbers: where runs of the sorted words start, and how far apart."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda w, i: F.struct(w.alias("term"), i.alias("i"))), lambda r: (r["i"] == 0) | (r["term"] != F.get(s, r["i"] - 1)))
+        return _once(first, lambda at: F.transform(at, lambda r, k: F.struct(r["term"].alias("term"), (F.coalesce(F.get(at, k + 1)["i"], F.size(s)) - r["i"]).cast("long").alias("tf"))))
+
+    return _once(F.sort_array(words), runs)
+
+
+def row_terms(corpus: DataFrame, fields: tuple[Field, ...] = FIELDS, stem: Stemmer = identity, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(field, row_id, *carry, dl, term, tf): how often a row's field has each term, and its number of terms.
+
+    A row's fields unfold together, so that texts are read once; pairs of following words are formed, and terms are
+    counted, inside the row: nothing is shuffled. Another stemmer than :func:`identity` takes tokens as rows, which are
+    counted after it.
     """
-    words = corpus.select("row_id", *[X.kept_tokens(f.column, f.max_tokens).alias(f.name) for f in fields])
+    words = corpus.select("row_id", *carry, *[X.kept_tokens(f.column, f.max_tokens).alias(f.name) for f in fields])
+    if stem is not identity:
+        return _stemmed_terms(words, fields, stem, carry)
     parts = []
     for f in fields:
         n = F.size(f.name)
+        every = F.col(f.name)
+        if f.bigrams:
+            every = F.concat(every, F.transform(X.following(every), lambda p: F.concat(p["first"], F.lit("§"), p["second"])))
         length = n + F.greatest(n - 1, F.lit(0)) if f.bigrams else n
+        parts.append(F.struct(F.lit(f.name).alias("field"), length.alias("dl"), counted(every).alias("seen")))
+    rows = words.select("row_id", *carry, F.explode(F.array(*parts)).alias("f")).select("f.field", "row_id", *carry, "f.dl", F.explode("f.seen").alias("o"))
+    return rows.select("field", "row_id", *carry, "dl", "o.term", "o.tf")
+
+
+def _stemmed_terms(words: DataFrame, fields: tuple[Field, ...], stem: Stemmer, carry: tuple[str, ...]) -> DataFrame:
+    parts = []
+    for f in fields:
+        n = F.size(f.name)
         nothing = F.lit(None).cast("string")
         seen = F.transform(f.name, lambda w: F.struct(w.alias("token"), nothing.alias("next")))  # noqa: B023
         if f.bigrams:
             seen = F.concat(seen, F.transform(X.following(F.col(f.name)), lambda p: F.struct(p["first"].alias("token"), p["second"].alias("next"))))
-        parts.append(F.struct(F.lit(f.name).alias("field"), length.alias("dl"), seen.alias("seen")))
-    rows = words.select("row_id", F.explode(F.array(*parts)).alias("f")).select("f.field", "row_id", "f.dl", F.explode("f.seen").alias("o")).select("field", "row_id", "dl", "o.token", "o.next")
-    if stem is identity:
-        return rows.select("field", "row_id", "dl", F.concat_ws("§", "token", "next").alias("term"))
-    one = stem(rows.where("next is null").drop("next")).select("field", "row_id", "dl", "term")
+        parts.append(F.struct(F.lit(f.name).alias("field"), (n + F.greatest(n - 1, F.lit(0)) if f.bigrams else n).alias("dl"), seen.alias("seen")))
+    key = ["field", "row_id", *carry, "dl"]
+    rows = words.select("row_id", *carry, F.explode(F.array(*parts)).alias("f")).select("f.field", "row_id", *carry, "f.dl", F.explode("f.seen").alias("o")).select(*key, "o.token", "o.next")
+    one = stem(rows.where("next is null").drop("next")).select(*key, "term")
     first = stem(rows.where("next is not null")).withColumnsRenamed({"term": "first", "next": "token"})
-    return one.unionByName(stem(first).select("field", "row_id", "dl", F.concat("first", F.lit("§"), "term").alias("term")))
+    every = one.unionByName(stem(first).select(*key, F.concat("first", F.lit("§"), "term").alias("term")))
+    return every.groupBy(*key, "term").agg(F.count("*").alias("tf"))
 
 
-def terms(corpus: DataFrame, fields: tuple[Field, ...] = FIELDS, stem: Stemmer = identity) -> DataFrame:
-    """(field, row_id, term): one row per occurrence, with the bigrams of fields that have them."""
-    return _occurrences(corpus, fields, stem).drop("dl")
-
-
-def term_freq(occurrences: DataFrame) -> DataFrame:
-    return occurrences.groupBy("field", "row_id", "term").agg(F.count("*").alias("tf"))
+def term_freq(corpus: DataFrame, fields: tuple[Field, ...] = FIELDS, stem: Stemmer = identity) -> DataFrame:
+    """(field, row_id, term, tf)"""
+    return row_terms(corpus, fields, stem).drop("dl")
 
 
 def doc_stats(tf: DataFrame, corpus: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
@@ -92,22 +124,33 @@ def idf(tf: DataFrame, corpus: DataFrame) -> DataFrame:
 def bm25_postings(corpus: DataFrame, fields: tuple[Field, ...] = FIELDS, stem: Stemmer = identity) -> DataFrame:
     """(field, term, row_id, tf, w): the index. ``row_id`` is unique, and ``stem`` gives one term per token.
 
-    Lengths travel with the words. Frequencies by term and mean lengths come from one exchange of partial sums, which
-    Spark reuses. Only the frequencies are joined; no row meets another.
+    Terms are counted inside the rows, once for the frequencies, whose partial sums are shuffled, and once for the
+    postings, which are shuffled to meet them: reading a text twice costs less than moving its terms a second time.
+    Lengths travel with the terms; only the frequencies are joined, and Spark may split a frequent term's rows.
     """
-    tf = _occurrences(corpus, fields, stem).groupBy("field", "row_id", "dl", "term").agg(F.count("*").alias("tf"))
-    n = corpus.agg(F.count("*").cast("double").alias("n"))
-    # The condition always holds. It reads both sums, so that no branch drops either and all share one exchange.
-    by_term = tf.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where("total >= df")
-    mean = by_term.groupBy("field").agg(F.sum("total").cast("double").alias("total")).join(F.broadcast(n)).select("field", "n", F.when(F.col("total") == 0, 1.0).otherwise(F.col("total") / F.col("n")).alias("avg"))
+    tf = row_terms(corpus, fields, stem)
+    by_term, mean = frequencies(tf, corpus)
+    return _weighted(tf, by_term, mean, fields).select("field", "term", "row_id", "tf", "w")
+
+
+def _weighted(tf: DataFrame, by_term: DataFrame, mean: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
+    """``tf`` with the weight w of every term in its row's field."""
     k1 = _by_field(fields, lambda f: f.k1)
     b = _by_field(fields, lambda f: f.b)
     t, d = F.col("tf").cast("double"), F.col("df").cast("double")
     idf_ = F.log(F.lit(1.0) + (F.col("n") - d + F.lit(0.5)) / (d + F.lit(0.5)))
     w = idf_ * t * (k1 + F.lit(1.0)) / (t + k1 * (F.lit(1.0) - b + b * F.col("dl").cast("double") / F.col("avg")))
     # One row per field: the mean lengths are broadcast.
-    joined = tf.join(by_term.select("field", "term", "df"), ["field", "term"]).join(F.broadcast(mean), "field")
-    return joined.select("field", "term", "row_id", "tf", w.alias("w"))
+    return tf.join(by_term.select("field", "term", "df"), ["field", "term"]).join(F.broadcast(mean), "field").withColumn("w", w)
+
+
+def frequencies(tf: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(field, term, df, total) of all terms, and per field (field, n, avg): the number of rows and the mean length (0: 1)."""
+    n = corpus.agg(F.count("*").cast("double").alias("n"))
+    # The condition always holds. It reads both sums, so that no branch drops either and all share one exchange.
+    by_term = tf.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where("total >= df")
+    mean = by_term.groupBy("field").agg(F.sum("total").cast("double").alias("total")).join(F.broadcast(n)).select("field", "n", F.when(F.col("total") == 0, 1.0).otherwise(F.col("total") / F.col("n")).alias("avg"))
+    return by_term, mean
 
 
 def _by_field(fields, value):
@@ -118,8 +161,66 @@ def _by_field(fields, value):
     return out
 
 
-def vocabulary(postings: DataFrame) -> DataFrame:
-    return postings.select("term").distinct()
+@dataclass(frozen=True)
+class BlockIndex:
+    """Postings in blocks: (term, part, place, chunk, tops, rows), dealt by term and part, and the parts of each term.
+
+    A block holds what a term weighs in the rows of one chunk of one place: rows are (row_id, field, w), tops the largest
+    weight per field. Chunks are the same rows for every term, so that the tops of a query's terms add up to a bound
+    on the score of any row of the chunk. A frequent term has many parts, each with chunks of its own.
+    """
+
+    blocks: DataFrame
+    terms: DataFrame
+    fields: tuple[str, ...]
+
+
+def in_chunks(corpus: DataFrame, place: Column | None = None, size: int = CHUNK) -> DataFrame:
+    """``corpus`` with place (given, or one for all) and chunk: each place's rows, dealt by hash, some ``size`` a chunk.
+
+    Places are few enough to be counted and broadcast.
+    """
+    placed = corpus.withColumn("place", F.lit(0) if place is None else place)
+    chunks = placed.groupBy(F.col("place").alias("of")).agg(F.ceil(F.count("*") / size).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("row_id"), F.col("chunks")).cast("int")
+    return placed.join(F.broadcast(chunks), F.col("place").eqNullSafe(F.col("of"))).withColumn("chunk", chunk).drop("of", "chunks")
+
+
+def block_index(corpus: DataFrame, fields: tuple[Field, ...] = FIELDS, stem: Stemmer = identity, part: int = PART) -> BlockIndex:
+    """The index of ``corpus``, which has place and chunk, kept dealt and sorted by term and part for the joins to come."""
+    tf = row_terms(corpus, fields, stem, ("place", "chunk"))
+    by_term, mean = frequencies(tf, corpus)
+    by_term = kept(by_term, "frequencies")
+    terms = kept(by_term.groupBy("term").agg(F.ceil(F.sum("df") / part).cast("int").alias("parts")), "vocabulary")
+    rows = _weighted(tf, by_term, mean, fields).join(terms, "term") if terms.where("parts > 1").take(1) else _weighted(tf, by_term, mean, fields).withColumn("parts", F.lit(1))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("place", "chunk"), F.col("parts")).cast("int"))
+    number = _by_field(fields, lambda f: fields.index(f)).cast("int")
+    dealt = rows.repartition(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), "term", "part")
+    tops = F.array(*[F.max(F.when(F.col("field") == f.name, F.col("w")).otherwise(0.0)) for f in fields])
+    blocks = dealt.groupBy("term", "part", "place", "chunk").agg(tops.alias("tops"), F.collect_list(F.struct("row_id", number.alias("field"), "w")).alias("rows"))
+    return BlockIndex(kept_buckets(blocks, "postings", ["term", "part"]), terms, tuple(f.name for f in fields))
+
+
+def _met(q_terms: DataFrame, index: BlockIndex, *columns: str) -> DataFrame:
+    """The blocks of the queries' terms; the index is not shuffled, and columns that are not asked for are not read."""
+    asked = q_terms.join(index.terms, "term").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return asked.join(index.blocks.select("term", "part", "place", "chunk", *columns), ["term", "part"])
+
+
+def matches(q_terms: DataFrame, postings: DataFrame | BlockIndex) -> DataFrame:
+    """``q_terms`` with every posting of their terms: row_id, field, w."""
+    if not isinstance(postings, BlockIndex):
+        return q_terms.join(postings.select("term", "row_id", "field", "w"), "term")
+    return _unfolded(_met(q_terms, postings, "rows"), postings.fields).drop("part", "place", "chunk")
+
+
+def _unfolded(met: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    names = F.array(*map(F.lit, fields))
+    return met.withColumn("r", F.explode("rows")).select(*[c for c in met.columns if c != "rows"], "r.row_id", F.get(names, F.col("r.field")).alias("field"), "r.w")
+
+
+def vocabulary(postings: DataFrame | BlockIndex) -> DataFrame:
+    return postings.terms.select("term") if isinstance(postings, BlockIndex) else postings.select("term").distinct()
 
 
 def query_terms(queries: DataFrame, vocab: DataFrame, bigrams: bool = True, exclude: tuple[str, ...] = (), column: str = "query", stem: Stemmer = identity) -> DataFrame:
@@ -140,20 +241,70 @@ def query_terms(queries: DataFrame, vocab: DataFrame, bigrams: bool = True, excl
 
 def bm25_scores(q_terms: DataFrame, postings: DataFrame) -> DataFrame:
     """(qid, row_id, field, score): sums of the matching weights."""
-    return q_terms.select("qid", "term").join(postings, "term").groupBy("qid", "row_id", "field").agg(F.sum("w").alias("score"))
+    return matches(q_terms.select("qid", "term"), postings).groupBy("qid", "row_id", "field").agg(F.sum("w").alias("score"))
+
 
+SHORT = {"title": "bm_t", "params": "bm_p", "desc": "bm_d"}
 
-def bm25_combine(q_terms: DataFrame, postings: DataFrame, weights: dict[str, float] = COMBINE) -> DataFrame:
+
+def _combined(matched: DataFrame, weights: dict[str, float], *same: str) -> DataFrame:
+    """(qid, row_id, *same, bm_t, bm_p, bm_d, bm_comb) of matched postings; pairs with a combined score above 0."""
+    s = matched.groupBy("qid", "row_id").agg(*[F.first(c).alias(c) for c in same], *[F.sum(F.when(F.col("field") == f, F.col("w")).otherwise(0.0)).alias(SHORT[f]) for f in weights])
+    return s.withColumn("bm_comb", sum((F.lit(w) * F.col(SHORT[f]) for f, w in weights.items()), F.lit(0.0))).where("bm_comb > 0")
+
+
+def bm25_combine(q_terms: DataFrame, postings: DataFrame | BlockIndex, weights: dict[str, float] = COMBINE) -> DataFrame:
     """(qid, row_id, bm_t, bm_p, bm_d, bm_comb) in one pass over the postings; pairs with a combined score above 0."""
-    part = {f: F.sum(F.when(F.col("field") == f, F.col("w")).otherwise(0.0)) for f in weights}
-    short = {"title": "bm_t", "params": "bm_p", "desc": "bm_d"}
-    s = q_terms.select("qid", "term").join(postings, "term").groupBy("qid", "row_id").agg(*[c.alias(short[f]) for f, c in part.items()])
-    return s.withColumn("bm_comb", sum((F.lit(w) * F.col(short[f]) for f, w in weights.items()), F.lit(0.0))).where("bm_comb > 0")
+    return _combined(matches(q_terms.select("qid", "term"), postings), weights)
+
+
+def chunk_bounds(q_terms: DataFrame, index: BlockIndex, weights: dict[str, float] = COMBINE) -> DataFrame:
+    """(qid, place, chunk, bound): no row of the chunk scores more for the query. Only the tops of the blocks are read."""
+    top = sum((F.lit(w) * F.get("tops", F.lit(index.fields.index(f))) for f, w in weights.items()), F.lit(0.0))
+    return _met(q_terms.select("qid", "term"), index, "tops").groupBy("qid", "place", "chunk").agg(F.sum(top).alias("bound"))
+
+
+def score_chunks(q_terms: DataFrame, index: BlockIndex, chunks: DataFrame, weights: dict[str, float] = COMBINE) -> DataFrame:
+    """:func:`bm25_combine`, with place, of the rows of given (qid, place, chunk) only; other blocks do not unfold."""
+    met = _met(q_terms.select("qid", "term"), index, "rows").join(chunks.select("qid", "place", "chunk"), ["qid", "place", "chunk"], "left_semi")
+    return _combined(_unfolded(met, index.fields), weights, "place")
+
+
+def score_rows(q_terms: DataFrame, index: BlockIndex, pairs: DataFrame, chunks: DataFrame, weights: dict[str, float] = COMBINE) -> DataFrame:
+    """The same of given pairs (qid, row_id); ``chunks`` has the place and chunk of every row."""
+    asked = pairs.select("qid", "row_id").join(chunks.select("row_id", "place", "chunk"), "row_id")
+    scored = score_chunks(q_terms, index, asked.select("qid", "place", "chunk").distinct(), weights)
+    return scored.join(pairs.select("qid", "row_id"), ["qid", "row_id"], "left_semi")
+
+
+def bm25_topk(q_terms: DataFrame, index: BlockIndex, k: int, prior: Callable[[DataFrame], DataFrame] | None = None, seen: Callable[[DataFrame], DataFrame] | None = None, weights: dict[str, float] = COMBINE, probe: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The ``k`` best rows per query (qid, row_id, bm_t, bm_p, bm_d, bm_comb, add, score, rank), and the chunks scored for them.
+
+    score is bm_comb, plus ``add`` where ``prior`` adds a column of that name to rows (qid, place, ..); ``seen`` keeps
+    the pairs that may be listed. First the chunks are bounded; the ``probe`` chunks of the highest bounds are scored,
+    and the k-th score found there is one that the k-th of all reaches. Then only chunks whose bound reaches it are
+    scored, which leaves out none of the k best. Scores count at six digits, ties go by row.
+    """
+    prior = prior or (lambda df: df.withColumn("add", F.lit(0.0)))
+    seen = seen or (lambda df: df)
+    bounds = kept(prior(chunk_bounds(q_terms, index, weights)).withColumn("bound", F.col("bound") + F.col("add")).select("qid", "place", "chunk", "add", "bound"), "bounds")
+    best = Window.partitionBy("qid").orderBy(F.desc("bound"), "place", "chunk")
+    first = bounds.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= (probe or max(8, k // 4)))
+
+    def listed(chunks: DataFrame) -> DataFrame:
+        scored = score_chunks(q_terms, index, chunks, weights).join(chunks.select("qid", "place", "add").distinct(), ["qid", "place"])
+        scored = seen(scored).withColumn("score", F.col("bm_comb") + F.col("add"))
+        w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 6)), "row_id")
+        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    least = listed(first).groupBy("qid").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("least"))
+    chosen = kept(bounds.join(least, "qid", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - F.lit(1e-5))).drop("least"), "chosen")
+    return listed(chosen), chosen
 
 
-def coverage(q_terms: DataFrame, postings: DataFrame) -> DataFrame:
+def coverage(q_terms: DataFrame, postings: DataFrame | BlockIndex) -> DataFrame:
     """(qid, row_id, cov_t, cov_any): share of the query's known unigrams in the title, and in any field."""
-    m = q_terms.where(~F.col("term").contains("§")).join(postings, "term")
+    m = matches(q_terms.where(~F.col("term").contains("§")), postings)
     each = m.groupBy("qid", "row_id", "term", "n_terms").agg(F.max((F.col("field") == "title").cast("double")).alias("t"))
     n = F.greatest(F.max("n_terms"), F.lit(1)).cast("double")
     return each.groupBy("qid", "row_id").agg((F.sum("t") / n).alias("cov_t"), (F.count("*").cast("double") / n).alias("cov_any"))
@@ -163,6 +314,6 @@ def filter_coverage(pairs: DataFrame, queries: DataFrame, postings: DataFrame, c
     """(qid, row_id, pcov) of given pairs: share of the filter text's known terms in the params field; -1 without any."""
     t = query_terms(queries, vocabulary(postings), False, exclude, column, stem)
     n = t.select("qid", "n_terms").distinct()
-    hits = t.join(postings.where("field = 'params'"), "term").groupBy("qid", "row_id").agg(F.count("*").alias("hits"))
+    hits = matches(t, postings).where("field = 'params'").groupBy("qid", "row_id").agg(F.count("*").alias("hits"))
     out = pairs.select("qid", "row_id").join(n, "qid", "left").join(hits, ["qid", "row_id"], "left")
     return out.select("qid", "row_id", F.when(F.col("n_terms").isNull(), -1.0).otherwise(F.coalesce("hits", F.lit(0)).cast("double") / F.col("n_terms")).alias("pcov"))

@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 #: Vectors of one side of a block product.
 BLOCK = 4096
+#: Queries of a block that are scored at once, and pairs that are gathered at once.
+ASKED = 512
+GATHERED = 1 << 16
 DIGITS = 6
 
 
@@ -88,76 +91,126 @@ def query_priors(queries: DataFrame, transitions: DataFrame, alpha: float = 1.0)
     return out.withColumns({"pl": F.coalesce("pl", F.array(F.col("loc"))), "pv": F.coalesce("pv", F.array(F.lit(float(np.log(0.8))))), "floor": F.coalesce("floor", F.lit(float(np.log(1e-4))))})
 
 
-def _blocks(df: DataFrame, size: int, by_location: bool) -> int:
-    """Blocks of at most about ``size`` rows: of all rows, or of the fullest location."""
-    if by_location:
-        return max(1, -(-(df.groupBy("loc").count().agg(F.max("count")).first()[0] or 0) // size))
-    return max(1, -(-df.count() // size))
+def _spread(n) -> Column:
+    return F.explode(F.sequence(F.lit(0), (F.lit(n) if isinstance(n, int) else n) - 1))
 
 
 def _dealt(queries: DataFrame, items: DataFrame, block: int, by_location: bool = False):
-    """Both sides in blocks by hash, each block next to all of the other side's; inside locations if they must be equal."""
-    nq, ni = (_blocks(d, block, by_location) for d in (queries, items))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")).withColumn("ib", spread(ni))
-    i = items.withColumn("ib", F.pmod(F.xxhash64("row_id"), F.lit(ni)).cast("int")).withColumn("qb", spread(nq))
-    keys = ["qb", "ib"] + ["loc"] * by_location
+    """Both sides in blocks by hash, each block next to all of the other side's.
+
+    Where locations must be equal, each location has as many blocks of either side as its own rows fill: a crowded
+    location doesn't make the rows of others travel more often. The table of locations is broadcast.
+    """
+    if not by_location:
+        nq, ni = (max(1, -(-d.count() // block)) for d in (queries, items))
+        q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")).withColumn("ib", _spread(ni))
+        i = items.withColumn("ib", F.pmod(F.xxhash64("row_id"), F.lit(ni)).cast("int")).withColumn("qb", _spread(nq))
+        return q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib"))
+    blocks = location_blocks(queries, items, block)
+    q = queries.join(F.broadcast(blocks), "loc").withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int")).withColumn("ib", _spread(F.col("ni"))).drop("nq", "ni")
+    i = items.join(F.broadcast(blocks), "loc").withColumn("ib", F.pmod(F.xxhash64("row_id"), F.col("ni")).cast("int")).withColumn("qb", _spread(F.col("nq"))).drop("nq", "ni")
+    keys = ["loc", "qb", "ib"]
     return q.groupBy(*keys).cogroup(i.groupBy(*keys))
 
 
+def location_blocks(queries: DataFrame, items: DataFrame, block: int) -> DataFrame:
+    """(loc, nq, ni): blocks of either side in each location that both have."""
+    count = lambda df, name: df.groupBy("loc").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    return count(queries, "nq").join(count(items, "ni"), "loc")
+
+
+def _vectors(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
+
+
+def _prior_matrix(a: pd.DataFrame, places: np.ndarray) -> np.ndarray:
+    """(queries x places): each query's known log shares, the floor elsewhere; ``places`` are in order."""
+    out = np.repeat(a["floor"].to_numpy(np.float64)[:, None], len(places), axis=1)
+    row = np.repeat(np.arange(len(a)), [len(x) for x in a["pl"]])
+    known, value = np.concatenate(a["pl"].to_numpy()), np.concatenate(a["pv"].to_numpy())
+    at = np.minimum(np.searchsorted(places, known), len(places) - 1)
+    hit = places[at] == known
+    out[row[hit], at[hit]] = value[hit]
+    return out
+
+
+def _best(score: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k highest finite scores per row, ties by ``order`` of the columns."""
+    keep = np.isfinite(score)
+    if score.shape[1] > k:
+        keep &= score >= np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None]
+    row, col = np.nonzero(keep)
+    by = np.lexsort((order[col], -score[row, col], row))
+    row, col = row[by], col[by]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
+#: Columns of an item that stands in several places: arrays of equal length.
+PLACED = ("place_rows", "place_locs", "place_bench", "place_folds")
+
+
+def placed(items: DataFrame, places: DataFrame) -> DataFrame:
+    """``items`` (row_id, vec) with the places they stand in: places has row_id, src_row (null: itself), loc, in_bench, folds.
+
+    A vector is held once, whatever the number of its copies.
+    """
+    each = F.sort_array(F.collect_list(F.struct("row_id", "loc", "in_bench", F.coalesce("folds", F.array().cast("array<long>")).alias("folds"))))
+    by = places.groupBy(F.coalesce("src_row", "row_id").alias("of")).agg(each.alias("p"))
+    arrays = [F.transform("p", lambda x, c=c: x[c]).alias(n) for n, c in zip(PLACED, ("row_id", "loc", "in_bench", "folds"))]
+    return items.select("row_id", "vec").join(by, F.col("row_id") == F.col("of")).select("row_id", "vec", *arrays)
+
+
 def block_topk(queries: DataFrame, items: DataFrame, k: int, weight: float = 0.0, place: str = "any", least: float | None = None, block: int = BLOCK) -> DataFrame:
     """(qid, row_id, sim, score): the ``k`` best visible items per query by cosine plus ``weight`` times the log prior.
 
     queries: qid, vec, and where used loc, fold, and the columns of :func:`query_priors`. items: row_id, vec, and where
-    used loc, in_bench, folds. Without in_bench every item is visible; else as benchmark item or for the query's
-    fold. place: "same" or "other" restricts to items inside or outside the query's location; least: smallest cosine.
+    used loc, in_bench, folds; or the columns of :func:`placed`, whose places are listed in the items' stead. Without
+    in_bench every item is visible; else as benchmark item or for the query's fold. place: "same" or "other" restricts
+    to items inside or outside the query's location; least: smallest cosine.
 
     Both sides are dealt into blocks by hash; each pair of blocks is one matrix product, whose task holds two blocks and
-    returns at most k rows per query; where locations must be equal, blocks lie inside a location. Masks apply before the local top k. Scores are rounded, ties go by row_id.
+    returns at most k rows per query; where locations must be equal, blocks lie inside a location. Masks apply before
+    the local top k. Scores are rounded, ties go by row_id.
     """
     from pyspark.sql.window import Window
 
-    masked = "in_bench" in items.columns
+    many = PLACED[0] in items.columns
+    if many and place == "same":
+        raise ValueError("items with several places are not dealt by location")
+    masked = many or "in_bench" in items.columns
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {"qid": [], "row_id": [], "sim": [], "score": []}
+        parts = []
         if len(a) and len(b):
-            x, y = (np.stack(f["vec"].to_numpy()).astype(np.float64) for f in (a, b))
-            where = b["loc"].to_numpy() if "loc" in b else None
-            rows = b["row_id"].to_numpy()
-            folds = [set() if v is None else set(v) for v in b["folds"]] if masked else None
-            bench = b["in_bench"].to_numpy() if masked else None
-            seen = {}
-            product = x @ y.T
-            # A prior is looked up once for each location of the block, not for each item.
+            y = _vectors(b["vec"])
+            if many:
+                of = np.repeat(np.arange(len(b)), [len(x) for x in b[PLACED[0]]])
+                rows, where, bench = (np.concatenate(b[c].to_numpy()) for c in PLACED[:3])
+                folds = [set(f) for x in b[PLACED[3]] for f in x]
+            else:
+                of, rows = np.arange(len(b)), b["row_id"].to_numpy()
+                where = b["loc"].to_numpy() if "loc" in b else None
+                bench = b["in_bench"].to_numpy() if masked else None
+                folds = [set() if v is None else set(v) for v in b["folds"]] if masked else None
+            order = np.argsort(np.argsort(rows, kind="stable"), kind="stable")
+            if masked:
+                fold, fold_of = np.unique(a["fold"].to_numpy(), return_inverse=True)
+                seen = np.array([bench.astype(bool) | np.array([f in s for s in folds], bool) for f in fold])
             places, at_place = np.unique(where, return_inverse=True) if weight else (None, None)
-            for r in range(len(a)):
-                one = a.iloc[r]
-                score = sim = product[r]
-                if weight:
-                    known = dict(zip(one["pl"], one["pv"]))
-                    score = sim + weight * np.array([known.get(p, one["floor"]) for p in places.tolist()])[at_place]
-                ok = np.ones(len(b), bool)
-                if masked:
-                    f = one["fold"]
-                    if f not in seen:
-                        seen[f] = bench | np.array([f in s for s in folds])
-                    ok &= seen[f]
+            for lo in range(0, len(a), ASKED):
+                part = a.iloc[lo : lo + ASKED]
+                sim = (_vectors(part["vec"]) @ y.T)[:, of]
+                score = np.round(sim + weight * _prior_matrix(part, places)[:, at_place] if weight else sim, DIGITS)
+                hidden = ~seen[fold_of[lo : lo + ASKED]] if masked else np.zeros(score.shape, bool)
                 if place == "other":
-                    ok &= where != one["loc"]
+                    hidden |= part["loc"].to_numpy()[:, None] == where
                 if least is not None:
-                    ok &= np.round(sim, DIGITS) >= least
-                at = np.flatnonzero(ok)
-                s = np.round(score[at], DIGITS)
-                if len(at) > k:
-                    keep = s >= np.partition(s, len(s) - k)[len(s) - k]
-                    at, s = at[keep], s[keep]
-                best = sorted(range(len(at)), key=lambda j: (-s[j], rows[at[j]]))[:k]
-                out["qid"] += [one["qid"]] * len(best)
-                out["row_id"] += [rows[at[j]] for j in best]
-                out["sim"] += [round(float(sim[at[j]]), DIGITS) for j in best]
-                out["score"] += [float(s[j]) for j in best]
-        return pd.DataFrame(out)
+                    hidden |= np.round(sim, DIGITS) < least
+                score[hidden] = -np.inf
+                r, c = _best(score, order, k)
+                parts.append(pd.DataFrame({"qid": part["qid"].to_numpy()[r], "row_id": rows[c], "sim": np.round(sim[r, c], DIGITS), "score": score[r, c]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"qid": [], "row_id": [], "sim": [], "score": []})
 
     schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("row_id", items.schema["row_id"].dataType), T.StructField("sim", T.DoubleType()), T.StructField("score", T.DoubleType())])
     local = _dealt(queries, items, block, place == "same").applyInPandas(kernel, schema)
@@ -174,7 +227,7 @@ def count_similar(queries: DataFrame, items: DataFrame, least: float, places: li
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = {"qid": a["qid"].tolist()} | {p: [0] * len(a) for p in places}
         if len(a) and len(b):
-            x, y = (np.stack(f["vec"].to_numpy()).astype(np.float64) for f in (a, b))
+            x, y = (_vectors(f["vec"]) for f in (a, b))
             near = np.round(x @ y.T, DIGITS) >= least
             where = b["loc"].to_numpy()
             for p in places:
@@ -185,9 +238,30 @@ def count_similar(queries: DataFrame, items: DataFrame, least: float, places: li
     return _dealt(queries, items, block).applyInPandas(kernel, schema).groupBy("qid").agg(*[F.sum(p).alias(p) for p in places])
 
 
-def score_pairs(pairs: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
-    """(qid, row_id, sim) of given pairs: vectors are joined by key and multiplied inside the JVM."""
-    from ..functions.numeric import dot
+def score_pairs(pairs: DataFrame, queries: DataFrame, items: DataFrame, block: int = BLOCK, query_block: int = ASKED) -> DataFrame:
+    """(qid, row_id, sim) of given pairs whose ids both sides have.
 
-    p = pairs.select("qid", "row_id").join(queries.select("qid", F.col("vec").alias("qv")), "qid").join(items.select("row_id", F.col("vec").alias("iv")), "row_id")
-    return p.select("qid", "row_id", F.round(dot(F.col("qv"), F.col("iv")), DIGITS).alias("sim"))
+    Vectors never meet pairs row by row: pairs are dealt by the blocks of their query and their item, vectors travel
+    once to every pair of blocks, and each pair's two rows are gathered from the blocks' matrices. Ids are distinct.
+    """
+    nq, ni = max(1, -(-queries.count() // query_block)), max(1, -(-items.count() // block))
+    qb, ib = F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int").alias("qb"), F.pmod(F.xxhash64("row_id"), F.lit(ni)).cast("int").alias("ib")
+    q_type, i_type = queries.schema["qid"].dataType, items.schema["row_id"].dataType
+    q = queries.select(qb, _spread(ni).alias("ib"), "qid", F.lit(None).cast(i_type).alias("row_id"), "vec")
+    i = items.select(_spread(nq).alias("qb"), ib, F.lit(None).cast(q_type).alias("qid"), "row_id", "vec")
+    dealt = pairs.select(qb, ib, F.col("qid").alias("asked"), F.col("row_id").alias("found"))
+
+    def kernel(p: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        first = v["qid"].notna().to_numpy()
+        if not len(p) or first.all() or not first.any():
+            return pd.DataFrame({"qid": [], "row_id": [], "sim": []})
+        a, b = v[first], v[~first]
+        x, y = _vectors(a["vec"]), _vectors(b["vec"])
+        at, to = pd.Index(a["qid"]).get_indexer(p["asked"]), pd.Index(b["row_id"].astype(p["found"].dtype)).get_indexer(p["found"])
+        known = (at >= 0) & (to >= 0)
+        p, at, to = p[known], at[known], to[known]
+        sim = np.concatenate([np.einsum("ij,ij->i", x[at[k : k + GATHERED]], y[to[k : k + GATHERED]]) for k in range(0, len(p), GATHERED)] or [np.zeros(0)])
+        return pd.DataFrame({"qid": p["asked"], "row_id": p["found"], "sim": np.round(sim, DIGITS)})
+
+    out = T.StructType([T.StructField("qid", q_type), T.StructField("row_id", i_type), T.StructField("sim", T.DoubleType())])
+    return dealt.groupBy("qb", "ib").cogroup(q.unionByName(i).groupBy("qb", "ib")).applyInPandas(kernel, out)

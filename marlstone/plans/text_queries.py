@@ -259,26 +259,26 @@ def _index(spark, sf):
     place = (spark.sparkContext.applicationId, sf)
     if place not in _indexed:
         _indexed.clear()
-        p = kept(B.bm25_postings(_corpus(spark, sf), WHOLE), "postings")
+        p = B.block_index(B.in_chunks(_corpus(spark, sf)), WHOLE)
         _indexed[place] = p, kept(B.query_terms(_queries(spark, sf), B.vocabulary(p)), "terms")
     return _indexed[place]
 
 
 @query("d1_term_freq", f"with {TOK_SQL} select * from tf", ["doc_items_v"])
 def d1(spark, sf):
-    return B.term_freq(B.terms(_corpus(spark, sf), WHOLE))
+    return B.term_freq(_corpus(spark, sf), WHOLE)
 
 
 @query("d2_doc_stats", f"with {TOK_SQL}, {STATS_SQL} select field, row_id, dl, round(avg, 6) as avg from stats", ["doc_items_v"])
 def d2(spark, sf):
     c = _corpus(spark, sf)
-    return B.doc_stats(B.term_freq(B.terms(c, WHOLE)), c, WHOLE).withColumn("avg", F.round("avg", 6))
+    return B.doc_stats(B.term_freq(c, WHOLE), c, WHOLE).withColumn("avg", F.round("avg", 6))
 
 
 @query("d3_idf", f"with {TOK_SQL}, {STATS_SQL} select field, term, df, round(idf, 6) as idf from idf", ["doc_items_v"])
 def d3(spark, sf):
     c = _corpus(spark, sf)
-    return B.idf(B.term_freq(B.terms(c, WHOLE)), c).withColumn("idf", F.round("idf", 6))
+    return B.idf(B.term_freq(c, WHOLE), c).withColumn("idf", F.round("idf", 6))
 
 
 @query("d4_bm25_postings", f"{INDEX_SQL} select field, term, row_id, tf, round(w, 4) as w from post", ["doc_items_v"])
@@ -305,6 +305,16 @@ def d7(spark, sf):
     return B.bm25_combine(q, p).select("qid", "row_id", *[F.round(c, 3).alias(c) for c in ("bm_t", "bm_p", "bm_d", "bm_comb")])
 
 
+TOP = 10
+
+
+@query("d7_bm25_topk", f"{INDEX_SQL}, {Q_SQL}, {COMB_SQL} select qid, row_id, round(bm_comb, 4) as bm_comb, rank from (select *, row_number() over (partition by qid order by round(bm_comb, 6) desc, row_id) as rank from comb) where rank <= {TOP}", DOCS)
+def d7_topk(spark, sf):
+    """The best documents per query; only chunks of the index whose bound reaches the last of them are scored."""
+    p, q = _index(spark, sf)
+    return B.bm25_topk(q, p, TOP)[0].select("qid", "row_id", F.round("bm_comb", 4).alias("bm_comb"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     "d8_coverage",
     f"""{INDEX_SQL}, {Q_SQL}, m as (select qid, row_id, term, n_terms, max(case when field = 'title' then 1.0 else 0.0 end)::double as t from qt join post using (term) where not contains(term, '§') group by all)
