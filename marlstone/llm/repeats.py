@@ -26,8 +26,8 @@ SPAN = 200
 GRAM = 32
 #: A long text is taken in pieces of so many windows.
 PIECE = 1 << 20
-#: Different stretches around one anchor that are sorted together; windows of larger buckets are counted by digests.
-LIMIT = 512
+#: Different stretches around one anchor that are sorted together (2 MB); windows of larger buckets are counted by digests.
+LIMIT = 8192
 #: Bytes of stretches that are sorted at once, unless one bucket has more.
 SORTED = 1 << 20
 MIX = 0x9E3779B97F4A7C15
