@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import append_columns, kept, place_of, quoted, text_slices, without
+from .common import append_columns, kept, place_of, text_slices, without
 from .labelled import Logistic, class_share, id_remainder, training_documents, training_sample
 
 #: Symbols of a letter group; a symbol has BITS bits.
@@ -243,17 +243,18 @@ def judged(docs: DataFrame, ratios: DataFrame, rows: int, fields: list[T.StructF
 def joined(docs: DataFrame, ratios: DataFrame, fields: list[T.StructField], compute, text_col: str = "text", model: int = 2) -> DataFrame:
     """The same without a broadcast, for models of any size.
 
-    Rows are dealt by hash into chunks of about CHUNK bytes; a chunk is joined with the ratios of its own letter
-    groups, so that no task holds the model.
+    Rows are dealt by a hash of their place in the table, so that rows that repeat part too, into chunks of about CHUNK
+    bytes; a chunk is joined with the ratios of its own letter groups, so that no task holds the model.
     """
     given = without(docs, [f.name for f in fields])
     at = place_of(given, text_col)
     docs = given.toDF(*[f"c{i}" for i in range(len(given.columns))])
     text_col = f"c{at}"
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    key = F.xxhash64(*[quoted(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType, T.VariantType))])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.withColumn("chunk", F.pmod(key, F.lit(max(parts, size // CHUNK)))).repartition("chunk")
+    # The place is kept before it is used twice: a row recomputed may be numbered anew.
+    chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(parts, size // CHUNK)))
+    dealt = kept(docs.withColumn("chunk", chunk), "dealt").repartition("chunk")
     names = docs.columns
 
     def distinct(batches):
