@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -53,6 +54,31 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def _comparable(c: Column, kind: T.DataType) -> Column:
+    """``c`` with maps as their entries in order and variants as text, so that equal values have equal hashes."""
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(_comparable(e["key"], kind.keyType).alias("key"), _comparable(e["value"], kind.valueType).alias("value")))
+        return F.array_sort(entries)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _comparable(x, kind.elementType)) if _unordered(kind) else c
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_comparable(c.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)])) if _unordered(kind) else c
+    return F.to_json(c) if isinstance(kind, T.VariantType) else c
+
+
+def _unordered(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _unordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_unordered(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of ``df``, maps and variants included at any depth; equal rows have equal ones."""
+    return F.xxhash64(*[_comparable(F.col(quoted(f.name)), f.dataType) for f in df.schema.fields])
+
+
 def text_slices(batch: pa.RecordBatch, column: int, size: int = SLICE):
     """The rows of a batch, whole and in order, in slices of about ``size`` bytes of text."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

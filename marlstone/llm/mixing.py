@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import append_columns, kept, place_of, quoted, text_slices
+from .common import append_columns, kept, place_of, quoted, row_hash, text_slices
 
 #: Words of a block, and blocks of an output shard.
 BLOCK = 64
@@ -179,14 +179,9 @@ def block_pieces(laid: DataFrame, block: int = BLOCK) -> DataFrame:
     return p.withColumn("at", lo - F.col("start")).withColumn("words", hi - lo)
 
 
-def _row_hash(docs: DataFrame):
-    """A hash of all columns that can be hashed: rows of one id that differ have different ones."""
-    return F.xxhash64(*[quoted(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
-
-
 def _prepare(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, most: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, copies, size, sid, source_size, target) of all different rows, and the sources."""
-    d = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), _row_hash(docs).alias("row"), F.col(quoted(source_col)).cast("string").alias("source"), F.col(quoted(text_col)).alias("text"))
+    d = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), row_hash(docs).alias("row"), F.col(quoted(source_col)).cast("string").alias("source"), F.col(quoted(text_col)).alias("text"))
     sized = kept(word_sizes(d).select("doc_id", "row", "source", "size"), "sized")
     targets = kept(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     rows = sized.groupBy("doc_id", "row", "source", "size").agg(F.count("*").alias("copies"))
@@ -231,7 +226,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The slots unfold from a small table, so that Spark takes them for small; they grow with the corpus.
     chosen = slots(targets, block, shard, most, seed).select("sid", "block", "epoch")
     spans = block_pieces(laid, block).join(chosen.hint("merge"), ["sid", "block"]).groupBy(*KEY, "epoch").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("spans"))
-    whole = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("d"), F.col(quoted(id_col)).cast("long").alias("of"), _row_hash(docs).alias("of_row"))
+    whole = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("d"), F.col(quoted(id_col)).cast("long").alias("of"), row_hash(docs).alias("of_row"))
     if rows.where("copies > 1").take(1):
         whole = whole.dropDuplicates(["of", "of_row"])  # wholly equal rows: their copies have spans of their own
     joined = whole.join(spans, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row"))).select(F.col("d." + quoted(text_col)).alias("text"), "spans", "d")

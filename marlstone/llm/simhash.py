@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, checkpointed, quoted, sorted_groups
+from .common import append_columns, checkpointed, quoted, row_hash, sorted_groups
 from .components import connected_components
 
 SHINGLE = 3
@@ -246,7 +246,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty texts are one group. All columns stay as they are, whatever their names.
     """
     row_id = F.col(quoted(id_col)).cast("long")
-    row = F.xxhash64(*[quoted(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    row = row_hash(docs)
     fps = checkpointed(fingerprints(docs.select(row_id.alias("doc_id"), F.col(quoted(text_col)).alias("text"), row.alias("row"))).select("doc_id", "row", "fp"))
     first = _grouped(fps, bits, cap).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("k"))
     keep = first.select(F.col("k.doc_id").alias("id"), F.col("k.row").alias("row"))
