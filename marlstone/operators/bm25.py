@@ -247,7 +247,7 @@ def bm25_scores(q_terms: DataFrame, postings: DataFrame) -> DataFrame:
 SHORT = {"title": "bm_t", "params": "bm_p", "desc": "bm_d"}
 
 
-def _combined(matched: DataFrame, weights: dict[str, float], *same: str) -> DataFrame:
+def combined(matched: DataFrame, weights: dict[str, float] = COMBINE, *same: str) -> DataFrame:
     """(qid, row_id, *same, bm_t, bm_p, bm_d, bm_comb) of matched postings; pairs with a combined score above 0."""
     s = matched.groupBy("qid", "row_id").agg(*[F.first(c).alias(c) for c in same], *[F.sum(F.when(F.col("field") == f, F.col("w")).otherwise(0.0)).alias(SHORT[f]) for f in weights])
     return s.withColumn("bm_comb", sum((F.lit(w) * F.col(SHORT[f]) for f, w in weights.items()), F.lit(0.0))).where("bm_comb > 0")
@@ -255,7 +255,7 @@ def _combined(matched: DataFrame, weights: dict[str, float], *same: str) -> Data
 
 def bm25_combine(q_terms: DataFrame, postings: DataFrame | BlockIndex, weights: dict[str, float] = COMBINE) -> DataFrame:
     """(qid, row_id, bm_t, bm_p, bm_d, bm_comb) in one pass over the postings; pairs with a combined score above 0."""
-    return _combined(matches(q_terms.select("qid", "term"), postings), weights)
+    return combined(matches(q_terms.select("qid", "term"), postings), weights)
 
 
 def chunk_bounds(q_terms: DataFrame, index: BlockIndex, weights: dict[str, float] = COMBINE) -> DataFrame:
@@ -267,14 +267,14 @@ def chunk_bounds(q_terms: DataFrame, index: BlockIndex, weights: dict[str, float
 def score_chunks(q_terms: DataFrame, index: BlockIndex, chunks: DataFrame, weights: dict[str, float] = COMBINE) -> DataFrame:
     """:func:`bm25_combine`, with place, of the rows of given (qid, place, chunk) only; other blocks do not unfold."""
     met = _met(q_terms.select("qid", "term"), index, "rows").join(chunks.select("qid", "place", "chunk"), ["qid", "place", "chunk"], "left_semi")
-    return _combined(_unfolded(met, index.fields), weights, "place")
+    return combined(_unfolded(met, index.fields), weights, "place")
 
 
-def score_rows(q_terms: DataFrame, index: BlockIndex, pairs: DataFrame, chunks: DataFrame, weights: dict[str, float] = COMBINE) -> DataFrame:
-    """The same of given pairs (qid, row_id); ``chunks`` has the place and chunk of every row."""
+def pair_matches(q_terms: DataFrame, index: BlockIndex, pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """:func:`matches` of given pairs (qid, row_id) only; ``chunks`` has the place and chunk of every row."""
     asked = pairs.select("qid", "row_id").join(chunks.select("row_id", "place", "chunk"), "row_id")
-    scored = score_chunks(q_terms, index, asked.select("qid", "place", "chunk").distinct(), weights)
-    return scored.join(pairs.select("qid", "row_id"), ["qid", "row_id"], "left_semi")
+    met = _met(q_terms, index, "rows").join(asked.select("qid", "place", "chunk").distinct(), ["qid", "place", "chunk"], "left_semi")
+    return _unfolded(met, index.fields).drop("part", "place", "chunk").join(pairs.select("qid", "row_id"), ["qid", "row_id"], "left_semi")
 
 
 def bm25_topk(q_terms: DataFrame, index: BlockIndex, k: int, prior: Callable[[DataFrame], DataFrame] | None = None, seen: Callable[[DataFrame], DataFrame] | None = None, weights: dict[str, float] = COMBINE, probe: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -304,7 +304,12 @@ def bm25_topk(q_terms: DataFrame, index: BlockIndex, k: int, prior: Callable[[Da
 
 def coverage(q_terms: DataFrame, postings: DataFrame | BlockIndex) -> DataFrame:
     """(qid, row_id, cov_t, cov_any): share of the query's known unigrams in the title, and in any field."""
-    m = matches(q_terms.where(~F.col("term").contains("§")), postings)
+    return covered(matches(q_terms, postings))
+
+
+def covered(matched: DataFrame) -> DataFrame:
+    """The same from matched postings."""
+    m = matched.where(~F.col("term").contains("§"))
     each = m.groupBy("qid", "row_id", "term", "n_terms").agg(F.max((F.col("field") == "title").cast("double")).alias("t"))
     n = F.greatest(F.max("n_terms"), F.lit(1)).cast("double")
     return each.groupBy("qid", "row_id").agg((F.sum("t") / n).alias("cov_t"), (F.count("*").cast("double") / n).alias("cov_any"))
@@ -314,6 +319,6 @@ def filter_coverage(pairs: DataFrame, queries: DataFrame, postings: DataFrame, c
     """(qid, row_id, pcov) of given pairs: share of the filter text's known terms in the params field; -1 without any."""
     t = query_terms(queries, vocabulary(postings), False, exclude, column, stem)
     n = t.select("qid", "n_terms").distinct()
-    hits = matches(t, postings).where("field = 'params'").groupBy("qid", "row_id").agg(F.count("*").alias("hits"))
+    hits = matches(t, postings).where("field = 'params'").join(pairs.select("qid", "row_id"), ["qid", "row_id"], "left_semi").groupBy("qid", "row_id").agg(F.count("*").alias("hits"))
     out = pairs.select("qid", "row_id").join(n, "qid", "left").join(hits, ["qid", "row_id"], "left")
     return out.select("qid", "row_id", F.when(F.col("n_terms").isNull(), -1.0).otherwise(F.coalesce("hits", F.lit(0)).cast("double") / F.col("n_terms")).alias("pcov"))

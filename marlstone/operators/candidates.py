@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import numeric as N
+from ..sources.stages import kept
+from . import bm25 as B
 from .location import log_prior
 from .prepare import visible
 
@@ -30,14 +32,36 @@ def visible_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> Da
     return j.where(visible(F.col("fold"), F.col("in_bench"), F.col("folds"))).drop("fold", "in_bench", "folds")
 
 
-def source_lists(bm25: DataFrame, history: DataFrame, dense: list[tuple[DataFrame, DataFrame]], k_loc: int = K_LOC, k_global: int = K_GLOBAL, beta: float = BETA_BM25) -> DataFrame:
+def bm25_lists(terms: DataFrame, index: B.BlockIndex, queries: DataFrame, listed: DataFrame, chunks: DataFrame, trans: DataFrame, totals: DataFrame, k_loc: int = K_LOC, k_global: int = K_GLOBAL, beta: float = BETA_BM25) -> tuple[DataFrame, DataFrame]:
+    """The top lists by BM25 with the location prior and without, over the visible rows of ``listed``.
+
+    A row of the index stands in for itself and its copies (``base``), which have places of their own: rows are scored
+    once and take their places afterwards. The bound of a chunk has the best prior of any place that the query may see.
+    """
+    q = queries.select("qid", "fold", F.col("search_location_id").alias("s"))
+    own = listed.select(F.col("row_id").alias("placed"), F.col("base").alias("row_id"), "in_bench", "folds", F.col("item_location_id").alias("l"))
+    at = own.join(chunks.select("row_id", "place", "chunk"), "row_id").select("place", "chunk", "l", "in_bench", F.explode_outer("folds").alias("see")).distinct()
+    at = kept(at, "places")
+
+    def prior(bounds: DataFrame) -> DataFrame:
+        seen = bounds.join(q, "qid").join(at, ["place", "chunk"]).where(F.col("in_bench") | (F.col("fold") == F.col("see")))
+        return log_prior(seen, trans, totals).groupBy("qid", "place", "chunk", "bound").agg((F.lit(beta) * F.max("lp")).alias("add"))
+
+    def placed(scored: DataFrame) -> DataFrame:
+        j = scored.drop("add", "place").join(q, "qid").join(own, "row_id").where(visible(F.col("fold"), F.col("in_bench"), F.col("folds")))
+        return j.drop("row_id", "fold", "in_bench", "folds").withColumnRenamed("placed", "row_id")
+
+    with_prior = B.bm25_topk(terms, index, k_loc, prior, lambda df: log_prior(placed(df), trans, totals).withColumn("add", F.lit(beta) * F.col("lp")))[0]
+    plain = B.bm25_topk(terms, index, k_global, None, lambda df: placed(df).withColumn("add", F.lit(0.0)))[0]
+    return with_prior, plain
+
+
+def source_lists(bm25: tuple[DataFrame, DataFrame], history: DataFrame, dense: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     """(qid, row_id, bit, rank, score) of all sources.
 
-    bm25: qid, row_id, bm_comb, lp of visible pairs; history: its top list; dense: per model the lists with and without
-    the location prior.
+    bm25: its top lists with the location prior and without; history: its top list; dense: the same two per model.
     """
-    with_prior = bm25.withColumn("score", F.col("bm_comb") + F.lit(beta) * F.col("lp"))
-    lists = [(BIT_BM25_LOC, top_k(with_prior, "score", k_loc)), (BIT_BM25, top_k(bm25.withColumn("score", F.col("bm_comb")), "score", k_global)), (BIT_HISTORY, history.withColumn("score", F.col("hist_knn")))]
+    lists = [(BIT_BM25_LOC, bm25[0]), (BIT_BM25, bm25[1]), (BIT_HISTORY, history.withColumn("score", F.col("hist_knn")))]
     for m, (loc, plain) in enumerate(dense):
         lists += [(3 + 2 * m, loc), (4 + 2 * m, plain)]
     out = None
@@ -109,20 +133,33 @@ def rank_within(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({name: (F.row_number().over(by(c)) - 1).cast("long") for name, c in columns.items()})
 
 
-def features(cands: DataFrame, parts: list[tuple[DataFrame, list[str], dict[str, float]]], corpus: DataFrame, query_table: DataFrame, centres: DataFrame, trans: DataFrame, totals: DataFrame, models: list[str]) -> DataFrame:
+def gathered(parts: list[tuple[DataFrame, dict[str, float]]]) -> DataFrame:
+    """One row per (qid, row_id) that any part has, with the columns of all parts: one tall union, summed up once.
+
+    parts: (table, default per column), a row per pair; a pair that a part lacks gets its defaults.
+    """
+    every = {n: d for _, defaults in parts for n, d in defaults.items()}
+    out = None
+    for df, defaults in parts:
+        one = df.select("qid", "row_id", *[(F.col(n).cast("double") if n in defaults else F.lit(None).cast("double")).alias(n) for n in every])
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("qid", "row_id").agg(*[F.coalesce(F.max(n), F.lit(float(d))).alias(n) for n, d in every.items()])
+
+
+def features(cands: DataFrame, parts: list[tuple[DataFrame, dict[str, float]]], listed: DataFrame, query_table: DataFrame, centres: DataFrame, trans: DataFrame, totals: DataFrame, models: list[str]) -> DataFrame:
     """The feature table of the candidates.
 
-    parts: (table, key columns, default per column) of scores that are joined to the pairs; everything about items
-    comes by row_id, about queries by qid. Then relative scores, distance, and ranks within each query.
+    parts: as for :func:`gathered`, by the row that a candidate is or is a copy of (``base``); everything about items
+    comes by row_id from ``listed``, about queries by qid. Then relative scores, distance, and ranks within each query.
     """
-    f = source_flags(cands, 3 + 2 * len(models))
-    for df, keys, defaults in parts:
-        f = f.join(df.select(*keys, *defaults), keys, "left").fillna(defaults)
-    items = corpus.select("row_id", F.col("item_location_id").alias("l"), "item_latitude", "item_longitude", *[c.alias(n) for n, c in N.item_features().items()])
+    defaults = {n: d for _, one in parts for n, d in one.items()}
+    scores = gathered(parts).withColumnRenamed("row_id", "base")
+    f = source_flags(cands, 3 + 2 * len(models)).join(scores, ["qid", "base"], "left").fillna(defaults)
+    items = listed.select("row_id", F.col("item_location_id").alias("l"), "item_latitude", "item_longitude", *[c.alias(n) for n, c in N.item_features().items()])
     f = f.join(query_table, "qid").join(items, "row_id").join(centres.withColumnRenamed("loc", "s"), "s", "left")
     f = log_prior(f, trans, totals)
     f = f.withColumn("same_loc", N.same_location(F.col("s"), F.col("l"))).withColumn("dist", N.distance_feature(N.haversine_km(F.col("lat"), F.col("lon"), F.col("item_latitude"), F.col("item_longitude"))))
     f = relative_scores(f, models)
     f = f.withColumns({f"_loc_{m}": F.col(f"dense_{m}") + F.lit(BETA_DENSE) * F.col("lp") for m in models} | {"_bm_loc": F.col("bm_comb") + F.lit(BETA_BM25) * F.col("lp")})
     ranks = {"rk_bm_comb": "bm_comb", "rk_hist_knn": "hist_knn"} | {f"rk_dense_{m}": f"dense_{m}" for m in models} | {f"rk_dense_loc_{m}": f"_loc_{m}" for m in models} | {"rk_dense_loc_mean": "dense_loc_rel_mean", "rk_bm_loc": "_bm_loc"}
-    return rank_within(f, ranks).drop("s", "l", "lat", "lon", "item_latitude", "item_longitude", "_bm_loc", *[f"_loc_{m}" for m in models], *[f"dnl_max_{m}" for m in models])
+    return rank_within(f, ranks).drop("base", "s", "l", "lat", "lon", "item_latitude", "item_longitude", "_bm_loc", *[f"_loc_{m}" for m in models], *[f"dnl_max_{m}" for m in models])

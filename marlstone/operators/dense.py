@@ -157,7 +157,7 @@ def placed(items: DataFrame, places: DataFrame) -> DataFrame:
     """
     each = F.sort_array(F.collect_list(F.struct("row_id", "loc", "in_bench", F.coalesce("folds", F.array().cast("array<long>")).alias("folds"))))
     by = places.groupBy(F.coalesce("src_row", "row_id").alias("of")).agg(each.alias("p"))
-    arrays = [F.transform("p", lambda x, c=c: x[c]).alias(n) for n, c in zip(PLACED, ("row_id", "loc", "in_bench", "folds"))]
+    arrays = [F.col("p")[c].alias(n) for n, c in zip(PLACED, ("row_id", "loc", "in_bench", "folds"))]
     return items.select("row_id", "vec").join(by, F.col("row_id") == F.col("of")).select("row_id", "vec", *arrays)
 
 

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import answer_checks as N
 from ..operators import bm25 as B
 from ..operators import candidates as C
 from ..operators import chargram as G
+from ..operators import competitors as K
 from ..operators import dense as D
 from ..operators import history as H
 from ..operators import location as L
 from ..operators import ranking as R
 from ..sources import tables as S
-from ..sources.stages import checkpointed
+from ..sources.stages import checkpointed, kept
 from .registry import query, table, view
+from .sampling_queries import COORD, EXC, FIRST_COPY, KV, PICK, PLACE, Competitors
 from .search_queries import CEN, HISTORY, HS, LP, MIX, NEAR, PMC, TEXTVEC, TI, TRANS, VECTORS, History, hashed_vectors, hist_sql
 from .text_queries import COMB_SQL, POST_SQL, STATS_SQL, tok_sql, _vec_sql, grams_sql, q_sql, _folder
 
@@ -37,20 +41,24 @@ class Search(History):
     def __init__(self, spark, sf):
         self.__dict__.update(History.of(spark, sf).__dict__)
         self.spark, self.sf, self.done = spark, sf, {}
-        self.trans = L.transitions(self.hist)
-        self.totals = L.location_totals(self.trans)
-        fields = self.corpus.select("row_id", F.col("item_title_raw").alias("title"), F.col("item_infm_params_text").alias("params"), F.col("item_description_raw").alias("description"))
-        self.postings = checkpointed(B.bm25_postings(fields))
+        self.trans = checkpointed(L.transitions(self.hist))
+        self.totals = checkpointed(L.location_totals(self.trans))
+        self.listed = self._listed()
+        texts = self.corpus.select("row_id", F.col("item_title_raw").alias("title"), F.col("item_infm_params_text").alias("params"), F.col("item_description_raw").alias("description"), F.coalesce(F.col("item_location_id"), F.lit(-1)).alias("at"))
+        self.chunks = kept(B.in_chunks(texts, F.col("at")), "chunks")
+        self.index = B.block_index(self.chunks)
         self.q_text = self.queries.select("qid", F.col("search_query").alias("query"), F.col("search_infm_params_text").alias("filters"))
-        self.terms = checkpointed(B.query_terms(self.q_text, B.vocabulary(self.postings)))
-        pairs = C.visible_pairs(B.bm25_combine(self.terms, self.postings), self.queries, self.corpus)
-        self.bm25 = checkpointed(L.log_prior(pairs, self.trans, self.totals).drop("s", "l"))
+        self.terms = kept(B.query_terms(self.q_text, B.vocabulary(self.index)), "terms")
         self.hist_scores = checkpointed(H.history_scores(self.nb, self.text_items, self.queries, self.corpus, NEAR))
 
+    def _listed(self):
+        """The rows that may be listed: src_row is the row that a copy was made of, base that row or the row itself."""
+        return self.corpus.withColumns({"src_row": F.lit(None).cast("long"), "base": F.col("row_id")})
+
     def vectors(self, model):
         q = hashed_vectors(self.spark, self.sf, self.queries.select("qid", "fold", "search_query", F.col("search_location_id").alias("loc")), "search_query", SHIFT[model])
         e = table(self.spark, self.sf, "embeddings").select(F.col("vec_id").alias("slot"), F.col("embedding").alias("vec"))
-        i = self.corpus.select("row_id", F.col("item_location_id").alias("loc"), "in_bench", "folds").withColumn("slot", F.expr(ITEM_SLOT[model]) % e.count()).join(e, "slot").drop("slot")
+        i = self.corpus.select("row_id").withColumn("slot", F.expr(ITEM_SLOT[model]) % e.count()).join(e, "slot").drop("slot")
         return q, i
 
     def once(self, name, make):
@@ -66,13 +74,18 @@ class Search(History):
 
     def _lists(self):
         dense = []
+        places = self.listed.select("row_id", "src_row", F.col("item_location_id").alias("loc"), "in_bench", "folds")
         for m in MODELS:
             q, i = self.vectors(m)
+            i = D.placed(i, places)
             dense.append((D.block_topk(D.query_priors(q, self.trans), i, K_LOC, weight=C.BETA_DENSE), D.block_topk(q, i, K_GLOBAL)))
-        return C.source_lists(self.bm25, H.history_topk(self.hist_scores, K_HIST), dense, K_LOC, K_GLOBAL)
+        words = C.bm25_lists(self.terms, self.index, self.queries, self.listed, self.chunks, self.trans, self.totals, K_LOC, K_GLOBAL)
+        own = self.listed.select("row_id", "item_location_id", "in_bench", "folds", F.col("base").alias("of"))
+        history = C.visible_pairs(self.hist_scores.withColumnRenamed("row_id", "of").join(own.select("of", "row_id"), "of").drop("of"), self.queries, own).drop("s", "l")
+        return C.source_lists(words, H.history_topk(history, K_HIST), dense)
 
     def cands(self, lists):
-        return C.label(C.union_candidates(lists), self.queries, self.corpus)
+        return C.label(C.union_candidates(lists), self.queries, self.listed)
 
     def query_table(self, lists):
         best = C.best_scores(lists, {1: "q_bm_max"} | {4 + 2 * k: f"q_dn_max_{m}" for k, m in enumerate(MODELS)} | {3 + 2 * k: f"dnl_max_{m}" for k, m in enumerate(MODELS)})
@@ -81,22 +94,31 @@ class Search(History):
 
     def _features(self):
         lists = self.lists()
-        cands = checkpointed(self.cands(lists))
+        cands = checkpointed(self.cands(lists).join(self.listed.select("row_id", "base"), "row_id"))
+        pairs = checkpointed(cands.select("qid", F.col("base").alias("row_id")).distinct())
         titles = self.corpus.select("row_id", "item_title_raw")
         gram = checkpointed(G.fit(titles, "row_id", "item_title_raw"))
-        chars = G.similarity(cands, G.vectors(self.queries, gram, "qid", "search_query"), G.vectors(titles, gram, "row_id", "item_title_raw"))
-        key = ["qid", "row_id"]
+        matched = kept(B.pair_matches(self.terms, self.index, pairs, self.chunks), "matched")
         parts = [
-            (B.bm25_combine(self.terms, self.postings), key, {"bm_t": 0.0, "bm_p": 0.0, "bm_d": 0.0, "bm_comb": 0.0}),
-            (B.coverage(self.terms, self.postings), key, {"cov_t": 0.0, "cov_any": 0.0}),
-            (B.filter_coverage(cands, self.q_text, self.postings), key, {"pcov": -1.0}),
-            (self.hist_scores, key, {"hist_knn": 0.0, "hist_exact": 0.0, "hist_exact_same": 0.0}),
-            (H.microcat_affinity(cands, H.microcat_mix(self.nb, self.p_mc), self.corpus), key, {"mc_aff": 0.0}),
-            (chars, key, {"char_t": 0.0}),
+            (B.combined(matched), {"bm_t": 0.0, "bm_p": 0.0, "bm_d": 0.0, "bm_comb": 0.0}),
+            (B.covered(matched), {"cov_t": 0.0, "cov_any": 0.0}),
+            (B.filter_coverage(pairs, self.q_text, self.index), {"pcov": -1.0}),
+            (self.hist_scores, {"hist_knn": 0.0, "hist_exact": 0.0, "hist_exact_same": 0.0}),
+            (H.microcat_affinity(pairs, H.microcat_mix(self.nb, self.p_mc), self.corpus), {"mc_aff": 0.0}),
+            (G.similarity(pairs, G.vectors(self.queries, gram, "qid", "search_query"), G.vectors(titles, gram, "row_id", "item_title_raw")), {"char_t": 0.0}),
         ]
         for m in MODELS:
-            parts.append((D.score_pairs(cands, *self.vectors(m)).withColumnRenamed("sim", f"dense_{m}"), key, {f"dense_{m}": 0.0}))
-        return C.features(cands, parts, self.corpus, self.query_table(lists), L.centroids(self.hist, self.corpus), self.trans, self.totals, MODELS)
+            q, i = self.vectors(m)
+            parts.append((D.score_pairs(pairs, q, i).withColumnRenamed("sim", f"dense_{m}"), {f"dense_{m}": 0.0}))
+        return C.features(cands, parts, self.listed, self.query_table(lists), L.centroids(self.hist, self.items), self.trans, self.totals, MODELS)
+
+
+class Copies(Search):
+    """The same with the simulated competitors among the rows that may be listed."""
+
+    def _listed(self):
+        made = Competitors.of(self.spark, self.sf).competitors()
+        return checkpointed(K.extend_corpus(self.corpus, made, FIRST_COPY).withColumn("base", F.coalesce("src_row", "row_id")))
 
 
 def _over_corpus(sql: str) -> str:
@@ -171,24 +193,14 @@ BEST = "best as materialized (select qid, max(score) filter (bit = 1) as q_bm_ma
 REL = "rel_ as materialized (select qid, row_id, src, label, coalesce(bm_comb, 0) as bm_comb, coalesce(bm_comb, 0) / greatest(coalesce(q_bm_max, 0), 1e-6) as bm_rel, sims.lp, " + ", ".join(f"dense_{m}, q_dn_max_{m}, dense_{m} - q_dn_max_{m} as dense_rel_{m}, dense_{m} + 0.03::double * sims.lp - dnl_max_{m} as dense_loc_rel_{m}" for m in MODELS) + " from cands join sims using (qid, row_id) left join comb using (qid, row_id) left join best using (qid)),\nrelm as materialized (select *, (dense_loc_rel_a + dense_loc_rel_b) / 2 as dense_loc_rel_mean from rel_)"
 
 
-def _relative(spark, sf):
-    s = Search.of(spark, sf)
-    lists = s.lists()
-    c = s.cands(lists).join(B.bm25_combine(s.terms, s.postings).select("qid", "row_id", "bm_comb"), ["qid", "row_id"], "left").fillna({"bm_comb": 0.0})
-    for m in MODELS:
-        c = c.join(D.score_pairs(c, *s.vectors(m)).withColumnRenamed("sim", f"dense_{m}"), ["qid", "row_id"])
-    c = c.join(s.query_table(lists), "qid").join(s.corpus.select("row_id", F.col("item_location_id").alias("l")), "row_id")
-    return C.relative_scores(L.log_prior(c, s.trans, s.totals), MODELS)
-
-
 @query("l7_relative_scores", search_sql(BEST, REL) + " select qid, row_id, " + f"{r8('bm_rel')} as bm_rel, {r8('dense_rel_a')} as dense_rel_a, {r8('dense_loc_rel_b')} as dense_loc_rel_b from relm", HISTORY)
 def l7(spark, sf):
-    return _relative(spark, sf).select("qid", "row_id", F.round("bm_rel", 8).alias("bm_rel"), F.round("dense_rel_a", 8).alias("dense_rel_a"), F.round("dense_loc_rel_b", 8).alias("dense_loc_rel_b"))
+    return Search.of(spark, sf).features().select("qid", "row_id", F.round("bm_rel", 8).alias("bm_rel"), F.round("dense_rel_a", 8).alias("dense_rel_a"), F.round("dense_loc_rel_b", 8).alias("dense_loc_rel_b"))
 
 
 @query("l10_mean_relative", search_sql(BEST, REL) + " select qid, row_id, " + f"{r8('dense_loc_rel_mean')} as dense_loc_rel_mean from relm", HISTORY)
 def l10(spark, sf):
-    return _relative(spark, sf).select("qid", "row_id", F.round("dense_loc_rel_mean", 8).alias("dense_loc_rel_mean"))
+    return Search.of(spark, sf).features().select("qid", "row_id", F.round("dense_loc_rel_mean", 8).alias("dense_loc_rel_mean"))
 
 
 QF = """qf as materialized (select qid, fold, search_location_id as s, coalesce(n_terms, 0)::double as q_nterms, length(search_query)::double as q_len, (length(search_infm_params_text) > 0)::int::double as q_has_params,
@@ -234,6 +246,54 @@ def l9(spark, sf):
     return Search.of(spark, sf).features().select("qid", "row_id", *RANKS)
 
 
+# --- L over the corpus with the simulated competitors: scores are those of the original, places the copy's own ---
+EXT = f"""ext as materialized (select row_id, null::bigint as src_row, row_id as base, * exclude (row_id) from corpus union all by name
+  select {FIRST_COPY} + row_number() over (order by fold, qid, src_row) - 1 as row_id, src_row, src_row as base, c.* exclude (row_id, item_location_id, item_latitude, item_longitude, folds, in_bench),
+         loc as item_location_id, lat as item_latitude, lon as item_longitude, [fold::bigint] as folds, false as in_bench from comp join corpus c on c.row_id = src_row),
+xseen as materialized (select qid, row_id, base, {LP.format(s='search_location_id', l='item_location_id')} as lp from allq join ext on (ext.in_bench or coalesce(list_contains(ext.folds, allq.fold), false)) left join tot on tot.s = search_location_id left join tr on tr.s = search_location_id and tr.l = item_location_id),
+xsims as materialized (select xseen.qid, xseen.row_id, lp, {', '.join(f'round(list_dot_product(q_{m}.vec, i_{m}.vec), 6) as dense_{m}, round(list_dot_product(q_{m}.vec, i_{m}.vec) + 0.03::double * lp, 6) as loc_{m}' for m in MODELS)} from xseen {' '.join(f'join q_{m} on q_{m}.qid = xseen.qid join i_{m} on i_{m}.row_id = base' for m in MODELS)}),
+xcomb as materialized (select xseen.qid, xseen.row_id, bm_t, bm_p, bm_d, bm_comb, lp from comb join xseen on xseen.qid = comb.qid and base = comb.row_id), xbmv as (select * from xcomb),
+xhs as materialized (select xseen.qid, xseen.row_id, hist_knn, hist_exact, hist_exact_same from hs join xseen on xseen.qid = hs.qid and base = hs.row_id)"""
+
+
+def _extended(sql: str) -> str:
+    """The same tables over the extended corpus, under names of their own."""
+    named = re.sub(r"\b(lists|cands|sims|best|rel_|relm|feats|chars|bmv|comb|hs|qf|sc)\b", r"x\1", sql)
+    return re.sub(r"\bcorpus\b", "ext", named).replace("case when rel is not null", "case when src_row is null and rel is not null")
+
+
+XCHAR = CHAR.replace("from cands join cqv using (qid) join cv using (row_id, gram) group by all", "from xcands join (select row_id, base from ext) e using (row_id) join cqv using (qid) join cv on cv.row_id = base and cv.gram = cqv.gram group by all").replace("select qid, row_id, sum(cqv.w * cv.w)", "select qid, xcands.row_id, sum(cqv.w * cv.w)").replace("chars as", "xchars as")
+
+
+def copies_sql(*more: str) -> str:
+    return hist_sql(*ALL[:-2], KV, EXC, PICK, PLACE, COORD, EXT, _extended(LISTS), _extended(CANDS), *more)
+
+
+@query("l1_source_lists_with_copies", copies_sql() + " select qid, row_id, bit, rank, round(score, 8) as score from xlists", HISTORY)
+def l1_copies(spark, sf):
+    return Copies.of(spark, sf).lists().withColumn("score", F.round("score", 8))
+
+
+@query("l4_label_with_copies", copies_sql() + " select qid, row_id, src, label from xcands", HISTORY)
+def l4_copies(spark, sf):
+    s = Copies.of(spark, sf)
+    return s.cands(s.lists())
+
+
+@query("l5_candidate_recall_with_copies", copies_sql() + " select fold, round(avg(coalesce(h, 0) / len(rel)), 6) as recall from allq left join (select qid, sum(label)::double as h from xcands group by qid) using (qid) where rel is not null group by fold", HISTORY)
+def l5_copies(spark, sf):
+    s = Copies.of(spark, sf)
+    return C.candidate_recall(s.cands(s.lists()), s.queries).withColumn("recall", F.round("recall", 6))
+
+
+XFULL = (_extended(BEST), _extended(REL), _extended(QF), XCHAR, _extended(FEATURES))
+
+
+@query("l6_features_with_copies", copies_sql(*XFULL) + " select qid, row_id, fold, label, " + ", ".join(f"{r8(c)} as {c}" for c in SHOWN) + " from xfeats", HISTORY)
+def l6_copies(spark, sf):
+    return Copies.of(spark, sf).features().select("qid", "row_id", "fold", "label", *[F.round(c, 8).alias(c) for c in SHOWN])
+
+
 # --- M: ranking, metrics, answer ---
 # SQL can repeat a fixed score over the features, so that all but the trained queries rank by this one.
 M_RANKS = RANKS
@@ -245,10 +305,12 @@ RANKED = [*FULL, SCORED, NREL]
 class Ranked(Search):
     """The features of all candidates with a score."""
 
+    search = Search
+
     def __init__(self, spark, sf):
-        search = Search.of(spark, sf)
+        search = self.search.of(spark, sf)
         self.__dict__.update(search.__dict__)
-        category = self.corpus.select("row_id", F.col("item_category_id").alias("category"))
+        category = self.listed.select("row_id", F.col("item_category_id").alias("category"))
         score = F.round(sum((F.round(c, 8) for c in PARTS.values()), F.lit(0.0)), 6)
         self.scored = checkpointed(search.features().drop("category").join(category, "row_id").withColumn("score", score))
         self.n_rel = R.n_relevant(self.queries)
@@ -276,6 +338,18 @@ def m2(spark, sf):
     return R.recall_at(r.scored, "score", r.n_rel, ANSWER).withColumn("recall", F.round("recall", 6))
 
 
+class RankedCopies(Ranked):
+    """The same over the corpus with the simulated competitors."""
+
+    search = Copies
+
+
+@query("m2_recall_with_copies", copies_sql(*XFULL, _extended(SCORED), NREL) + " " + _recall_sql(BY_SCORE, ANSWER).replace("from sc)", "from xsc)"), HISTORY)
+def m2_copies(spark, sf):
+    r = RankedCopies.of(spark, sf)
+    return R.recall_at(r.scored, "score", r.n_rel, ANSWER).withColumn("recall", F.round("recall", 6))
+
+
 @query("m3_single_source_recall", ranked_sql() + " " + " union all ".join(f"select '{c}' as source, round(avg(coalesce(h, 0) / n_rel), 6) as recall from nrel left join (select qid, sum(label)::double as h from sc where {c} < {ANSWER} group by qid) using (qid)" for c in M_RANKS), HISTORY)
 def m3(spark, sf):
     r = Ranked.of(spark, sf)

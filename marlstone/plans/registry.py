@@ -79,16 +79,17 @@ def query(name: str, sql: str | None = None, using: tuple[str, ...] | list[str]
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df, "doc_id") if name == "documents" else df
+    return spread(df) if name == "documents" else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores by a hash of ``key`` if it has fewer files than cores: a file of one row group is one task.
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores by a hash of the row if it is read in fewer splits than that: a row group is one task.
 
-    Work on texts costs far more than moving them once. Tables of as many files as cores stay as they are.
+    Work on texts costs far more than moving them once. A table that is read in as many splits as there are cores,
+    or more, stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, *df.columns) if df.rdd.getNumPartitions() < cores else df
 
 
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -9,9 +9,11 @@ from ..operators import location as L
 from ..operators import pairs as P
 from ..sources.stages import checkpointed
 from .registry import query, table
-from .search_queries import CEN, SLOT, TRAIN, TRANS, VECTORS, Prepared, Staged, hashed_vectors, hist_sql, md5_sql, u_sql
+from .search_queries import CEN, SLOT, TRAIN, TRANS, VECTORS, Prepared, hashed_vectors, hist_sql, md5_sql, u_sql
 
 CAP, SKIP, TOP, BATCH, POOL, FIRST = 30, 3, 30, 16, 150, 5000
+#: The number of the first copy, above all rows of the corpus.
+FIRST_COPY = 1_000_000
 PAIRS = f"""dp as materialized (select * exclude (rn) from (select *, row_number() over (partition by search_query, search_infm_params_text, item_id order by row_key) as rn from hist) where rn = 1),
 cp as materialized (select * exclude (rn) from (select *, row_number() over (partition by search_query order by {md5_sql('cap', 'row_key')}, row_key) as rn from dp) where rn <= {CAP}),
 pi as materialized (select * exclude (rn) from (select *, row_number() over (partition by item_id order by row_key) as rn from cp) where rn = 1),
@@ -25,7 +27,7 @@ hn as materialized (select row_key, row_id as neg from (select *, row_number() o
 
 class Pairs(Prepared):
     def __init__(self, spark, sf):
-        self.__dict__.update(Staged.of(spark, sf).__dict__)
+        self.__dict__.update(Prepared.of(spark, sf).__dict__)
         self.spark, self.sf = spark, sf
         self.distinct = P.distinct_pairs(self.hist)
         self.capped = checkpointed(P.cap_pairs(self.distinct, CAP))
@@ -116,7 +118,7 @@ KALL = (CEN, TRANS, KV, EXC, PICK, PLACE, COORD)
 
 class Competitors(Prepared):
     def __init__(self, spark, sf):
-        self.__dict__.update(Staged.of(spark, sf).__dict__)
+        self.__dict__.update(Prepared.of(spark, sf).__dict__)
         self.done = {}
         self.query_vectors = hashed_vectors(spark, sf, self.queries.select("qid", "fold", "search_query", F.col("search_location_id").alias("loc")), "search_query")
         e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("slot"), F.col("embedding").alias("vec"))
@@ -195,9 +197,9 @@ def k7(spark, sf):
 
 @query(
     "k8_extend_corpus",
-    comp_sql("select row_id, null::bigint as src_row, item_id, item_location_id, item_latitude, folds, in_bench from corpus union all select 1000000 + row_number() over (order by fold, qid, src_row) - 1, src_row, item_id, loc, lat, [fold::bigint], false from comp join corpus on row_id = src_row"),
+    comp_sql("select row_id, null::bigint as src_row, item_id, item_location_id, item_latitude, folds, in_bench from corpus union all select " + str(FIRST_COPY) + " + row_number() over (order by fold, qid, src_row) - 1, src_row, item_id, loc, lat, [fold::bigint], false from comp join corpus on row_id = src_row"),
     TRAIN,
 )
 def k8(spark, sf):
     c = Competitors.of(spark, sf)
-    return K.extend_corpus(c.corpus, c.competitors(), 1_000_000).select("row_id", "src_row", "item_id", "item_location_id", "item_latitude", "folds", "in_bench")
+    return K.extend_corpus(c.corpus, c.competitors(), FIRST_COPY).select("row_id", "src_row", "item_id", "item_location_id", "item_latitude", "folds", "in_bench")

@@ -8,7 +8,7 @@ from ..operators import dense as D
 from ..operators import history as H
 from ..operators import location as L
 from ..operators import prepare as P
-from ..sources.stages import checkpointed
+from ..sources.stages import checkpointed, kept
 from ..sources.tables import GROUP_KEY
 from .registry import query, table, view
 
@@ -50,9 +50,9 @@ _made: dict = {}
 
 
 class Prepared:
-    """The tables of the preparation over the stand-ins, lazy."""
+    """The tables of the preparation over the stand-ins; those that many steps read are kept in the shared folder."""
 
-    keep = staticmethod(lambda df: df)
+    keep = staticmethod(kept)
 
     @classmethod
     def of(cls, spark, sf):
@@ -80,12 +80,6 @@ class Prepared:
         self.corpus = keep(P.build_corpus(self.items, self.extra))
 
 
-class Staged(Prepared):
-    """The same, kept in the shared folder where many steps read them."""
-
-    keep = staticmethod(checkpointed)
-
-
 def prep(body: str) -> str:
     return f"with {PREP} {body}"
 
@@ -233,7 +227,7 @@ def hashed_vectors(spark, sf, df, text_col, shift=0):
 
 class History(Prepared):
     def __init__(self, spark, sf):
-        self.__dict__.update(Staged.of(spark, sf).__dict__)
+        self.__dict__.update(Prepared.of(spark, sf).__dict__)
         self.text_vectors = hashed_vectors(spark, sf, D.history_texts(self.hist).withColumnRenamed("search_query", "text"), "text")
         self.query_vectors = hashed_vectors(spark, sf, self.queries, "search_query")
         self.nb = checkpointed(H.neighbour_texts(self.query_vectors, self.text_vectors, NEIGHBOURS))
