@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -17,7 +20,7 @@ from ..sources.stages import checkpointed, kept, kept_buckets, shared_folder  #
 #: The bytes that end a word; ``bytes.split()`` splits on exactly these.
 WHITESPACE = b" \t\n\x0b\x0c\r"
 #: Bytes of text that a task holds as Python objects at once, unless one text alone is longer.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -88,6 +91,14 @@ def text_slices(batch: pa.RecordBatch, column: int, size: int = SLICE):
         yield batch.slice(lo, hi - lo)
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: Python workers outlive the task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def append_columns(df: DataFrame, text_col: str, fields: Sequence[T.StructField], factory: Callable[[], Callable]) -> DataFrame:
     """``df`` with columns computed from the whole texts of ``text_col``, without a shuffle.
 
@@ -107,7 +118,8 @@ def append_columns(df: DataFrame, text_col: str, fields: Sequence[T.StructField]
             texts = [x or b"" for x in b.column(at).cast(pa.binary()).to_pylist()]
             got = compute(texts)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, type=f.type) for x, f in zip(got, arrow, strict=True))], names=names)
-        pa.default_memory_pool().release_unused()  # Python workers outlive the task
+        del compute
+        release()
 
     return plain.mapInArrow(run, schema).toDF(*base.columns, *(f.name for f in fields))
 

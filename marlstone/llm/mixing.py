@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import append_columns, kept, place_of, quoted, row_hash, text_slices
+from .common import append_columns, kept, place_of, quoted, release, row_hash, text_slices
 
 #: Words of a block, and blocks of an output shard.
 BLOCK = 64
@@ -237,7 +237,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             texts = [_taken(t or b"", s) for t, s in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist())]
             columns = [pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()) if i == at else c for i, c in enumerate(b.column(2).flatten())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
-        pa.default_memory_pool().release_unused()
+        release()
 
     out = joined.mapInArrow(cut, docs.schema)
     return out.withColumn(chars_col, F.length(quoted(text_col)).cast(docs.schema[chars_col].dataType)) if chars_col in names else out
