@@ -30,7 +30,7 @@ COMBINE = {"title": 1.0, "params": 0.2, "desc": 0.5}
 FILTER_KEYS = ("вид", "услуг", "тип", "рейтинг", "пользовател", "звезд", "выш", "онлайн", "запис")
 Stemmer = Callable[[DataFrame], DataFrame]
 #: Rows of a chunk, and postings of one part of a term.
-CHUNK = 32
+CHUNK = 16
 PART = 1 << 22
 
 
@@ -186,6 +186,11 @@ def in_chunks(corpus: DataFrame, place: Column | None = None, size: int = CHUNK)
     return placed.join(F.broadcast(chunks), F.col("place").eqNullSafe(F.col("of"))).withColumn("chunk", chunk).drop("of", "chunks")
 
 
+def length_class(text: str) -> Column:
+    """Texts of like length, half a power of two apart: a short text's terms weigh more, so that such chunks have closer bounds."""
+    return F.floor(F.log2(F.char_length(F.coalesce(F.col(text), F.lit(""))) + 1) * 2).cast("int")
+
+
 def block_index(corpus: DataFrame, fields: tuple[Field, ...] = FIELDS, stem: Stemmer = identity, part: int = PART) -> BlockIndex:
     """The index of ``corpus``, which has place and chunk, kept dealt and sorted by term and part for the joins to come."""
     tf = row_terms(corpus, fields, stem, ("place", "chunk"))

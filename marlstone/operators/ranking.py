@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,31 +53,100 @@ def fold_split(cands: DataFrame, evaluate: int, stop: int = 6) -> DataFrame:
     return cands.where("fold >= 0").withColumn("part", part)
 
 
-def train_ranker(train: DataFrame, valid: DataFrame | None, features: list[str], rounds: int = 100, depth: int = 5, rate: float = 0.1, seed: int = 1, sample: float = 1.0):
-    """Gradient-boosted trees on single pairs, each query's pairs weighing 1 together, stopped early on ``valid`` if given.
+def train_ranker(train: DataFrame, features: list[str], rounds: int = 100, depth: int = 5, rate: float = 0.1, seed: int = 1, sample: float = 1.0):
+    """Gradient-boosted trees on single pairs, each query's pairs weighing 1 together: a fitted Spark ML pipeline.
 
-    Returns the fitted Spark ML pipeline. A pairwise or listwise objective is not part of Spark ML. ``sample`` is the
-    share of the rows that a tree sees, so that seeds differ; rows are in order of query and row, if they have one, so that
-    a seed draws the same ones again.
+    A pairwise or listwise objective is not part of Spark ML. ``sample`` is the share of the rows that a tree sees, so
+    that seeds differ; rows are in order of query and row, if they have one, so that a seed draws the same ones again.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = train.withColumn("is_valid", F.lit(False))
-    if valid is not None:
-        rows = rows.unionByName(valid.withColumn("is_valid", F.lit(True)))
-    rows = rows.withColumn("weight", F.lit(1.0) / F.count("*").over(Window.partitionBy("qid"))).withColumn("label", F.col("label").cast("double"))
+    rows = train.withColumn("weight", F.lit(1.0) / F.count("*").over(Window.partitionBy("qid"))).withColumn("label", F.col("label").cast("double"))
     rows = rows.sortWithinPartitions("qid", *[c for c in ("row_id",) if c in rows.columns])
     vector = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, subsamplingRate=sample)
-    if valid is not None:
-        trees = trees.setValidationIndicatorCol("is_valid")
     return Pipeline(stages=[vector, trees]).fit(rows)
 
 
+class Ensemble:
+    """A model's trees as arrays, one row per node: feature (-1: a leaf), threshold, children and weighted value."""
+
+    def __init__(self, model):
+        trees = model.stages[-1]
+        self.trees = [self._rows(t._java_obj.rootNode(), w) for t, w in zip(trees.trees, trees.treeWeights)]
+
+    @staticmethod
+    def _rows(root, weight: float) -> tuple[np.ndarray, ...]:
+        rows: list[list[float]] = []
+
+        def add(node) -> int:
+            at = len(rows)
+            rows.append([-1, 0.0, at, at, weight * node.prediction()])
+            if node.subtreeDepth():
+                rows[at][:2] = node.split().featureIndex(), node.split().threshold()
+                rows[at][2], rows[at][3] = add(node.leftChild()), add(node.rightChild())
+            return at
+
+        add(root)
+        feature, threshold, left, right, value = zip(*rows)
+        return np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(value)
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """(rows x trees): the running sum of the trees' values, which is the score after each tree."""
+        out = np.empty((len(x), len(self.trees)))
+        for k, (feature, threshold, left, right, value) in enumerate(self.trees):
+            at = np.zeros(len(x), np.int64)
+            while (live := np.flatnonzero(feature[at] >= 0)).size:
+                node = at[live]
+                at[live] = np.where(x[live, feature[node]] <= threshold[node], left[node], right[node])
+            out[:, k] = value[at]
+        return out.cumsum(axis=1)
+
+
+def staged_ndcg(model, cands: DataFrame, features: list[str], k: int = ANSWER) -> list[float]:
+    """Mean nDCG@k over the queries of ``cands`` with a positive candidate, after each tree of the model.
+
+    A query's candidates are as many as the source lists hold, so a task holds one query's at a time.
+    """
+    import pandas as pd
+
+    trees = Ensemble(model)
+
+    def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        label, order = rows["label"].to_numpy(np.float64), rows["row_id"].to_numpy().argsort(kind="stable")
+        if not label.any():
+            return pd.DataFrame({"tree": [], "ndcg": []})
+        margins = trees.margins(rows[features].to_numpy(np.float64))[order]
+        best = np.argsort(-margins, axis=0, kind="stable")[:k]
+        gain = 1 / np.log2(np.arange(2, k + 2))
+        dcg = (label[order][best] * gain[: len(best), None]).sum(axis=0)
+        return pd.DataFrame({"tree": np.arange(margins.shape[1]), "ndcg": dcg / gain[: int(label.sum())].sum()})
+
+    each = cands.select("qid", "row_id", "label", *features).groupBy("qid").applyInPandas(judge, "tree int, ndcg double")
+    return [r["ndcg"] for r in each.groupBy("tree").agg(F.avg("ndcg").alias("ndcg")).orderBy("tree").collect()]
+
+
+def stopped_ranker(train: DataFrame, valid: DataFrame, features: list[str], most: int = 3000, patience: int = 30, first: int = 60, k: int = ANSWER, **shape):
+    """(model, curve): the trees up to the best nDCG@k on ``valid``, and its values after each tree that was tried.
+
+    Trees are added until none of the last ``patience`` has raised the metric, or there are ``most``. Spark ML cannot go
+    on from a fitted ensemble: a fit that was too short is made again with twice the trees, the first of which are the
+    same, and the trees past the best are left off at last.
+    """
+    rounds = min(first, most)
+    while True:
+        model = train_ranker(train, features, rounds=rounds, **shape)
+        curve = staged_ndcg(model, valid, features, k)
+        best = int(np.argmax(curve)) + 1 if curve else rounds
+        if len(curve) - best >= patience or rounds >= most or not curve:
+            return (train_ranker(train, features, rounds=best, **shape) if best < rounds else model), curve
+        rounds = min(2 * rounds, most)
+
+
 def n_trees(model) -> int:
-    """The trees that a model keeps: the best number, where it was stopped early."""
+    """The trees of a model: the best number, where it was stopped."""
     return model.stages[-1].getNumTrees
 
 
@@ -84,7 +154,7 @@ def final_predictions(train: DataFrame, cands: DataFrame, features: list[str], t
     """(seed, qid, row_id, pred): ``cands`` judged by one model per seed, each fitted to all of ``train``."""
     out = None
     for seed in range(seeds):
-        model = train_ranker(train, None, features, rounds=trees, seed=SEED + seed, sample=sample, **shape)
+        model = train_ranker(train, features, rounds=trees, seed=SEED + seed, sample=sample, **shape)
         one = predict(model, cands).select(F.lit(seed).alias("seed"), "qid", "row_id", "pred")
         out = one if out is None else out.unionByName(one)
     return out

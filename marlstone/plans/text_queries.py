@@ -259,7 +259,8 @@ def _index(spark, sf):
     place = (spark.sparkContext.applicationId, sf)
     if place not in _indexed:
         _indexed.clear()
-        p = B.block_index(B.in_chunks(_corpus(spark, sf)), WHOLE)
+        kind = F.concat_ws("|", "params", B.length_class("description"))
+        p = B.block_index(B.in_chunks(_corpus(spark, sf), kind), WHOLE)
         _indexed[place] = p, kept(B.query_terms(_queries(spark, sf), B.vocabulary(p)), "terms")
     return _indexed[place]
 
