@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Vectors of one side of a block product.
 BLOCK = 4096
@@ -119,6 +121,16 @@ def location_blocks(queries: DataFrame, items: DataFrame, block: int) -> DataFra
     return count(queries, "nq").join(count(items, "ni"), "loc")
 
 
+def _by_blocks(pairs_of_blocks, kernel: Callable, schema: T.StructType) -> DataFrame:
+    """A pandas kernel over pairs of blocks. Results take their types from the schema, so that empty ones have them too."""
+    arrow = to_arrow_schema(schema)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        return pa.Table.from_pandas(kernel(a.to_pandas(), b.to_pandas()), schema=arrow, preserve_index=False)
+
+    return pairs_of_blocks.applyInArrow(run, schema)
+
+
 def _vectors(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -213,7 +225,7 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, weight: float = 0.0
         return pd.concat(parts) if parts else pd.DataFrame({"qid": [], "row_id": [], "sim": [], "score": []})
 
     schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("row_id", items.schema["row_id"].dataType), T.StructField("sim", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    local = _dealt(queries, items, block, place == "same").applyInPandas(kernel, schema)
+    local = _by_blocks(_dealt(queries, items, block, place == "same"), kernel, schema)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "row_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -235,7 +247,7 @@ def count_similar(queries: DataFrame, items: DataFrame, least: float, places: li
         return pd.DataFrame(out)
 
     schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), *(T.StructField(p, T.LongType()) for p in places)])
-    return _dealt(queries, items, block).applyInPandas(kernel, schema).groupBy("qid").agg(*[F.sum(p).alias(p) for p in places])
+    return _by_blocks(_dealt(queries, items, block), kernel, schema).groupBy("qid").agg(*[F.sum(p).alias(p) for p in places])
 
 
 def score_pairs(pairs: DataFrame, queries: DataFrame, items: DataFrame, block: int = BLOCK, query_block: int = ASKED) -> DataFrame:
@@ -261,7 +273,7 @@ def score_pairs(pairs: DataFrame, queries: DataFrame, items: DataFrame, block: i
         known = (at >= 0) & (to >= 0)
         p, at, to = p[known], at[known], to[known]
         sim = np.concatenate([np.einsum("ij,ij->i", x[at[k : k + GATHERED]], y[to[k : k + GATHERED]]) for k in range(0, len(p), GATHERED)] or [np.zeros(0)])
-        return pd.DataFrame({"qid": p["asked"], "row_id": p["found"], "sim": np.round(sim, DIGITS)})
+        return pd.DataFrame({"qid": p["asked"].to_numpy(), "row_id": p["found"].to_numpy(), "sim": np.round(sim, DIGITS)})
 
     out = T.StructType([T.StructField("qid", q_type), T.StructField("row_id", i_type), T.StructField("sim", T.DoubleType())])
-    return dealt.groupBy("qb", "ib").cogroup(q.unionByName(i).groupBy("qb", "ib")).applyInPandas(kernel, out)
+    return _by_blocks(dealt.groupBy("qb", "ib").cogroup(q.unionByName(i).groupBy("qb", "ib")), kernel, out)

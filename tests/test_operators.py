@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import numbering, numeric, rng, stem, text
-from marlstone.operators import answer_checks, bm25, chargram, competitors, dense, location, pairs, prepare, ranking
+from marlstone.operators import answer_checks, bm25, candidates, chargram, competitors, dense, location, pairs, prepare, ranking
 
 
 def test_normalize_and_tokens(spark):
@@ -46,15 +46,85 @@ def test_bm25_of_three_documents(spark):
     assert {(r["term"], r["n_terms"]) for r in q.collect()} == {("car", 2), ("red", 2)}
 
 
-def test_occurrences_are_those_of_the_token_table(spark):
-    df = spark.createDataFrame([(1, "running cars и hoping", "услуги", None), (2, "", None, "generously generously"), (3, "relational", "a", "b c")], "row_id long, title string, params string, description string")
+def test_terms_are_those_of_the_token_table(spark):
+    df = spark.createDataFrame([(1, "running cars и hoping cars", "услуги", None), (2, "", None, "generously generously"), (3, "relational", "a", "b c b b")], "row_id long, title string, params string, description string")
     for stemmer in (bm25.identity, stem.snowball):
-        want = []
+        want = Counter()
         for f in bm25.FIELDS:
             uni = bm25.unigrams(df, "row_id", f.column, f.max_tokens, stemmer)
-            want += [(f.name, r["row_id"], r["term"]) for r in uni.collect()]
-            want += [(f.name, r["row_id"], r["term"]) for r in text.bigrams(uni, ["row_id"]).collect()] if f.bigrams else []
-        assert sorted(map(tuple, bm25.terms(df, stem=stemmer).collect())) == sorted(want)
+            want.update((f.name, r["row_id"], r["term"]) for r in uni.collect())
+            want.update((f.name, r["row_id"], r["term"]) for r in text.bigrams(uni, ["row_id"]).collect() if f.bigrams)
+        rows = bm25.row_terms(df, stem=stemmer).collect()
+        assert {(r["field"], r["row_id"], r["term"]): r["tf"] for r in rows} == want
+        length = Counter()
+        for (field, row, _), n in want.items():
+            length[field, row] += n
+        assert all(r["dl"] == length[r["field"], r["row_id"]] for r in rows)
+
+
+def word_corpus(spark, n=300, seed=3):
+    g = np.random.default_rng(seed)
+    words = [f"w{k}" for k in range(60)]
+    p = 1 / np.arange(1, 61)
+    draw = lambda m: " ".join(g.choice(words, m, p=p / p.sum()))
+    rows = [(k, draw(g.integers(0, 6)), draw(1), draw(g.integers(0, 40)), k % 5 if k % 3 else 0) for k in range(n)]
+    return spark.createDataFrame(rows, "row_id long, title string, params string, description string, loc int"), spark.createDataFrame([(f"q{k}", draw(3)) for k in range(12)] + [("none", "unknown")], "qid string, query string")
+
+
+@pytest.mark.parametrize("size,part,place", [(4, 1 << 20, None), (16, 20, "class")])
+def test_topk_from_bounded_chunks_equals_all(spark, size, part, place):
+    corpus, queries = (df.cache() for df in word_corpus(spark))
+    where = bm25.length_class("description") if place else None
+    chunks = bm25.in_chunks(corpus, where, size)
+    index = bm25.block_index(chunks, part=part)
+    assert (index.terms.where("parts > 1").count() > 0) == (part < 1000)
+    postings = bm25.bm25_postings(corpus)
+    terms = bm25.query_terms(queries, bm25.vocabulary(index))
+    assert sorted(map(tuple, terms.collect())) == sorted(map(tuple, bm25.query_terms(queries, bm25.vocabulary(postings)).collect()))
+    key = lambda df: {(r["qid"], r["row_id"]): tuple(round(r[c], 9) for c in df.columns if c.startswith(("bm", "cov"))) for r in df.collect()}
+    every = key(bm25.bm25_combine(terms, postings))
+    assert key(bm25.bm25_combine(terms, index)) == every and key(bm25.coverage(terms, index)) == key(bm25.coverage(terms, postings))
+    some = spark.createDataFrame(sorted(every)[::7] + [("q1", 299)], "qid string, row_id long")
+    found = bm25.pair_matches(terms, index, some, chunks)
+    assert key(bm25.combined(found)) == {k: v for k, v in every.items() if k in set(map(tuple, some.collect()))}
+    for k in (1, 7) if size == 4 else (1000,):
+        listed, chosen = bm25.bm25_topk(terms, index, k)
+        got = {}
+        for r in listed.collect():
+            got.setdefault(r["qid"], []).append((r["rank"], r["row_id"]))
+        for q in {q for q, _ in every}:
+            best = sorted((row for p, row in every if p == q), key=lambda row: (-round(every[q, row][3], 6), row))[:k]
+            assert [row for _, row in sorted(got[q])] == best
+        bounds = {(r["qid"], r["place"], r["chunk"]): r["bound"] for r in bm25.chunk_bounds(terms, index).collect()}
+        at = {r["row_id"]: (r["place"], r["chunk"]) for r in chunks.collect()}
+        assert all(bounds[q, *at[row]] >= v[3] - 1e-9 for (q, row), v in every.items())
+        if k == 1 and size == 4:
+            assert chosen.count() < 0.6 * len(bounds)
+
+
+def test_copies_are_listed_where_they_stand(spark):
+    corpus, queries = word_corpus(spark, 80)
+    corpus = corpus.withColumn("item_location_id", F.col("loc")).withColumn("in_bench", F.col("row_id") % 4 != 1).withColumn("folds", F.when(F.col("row_id") % 4 == 1, F.array(F.lit(2).cast("long"))))
+    copies = spark.createDataFrame([(1000 + k, k % 20 * 4, (k * 7) % 5, [k % 3]) for k in range(40)], "row_id long, base long, item_location_id int, folds array<long>")
+    listed = corpus.select("row_id", F.col("row_id").alias("base"), "item_location_id", "in_bench", "folds").unionByName(copies.withColumn("in_bench", F.lit(False)).select("row_id", "base", "item_location_id", "in_bench", "folds"))
+    number = F.substring("qid", 2, 2).try_cast("int")
+    asked = queries.where("qid <> 'none'").select("qid", (number % 3).alias("fold"), (number % 5).alias("search_location_id"), "query").cache()
+    trans = spark.createDataFrame([(s, (s + k) % 5, 9 - 2 * k) for s in range(4) for k in range(3)], "s int, l int, c long")
+    totals = location.location_totals(trans)
+    chunks = bm25.in_chunks(corpus, F.col("loc"), 4)
+    index = bm25.block_index(chunks)
+    terms = bm25.query_terms(asked, bm25.vocabulary(index)).cache()
+    scores = {(r["qid"], r["row_id"]): r["bm_comb"] for r in bm25.bm25_combine(terms, index).collect()}
+    lps = {(r["s"], r["l"]): r["lp"] for r in location.log_prior(spark.createDataFrame([(s, l) for s in range(5) for l in range(5)], "s int, l int"), trans, totals).collect()}
+    rows = listed.collect()
+    with_prior, plain = candidates.bm25_lists(terms, index, asked, listed, chunks, trans, totals, 6, 4)
+    for got, k, beta in ((with_prior, 6, 2.0), (plain, 4, 0.0)):
+        by = {}
+        for r in got.collect():
+            by.setdefault(r["qid"], []).append((r["rank"], r["row_id"]))
+        for q in asked.collect():
+            seen = [(round(scores[q["qid"], r["base"]] + beta * lps[q["search_location_id"], r["item_location_id"]], 6), r["row_id"]) for r in rows if (q["qid"], r["base"]) in scores and (r["in_bench"] or q["fold"] in (r["folds"] or []))]
+            assert [x for _, x in sorted(by.get(q["qid"], []))] == [row for _, row in sorted(seen, key=lambda p: (-p[0], p[1]))[:k]]
 
 
 def test_distance_and_prior(spark):
@@ -83,6 +153,83 @@ def test_block_topk_equals_brute_force(spark, block):
             assert [x for _, x in sorted(got[k])] == sorted(ok, key=lambda j: (-sim[k, j], j))[:4]
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_placed_vectors_equal_copied_ones(spark, block):
+    g = np.random.default_rng(5)
+    q, i = g.normal(size=(11, 6)), g.normal(size=(40, 6))
+    trans = spark.createDataFrame([(s, l, 1 + (s * l) % 7) for s in range(3) for l in range(4)], "s int, l int, c long")
+    queries = dense.query_priors(spark.createDataFrame([(k, v.tolist(), k % 4, k % 3) for k, v in enumerate(q)], "qid long, vec array<double>, loc int, fold int"), trans)
+    items = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(i)], "row_id long, vec array<double>")
+    places = spark.createDataFrame([(k, None, k % 4, k % 5 > 0, [k % 3] if k % 5 == 0 else None) for k in range(40)] + [(100 + k, k % 9, (k * 3) % 4, False, [k % 3, 0]) for k in range(30)], "row_id long, src_row long, loc int, in_bench boolean, folds array<long>")
+    copied = places.join(items.withColumnRenamed("row_id", "of"), F.coalesce("src_row", "row_id") == F.col("of")).drop("of", "src_row")
+    for weight, place in ((0.0, "any"), (0.4, "any"), (0.4, "other")):
+        a, b = (sorted(map(tuple, dense.block_topk(queries, df, 9, weight=weight, place=place, block=block).collect())) for df in (dense.placed(items, places), copied))
+        assert a == b and len(a) == 99
+
+
+@pytest.mark.parametrize("block,asked", [(5, 3), (1000, 1000)])
+def test_pair_scores_are_gathered(spark, block, asked):
+    g = np.random.default_rng(6)
+    q, i = g.normal(size=(20, 7)), g.normal(size=(50, 7))
+    queries = spark.createDataFrame([(f"q{k}", v.tolist()) for k, v in enumerate(q)], "qid string, vec array<double>")
+    items = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(i)], "row_id long, vec array<double>")
+    rows = [(f"q{a}", b) for a in range(20) for b in range(50) if (a * b) % 3 == 0] + [("q1", 5), ("q99", 1), ("q1", 77)]
+    got = Counter(map(tuple, dense.score_pairs(spark.createDataFrame(rows, "qid string, row_id long"), queries, items, block, asked).collect()))
+    assert got == Counter((a, b, round(float(q[int(a[1:])] @ i[b]), 6)) for a, b in rows if int(a[1:]) < 20 and b < 50)
+    assert dense.score_pairs(spark.createDataFrame(rows, "qid string, row_id long").limit(0), queries, items).collect() == []
+
+
+def test_a_crowded_location_leaves_the_others_alone(spark):
+    rows = [(k, 0 if k < 900 else 1 + k % 60, [math.sin(k), math.cos(k), 0.1]) for k in range(1200)]
+    items = spark.createDataFrame(rows, "row_id long, loc int, vec array<double>")
+    queries = spark.createDataFrame([(f"q{k}", *r) for k, *r in rows[::3]], "qid string, loc int, vec array<double>")
+    blocks = {r["loc"]: (r["nq"], r["ni"]) for r in dense.location_blocks(queries, items, 10).collect()}
+    assert blocks[0] == (30, 90) and all(v == (1, 1) for k, v in blocks.items() if k)
+    # Rows that travel: those of the crowded location by its own blocks, the others once.
+    got = dense.block_topk(queries, items, 4, place="same", block=10)
+    want = dense.block_topk(queries, items, 4, place="same", block=5000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_gathered_parts(spark):
+    a = spark.createDataFrame([("q", 1, 2.0), ("q", 2, -3.0)], "qid string, row_id long, x double")
+    b = spark.createDataFrame([("q", 2, 5), ("r", 1, None)], "qid string, row_id long, y int")
+    got = {(r["qid"], r["row_id"]): (r["x"], r["y"]) for r in candidates.gathered([(a, {"x": 0.0}), (b, {"y": -1.0})]).collect()}
+    assert got == {("q", 1): (2.0, -1.0), ("q", 2): (-3.0, 5.0), ("r", 1): (0.0, -1.0)}
+
+
+def planted(spark, queries, seed):
+    """Pairs whose label follows x and z, for the larger part."""
+    g = np.random.default_rng(seed)
+    rows = []
+    for q in range(queries):
+        x, y, z = g.normal(size=(3, 20))
+        best = int(np.argmax(x + (z > 0) + 0.4 * g.normal(size=20)))
+        rows += [(f"{seed}-{q}", k, int(k == best), float(x[k]), float(y[k]), float(z[k]) if k % 7 else None) for k in range(20)]
+    return spark.createDataFrame(rows, "qid string, row_id long, label int, x double, y double, z double").fillna(float("nan"))
+
+
+def test_ranker_stops_at_the_best_number_of_trees(spark):
+    features = ["x", "y", "z"]
+    train, stop, new = (planted(spark, n, s).coalesce(1).cache() for n, s in ((120, 1), (60, 2), (60, 3)))
+    model, curve = ranking.stopped_ranker(train, stop, features, most=40, patience=6, first=10, depth=2, rate=0.5, k=5)
+    best = int(np.argmax(curve)) + 1
+    assert ranking.n_trees(model) == best <= 34 and len(curve) - best >= 6
+    # The curve at the best is the metric of the model that is kept; running sums give its probabilities.
+    judged = ranking.predict(model, stop)
+    scored = judged.collect()
+    trees = ranking.Ensemble(model)
+    margin = trees.margins(np.array([[r[c] for c in features] for r in scored]))[:, -1]
+    assert np.allclose(1 / (1 + np.exp(-2 * margin)), [r["pred"] for r in scored])
+    assert ranking.ndcg_at(judged.withColumn("pred", F.col("pred") * 1e6), "pred", 5).agg(F.avg("ndcg")).first()[0] == pytest.approx(curve[best - 1], abs=0.02)
+    assert curve[best - 1] > 0.75
+    important = [r["feature"] for r in ranking.feature_importance(spark, model, features).collect()]
+    assert important[0] == "x" and important[-1] == "y"
+    preds = ranking.final_predictions(train, new, features, best, seeds=2, depth=2, rate=0.5)
+    ranked = new.join(ranking.rank_ensemble(preds), ["qid", "row_id"])
+    assert ranking.ndcg_at(ranked, "score", 5).agg(F.avg("ndcg")).first()[0] > 0.75
+
+
 def test_numbers_are_total_whatever_the_partitions(spark):
     df = spark.range(1000).withColumn("h", F.md5(F.col("id").cast("string")))
     want = {r["id"]: n for n, r in enumerate(df.orderBy("h").collect())}
