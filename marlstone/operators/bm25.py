@@ -270,9 +270,9 @@ def chunk_bounds(q_terms: DataFrame, index: BlockIndex, weights: dict[str, float
 
 
 def score_chunks(q_terms: DataFrame, index: BlockIndex, chunks: DataFrame, weights: dict[str, float] = COMBINE) -> DataFrame:
-    """:func:`bm25_combine`, with place, of the rows of given (qid, place, chunk) only; other blocks do not unfold."""
+    """:func:`bm25_combine`, with place and chunk, of the rows of given (qid, place, chunk) only; other blocks do not unfold."""
     met = _met(q_terms.select("qid", "term"), index, "rows").join(chunks.select("qid", "place", "chunk"), ["qid", "place", "chunk"], "left_semi")
-    return combined(_unfolded(met, index.fields), weights, "place")
+    return combined(_unfolded(met, index.fields), weights, "place", "chunk")
 
 
 def pair_matches(q_terms: DataFrame, index: BlockIndex, pairs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -297,7 +297,7 @@ def bm25_topk(q_terms: DataFrame, index: BlockIndex, k: int, prior: Callable[[Da
     first = bounds.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= (probe or max(8, k // 4)))
 
     def listed(chunks: DataFrame) -> DataFrame:
-        scored = score_chunks(q_terms, index, chunks, weights).join(chunks.select("qid", "place", "add").distinct(), ["qid", "place"])
+        scored = score_chunks(q_terms, index, chunks, weights).join(chunks.select("qid", "place", "chunk", "add"), ["qid", "place", "chunk"])
         scored = seen(scored).withColumn("score", F.col("bm_comb") + F.col("add"))
         w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 6)), "row_id")
         return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -48,7 +48,7 @@ def bm25_lists(terms: DataFrame, index: B.BlockIndex, queries: DataFrame, listed
         return log_prior(seen, trans, totals).groupBy("qid", "place", "chunk", "bound").agg((F.lit(beta) * F.max("lp")).alias("add"))
 
     def placed(scored: DataFrame) -> DataFrame:
-        j = scored.drop("add", "place").join(q, "qid").join(own, "row_id").where(visible(F.col("fold"), F.col("in_bench"), F.col("folds")))
+        j = scored.drop("add", "place", "chunk").join(q, "qid").join(own, "row_id").where(visible(F.col("fold"), F.col("in_bench"), F.col("folds")))
         return j.drop("row_id", "fold", "in_bench", "folds").withColumnRenamed("placed", "row_id")
 
     with_prior = B.bm25_topk(terms, index, k_loc, prior, lambda df: log_prior(placed(df), trans, totals).withColumn("add", F.lit(beta) * F.col("lp")))[0]
