@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 SERVICE_CATEGORY = 114
 ANSWER, RESERVE, RESERVE_RANK = 50, 5, 100
 SEED = 42
+#: A feature that is not known.
+UNKNOWN = -1.0
 
 
 def drop_useless(cands: DataFrame) -> DataFrame:
@@ -53,6 +55,11 @@ def fold_split(cands: DataFrame, evaluate: int, stop: int = 6) -> DataFrame:
     return cands.where("fold >= 0").withColumn("part", part)
 
 
+def known(df: DataFrame, features: list[str]) -> DataFrame:
+    """``df`` with missing features as UNKNOWN, in training as in use: Spark ML takes no others."""
+    return df.withColumns({c: F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(UNKNOWN)), F.lit(UNKNOWN)) for c in features})
+
+
 def train_ranker(train: DataFrame, features: list[str], rounds: int = 100, depth: int = 5, rate: float = 0.1, seed: int = 1, sample: float = 1.0):
     """Gradient-boosted trees on single pairs, each query's pairs weighing 1 together: a fitted Spark ML pipeline.
 
@@ -63,9 +70,9 @@ def train_ranker(train: DataFrame, features: list[str], rounds: int = 100, depth
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = train.withColumn("weight", F.lit(1.0) / F.count("*").over(Window.partitionBy("qid"))).withColumn("label", F.col("label").cast("double"))
+    rows = known(train, features).withColumn("weight", F.lit(1.0) / F.count("*").over(Window.partitionBy("qid"))).withColumn("label", F.col("label").cast("double"))
     rows = rows.sortWithinPartitions("qid", *[c for c in ("row_id",) if c in rows.columns])
-    vector = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    vector = VectorAssembler(inputCols=features, outputCol="features")
     trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, subsamplingRate=sample)
     return Pipeline(stages=[vector, trees]).fit(rows)
 
@@ -124,7 +131,7 @@ def staged_ndcg(model, cands: DataFrame, features: list[str], k: int = ANSWER) -
         dcg = (label[order][best] * gain[: len(best), None]).sum(axis=0)
         return pd.DataFrame({"tree": np.arange(margins.shape[1]), "ndcg": dcg / gain[: int(label.sum())].sum()})
 
-    each = cands.select("qid", "row_id", "label", *features).groupBy("qid").applyInPandas(judge, "tree int, ndcg double")
+    each = known(cands.select("qid", "row_id", "label", *features), features).groupBy("qid").applyInPandas(judge, "tree int, ndcg double")
     return [r["ndcg"] for r in each.groupBy("tree").agg(F.avg("ndcg").alias("ndcg")).orderBy("tree").collect()]
 
 
@@ -163,7 +170,7 @@ def final_predictions(train: DataFrame, cands: DataFrame, features: list[str], t
 def predict(model, cands: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    return model.transform(cands).withColumn("pred", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    return model.transform(known(cands, model.stages[0].getInputCols())).withColumn("pred", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def feature_importance(spark, model, features: list[str], n: int = 20) -> DataFrame:
