@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
+from .common import append_columns, release
 from .labelled import Logistic, class_share, id_remainder, training_sample
 
 #: Labelled documents of each class that are learnt from.
 PER_CLASS = 6000
+#: Bytes of a class's documents from which dictionaries are made, on the driver.
+LEARN_BYTES = 32 << 20
 #: A text is compressed in pieces of so many bytes, all of them: a dictionary helps little beyond the first few KB.
 PIECE = 2048
 #: Bytes of a dictionary.
@@ -78,54 +82,76 @@ class QualityModel:
         return self.calibration(np.array([self.compressors.features(t) for t in texts]).reshape(len(texts), N_FEATURES))
 
 
-def _dictionaries(sample: DataFrame, size: int) -> Compressors:
-    """Dictionaries from all pieces of each class's documents in the first fold, in the order of a hash.
+def _pieces(sample: DataFrame, most: int) -> DataFrame:
+    """(label, fold, piece, at): all pieces of documents of about ``most`` bytes a class, ``at`` giving the order of a hash.
 
-    The trainer is a library call on one machine: what reaches it is bounded by the sample's documents.
+    Documents are drawn whole, by a hash of their id, until they reach ``most``; one that alone has over a sixteenth of
+    it is not drawn. The sample's number of rows bounds the window.
     """
-    import zstandard as zstd
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    before = F.sum("size").over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1))
+    drawn = sample.withColumn("size", size).where(F.col("size") <= most // 16).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most)
 
     def to_pieces(batches):
         for b in batches:
-            got = {"doc_id": [], "label": [], "n": [], "piece": []}
-            for i, y, t in zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
+            got = {"doc_id": [], "label": [], "fold": [], "n": [], "piece": []}
+            for i, y, f, t in zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(), b.column("fold").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
                 for n, p in enumerate(cut(t or b"")):
-                    for k, v in zip(got, (i, y, n, p)):
+                    for k, v in zip(got, (i, y, f, n, p)):
                         got[k].append(v)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(got["doc_id"], pa.int64()), "label": pa.array(got["label"], pa.int32()), "n": pa.array(got["n"], pa.int64()), "piece": pa.array(got["piece"], pa.binary())})
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(got.items(), kinds)})
+
+    cuts = drawn.mapInArrow(to_pieces, "doc_id long, label int, fold int, n long, piece binary")
+    return cuts.select("label", "fold", "piece", F.xxhash64("doc_id", "n").alias("at"))
+
+
+def _dictionary(rows: list[bytes], size: int) -> bytes:
+    """A dictionary of at most ``size`` bytes and an eighth of the text; too little text to train on serves as it is."""
+    import zstandard as zstd
+
+    with contextlib.suppress(zstd.ZstdError):
+        if len(rows) >= 8:
+            return zstd.train_dictionary(min(size, max(1024, sum(map(len, rows)) // 8)), rows).as_bytes()
+    return b"".join(rows)[:size]
+
 
-    cuts = sample.where("fold = 0").mapInArrow(to_pieces, "doc_id long, label int, n long, piece binary")
-    out = []
+def _compressors(sample: DataFrame, size: int, most: int) -> list[Compressors]:
+    """Dictionaries from the pieces of fold 0, of fold 1, and of both.
+
+    The trainer is a library call on one machine: ``most`` bounds the bytes of a class that reach it.
+    """
+    pieces, by = _pieces(sample, most), []
     for c in (1, 0):
-        rows = cuts.where(F.col("label") == c).orderBy(F.xxhash64("doc_id", "n"), "doc_id", "n").select("piece").toArrow().column("piece").to_pylist()
-        total = sum(map(len, rows))
-        try:
-            raw = zstd.train_dictionary(min(size, max(1024, total // 8)), rows).as_bytes() if len(rows) >= 8 else b"".join(rows)[:size]
-        except zstd.ZstdError:  # too little text to train on: its raw content serves
-            raw = b"".join(rows)[:size]
-        out.append(raw)
-    return Compressors(*out)
+        rows = pieces.where(F.col("label") == c).toArrow().sort_by([("at", "ascending"), ("piece", "ascending")])
+        piece, fold = rows.column("piece").to_pylist(), rows.column("fold").to_pylist()
+        by.append([_dictionary([p for p, f in zip(piece, fold) if f in folds], size) for folds in ((0,), (1,), (0, 1))])
+    return [Compressors(good, bad) for good, bad in zip(*by)]
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, size: int = DICTIONARY) -> QualityModel:
-    """Dictionaries from one half of the sample, the calibration from the other; both bounded by the parameters.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, size: int = DICTIONARY, most: int = LEARN_BYTES) -> QualityModel:
+    """Dictionaries and calibration from a sample that the parameters bound.
 
-    Without labels of both classes every score is the share of good labels (one half without any).
+    Each half of the sample is judged by the dictionaries of the other, which gives the calibration; texts are then
+    scored with dictionaries of both halves. Without labels of both classes every score is the share of good labels
+    (one half without any).
     """
     share = class_share(labels, "quality", MODULUS, HELD_OUT)
     sample = training_sample(docs, labels, "quality", MODULUS, HELD_OUT, per_class)
-    compressors = _dictionaries(sample, size)
-    shared = sample.sparkSession.sparkContext.broadcast(compressors)
+    *halves, whole = _compressors(sample, size, most)
+    shared = sample.sparkSession.sparkContext.broadcast(halves)
 
     def judge(batches):
         for b in batches:
-            x = np.array([shared.value.features(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()], np.float64).reshape(b.num_rows, N_FEATURES)
+            rows = zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("fold").to_pylist())
+            x = np.array([shared.value[1 - fold].features(t or b"") for t, fold in rows], np.float64).reshape(b.num_rows, N_FEATURES)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), *(pa.array(x[:, k]) for k in range(N_FEATURES))], names=["doc_id", "label", *"abcd"])
+        release()
 
-    got = sample.where("fold = 1").mapInArrow(judge, "doc_id long, label int, a double, b double, c double, d double").toArrow().sort_by([("doc_id", "ascending"), ("a", "ascending")])
+    got = sample.mapInArrow(judge, "doc_id long, label int, a double, b double, c double, d double").toArrow().sort_by([("doc_id", "ascending"), ("a", "ascending")])
     shared.destroy()
     x = np.stack([got.column(c).to_numpy() for c in "abcd"], axis=1)
-    return QualityModel(compressors, Logistic(x, got.column("label").to_numpy(), share))
+    return QualityModel(whole, Logistic(x, got.column("label").to_numpy(), share))
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score") -> DataFrame:

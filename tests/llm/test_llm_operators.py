@@ -463,6 +463,20 @@ def test_quality_features_equal_brute_force():
     assert model.features(b"") == (0.0,) * 4
 
 
+def test_quality_learns_from_whole_documents_up_to_a_bound(spark):
+    rows = [(i, f"word{i} " * (20 + i % 7) if i % 50 else "long " * 2000, i % 2, i // 2 % 2) for i in range(400)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int, fold int")
+    most, texts = 20_000, {t.encode(): y for _, t, y, _ in rows}
+    got = quality._pieces(sample, most).collect()
+    for label in (0, 1):
+        drawn = [bytes(r["piece"]) for r in got if r["label"] == label]
+        assert most <= sum(map(len, drawn)) < most + most // 16
+        assert all(texts.get(p) == label for p in drawn)
+    everything = quality._pieces(sample, 1 << 30).collect()
+    assert sum(len(r["piece"]) for r in everything) == sum(len(t.encode()) for _, t, _, _ in rows)
+    assert {(r["label"], r["fold"]) for r in everything} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+
+
 def test_calibration_equals_gradient_zero():
     rng = np.random.default_rng(16)
     x = rng.normal(size=(400, 2))
