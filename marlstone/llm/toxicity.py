@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import append_columns, kept, place_of, text_slices, without
+from .common import append_columns, kept, place_of, release, text_slices, without
 from .labelled import Logistic, class_share, id_remainder, training_documents, training_sample
 
 #: Symbols of a letter group; a symbol has BITS bits.
@@ -32,9 +32,9 @@ MODULUS, HELD_OUT = 4, 2
 BROADCAST_ROWS = 4_000_000
 #: Without a broadcast: bytes of text judged together, and letter groups that a task holds.
 CHUNK = 16 << 20
-HELD_GRAMS = 2_000_000
+HELD_GRAMS = 500_000
 #: Words whose ratio a task remembers; it may pass this by those of one slice of texts.
-REMEMBERED = 150_000
+REMEMBERED = 50_000
 
 #: ASCII letters in lower case, digits as one, other ASCII as a space; bytes of other letters as they are.
 FOLD = bytes(b if b >= 128 else ord("0") if chr(b).isdigit() else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
@@ -94,6 +94,7 @@ def gram_counts(training: DataFrame) -> DataFrame:
             if sum(map(len, held)) > REMEMBERED:
                 yield from rows()
         yield from rows()
+        release()
 
     schema = "gram long, " + ", ".join(f"{c} long" for c in COUNTS)
     return training.mapInArrow(count, schema).groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS])
@@ -171,6 +172,8 @@ def log_ratios(counts: DataFrame) -> DataFrame:
             each[m][has] = seen
         key = np.r_[gram, gram[start] | OTHER]
         yield from pa.Table.from_arrays([pa.array(key), *(pa.array(np.r_[e, u]) for e, u in zip(each, unseen))], names=["gram", "m0", "m1", "m2"]).to_batches(10_000)
+        del batches, rows, gram, at, each, key
+        release()
 
     return counts.repartition(parts, F.shiftright("gram", BITS).bitwiseAND(int(LOW[3]))).mapInArrow(ratios, "gram long, m0 int, m1 int, m2 int")
 
@@ -272,6 +275,7 @@ def joined(docs: DataFrame, ratios: DataFrame, fields: list[T.StructField], comp
             if sum(map(len, held.values())) > REMEMBERED:
                 yield from rows()
         yield from rows()
+        release()
 
     grams = dealt.mapInArrow(distinct, "chunk long, gram long").distinct()
     r = ratios.select(F.col("gram").alias("of"), F.col(f"m{model}").alias("ratio"))
