@@ -4,7 +4,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.operators import bm25, candidates, history, location
 from marlstone.plans import all_oracles, all_queries, rank_queries, search_queries
+from marlstone.sources import stages
 
 
 def test_small_negative_numbers_round_as_in_sql(spark, tmp_path):
@@ -33,3 +35,46 @@ def test_report_needs_no_search(spark, monkeypatch):
     monkeypatch.setattr(rank_queries.Search, "__init__", lambda *_: pytest.fail("the search was made"))
     monkeypatch.setattr(search_queries, "_made", {})
     assert all_queries()["a7_report_json"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_history_meets_each_item_of_a_text_once(spark):
+    """Before, an item chosen from 30 locations was 30 rows for every query near its text."""
+    chosen = spark.createDataFrame([("a", 1, loc, 2) for loc in range(30)] + [("a", 2, None, 5), ("b", 1, 3, 1)], "text string, row_id long, loc int, c long")
+    assert history.items_of_texts(chosen).count() == 3
+    nb = spark.createDataFrame([("q", "a", 0.5), ("q", "b", 0.9), ("r", "a", 0.1)], "qid string, text string, sim double")
+    queries = spark.createDataFrame([("q", 0, "a", 3), ("r", 0, "a", 3)], "qid string, fold int, search_query string, search_location_id int")
+    corpus = spark.createDataFrame([(1, True, None), (2, False, [0])], "row_id long, in_bench boolean, folds array<long>")
+    got = {(r["qid"], r["row_id"]): tuple(r)[2:] for r in history.history_scores(nb, chosen, queries, corpus, 0.2).collect()}
+    assert got == {("q", 1): (pytest.approx(0.5 * (2 + 58 * 0.3) + 0.9), 60.0, 2.0), ("q", 2): (pytest.approx(0.5 * 5 * 0.3), 5.0, 0.0)}
+
+
+def test_block_lists_and_pair_scores_equal_those_of_the_index(spark):
+    """The search had no such form before: every matching posting was a row for every query."""
+    words = [f"w{k}" for k in range(9)]
+    rows = [(r, " ".join(words[(r * k) % 9] for k in range(1, 4)), f"p{r % 4} x", " ".join(words[(r + k) % 9] for k in range(5)), r % 3, r % 5 != 0, [r % 2]) for r in range(60)]
+    corpus = spark.createDataFrame(rows, "row_id long, title string, params string, description string, loc int, in_bench boolean, folds array<long>")
+    texts = corpus.select("row_id", "title", "params", "description")
+    chunks = stages.kept(bm25.in_chunks(corpus, F.col("loc"), 4))
+    index = bm25.block_index(chunks)
+    queries = spark.createDataFrame([(f"q{k}", k % 2, k % 4, f"{words[k % 9]} {words[(k * 2 + 1) % 9]} unknown", f"p{k % 5} x" if k % 3 else "") for k in range(12)], "qid string, fold int, search_location_id int, query string, filters string")
+    terms = stages.kept(bm25.query_terms(queries, bm25.vocabulary(index)))
+    listed = corpus.select("row_id", F.col("row_id").alias("base"), "in_bench", "folds", F.col("loc").alias("item_location_id"))
+    trans = spark.createDataFrame([(0, 0, 5), (0, 1, 2), (1, 2, 4), (2, 2, 1)], "s int, l int, c long")
+    totals = location.location_totals(trans)
+    postings = stages.kept(bm25.bm25_postings(texts))
+    places = corpus.select("row_id", F.lit(None).cast("long").alias("src_row"), "loc", "in_bench", "folds")
+    want = candidates.bm25_lists(terms, index, queries, listed, chunks, trans, totals, 6, 4)
+    got = candidates.bm25_block_lists(terms, postings, queries, places, trans, 6, 4, block=16)
+    shape = lambda df: sorted((r["qid"], r["rank"], r["row_id"], round(r["score"], 8)) for r in df.select("qid", "rank", "row_id", "score").collect())
+    for a, b in zip(got, want):
+        assert shape(a) == shape(b)
+    pairs = queries.select("qid").crossJoin(corpus.select("row_id"))
+    filters = bm25.query_terms(queries, bm25.vocabulary(postings), False, (), "filters")
+    found = {(r["qid"], r["row_id"]): r for r in bm25.pair_scores(pairs, terms, filters, postings).collect()}
+    assert len(found) == 12 * 60
+    for df, columns in ((bm25.bm25_combine(terms, postings), ("bm_t", "bm_p", "bm_d", "bm_comb")), (bm25.coverage(terms, postings), ("cov_t", "cov_any")), (bm25.filter_coverage(pairs, queries, postings, exclude=()), ("pcov",))):
+        rest = set(found)
+        for r in df.collect():
+            rest.discard((r["qid"], r["row_id"]))
+            assert [found[(r["qid"], r["row_id"])][c] for c in columns] == pytest.approx([r[c] for c in columns])
+        assert all(found[k][c] == 0 for k in rest for c in columns)
