@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import bm25, candidates, history, location
+from marlstone.operators import bm25, candidates, chargram, history, location
 from marlstone.plans import all_oracles, all_queries, rank_queries, search_queries
 from marlstone.sources import stages
 
@@ -78,3 +78,26 @@ def test_block_lists_and_pair_scores_equal_those_of_the_index(spark):
             rest.discard((r["qid"], r["row_id"]))
             assert [found[(r["qid"], r["row_id"])][c] for c in columns] == pytest.approx([r[c] for c in columns])
         assert all(found[k][c] == 0 for k in rest for c in columns)
+
+
+def test_chargram_vectors_join_no_table_of_all_texts(spark):
+    """Before, the lengths of all texts were a table of their own, joined and in places broadcast, and grams were shuffled to be counted."""
+    df = spark.createDataFrame([(k, f"abc abcd {k % 3}xyz abc") for k in range(20)], "id long, t string")
+    assert "Exchange" not in chargram.grams(df, "id", "t")._jdf.queryExecution().executedPlan().toString()
+    model = stages.kept(chargram.fit(df, "id", "t"))
+    v = chargram.vectors(df, model, "id", "t")
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    norms = {r["id"]: r["n"] for r in v.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("n")).collect()}
+    assert norms == {k: pytest.approx(1.0) for k in range(20)}
+
+
+def test_exact_history_of_the_own_text(spark):
+    """Before, j6 scored the items of all neighbours and dropped those of other texts afterwards."""
+    chosen = spark.createDataFrame([("a", 1, 3, 2), ("b", 1, 3, 1), ("b", 2, 4, 7)], "text string, row_id long, loc int, c long")
+    nb = spark.createDataFrame([("q", "a", 0.9), ("q", "b", 0.5), ("r", "b", 0.9), ("t", "b", 0.1)], "qid string, text string, sim double")
+    queries = spark.createDataFrame([("q", 0, "a", 3), ("r", 0, "b", 3), ("t", 0, "b", 3)], "qid string, fold int, search_query string, search_location_id int")
+    corpus = spark.createDataFrame([(1, True, None), (2, True, None)], "row_id long, in_bench boolean, folds array<long>")
+    want = history.history_scores(nb, chosen, queries, corpus, 0.2).where("hist_exact > 0").select("qid", "row_id", "hist_exact", "hist_exact_same")
+    got = history.history_exact(nb, chosen, queries, corpus, 0.2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [("q", 1, 2.0, 2.0), ("r", 1, 1.0, 1.0), ("r", 2, 7.0, 0.0)]
