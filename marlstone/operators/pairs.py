@@ -12,6 +12,8 @@ from .dense import block_topk
 
 SKIP, TOP, CAP = 3, 30, 30
 SEED = 42
+#: What the steps on pairs read of a choice.
+PAIR_COLUMNS = ("row_key", "search_query", "search_infm_params_text", "item_id", "row_id", "item_location_id")
 
 
 def _first(df: DataFrame, keys: list[str], order) -> DataFrame:
@@ -37,17 +39,24 @@ def chosen_by_text(pairs: DataFrame) -> DataFrame:
     return pairs.select("search_query", "row_id").distinct()
 
 
-def hard_negatives(pairs: DataFrame, items: DataFrame, chosen: DataFrame, skip: int = SKIP, top: int = TOP, spare: int = 5, seed: int = SEED) -> DataFrame:
+def hard_negatives(pairs: DataFrame, texts: DataFrame, items: DataFrame, chosen: DataFrame, skip: int = SKIP, top: int = TOP, spare: int = 5, seed: int = SEED) -> DataFrame:
     """(row_key, neg): per pair one item near the query in the chosen item's location that its text never chose.
 
-    pairs: row_key, search_query, vec, loc; items: row_id, vec, loc. Of the top + spare nearest, those chosen for the
-    text go; one of the ranks from ``skip`` up to ``top`` of the rest is drawn. Pairs without one have no row.
+    pairs: row_key, search_query, loc, capped per text; texts: search_query, vec; items: row_id, vec, loc. Of the top +
+    spare nearest, those chosen for the text go; one of the ranks from ``skip`` up to ``top`` of the rest is drawn. Pairs
+    without one have no row. The nearest are searched once per text and location, whatever the number of its pairs, and
+    a pair draws inside its row from the list that is left.
     """
-    near = block_topk(pairs.select(F.col("row_key").alias("qid"), "vec", "loc"), items.select("row_id", "vec", "loc"), top + spare, place="same")
-    texts = pairs.select(F.col("row_key").alias("qid"), "search_query")
-    left = near.join(texts, "qid").join(chosen, ["search_query", "row_id"], "left_anti")
-    left = left.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("rank")) - 1).where((F.col("r") >= skip) & (F.col("r") < top))
-    return _first(left, ["qid"], [order_key(seed, "neg", "qid", "row_id")]).select(F.col("qid").alias("row_key"), F.col("row_id").alias("neg"))
+    asked = pairs.select("search_query", "loc").distinct().join(texts, "search_query")
+    asked = asked.select(F.sha2(F.concat_ws("|", F.col("loc").cast("string"), "search_query"), 256).alias("qid"), "search_query", "loc", "vec")
+    near = block_topk(asked.select("qid", "vec", "loc"), items.select("row_id", "vec", "loc"), top + spare, place="same")
+    lists = near.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "row_id"))), lambda s: s["row_id"]).alias("near"))
+    own = chosen.groupBy("search_query").agg(F.collect_set("row_id").alias("own"))
+    left = asked.select("qid", "search_query", "loc").join(lists, "qid").join(own, "search_query")
+    rest = F.filter("near", lambda i: ~F.array_contains("own", i))
+    left = left.select("search_query", "loc", F.slice(rest, skip + 1, top - skip).alias("rest")).where(F.size("rest") > 0)
+    draw = F.array_min(F.transform("rest", lambda i: F.struct(order_key(seed, "neg", F.col("row_key"), i).alias("by"), i.alias("neg"))))
+    return pairs.join(left, ["search_query", "loc"]).select("row_key", draw["neg"].alias("neg"))
 
 
 def fill_negatives(pairs: DataFrame, found: DataFrame, seed: int = SEED) -> DataFrame:
