@@ -4,8 +4,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import bm25, candidates, chargram, history, location
-from marlstone.plans import all_oracles, all_queries, rank_queries, search_queries
+from marlstone.operators import bm25, candidates, chargram, competitors, dense, history, location, pairs, prepare
+from marlstone.plans import all_oracles, all_queries, rank_queries, sampling_queries, search_queries
 from marlstone.sources import stages
 
 
@@ -101,3 +101,74 @@ def test_exact_history_of_the_own_text(spark):
     want = history.history_scores(nb, chosen, queries, corpus, 0.2).where("hist_exact > 0").select("qid", "row_id", "hist_exact", "hist_exact_same")
     got = history.history_exact(nb, chosen, queries, corpus, 0.2)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [("q", 1, 2.0, 2.0), ("r", 1, 1.0, 1.0), ("r", 2, 7.0, 0.0)]
+
+
+def test_sampled_texts_keep_no_choices(spark, monkeypatch):
+    """Before, all choices were written, split and written again before the texts were sampled."""
+    monkeypatch.setattr(search_queries, "_made", {})
+    monkeypatch.setattr(prepare, "mark_held", lambda *_: pytest.fail("the choices were kept"))
+    assert all_queries()["g2_sample_texts"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_pairs_sort_and_keep_only_what_is_read(spark, monkeypatch):
+    """Before, the steps on pairs carried all columns of a choice, and the first of them kept the capped pairs too."""
+    monkeypatch.setattr(search_queries, "_made", {})
+    made = sampling_queries.Pairs.of(spark, "/root/testdata/sf0.001")
+    assert set(made.distinct.columns) == set(pairs.PAIR_COLUMNS) - {"search_infm_params_text"}
+    assert "capped" not in made.__dict__
+
+
+def test_nearest_are_searched_once_per_text_and_location(spark, monkeypatch):
+    """Before, every pair was a query of its own."""
+    asked = []
+    monkeypatch.setattr(pairs, "block_topk", lambda q, *a, **b: asked.append(q.count()) or dense.block_topk(q, *a, **b))
+    rows = [(f"k{k}", "a" if k < 8 else "b", 1000 + k, k % 2) for k in range(12)]
+    given = spark.createDataFrame(rows, "row_key string, search_query string, row_id long, loc int")
+    texts = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "search_query string, vec array<float>")
+    items = spark.createDataFrame([(r, r % 2, [float(r), 20.0 - r]) for r in range(20)], "row_id long, loc int, vec array<float>")
+    chosen = spark.createDataFrame([("a", 18), ("a", 19), ("b", 0)], "search_query string, row_id long")
+    got = {r["row_key"]: r["neg"] for r in pairs.hard_negatives(given, texts, items, chosen, 1, 3).collect()}
+    assert asked == [4] and set(got) == {f"k{k}" for k in range(12)}
+    may = {("a", 0): {14, 12}, ("a", 1): {15, 13}, ("b", 0): {4, 6}, ("b", 1): {3, 5}}
+    assert all(got[k] in may[(t, loc)] for k, t, _, loc in rows)
+
+
+def test_threshold_deals_only_vectors_of_its_pairs(spark, monkeypatch):
+    """Before, all items travelled once for every 512 of all queries."""
+    dealt = []
+    monkeypatch.setattr(competitors, "score_pairs", lambda p, q, i: dealt.append((q.count(), i.count())) or dense.score_pairs(p, q, i))
+    queries = spark.createDataFrame([(f"q{k:02}", [f"i{k}"] if k < 9 else None) for k in range(30)], "qid string, rel array<string>")
+    vectors = spark.createDataFrame([(f"q{k:02}", [1.0, float(k)]) for k in range(30)], "qid string, vec array<float>")
+    corpus = spark.createDataFrame([(f"i{k}", k) for k in range(50)], "item_id string, row_id long")
+    items = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(50)], "row_id long, vec array<float>")
+    assert competitors.sim_threshold(queries, vectors, items, corpus, first=4).first()["threshold"] == 1.0
+    assert dealt == [(4, 4)]
+
+
+def test_counts_meet_items_of_the_named_locations_once_a_vector(spark, monkeypatch):
+    """Before, every query met every item of every location, equal vectors one by one."""
+    sizes = []
+    deal = dense._dealt
+    monkeypatch.setattr(dense, "_dealt", lambda q, i, block, by_location=False, run=1: sizes.append((q.count(), i.count(), by_location)) or deal(q, i, block, by_location, run))
+    queries = spark.createDataFrame([(f"q{k}", [1.0, 0.0], k % 2, 2 if k < 5 else 9) for k in range(10)] + [("r", [0.0, 1.0], 1, 1)], "qid string, vec array<float>, own int, away int")
+    items = spark.createDataFrame([(k, [1.0, 0.0] if k % 4 else [0.0, 1.0], k % 3) for k in range(60)], "row_id long, vec array<float>, loc int")
+    got = {r["qid"]: (r["own"], r["away"]) for r in dense.count_similar(queries, items, 0.5, ["own", "away"], 2).collect()}
+    near = lambda loc, want: sum(1 for k in range(60) if k % 3 == loc and bool(k % 4) == want)
+    assert got == {f"q{k}": (near(k % 2, True), near(2, True) if k < 5 else 0) for k in range(10)} | {"r": (near(1, False), near(1, False))}
+    assert sizes == [(5, 6, True)]
+
+
+def test_many_slabs_of_items_give_k_rows_a_query(spark, monkeypatch):
+    """Before, every block of items gave its k best of every query."""
+    made = []
+    by_blocks = dense._by_blocks
+    monkeypatch.setattr(dense, "_by_blocks", lambda *a: made.append(by_blocks(*a)) or made[-1])
+    queries = spark.createDataFrame([(f"q{k}", [float(k), 1.0], k % 3) for k in range(8)], "qid string, vec array<double>, loc int")
+    items = spark.createDataFrame([(f"i{k:03}", [float(k * 37 % 101) / 7, float(k % 5)], k % 4) for k in range(120)], "row_id string, vec array<double>, loc int")
+    got = sorted((r["qid"], r["rank"], r["row_id"], r["sim"]) for r in dense.block_topk(queries, items, 3, place="other", block=8).collect())
+    want = []
+    for q in queries.collect():
+        best = sorted((-round(sum(x * y for x, y in zip(q["vec"], i["vec"])), 6), i["row_id"]) for i in items.collect() if i["loc"] != q["loc"])[:3]
+        want += [(q["qid"], n + 1, row, -s) for n, (s, row) in enumerate(best)]
+    assert got == [(a, b, c, pytest.approx(d)) for a, b, c, d in sorted(want)]
+    assert made[0].count() <= 8 * 3 * max(4, 120 // (8 * dense.RUN) + 1)
