@@ -172,3 +172,22 @@ def test_many_slabs_of_items_give_k_rows_a_query(spark, monkeypatch):
         want += [(q["qid"], n + 1, row, -s) for n, (s, row) in enumerate(best)]
     assert got == [(a, b, c, pytest.approx(d)) for a, b, c, d in sorted(want)]
     assert made[0].count() <= 8 * 3 * max(4, 120 // (8 * dense.RUN) + 1)
+
+
+def test_sums_over_blocks_equal_those_of_all_postings(spark):
+    """Before, the whole index was made for the terms of a few queries, and every matching posting was a row."""
+    words = [f"w{k}" for k in range(9)]
+    corpus = spark.createDataFrame([(r, " ".join(words[(r * k) % 9] for k in range(1, 4)), f"p{r % 4} x", " ".join(words[(r + k) % 9] for k in range(r % 6))) for r in range(40)], "row_id long, title string, params string, description string")
+    queries = spark.createDataFrame([(k, f"{words[k]} {words[(k * 2 + 1) % 9]} unknown") for k in range(4)], "qid long, query string")
+    whole = stages.kept(bm25.bm25_postings(corpus))
+    terms = stages.kept(bm25.query_terms(queries, bm25.vocabulary(whole)))
+    asked = stages.kept(bm25.asked_terms(corpus, spark.createDataFrame([(w,) for w in (*words[:6], words[7], "unknown")], "term string")))
+    names = {r["term"] for r in asked.collect()}
+    assert not any(set(n.split("§")) & {words[6], words[8], "x"} for n in names)
+    shape = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert shape(bm25.asked_postings(asked, corpus)) == shape(whole.where(F.col("term").isin(list(names))))
+    pairs = stages.kept(bm25.pair_sums(terms, bm25.asked_postings(asked, corpus)))
+    assert shape(bm25.query_terms(queries, asked.select("term").distinct())) == shape(terms)
+    assert shape(bm25.summed_scores(pairs).select("qid", "row_id", "field", "score")) == shape(bm25.bm25_scores(terms, whole))
+    assert shape(bm25.summed_combine(pairs)) == shape(bm25.bm25_combine(terms, whole))
+    assert shape(bm25.summed_coverage(pairs)) == shape(bm25.coverage(terms, whole))
