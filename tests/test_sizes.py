@@ -22,6 +22,16 @@ def test_small_negative_numbers_round_as_in_sql(spark, tmp_path):
             assert sorted(map(repr, map(tuple, df.collect()))) == sorted(repr(tuple(r[i] for i in order)) for r in got.fetchall()), name
 
 
+def test_mean_vectors_of_null_labels_and_components_are_those_of_sql(spark, tmp_path):
+    """Differed before: rows without a label gave a mean, and one null component in a mean spoilt the whole vector."""
+    path = f"{tmp_path}/embeddings.parquet"
+    duckdb.execute(f"copy (select * from (values (0, 1, [1.0, -0.5]::float[]), (1, null, [1.0, 0.0]::float[]), (2, 2, [null, 0.1]::float[]), (3, 2, [null, 3.0, 1.0]::float[]), (4, 3, null), (5, 4, [null, null]::float[]), (6, 5, []::float[]), (7, 6, [0, 0]::float[])) t(vec_id, label, embedding)) to '{path}' (format parquet)")
+    with duckdb.connect() as con:
+        con.execute(f"create view embeddings as select * from '{path}'")
+        want = con.sql(all_oracles()["f2_mean_pool"]).fetchall()
+    assert sorted(map(repr, map(tuple, all_queries()["f2_mean_pool"](spark, str(tmp_path)).collect()))) == sorted(map(repr, want))
+
+
 def test_plain_answer_meets_each_query_with_no_more_items_than_it_answers(spark):
     """Before, every item of the query's location was a pair."""
     items = spark.range(1000).select(F.col("id").alias("row_id"), (F.col("id") % 3).cast("int").alias("item_location_id"))
