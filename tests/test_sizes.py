@@ -201,3 +201,26 @@ def test_sums_over_blocks_equal_those_of_all_postings(spark):
     assert shape(bm25.summed_scores(pairs).select("qid", "row_id", "field", "score")) == shape(bm25.bm25_scores(terms, whole))
     assert shape(bm25.summed_combine(pairs)) == shape(bm25.bm25_combine(terms, whole))
     assert shape(bm25.summed_coverage(pairs)) == shape(bm25.coverage(terms, whole))
+
+
+ODD = ["", None, "  ", "_a_B1 Ё-ёж ЯБЛОКО\u0450\u042f\u0451x", "İstanbul \u212a Straße é1\u00e92", "the tests were testing tested things and things", "и в на", "z{`@[/:a9", "a\u2028b\t😀c", "бегущие бегали running runs"]
+
+
+def test_encoder_hashes_the_grams_of_a_batch_together(monkeypatch):
+    """Before, each n-gram was hashed by a call of its own."""
+    import zlib
+
+    import numpy as np
+
+    calls, crc32 = [], zlib.crc32
+    monkeypatch.setattr(zlib, "crc32", lambda b: calls.append(b) or crc32(b))
+    texts = [t or "" for t in ODD] + ["ab", "ü" * 700, "漢字かな" * 300]
+    got = dense.hashed_ngram_encoder()(texts)
+    assert len(calls) < 600
+    want = np.zeros((len(texts), 64), np.float32)
+    for i, t in enumerate(texts):
+        for k in range(max(1, len(t) - 2)):
+            h = crc32(t[k : k + 3].encode())
+            want[i, h % 64] += 1 if h >> 31 else -1
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-6)
+    assert got.tobytes() == want.tobytes()
