@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.functions import text
+from marlstone.functions import stem, text
 from marlstone.operators import bm25, candidates, chargram, competitors, dense, history, location, pairs, prepare
 from marlstone.plans import all_oracles, all_queries, rank_queries, sampling_queries, search_queries
 from marlstone.sources import stages
@@ -241,6 +241,20 @@ def test_token_counts_make_no_row_per_token(spark, tmp_path):
         assert "Generate" not in all_queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("ids", [range(len(ODD)), [0, 1, 2, 3, 3, 5, None, None, 5, 9]])
+def test_stems_are_told_apart_inside_rows(spark, tmp_path, ids):
+    """Before, every token was shuffled to meet its stem, and again to its document."""
+    _odd_documents(spark, tmp_path, ids)
+    got = all_queries()["b4_stem_tokens"](spark, str(tmp_path))
+    tok = stem.snowball(text.drop_stop(text.tokens(spark.read.parquet(f"{tmp_path}/documents.parquet"), "doc_id", "text")))
+    want = tok.groupBy("doc_id").agg(F.count_distinct("term").alias("n_stems"), F.min("term").alias("first_stem"))
+    assert got.dtypes == want.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    if None not in list(ids):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+
+
 def test_encoder_hashes_the_grams_of_a_batch_together(monkeypatch):
     """Before, each n-gram was hashed by a call of its own."""
     import zlib
