@@ -255,6 +255,16 @@ def test_stems_are_told_apart_inside_rows(spark, tmp_path, ids):
         assert "Join" not in plan and "Aggregate" not in plan
 
 
+def test_terms_are_counted_by_as_many_tasks_as_are_asked_for(spark):
+    """Before, the number of tasks did not grow with the table, and a task that read texts held a table of its pairs."""
+    rows = spark.createDataFrame([(["a", "b", "a"],), (["b"],), ([],)], "terms array<string>")
+    got = text.term_counts(rows, "terms", 13)
+    assert {tuple(r) for r in got.collect()} == {("a", 2), ("b", 2)}
+    assert got.rdd.getNumPartitions() == 13
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Aggregate" not in plan[plan.index("Exchange") :]
+
+
 def test_encoder_hashes_the_grams_of_a_batch_together(monkeypatch):
     """Before, each n-gram was hashed by a call of its own."""
     import zlib
