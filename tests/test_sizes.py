@@ -265,6 +265,16 @@ def test_terms_are_counted_by_as_many_tasks_as_are_asked_for(spark):
     assert "Aggregate" not in plan[plan.index("Exchange") :]
 
 
+def test_postings_pass_by_the_frequencies_unsorted(spark):
+    """Before, all postings were sorted by term to meet the frequencies."""
+    corpus = spark.createDataFrame([(k, f"a b{k % 3} c", "p", f"x y{k % 5} x") for k in range(40)], "row_id long, title string, params string, description string")
+    want = bm25.bm25_postings(corpus)
+    got = bm25.bm25_postings(corpus, tasks=5)
+    assert "ShuffledHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    shape = lambda df: sorted((*tuple(r)[:4], round(r["w"], 9)) for r in df.collect())
+    assert shape(got) == shape(want)
+
+
 def test_encoder_hashes_the_grams_of_a_batch_together(monkeypatch):
     """Before, each n-gram was hashed by a call of its own."""
     import zlib
