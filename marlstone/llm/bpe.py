@@ -18,7 +18,7 @@ NO_RANK = 1 << 30
 #: Above so many symbols a word is merged with a queue of ranks: scanning for the minimum is quadratic in its length.
 SHORT = 160
 #: Words whose ids a worker remembers, in each of two generations; the young one may pass it by one pack of texts.
-REMEMBERED = 100_000
+REMEMBERED = 40_000
 #: Characters of text that are cut into words before the new ones among these are encoded together.
 AHEAD = 1_000_000
 

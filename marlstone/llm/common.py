@@ -21,6 +21,8 @@ from ..sources.stages import checkpointed, kept, kept_buckets, shared_folder  #
 WHITESPACE = b" \t\n\x0b\x0c\r"
 #: Bytes of text that a task holds as Python objects at once, unless one text alone is longer.
 SLICE = 1 << 20
+#: Rows that Spark hands to Python at once: it holds them all outside its heap, and so does the worker.
+BATCH_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -99,12 +101,24 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have this session hand whole texts to Python in batches of ``BATCH_ROWS`` rows at most; fewer, if set, stay so.
+
+    Spark's 10,000 rows are some 30 MB of texts in each task, beside as much in its worker. Results don't depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def append_columns(df: DataFrame, text_col: str, fields: Sequence[T.StructField], factory: Callable[[], Callable]) -> DataFrame:
     """``df`` with columns computed from the whole texts of ``text_col``, without a shuffle.
 
     ``factory()`` runs once per task and gives a function from a list of UTF-8 byte strings (null: empty) to one
     list or array per field. Columns of ``df`` that bear the name of a computed one are replaced.
     """
+    bounded_batches(df.sparkSession)
     base = without(df, [f.name for f in fields if f.name.lower() != text_col.lower()])
     plain = base.toDF(*[f"c{i}" for i in range(len(base.columns))])  # Spark's Python operators cannot name a column with a dot
     schema = T.StructType([*plain.schema.fields, *fields])

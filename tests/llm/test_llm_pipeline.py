@@ -63,3 +63,24 @@ def test_stages_with_awkward_rows(spark, tmp_path):
 
 def simhash_rows(spark, docs):
     return corpus_pipeline.simhash_stage(spark, docs, "").collect()
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    """Before, a task held 10,000 texts outside the heap and as many in its worker."""
+    from pyspark.sql import types as T
+
+    from marlstone.llm import common
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 10_000)
+        docs = spark.range(0, 3500, 1, 1).selectExpr("id as doc_id", "string(id) as text")
+        out = common.append_columns(docs, "text", [T.StructField("together", T.LongType())], lambda: lambda texts: [[len(texts)] * len(texts)])
+        assert out.agg({"together": "max"}).first()[0] == common.BATCH_ROWS
+        assert out.where("together is not null").count() == 3500
+        spark.conf.set(name, 7)
+        common.bounded_batches(spark)
+        assert int(spark.conf.get(name)) == 7
+    finally:
+        spark.conf.set(name, before)
