@@ -125,7 +125,10 @@ def _compressors(sample: DataFrame, size: int, most: int) -> list[Compressors]:
     for c in (1, 0):
         rows = pieces.where(F.col("label") == c).toArrow().sort_by([("at", "ascending"), ("piece", "ascending")])
         piece, fold = rows.column("piece").to_pylist(), rows.column("fold").to_pylist()
+        del rows
         by.append([_dictionary([p for p, f in zip(piece, fold) if f in folds], size) for folds in ((0,), (1,), (0, 1))])
+        del piece
+        release()  # the driver's Python outlives the training
     return [Compressors(good, bad) for good, bad in zip(*by)]
 
 

@@ -235,6 +235,8 @@ def judged(docs: DataFrame, ratios: DataFrame, rows: int, fields: list[T.StructF
         return joined(docs, ratios, fields, compute, text_col, model)
     got = ratios.select("gram", f"m{model}").toArrow()
     shared = docs.sparkSession.sparkContext.broadcast(Ratios(got.column(0).to_numpy(), got.column(1).to_numpy()))
+    del got
+    release()  # the broadcast has a copy in a file; the driver's Python needs none
 
     def factory():
         features = shared.value.judge()

@@ -84,3 +84,12 @@ def test_texts_reach_python_in_small_batches(spark):
         assert int(spark.conf.get(name)) == 7
     finally:
         spark.conf.set(name, before)
+
+
+def test_training_gives_the_drivers_memory_back(spark, monkeypatch):
+    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+    for module in (quality, toxicity):
+        given = []
+        monkeypatch.setattr(module, "release", lambda given=given: given.append(1))
+        module.train(docs, labels)
+        assert given, module.__name__
