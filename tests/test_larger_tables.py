@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.operators import chargram as G
 from marlstone.operators import history as H
 from marlstone.plans import all_queries, search_queries
 from marlstone.sources.stages import measured_broadcasts
@@ -89,3 +90,20 @@ def test_metrics_make_features_of_judged_queries_only(spark):
 
     judged = search_queries._made[(rank_queries.RankedJudged, *place)].scored
     assert judged.where("fold < 0").count() == 0 and judged.count() > 0
+
+
+def test_similarity_inside_locations_makes_no_table_of_pairs(spark):
+    rng = random.Random(3)
+    title = lambda: rng.choice([" ".join(rng.sample(["red", "blue", "lamp", "tables", "ox"], 2)), "", None, "é ü"])
+    items = spark.createDataFrame([(k, rng.choice([1, 2, 3, None]), title()) for k in range(150)], "row_id long, loc int, text string")
+    queries = spark.createDataFrame([(f"q{k}", rng.choice([1, 2, 7, None]), title()) for k in range(40)], "qid string, loc int, text string")
+    model = G.fit(items, "row_id", "text")
+    pairs = queries.select("qid", "loc").join(items.select("row_id", "loc"), "loc").select("qid", "row_id")
+    vectors = lambda df, key: G.vectors(df, model, key, "text")
+    want = G.similarity(pairs, vectors(queries, "qid"), vectors(items, "row_id")).withColumn("char_t", F.round("char_t", 5)).collect()
+    assert any(r["char_t"] > 0 for r in want)
+    for block in (1024, 3):
+        got = G.location_similarity(queries, items, model, block=block)
+        assert plain(got.collect()) == plain(want)
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    assert G.location_similarity(queries.where("loc = 7"), items, model).count() == 0
