@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import chargram as G
+from marlstone.operators import dense as D
 from marlstone.operators import history as H
 from marlstone.plans import all_queries, search_queries
 from marlstone.sources.stages import measured_broadcasts
@@ -107,3 +108,29 @@ def test_similarity_inside_locations_makes_no_table_of_pairs(spark):
         assert plain(got.collect()) == plain(want)
         assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
     assert G.location_similarity(queries.where("loc = 7"), items, model).count() == 0
+
+
+@pytest.mark.parametrize("weight", [0.0, 0.03])
+def test_lists_of_classes_are_those_of_all_rows(spark, weight):
+    rng = random.Random(11)
+    vectors = [[rng.choice([0.0, 0.5, 1.0]) for _ in range(3)] for _ in range(6)]
+    items = spark.createDataFrame([(k, rng.choice(vectors)) for k in range(120)], "row_id long, vec array<float>")
+    folds = lambda: rng.choice([(True, None), (True, None), (False, [0]), (False, [0, 1])])
+    places = [(k, None, rng.choice([1, 2]), *folds()) for k in range(120)] + [(200 + k, k * 3, rng.choice([1, 2]), *folds()) for k in range(30)]
+    places = spark.createDataFrame(places, "row_id long, src_row long, loc int, in_bench boolean, folds array<long>")
+    queries = spark.createDataFrame([(f"q{k}", k % 2, rng.choice([1, 2, 9]), rng.choice(vectors)) for k in range(50)], "qid string, fold int, loc int, vec array<float>")
+    trans = spark.createDataFrame([(1, 1, 5), (1, 2, 2), (2, 1, 1)], "s int, l int, c long")
+    want = D.block_topk(D.query_priors(queries, trans) if weight else queries, D.placed(items, places), 9, weight=weight).select("qid", "row_id", "score", "rank").collect()
+    found, members = D.classes(items, places, ["vec"], 9)
+    assert found.count() <= 6 and members.count() < 50
+    got = D.class_topk(queries, found, members, 9, ["vec"], weight, trans)
+    assert plain(got.collect()) == plain(want)
+
+
+def test_affinity_of_history_pairs(spark):
+    nb, chosen, queries, corpus = _history(spark)
+    corpus = corpus.withColumn("item_microcat_id", F.when(F.col("row_id") % 5 > 0, F.col("row_id") % 5))
+    mix = queries.select("qid", F.explode(F.array(*map(F.lit, (1, 2, 4)))).alias("mc")).withColumn("p", F.col("mc") / 10).where("qid <> 'q3'")
+    want = H.microcat_affinity(H.history_scores(nb, chosen, queries, corpus, 0.2), mix, corpus)
+    got = H.history_affinity(nb, chosen, queries, corpus, mix, 0.2)
+    assert plain(got.collect()) == plain(want.collect())
